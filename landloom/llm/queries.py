@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_counts, token_files, url_rules
+from . import exact_dedup, mixing, simhash, token_counts, token_files, url_rules
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_token_counts": token_counts.query,
+    "op3_simhash": simhash.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_url_rules": url_rules.query,
     "op10_token_files": token_files.query,
 }
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
 }
