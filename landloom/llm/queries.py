@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash, token_counts, token_files, url_rules
+from . import exact_dedup, mixing, scoring, simhash, token_counts, token_files, url_rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_url_rules": url_rules.query,
+    "op9_scoring": scoring.query,
     "op10_token_files": token_files.query,
 }
 ORACLES = {
