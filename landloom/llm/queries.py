@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, scoring, simhash, token_counts, token_files, url_rules
+from . import exact_dedup, language, mixing, scoring, simhash, token_counts, token_files, url_rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_token_counts": token_counts.query,
     "op3_simhash": simhash.query,
+    "op4_language": language.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_url_rules": url_rules.query,
     "op9_scoring": scoring.query,
