@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from .shared import new_path
 
 END_ID = 1
-#: Encoded pieces kept by one Python worker; the table is emptied when full.
-KEPT = 400_000
-#: Ids handed to the writer at once.
-BATCH_IDS = 500_000
+#: Encoded pieces that one Python worker keeps, twice.
+KEPT = 500_000
+#: Pieces encoded and handed to the writer at once, about.
+BATCH_PIECES = 150_000
 STORED = "doc_id bigint, ord bigint, n_tokens int, ids array<int>"
 
 
@@ -38,30 +39,61 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 class PieceEncoder(dict):
     """Ids (little-endian unsigned 32-bit) of texts. The vocabulary never joins letters across white space, so pieces
-    between spaces and line ends are encoded by the library once and looked up afterwards."""
+    between spaces and line ends are encoded by the library once and looked up afterwards. Lower-casing an ASCII first
+    letter changes nothing (the vocabulary does it), and a full stop or comma after letters is a token run of its own:
+    such pieces are looked up without. Pieces not met since the table was last half full are forgotten."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        stem, mark = plain(piece)
+        if stem is not piece:
+            return self[stem] + self[mark] if mark else self[stem]
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            ids = packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > KEPT:
-            self.clear()
+        """Encodes those of the pieces that aren't known, in one call."""
+        new = [p for p in {plain(p)[0] for p in pieces if p not in self} if p not in self and p not in self.old and len(p) <= 64]
         for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, "<u4").tobytes()
+            self[p] = packed(e.ids)
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
+    def encode(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, pieces))
+
+
+def plain(piece: str) -> tuple[str, str]:
+    """The piece to look up, and the mark that follows it; the same object if nothing is taken off."""
+    mark = ""
+    if piece and piece[-1] in ".," and piece[:-1].isalpha():
+        piece, mark = piece[:-1], piece[-1]
+    return (piece[0].lower() + piece[1:] if piece and "A" <= piece[0] <= "Z" else piece), mark
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+def encoder_for(path: str) -> PieceEncoder:
+    """A worker's encoder; it outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None) -> str:
@@ -69,20 +101,20 @@ def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text
     path, end = path or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = PieceEncoder(path), 0
+        encoder, at = encoder_for(path), 0
         for b in batches:
-            keys, texts, first, out, held = b.column(0), b.column(1), 0, [], 0
-            for i in range(len(texts)):
-                out.append(encoder.encode(texts[i].as_py()) + end)
-                held += len(out[-1])
-                if held >= 4 * BATCH_IDS or i == len(texts) - 1:
-                    sizes = np.array([len(x) // 4 for x in out], np.int32)
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                    yield pa.RecordBatch.from_arrays([keys.slice(first, len(out)), pa.array(np.arange(at, at + len(out))), pa.array(sizes), ids], names=["doc_id", "ord", "n_tokens", "ids"])
-                    at, first, out, held = at + len(out), first + len(out), [], 0
-                    if len(encoder) > KEPT:
-                        encoder.clear()
+            keys, texts, first = b.column(0), b.column(1), 0
+            while first < len(texts):
+                pieces, held = [], 0
+                while first + len(pieces) < len(texts) and held < BATCH_PIECES:
+                    pieces.append(texts[first + len(pieces)].as_py().replace("\n", " ").split(" "))
+                    held += len(pieces[-1])
+                encoder.learn(set().union(*pieces))
+                out = [encoder.encode(p) + end for p in pieces]
+                sizes = np.array([len(x) // 4 for x in out], np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                yield pa.RecordBatch.from_arrays([keys.slice(first, len(out)), pa.array(np.arange(at, at + len(out))), pa.array(sizes), ids], names=["doc_id", "ord", "n_tokens", "ids"])
+                at, first = at + len(out), first + len(out)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
