@@ -77,7 +77,7 @@ class PieceEncoder(dict):
 def plain(piece: str) -> tuple[str, str]:
     """The piece to look up, and the mark that follows it; the same object if nothing is taken off."""
     mark = ""
-    if piece and piece[-1] in ".," and piece[:-1].isalpha():
+    if piece and piece[-1] in ".," and piece[:-1].isalpha() and piece[:-1].lower().isalpha():
         piece, mark = piece[:-1], piece[-1]
     return (piece[0].lower() + piece[1:] if piece and "A" <= piece[0] <= "Z" else piece), mark
 
