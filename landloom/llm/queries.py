@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, scoring, simhash, token_counts, token_files, url_rules
+from . import decontamination, exact_dedup, language, mixing, pseudonyms, scoring, simhash, token_counts, token_files, url_rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_token_counts": token_counts.query,
     "op3_simhash": simhash.query,
     "op4_language": language.query,
+    "op5_pseudonyms": pseudonyms.query,
+    "op6_decontamination": decontamination.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_url_rules": url_rules.query,
     "op9_scoring": scoring.query,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
 }

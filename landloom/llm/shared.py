@@ -29,7 +29,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder once and reads it back: lineage is cut and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "uncompressed").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
