@@ -30,7 +30,7 @@ _PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0
 _PLUS = r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}"
-CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){_EMAIL}|(?<![A-Za-z0-9+(])(?:{_IBAN}|{_DATE}|{_IP}|{_SSN}|{_PHONE}|{_PLUS}|{_CARD})(?![A-Za-z0-9])"
+CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){_EMAIL}|(?<![A-Za-z0-9+(])(?:{_IBAN}|{_DATE}|{_IP}|{_SSN}|{_PHONE}|{_PLUS}|{_CARD})(?![A-Za-z0-9]|-[0-9])"
 
 
 def _full(pattern: str) -> str:
