@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import geo_queries, text_queries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "point_query"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
