@@ -35,7 +35,7 @@ def next_check_at(now: Column, interval_s: Column, failed: Column, failures: Col
     base = F.coalesce(interval_s, F.lit(86400)).cast("double")
     wait = F.when(failed, F.least(base * F.pow(F.lit(multiplier), F.least(failures, F.lit(6))), F.lit(float(cap_s)))).otherwise(base)
     jitter = F.pmod(F.conv(F.substring(F.md5(source_id.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(jitter_s + 1))
-    return F.timestamp_seconds(F.unix_micros(now) / 1e6 + wait + jitter)
+    return F.timestamp_seconds(F.unix_micros(now.cast("timestamp")) / 1e6 + wait + jitter)
 
 
 def freshness(last_checked: Column, last_success: Column, next_check: Column, now: Column) -> Column:

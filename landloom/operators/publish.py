@@ -77,8 +77,8 @@ def snapshot(versions: DataFrame, datasets: DataFrame, publications: DataFrame)
 
 def contract_violations(rows: DataFrame, required: list[str], id_col: str, distance: str | None = None) -> DataFrame:
     """id, violation: required text that is missing, a distance that isn't finite or is negative, an id met twice."""
-    many = F.count(F.lit(1)).over(Window.partitionBy(id_col)) > 1
-    tests = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", f"missing:{c}") for c in required] + [F.when(many, "duplicate_id")]
+    rows = rows.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(id_col)) > 1)
+    tests = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", f"missing:{c}") for c in required] + [F.when(F.col("_many"), "duplicate_id")]
     if distance:
         d = F.col(distance)
         tests.append(F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")) | (d < 0), "bad_distance"))

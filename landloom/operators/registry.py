@@ -40,9 +40,3 @@ def match_units(rows: DataFrame, units: DataFrame, row_id: str) -> DataFrame:
     w = Window.partitionBy(row_id).orderBy("p", F.col("valid_to").desc_nulls_first(), "unit_id")
     return by_code.union(by_name).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(row_id, "unit_id")
 
-
-def unit_parents(units: DataFrame, order: str = "ord") -> DataFrame:
-    """A district's parent is the province before it in the input, in one ordered pass over provinces' places: rows are
-    matched by the province's number, which rises with the input."""
-    w = Window.partitionBy("country").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return units.withColumn("parent", F.when(F.col("level") == "district", F.last(F.when(F.col("level") == "province", F.col("code")), ignorenulls=True).over(w)))
