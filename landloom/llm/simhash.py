@@ -14,6 +14,7 @@ rows each get their row; an empty table gives an empty table; columns other than
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,17 +82,17 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
-#: Near-duplicates by shingle similarity: 256 bits, of which TABLES segments of SEGMENT_BITS are indexed. A pair of
-#: similarity 0.8 differs in 15 % of the bits; both sides' balls make segments meet that differ in two bits, so a table
-#: finds it with probability 0.28 and ten tables with 0.96 (0.99 at 0.85). FAR_BITS is four deviations above its mean.
+#: Near-duplicates by shingle similarity: 256 bits, of which each table indexes a segment of bits drawn once. A pair of
+#: similarity 0.8 differs in FAR_SHARE of the bits; both sides' balls of radius 1 meet where a segment differs in two
+#: bits at most. Segments grow with the logarithm of the number of texts (SPARE_BITS above it), so chance meetings of a
+#: text stay constant, and there are as many tables as find such a pair with probability FOUND.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-SEGMENT_BITS = 24
-TABLES = 10
+FAR_SHARE = 0.15
+SPARE_BITS = 10
+FOUND = 0.93
+#: Four deviations above the mean distance of such pairs.
 FAR_BITS = 62
-#: A row is compared with so many rows before it under a key, and with the key's first row. Rows of a large group meet
-#: under up to 250 keys, each with other neighbours.
-BEFORE = 4
 _SPREAD = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -104,12 +105,11 @@ def _spread(h: np.ndarray) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, digest of the words, f (four parts of the 256-bit fingerprint of the distinct shingles), segments."""
+    """id, digest of the words, f (four parts of the 256-bit fingerprint of the distinct shingles)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(SEGMENT_BITS)
         for b in batches:
-            digests, prints, parts = [], [], []
+            digests, prints = [], []
             for text in b.column(1):
                 raw = text.as_py()
                 digests.append(xxhash.xxh3_128_digest(b" ".join(raw.lower().split())))
@@ -117,13 +117,38 @@ def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
                 bits = np.zeros(256, np.int64)
                 for at in range(0, len(h), 1 << 14):
                     bits += np.unpackbits(_spread(h[at : at + (1 << 14)]).view(np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
-                set_bits = 2 * bits > len(h)
-                prints.append(np.packbits(set_bits).view("<i8").tolist())
-                parts.append((set_bits[: TABLES * SEGMENT_BITS].reshape(TABLES, SEGMENT_BITS) @ weights).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], names=["id", "digest", "f", "segments"])
+                prints.append(np.packbits(2 * bits > len(h)).view("<i8").tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=["id", "digest", "f"])
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).mapInArrow(each, "id bigint, digest binary, f array<bigint>, segments array<int>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).mapInArrow(each, "id bigint, digest binary, f array<bigint>")
+
+
+def table_plan(n: int) -> tuple[int, int]:
+    """Bits of a segment and number of tables for n texts."""
+    bits = min(48, max(20, math.ceil(math.log2(max(2, n))) + SPARE_BITS))
+    hit = sum(math.comb(bits, i) * FAR_SHARE**i * (1 - FAR_SHARE) ** (bits - i) for i in range(3))
+    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - hit))
+
+
+def table_keys(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """key, node: for each table, the node's segment and the members of its ball of radius 1."""
+    rng = np.random.default_rng(5)
+    drawn = np.stack([rng.permutation(256)[:bits] for _ in range(tables)])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+        flips = np.concatenate([[0], weights])
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.slice(at, 1000)
+                f = np.ascontiguousarray(part.column(1).flatten().to_numpy(), "<i8").reshape(-1, 4)
+                set_bits = np.unpackbits(f.view(np.uint8), axis=1).astype(np.int64)
+                segments = np.stack([set_bits[:, d] @ weights + (t << bits) for t, d in enumerate(drawn)], axis=1)
+                keys = (segments[:, :, None] ^ flips).reshape(len(f), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
+
+    return nodes.select("node", "f").mapInArrow(each, "key bigint, node bigint")
 
 
 def similarity(a: bytes, b: bytes, shingle: int) -> float:
@@ -133,15 +158,18 @@ def similarity(a: bytes, b: bytes, shingle: int) -> float:
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
-    """id, component_id of each row with an id: components of texts whose shingles have that similarity or more."""
+    """id, component_id of each row with an id: components of texts whose shingles have that similarity or more.
+
+    Under a key, each text meets the one before it and the first one; texts of a large group meet others under each of
+    their keys, so the group stays connected without making all its pairs.
+    """
     rows = docs.where(F.col(id_col).isNotNull())
     prints = materialise(wide_prints(rows, id_col, text_col, shingle), "wide-prints")
-    nodes = materialise(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("f").alias("f"), F.first("segments").alias("segments")), "wide-nodes")
-    balls = F.expr(f"flatten(transform(segments, (v, s) -> transform(sequence(-1, {SEGMENT_BITS - 1}), i -> (if(i < 0, v, v ^ shiftleft(1, i))) + s * {1 << SEGMENT_BITS})))")
+    nodes = materialise(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("f").alias("f")), "wide-nodes")
+    keys = table_keys(nodes, *table_plan(nodes.count()))
     under = Window.partitionBy("key").orderBy("node")
-    keys = nodes.select("node", F.explode(balls).alias("key"))
-    near = keys.select("node", F.array(*[F.lag("node", k).over(under) for k in range(1, BEFORE + 1)], F.first("node").over(under)).alias("met")).where("met[0] IS NOT NULL")
-    pairs = near.select(F.explode(F.array_distinct("met")).alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    near = keys.select("node", F.lag("node").over(under).alias("before"), F.first("node").over(under).alias("head")).where("before IS NOT NULL")
+    pairs = near.select(F.explode(F.array("before", "head")).alias("a"), F.col("node").alias("b")).distinct()
     f = nodes.select("node", "f")
     both = pairs.join(f.withColumnsRenamed({"node": "a", "f": "fa"}), "a").join(f.withColumnsRenamed({"node": "b", "f": "fb"}), "b")
     far = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
