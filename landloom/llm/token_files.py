@@ -15,6 +15,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,11 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class PieceEncoder(dict):
-    """Ids (little-endian unsigned 32-bit) of texts. The vocabulary never joins letters across white space, so pieces
-    between spaces and line ends are encoded by the library once and looked up afterwards. Lower-casing an ASCII first
-    letter changes nothing (the vocabulary does it), and a full stop or comma after letters is a token run of its own:
-    such pieces are looked up without. Pieces not met since the table was last half full are forgotten."""
+    """Ids (little-endian unsigned 32-bit) of the pieces of texts. The vocabulary never joins letters across white space,
+    so pieces between spaces and line ends are encoded by the library once and looked up afterwards. Lower-casing an
+    ASCII first letter changes nothing (the vocabulary does it), and a full stop or comma after letters is a token run of
+    its own: such pieces are put together from the ids of the rest and of the mark. Latin words are encoded many in one
+    text. Pieces not met since the table was last half full are forgotten."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -50,32 +52,49 @@ class PieceEncoder(dict):
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
-    def __missing__(self, piece: str) -> bytes:
-        stem, mark = plain(piece)
-        if stem is not piece:
-            return self[stem] + self[mark] if mark else self[stem]
-        ids = self.old.pop(piece, None)
-        if ids is None:
-            ids = packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes those of the pieces that aren't known, in one call."""
-        new = [p for p in {plain(p)[0] for p in pieces if p not in self} if p not in self and p not in self.old and len(p) <= 64]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+    def encode_new(self, pieces: list[str]) -> None:
+        latin = [p for p in pieces if p.isalpha() and p.lower().isalpha() and max(p) < "\u0250"]
+        if latin:
+            e = self.tokenizer.encode(" ".join(latin), add_special_tokens=False)
+            words = np.array(e.word_ids, np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(words)]
+            ids = packed(e.ids)
+            if len(cuts) == len(latin) + 1:
+                self.update((p, ids[4 * a : 4 * b]) for p, a, b in zip(latin, cuts[:-1], cuts[1:], strict=True))
+        rest = [p for p in pieces if p not in self]
+        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self[p] = packed(e.ids)
+
+    def learn(self, missing: set[str], pieces: set[str]) -> None:
+        """Makes the missing pieces known; of a full table, only these pieces stay at hand."""
         if len(self) > KEPT:
             self.old = dict(self)
             self.clear()
-
-    def encode(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, pieces))
+        known = [p for p in pieces if p in self.old and p not in self]
+        self.update(zip(known, map(self.old.pop, known), strict=True))
+        new = {p: plain(p) for p in pieces if p not in self}
+        stems = {x for stem, mark in new.values() for x in ((stem, mark) if mark else (stem,))}
+        self.encode_new([p for p in stems if p not in self])
+        for p, (stem, mark) in new.items():
+            if p not in self:
+                self[p] = self[stem] + self[mark] if mark else self[stem]
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts cut into pieces."""
+        missing: set[str] = set()
+        for t in texts:
+            missing.update(filterfalse(self.__contains__, t))
+        if missing:
+            self.learn(missing, set().union(*texts) if len(self) > KEPT else missing)
+        out = [b"".join(map(self.__getitem__, t)) for t in texts]
+        for p in missing:
+            if len(p) > 64:
+                del self[p]
+        return out
 
 
 def plain(piece: str) -> tuple[str, str]:
-    """The piece to look up, and the mark that follows it; the same object if nothing is taken off."""
+    """The piece to look up, and the mark that follows it."""
     mark = ""
     if piece and piece[-1] in ".," and piece[:-1].isalpha() and piece[:-1].lower().isalpha():
         piece, mark = piece[:-1], piece[-1]
@@ -109,8 +128,7 @@ def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text
                 while first + len(pieces) < len(texts) and held < BATCH_PIECES:
                     pieces.append(texts[first + len(pieces)].as_py().replace("\n", " ").split(" "))
                     held += len(pieces[-1])
-                encoder.learn(set().union(*pieces))
-                out = [encoder.encode(p) + end for p in pieces]
+                out = [ids + end for ids in encoder.encode(pieces)]
                 sizes = np.array([len(x) // 4 for x in out], np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), "<i4")))
                 yield pa.RecordBatch.from_arrays([keys.slice(first, len(out)), pa.array(np.arange(at, at + len(out))), pa.array(sizes), ids], names=["doc_id", "ord", "n_tokens", "ids"])
