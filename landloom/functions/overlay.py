@@ -44,7 +44,7 @@ def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         t = (w[..., 0] * f[..., 1] - w[..., 1] * f[..., 0]) / det
         u = (w[..., 0] * d[..., 1] - w[..., 1] * d[..., 0]) / det
     ok = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return (a[:, None, 1] + t * d[..., 1])[ok]
+    return (a[:, None, 1] + np.where(ok, t, 0) * d[..., 1])[ok]
 
 
 def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
