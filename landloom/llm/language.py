@@ -12,6 +12,7 @@ so repeated rows, null ids (they are held in) and extra columns change nothing;
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -46,11 +47,34 @@ def word_of(token: str) -> str:
     return found.group().lower() if found else ""
 
 
-def features(word: str) -> list[int]:
-    marked = f"^{word}$"
-    found = [f"w{word}", *(f"p{word[:n]}" for n in (1, 2, 3)), *(f"s{word[-n:]}" for n in (1, 2, 3))]
-    found += [marked[i : i + n] for n in (2, 3) for i in range(min(len(marked), 40) - n + 1)]
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in found]
+def _bucket(parts: list[np.ndarray], salt: int) -> np.ndarray:
+    """Hash of the characters at the same place of each part, by salt."""
+    h = np.full(parts[0].shape, salt, np.uint64)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' features, word after word, and how many each has: the word itself, its first and last one to
+    three letters, and the pairs and triples of its letters with its ends marked."""
+    marked = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    first, end = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    pairs, triples = np.ones(len(marked), bool), np.ones(len(marked), bool)
+    pairs[end - 1] = triples[end - 1] = triples[end - 2] = False
+    at2, at3 = np.flatnonzero(pairs), np.flatnonzero(triples)
+    own = np.repeat(np.arange(len(words)), sizes)
+    found, of = [_bucket([marked[at2], marked[at2 + 1]], 2), _bucket([marked[at3], marked[at3 + 1], marked[at3 + 2]], 3)], [own[at2], own[at3]]
+    for n in (1, 2, 3):
+        inside = lambda at: np.where((at > first) & (at < end - 1), marked[np.clip(at, 0, len(marked) - 1)], 0)
+        found += [_bucket([inside(first + 1 + k) for k in range(n)], 10 + n), _bucket([inside(end - 2 - k) for k in range(n)], 20 + n)]
+        of += [np.arange(len(words))] * 2
+    found.append(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64))
+    of.append(np.arange(len(words)))
+    flat, of = np.concatenate(found), np.concatenate(of)
+    return flat[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 class Field:
@@ -62,15 +86,24 @@ class Field:
         self.weights = np.zeros((BUCKETS + k, k))
         self.moves = np.eye(k)
 
-    def rows(self, word: str) -> list[int]:
-        own = self.lexicon.get(word)
-        return features(word) if own is None else [*features(word), BUCKETS + own]
-
-    def emissions(self, rows: list[list[int]]) -> np.ndarray:
-        if not rows:
-            return np.zeros((0, len(self.labels)))
-        flat = np.fromiter((x for r in rows for x in r), np.int64)
-        return np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]), axis=0)
+    def rows(self, words: list[str]) -> list[np.ndarray]:
+        """Feature numbers of each word, the lexicon's among them."""
+        if not words:
+            return []
+        flat, sizes = features(words)
+        own = [self.lexicon.get(w) for w in words]
+        return [r if k is None else np.append(r, BUCKETS + k) for r, k in zip(np.split(flat, np.cumsum(sizes)[:-1]), own, strict=True)]
+
+    def emissions(self, rows: list[np.ndarray]) -> np.ndarray:
+        return np.add.reduceat(self.weights[np.concatenate(rows)], np.cumsum([0, *map(len, rows)])[:-1], axis=0)
+
+    def word_emissions(self, words: list[str]) -> np.ndarray:
+        """Emissions of each word, without a list for each."""
+        flat, sizes = features(words)
+        out = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+        own = np.array([self.lexicon.get(w, -1) for w in words])
+        out[own >= 0] += self.weights[BUCKETS + own[own >= 0]]
+        return out
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Forward-backward over sequences laid end to end, longest first; all sequences move one word at a time."""
@@ -122,7 +155,7 @@ def train(windows: list[tuple[str, list[str]]]) -> Field | None:
     labels = sorted(by_label)
     lexicon = {w: labels.index(c.most_common(1)[0][0]) for w, c in uses.items() if c.total() > 1 and c.most_common(1)[0][1] >= LEXICON_SHARE * c.total()}
     field = Field(labels, lexicon)
-    rows = [(labels.index(k), [field.rows(w) for w in words]) for k, v in by_label.items() for words in v]
+    rows = [(labels.index(k), field.rows(words)) for k, v in by_label.items() for words in v]
     spread, spread_moves = np.full(field.weights.shape, 1e-8), np.full(field.moves.shape, 1e-8)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(rows))
@@ -139,7 +172,7 @@ def train(windows: list[tuple[str, list[str]]]) -> Field | None:
             posterior = field.marginals(scores, np.full(n, length))
             error = -posterior
             error[np.arange(len(truth)), truth] += 1
-            flat, sizes = np.fromiter((x for r in words for x in r), np.int64), [len(r) for r in words]
+            flat, sizes = np.concatenate(words), [len(r) for r in words]
             grad = np.zeros_like(field.weights)
             np.add.at(grad, flat, np.repeat(error, sizes, axis=0))
             seen = truth.reshape(n, length)
@@ -165,14 +198,12 @@ class Labeller(dict):
             self.clear()
             new = list(tokens)
         words = [word_of(t) for t in new]
-        real = [i for i, w in enumerate(words) if w]
-        first = len(self)
-        self.table[first : first + len(new)] = 0
-        for at in range(0, len(real), 20_000):
-            part = real[at : at + 20_000]
-            self.table[[first + i for i in part]] = self.field.emissions([self.field.rows(words[i]) for i in part])
-        for i, (t, w) in enumerate(zip(new, words, strict=True)):
-            self[t] = first + i if w else -1 - first - i
+        real = sorted({w for w in words if w})
+        first = len(self)  # a token has a row of its own
+        place = {w: i for i, w in enumerate(real)}
+        found = np.concatenate([self.field.word_emissions(real[at : at + 50_000]) for at in range(0, len(real), 50_000)]) if real else np.zeros((1, len(self.field.labels)))
+        self.table[first : first + len(new)] = found[[place.get(w, 0) for w in words]]
+        self.update((t, first + i if w else -1 - first - i) for i, (t, w) in enumerate(zip(new, words, strict=True)))
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
@@ -214,6 +245,17 @@ class Labeller(dict):
         return self.table[ids[ids >= 0]]
 
 
+_labellers: dict[str, Labeller] = {}
+
+
+def labeller_for(run: str, field: Field) -> Labeller:
+    """A worker's labeller of one run; it outlives a task, not the next run."""
+    if run not in _labellers:
+        _labellers.clear()
+        _labellers[run] = Labeller(field)
+    return _labellers[run]
+
+
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE_DOCS) -> list[tuple[str, list[str]]]:
     """At most `sample` windows for each label, of the documents whose keyed hash is smallest; windows start anywhere."""
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
@@ -232,9 +274,10 @@ def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, held_out, lang_pred, score of each row."""
     field = train(training_windows(docs, id_col, text_col, lang_col, sample))
     shared = docs.sparkSession.sparkContext.broadcast(field)  # its size is fixed by BUCKETS, the labels and the sample
+    run = uuid.uuid4().hex
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value) if shared.value is not None else None
+        labeller = labeller_for(run, shared.value) if shared.value is not None else None
         for b in batches:
             texts = b.column(1).to_pylist()
             found = labeller.label(texts) if labeller is not None else [("und", 0.0)] * len(texts)
