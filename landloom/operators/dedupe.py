@@ -25,3 +25,11 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in encounter order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def drop_copies(datasets: DataFrame, versions: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
+    """(kept datasets, versions left empty by the copies that went): a version that had none to begin with stays."""
+    marked = semantic_duplicates(datasets, **columns)
+    kept = marked.where("NOT duplicate").drop("duplicate")
+    emptied = marked.groupBy("version_id").agg(F.bool_and("duplicate").alias("gone")).where("gone").select("version_id")
+    return kept, versions.join(emptied, "version_id", "left_semi")

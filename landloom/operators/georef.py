@@ -106,3 +106,46 @@ def review(datasets: DataFrame, jobs: DataFrame) -> DataFrame:
     """A computed job's decision becomes its dataset's review status."""
     d = jobs.where("status = 'computed'").select("dataset_id", "decision")
     return datasets.join(d, "dataset_id", "left").select("dataset_id", F.coalesce("decision", "review_status").alias("review_status"))
+
+
+def apply_other(gcps: DataFrame, points: DataFrame, kind: str) -> DataFrame:
+    """points(job_id, point_id, px, py) -> x, y by the job's transform, fitted from its control points; null where the job
+    has too few, or at a projective horizon. A job's points go to their control points by a co-group."""
+
+    def predict(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"job_id": p["job_id"], "point_id": p["point_id"], "x": np.nan, "y": np.nan})
+        g = g[g["enabled"]].sort_values("gcp_id") if len(g) else g
+        if len(g) < LEAST[kind] or not len(p):
+            return out
+        x0, y0 = g["px"].min(), g["py"].min()
+        sx, sy = max(float(np.ptp(g["px"])), 1e-12), max(float(np.ptp(g["py"])), 1e-12)
+        scaled = lambda d: ((d["px"].to_numpy(float) - x0) / sx, (d["py"].to_numpy(float) - y0) / sy)
+        (u, v), (s, t), m = scaled(g), scaled(p), g[["mx", "my"]].to_numpy(float)
+        if kind == "projective":
+            zero, one = np.zeros_like(u), np.ones_like(u)
+            rows = np.concatenate([np.stack([u, v, one, zero, zero, zero, -u * m[:, 0], -v * m[:, 0]], 1), np.stack([zero, zero, zero, u, v, one, -u * m[:, 1], -v * m[:, 1]], 1)])
+            c = np.linalg.lstsq(rows, m.T.ravel(), rcond=None)[0]
+            w = c[6] * s + c[7] * t + 1
+            w = np.where(np.abs(w) > 1e-12, w, np.nan)
+            got = np.stack([(c[0] * s + c[1] * t + c[2]) / w, (c[3] * s + c[4] * t + c[5]) / w], 1)
+        elif kind == "tps":
+            bend = lambda d: np.where(d > 0, d**2 * np.log(np.where(d > 0, d, 1)), 0)
+            flat = np.stack([np.ones_like(u), u, v], 1)
+            system = np.block([[bend(np.hypot(u[:, None] - u, v[:, None] - v)), flat], [flat.T, np.zeros((3, 3))]])
+            c = np.linalg.lstsq(system, np.vstack([m, np.zeros((3, 2))]), rcond=None)[0]
+            got = bend(np.hypot(s[:, None] - u, t[:, None] - v)) @ c[:-3] + np.stack([np.ones_like(s), s, t], 1) @ c[-3:]
+        else:
+            got = _basis(kind, s, t) @ np.linalg.lstsq(_basis(kind, u, v), m, rcond=None)[0]
+        out["x"], out["y"] = got[:, 0], got[:, 1]
+        return out
+
+    schema = f"job_id {dict(points.dtypes)['job_id']}, point_id {dict(points.dtypes)['point_id']}, x double, y double"
+    out = gcps.groupBy("job_id").cogroup(points.groupBy("job_id")).applyInPandas(predict, schema)
+    return out.select("job_id", "point_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "xy"])
+
+
+def job_status(jobs: DataFrame, computed: DataFrame) -> DataFrame:
+    """jobs(job_id, status), computed(job_id, rmse) -> status: drafts with a fit are computed, approved jobs are locked."""
+    j = jobs.join(computed.select("job_id", F.lit(True).alias("_fit")), "job_id", "left")
+    locked = F.col("status") == "approved"
+    return j.select("job_id", F.when(locked, "approved").when(F.col("_fit"), "computed").otherwise(F.col("status")).alias("status"), locked.alias("locked"))

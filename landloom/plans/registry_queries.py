@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, geometry as G, properties
+from ..functions import dates
+from ..functions import geometry as G
 from ..operators import coverage, dedupe, diff, observe, publish, registry, versions
 from .base import query, relation, table
 
-_NOW = "TIMESTAMP '2024-03-01 00:00:00'"
 _STATES = """SELECT user_id AS source_id, max(ts) AS last_checked, max(CASE WHEN event_type <> 'purchase' THEN ts END) AS last_success, count(*) AS checks FROM events GROUP BY user_id"""
 
 
@@ -244,7 +243,6 @@ def publish_gate(spark, sf):
 
 @query("publish_version")
 def publish_version(spark, sf):
-    from ..operators.provenance import checkpointed  # noqa: F401
     import uuid
 
     f = relation(spark, sf, "features").withColumn("geom", G.box(*map(F.col, ("minx", "miny", "maxx", "maxy")))).select("id", "layer_id", "geom")
@@ -428,4 +426,3 @@ def descriptor_upsert(spark, sf):
     return registry.upsert(s.where("source_id % 4 <> 0"), new, "source_key").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ = (Window, properties, _NOW)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, properties, text, urls
@@ -214,4 +213,3 @@ def search_geocoded(spark, sf):
     return with_geocoder(asked, found, gazetteer).groupBy("q", "title").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ = Window

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "source_id bigint, resource_key string, event_id bigint, state string"
 STATE = "sha string, last_event bigint, seen boolean"
-_ = (StatefulProcessor, StatefulProcessorHandle)
+
 
 
 def classify_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
