@@ -12,7 +12,6 @@ so repeated rows, null ids (they are held in) and extra columns change nothing;
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ RATE = 0.3
 #: A word is in a label's lexicon when the label has this share of its sampled uses.
 LEXICON_SHARE = 0.8
 #: Words whose emissions one Python worker keeps; emptied when full.
-KEPT = 300_000
+KEPT = 200_000
 #: Words labelled at once.
 STEP_WORDS = 400_000
 MIN_SCORE = 0.4
@@ -245,17 +244,6 @@ class Labeller(dict):
         return self.table[ids[ids >= 0]]
 
 
-_labellers: dict[str, Labeller] = {}
-
-
-def labeller_for(run: str, field: Field) -> Labeller:
-    """A worker's labeller of one run; it outlives a task, not the next run."""
-    if run not in _labellers:
-        _labellers.clear()
-        _labellers[run] = Labeller(field)
-    return _labellers[run]
-
-
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE_DOCS) -> list[tuple[str, list[str]]]:
     """At most `sample` windows for each label, of the documents whose keyed hash is smallest; windows start anywhere."""
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
@@ -274,10 +262,9 @@ def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, held_out, lang_pred, score of each row."""
     field = train(training_windows(docs, id_col, text_col, lang_col, sample))
     shared = docs.sparkSession.sparkContext.broadcast(field)  # its size is fixed by BUCKETS, the labels and the sample
-    run = uuid.uuid4().hex
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = labeller_for(run, shared.value) if shared.value is not None else None
+        labeller = Labeller(shared.value) if shared.value is not None else None
         for b in batches:
             texts = b.column(1).to_pylist()
             found = labeller.label(texts) if labeller is not None else [("und", 0.0)] * len(texts)

@@ -26,7 +26,7 @@ from .shared import new_path
 
 END_ID = 1
 #: Encoded pieces that one Python worker keeps, twice.
-KEPT = 500_000
+KEPT = 200_000
 #: Pieces encoded and handed to the writer at once, about.
 BATCH_PIECES = 150_000
 STORED = "doc_id bigint, ord bigint, n_tokens int, ids array<int>"
