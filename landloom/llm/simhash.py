@@ -82,112 +82,231 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
-#: Near-duplicates by shingle similarity: 256 bits, of which each table indexes a segment of bits drawn once. A pair of
-#: similarity 0.8 differs in FAR_SHARE of the bits; both sides' balls of radius 1 meet where a segment differs in two
-#: bits at most. Segments grow with the logarithm of the number of texts (SPARE_BITS above it), so chance meetings of a
-#: text stay constant, and there are as many tables as find such a pair with probability FOUND.
+#: Near-duplicates by shingle similarity, found exactly. Shingles are put in one order, rarest first; two texts of that
+#: similarity share one of their first n - ceil(least * n) + 1 shingles, whatever their length or the number of texts.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-FAR_SHARE = 0.15
-SPARE_BITS = 10
-FOUND = 0.93
-#: Four deviations above the mean distance of such pairs.
-FAR_BITS = 62
-_SPREAD = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Longs of a text's parity map: each shared shingle flips one bit, so two maps differ in no more bits than shingles.
+MAP_LONGS = 8
+#: Texts of a crowded key that meet in one block of pairs.
+BLOCK = 2000
+#: Bits of the map of texts worth a whole look, of fixed size: where texts outgrow it, it drops fewer of them, none wrongly.
+WORTH_BITS, PAGE_BITS = 1 << 26, 1 << 15
+_EPS = 1e-9
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
-    """Four hashes from each: the hash itself and three mixtures of it."""
-    x = h[:, None] ^ _SPREAD
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _digest(words: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(words)[:8], "little", signed=True)
 
 
-def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, digest of the words, f (four parts of the 256-bit fingerprint of the distinct shingles)."""
+def _nodes(rows: DataFrame) -> DataFrame:
+    """id, node (digest of the words) of each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, prints = [], []
-            for text in b.column(1):
-                raw = text.as_py()
-                digests.append(xxhash.xxh3_128_digest(b" ".join(raw.lower().split())))
-                h = np.unique(shingle_hashes(raw, shingle, SEED))
-                bits = np.zeros(256, np.int64)
-                for at in range(0, len(h), 1 << 14):
-                    bits += np.unpackbits(_spread(h[at : at + (1 << 14)]).view(np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
-                prints.append(np.packbits(2 * bits > len(h)).view("<i8").tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=["id", "digest", "f"])
+            found = [_digest(b" ".join(x.as_py().lower().split())) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["id", "node"])
 
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).mapInArrow(each, "id bigint, digest binary, f array<bigint>")
+    return rows.mapInArrow(each, "id bigint, node bigint")
 
 
-def table_plan(n: int) -> tuple[int, int]:
-    """Bits of a segment and number of tables for n texts."""
-    bits = min(48, max(20, math.ceil(math.log2(max(2, n))) + SPARE_BITS))
-    hit = sum(math.comb(bits, i) * FAR_SHARE**i * (1 - FAR_SHARE) ** (bits - i) for i in range(3))
-    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - hit))
+def _needed(n: int, least: float) -> int:
+    """Shingles a text of n must share with a partner."""
+    return math.ceil(least * n - _EPS)
 
 
-def table_keys(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """key, node: for each table, the node's segment and the members of its ball of radius 1."""
-    rng = np.random.default_rng(5)
-    drawn = np.stack([rng.permutation(256)[:bits] for _ in range(tables)])
+def _shingle_rows(rows: DataFrame, shingle: int, taken=None, worth=None) -> DataFrame:
+    """key, node, n (distinct shingles of the text) of each of the first taken(n) shingles in the order of their hashes, of
+    the texts in the map `worth` if given; copies in one task give theirs once."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            nodes, sizes, keys, held = [], [], [], 0
+            for text in b.column(1):
+                raw = text.as_py()
+                node = _digest(b" ".join(raw.lower().split()))
+                slot = node % WORTH_BITS
+                if node in seen or worth is not None and not worth.value[slot >> 3] >> (slot & 7) & 1:
+                    continue
+                seen.add(node)
+                own = np.unique(shingle_hashes(raw, shingle, SEED)).view(np.int64)
+                sizes.append(len(own))
+                keys.append(own if taken is None else own[: taken(len(own))])
+                nodes.append(node)
+                held += len(keys[-1])
+                if held > 200_000:
+                    yield _exploded(nodes, sizes, keys)
+                    nodes, sizes, keys, held = [], [], [], 0
+            yield _exploded(nodes, sizes, keys)
+
+    return rows.mapInArrow(each, "key bigint, node bigint, n int")
+
+
+def _exploded(nodes: list[int], sizes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    each = np.array([len(k) for k in keys], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *keys])
+    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["key", "node", "n"])
+
+
+def _shared(shingles: DataFrame) -> DataFrame:
+    """The shingles that two texts or more have, with df, the number of their rows."""
+    under = Window.partitionBy("key")
+    counted = shingles.withColumn("df", F.count(F.lit(1)).over(under)).withColumn("least", F.min("node").over(under)).withColumn("most", F.max("node").over(under))
+    return counted.where("least <> most").drop("least", "most")
+
+
+def _worth(rows: DataFrame, shingle: int, least: float) -> np.ndarray:
+    """A map of the texts that share one of their first shingles in the order of hashes: no other has a partner."""
+    first = _shingle_rows(rows, shingle, lambda n: n - _needed(n, least) + 1 if n else 0)
+    slots = _shared(first).select(F.pmod("node", F.lit(WORTH_BITS)).alias("slot")).distinct()
+    page, at = F.floor(F.col("slot") / PAGE_BITS).alias("page"), (F.col("slot") % PAGE_BITS).alias("at")
+    pages = slots.select(page, at).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect()  # WORTH_BITS at most
+    out = np.zeros(WORTH_BITS // 8, np.uint8)
+    for r in pages:
+        out[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _candidates(shared: DataFrame, least: float) -> DataFrame:
+    """node, n, own (shingles no other text has), map, keys (the shared ones, rarest first), first (how many of keys are
+    in the prefix) of each text that can have a partner: one most of whose shingles are shared."""
+
+    def text(node: int, n: int, keys: np.ndarray) -> tuple | None:
+        need = _needed(n, least)
+        if len(keys) < need:
+            return None
+        bits = np.bincount(keys.view(np.uint64) % np.uint64(64 * MAP_LONGS), minlength=64 * MAP_LONGS) % 2
+        return node, n, n - len(keys), np.packbits(bits.astype(np.uint8)).view("<i8").tolist(), keys.tolist(), len(keys) - need + 1
+
+    def batch(found: list) -> pa.RecordBatch:
+        good = [x for x in found if x is not None]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*good, strict=True)) or [()] * 6, _CANDIDATE.types, strict=True)], schema=_CANDIDATE)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-        flips = np.concatenate([[0], weights])
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            held = [np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, ("node", "n", "key"), strict=True)]
+            starts = np.flatnonzero(np.diff(held[0], prepend=held[0][:1] ^ 1))
+            yield batch([text(int(held[0][i]), int(held[1][i]), held[2][i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)])
+            if len(starts):
+                held = [h[starts[-1] :] for h in held]
+        if len(held[0]):
+            yield batch([text(int(held[0][0]), int(held[1][0]), held[2])])
+
+    # a copy of a text in another task gives the same rows again
+    once = shared.repartition("node").sortWithinPartitions("node", "df", "key").select("node", "n", "key")
+    return once.mapInArrow(_without_repeats(each), "node bigint, n int, own int, map array<bigint>, keys array<bigint>, first int")
+
+
+def _without_repeats(each):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
-                f = np.ascontiguousarray(part.column(1).flatten().to_numpy(), "<i8").reshape(-1, 4)
-                set_bits = np.unpackbits(f.view(np.uint8), axis=1).astype(np.int64)
-                segments = np.stack([set_bits[:, d] @ weights + (t << bits) for t, d in enumerate(drawn)], axis=1)
-                keys = (segments[:, :, None] ^ flips).reshape(len(f), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
+            node, key = (b.column(c).to_numpy() for c in ("node", "key"))
+            if not len(node):
+                continue
+            new = np.ones(len(node), bool)
+            new[1:] = (node[1:] != node[:-1]) | (key[1:] != key[:-1])
+            new[0] = last != (node[0], key[0])
+            last = node[-1], key[-1]
+            yield b.filter(pa.array(new))
 
-    return nodes.select("node", "f").mapInArrow(each, "key bigint, node bigint")
+    return lambda batches: each(clean(batches))
 
 
-def similarity(a: bytes, b: bytes, shingle: int) -> float:
-    """Jaccard similarity of the distinct shingles."""
-    x, y = set(shingle_hashes(a, shingle, SEED).tolist()), set(shingle_hashes(b, shingle, SEED).tolist())
-    return len(x & y) / len(x | y) if x or y else 1.0
+_CANDIDATE = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("map", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("first", pa.int32())])
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
-    """id, component_id of each row with an id: components of texts whose shingles have that similarity or more.
+def _possible(a, b, least: float):
+    """Whether two texts under a key may be similar: by their sizes, what can follow the key, and their maps; no pair that is similar fails."""
+    total = a["n"] + b["n"]
+    sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - _EPS
+    follow = F.least(a["n"] - a["i"], b["n"] - b["i"]) >= total * (least / (1 + least)) - _EPS
+    differ = F.aggregate(F.zip_with(a["map"], b["map"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return sizes & follow & (a["own"] + b["own"] + differ <= total * ((1 - least) / (1 + least)) + _EPS)
 
-    Under a key, each text meets the one before it and the first one; texts of a large group meet others under each of
-    their keys, so the group stays connected without making all its pairs.
-    """
-    rows = docs.where(F.col(id_col).isNotNull())
-    prints = materialise(wide_prints(rows, id_col, text_col, shingle), "wide-prints")
-    nodes = materialise(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("f").alias("f")), "wide-nodes")
-    keys = table_keys(nodes, *table_plan(nodes.count()))
-    under = Window.partitionBy("key").orderBy("node")
-    near = keys.select("node", F.lag("node").over(under).alias("before"), F.first("node").over(under).alias("head")).where("before IS NOT NULL")
-    pairs = near.select(F.explode(F.array("before", "head")).alias("a"), F.col("node").alias("b")).distinct()
-    f = nodes.select("node", "f")
-    both = pairs.join(f.withColumnsRenamed({"node": "a", "f": "fa"}), "a").join(f.withColumnsRenamed({"node": "b", "f": "fb"}), "b")
-    far = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    close = materialise(both.where(far <= FAR_BITS).select("a", "b"), "close-pairs")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least `least`; shingles that no other text has can't be common."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            good = []
+            sides = [(b.column(f"k{s}"), b.column(f"n{s}").to_pylist()) for s in "ab"]
+            for i in range(len(b)):
+                x, y = (k[i].values.to_numpy() for k, _ in sides)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both / (sides[0][1][i] + sides[1][1][i] - both) >= least)
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = rows.select(F.col(id_col).cast("bigint").alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    used = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts.join(used, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))  # one text for each node
-    compared = close.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-    edges = compared.select("a", "b", "ta", "tb").mapInArrow(verified, "a bigint, b bigint")
-    rooted = components(edges)
-    named = nodes.select("digest", "node").join(rooted.withColumnsRenamed({"node": "of"}), F.col("node") == F.col("of"), "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("id", "digest").join(named, "digest").select("id", "component_id")
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("keys").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
+    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint")
+
+
+def similar_edges(texts: DataFrame, least: float) -> DataFrame:
+    """texts as _candidates gives them -> a, b: verified links that join all texts of that similarity.
+
+    Each key's texts meet its first one; then, under keys whose texts are in several components, each the one before it;
+    then, under keys that still hold several components, all pairs of texts of different components, by blocks. So each
+    possible pair is compared or already linked, and a linked family, however large, makes a few links for each text.
+    """
+    spark = texts.sparkSession
+    listed = texts.select("node", "n", "own", F.posexplode(F.slice("keys", F.lit(1), F.col("first"))).alias("at", "key"))
+    keys = materialise(listed.select("key", "node", "n", (F.col("own") + F.col("at")).alias("i"), "own"), "near-keys")
+    maps = texts.select("node", "map")
+    edges = spark.createDataFrame([], "a bigint, b bigint")
+    whole = ["node", "n", "i", "own"]
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs(x, y) of texts under a key, without maps."""
+        once = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+        mapped = once.join(maps.withColumnsRenamed({"node": "a", "map": "ma"}), "a").join(maps.withColumnsRenamed({"node": "b", "map": "mb"}), "b")
+        x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "own")} | {"map": F.col(m)} for s, m in (("x", "ma"), ("y", "mb")))
+        return materialise(_verified(mapped.where(_possible(x, y, least)), texts, least), name)
+
+    def unsettled() -> DataFrame:
+        """Keys whose texts are in several components."""
+        roots = components(edges).withColumnsRenamed({"node": "of"})
+        rooted = keys.join(roots, F.col("node") == F.col("of"), "left").select("key", *whole, F.coalesce("root", "node").alias("root"))
+        under = Window.partitionBy("key")
+        return rooted.withColumn("least", F.min("root").over(under)).withColumn("most", F.max("root").over(under)).where("least <> most").drop("least", "most")
+
+    def follow_free(x: str, y: str) -> str:
+        """Sizes and what can follow the key; needs no map."""
+        return f"least({x}.n, {y}.n) >= greatest({x}.n, {y}.n) * {least} - {_EPS} AND least({x}.n - {x}.i, {y}.n - {y}.i) >= ({x}.n + {y}.n) * {least / (1 + least)} - {_EPS}"
+
+    under = Window.partitionBy("key").orderBy("n", "node")
+    met = keys.select(F.struct(*whole).alias("y"), F.first(F.struct(*whole)).over(under).alias("x")).where("x.node <> y.node")
+    edges = checked(met.where(follow_free("x", "y")), "near-links")
+    beside = materialise(unsettled(), "near-unsettled").select(F.struct(*whole, "root").alias("y"), F.lag(F.struct(*whole, "root")).over(under).alias("x"))
+    edges = edges.union(checked(beside.where("x.root <> y.root").where(follow_free("x", "y")), "near-links"))
+    last = materialise(unsettled(), "near-unsettled")
+    if last.isEmpty():
+        return edges
+    placed = last.withColumn("place", F.row_number().over(under)).withColumn("block", F.floor(F.col("place") / BLOCK).cast("int")).join(maps, "node")
+    placed = materialise(placed, "near-placed")
+    left = placed.select("key", "block", F.struct(*whole, "root", "map", "place").alias("x"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.struct(*whole, "root", "map", "place").alias("y"))
+    x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "own", "map")} for s in "xy")
+    other = (left["block"] == right["block"]) & (left["key"] == right["key"]) & (F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root"))
+    crossed = left.join(right, other & _possible(x, y, least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return edges.union(materialise(_verified(crossed, texts, least), "near-links"))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
+    """id, component_id of each row with an id: components of texts whose shingles have that similarity or more."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
+    prints = materialise(_nodes(rows), "near-prints")
+    worth = docs.sparkSession.sparkContext.broadcast(_worth(rows, shingle, least))  # of fixed size
+    texts = materialise(_candidates(_shared(_shingle_rows(rows, shingle, worth=worth)), least), "near-texts")
+    rooted = components(similar_edges(texts, least))
+    nodes = prints.groupBy("node").agg(F.min("id").alias("first_id"))
+    named = nodes.join(rooted.withColumnsRenamed({"node": "of"}), F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    named = materialise(named, "near-nodes")
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.join(named.select("node", "root"), "node").join(smallest, "root").select("id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

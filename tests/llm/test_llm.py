@@ -108,6 +108,50 @@ def test_similar_classes_by_similarity(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def brute_classes(texts, shingle=5, least=0.8):
+    """Component of each text by comparing all pairs."""
+    sets = [set(simhash.shingle_hashes((t or "").encode(), shingle, simhash.SEED).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_classes_under_templates(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(3):  # a template of half to four fifths of each text; a pair's ids are far apart
+        shared = [word() for _ in range(120)]
+        own = [[word() for _ in range(rng.randrange(30, 90))] for _ in range(25)]
+        first = [shared + o for o in own]
+        texts += first + [[*t[:-4], *(word() for _ in range(4))] for t in first]
+    for _ in range(6):  # families whose texts drift apart
+        t = [word() for _ in range(60)]
+        for _ in range(12):
+            t = list(t)
+            t[rng.randrange(60)] = word()
+            texts.append(t)
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    want = brute_classes(texts)
+    assert 60 < len(set(want)) < len(texts) - 60
+    for block in (simhash.BLOCK, 7):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.id: r.component_id for r in simhash.similar_classes(docs(spark, texts)).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i * 7 % 101, (i + 1) * 7 % 101) for i in range(90)], "a long, b long")
     assert {r.root for r in components.components(e).collect()} == {min(i * 7 % 101 for i in range(91))}
