@@ -152,6 +152,20 @@ def test_similar_classes_under_templates(spark, monkeypatch):
         assert got == dict(enumerate(want))
 
 
+def test_similar_classes_of_short_texts(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for size in range(8, 29):  # a word more at the end: similarity from exactly 0.8 up
+        for _ in range(6):
+            t = [word() for _ in range(size)]
+            texts += [t, [*t, word()]]
+    want = brute_classes([" ".join(t) for t in texts])
+    assert want == [i - i % 2 for i in range(len(texts))]
+    got = {r.id: r.component_id for r in simhash.similar_classes(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i * 7 % 101, (i + 1) * 7 % 101) for i in range(90)], "a long, b long")
     assert {r.root for r in components.components(e).collect()} == {min(i * 7 % 101 for i in range(91))}
