@@ -7,7 +7,7 @@ digits are made anew, dates stay dates of the 400-year cycle from 1800, and equa
 documents, whatever separators they are written with.
 
 Defined cases: a null text stays null and has no finds; candidates that don't validate stay as they are; overlapping
-candidates are taken from the left, the longer form first; very long texts are split at their finds only, never cut;
+candidates are taken from the left, the longest valid run of groups of a number or account first; very long texts are split at their finds only, never cut;
 repeated rows, null ids and extra columns change nothing; an empty table gives an empty table.
 """
 
@@ -140,6 +140,33 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def pieces_of(value: Column) -> Column:
+    """A candidate as an array of (value, kind) that joined give it again. Where a number or account is not valid whole,
+    its runs of groups are tried from the left, the longest first, and what follows a valid one is tried on."""
+    number = _full(f"{_CARD}|{_IBAN}")
+    none = F.lit(None).cast("string")
+    piece = lambda v, k: F.struct(v.alias("value"), k.alias("kind"))
+
+    def parts(v: Column) -> Column:
+        gap = lambda i: F.substring(v, i, F.lit(1)).isin(" ", "-")
+        places = F.sequence(F.lit(1), F.length(v))
+        starts = F.filter(places, lambda i: ~gap(i) & ((i == 1) | gap(i - 1)))
+        ends = F.reverse(F.filter(places, lambda i: ~gap(i) & ((i == F.length(v)) | gap(i + 1))))
+        runs = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e - s >= 11), lambda e: F.struct(s.alias("s"), e.alias("e"), F.substring(v, s, e - s + 1).alias("value")))))
+        tried = F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["value"].alias("value"), F.when(r["value"].rlike(number), kind_of(r["value"])).alias("kind")))
+        start = F.struct(F.lit(1).alias("next"), F.expr("CAST(array() AS array<struct<value:string,kind:string>>)").alias("out"))
+
+        def take(t: Column, r: Column) -> Column:
+            before = piece(F.substring(v, t["next"], r["s"] - t["next"]), none)
+            taken = F.struct((r["e"] + 1).alias("next"), F.concat(t["out"], F.array(before, piece(r["value"], r["kind"]))).alias("out"))
+            return F.when(r["s"] >= t["next"], taken).otherwise(t)
+
+        rest = lambda t: F.concat(t["out"], F.array(piece(F.substring(v, t["next"], F.length(v)), none)))
+        return F.aggregate(F.filter(tried, lambda r: r["kind"].isin("card", "iban")), start, take, rest)
+
+    return let(piece(value, kind_of(value)), lambda f: F.when(f["kind"].isNull() & f["value"].rlike(number), parts(f["value"])).otherwise(F.array(f)))
+
+
 def pseudonym(value: Column, kind: Column) -> Column:
     """The pseudonym of a value of that kind; the value itself where kind is null."""
     digits = _plain(value)
@@ -173,15 +200,16 @@ def _is(kind: str):
 def pseudonymise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with its text replaced, and n_private and one count for each kind added."""
     has = F.col(text_col).rlike("[0-9@]")
-    base = docs.withColumn("_found", F.when(has, F.transform(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))))
+    base = docs.withColumn("_parts", F.when(has, F.transform(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), pieces_of)))
+    base = base.withColumn("_found", F.flatten("_parts"))
     pieces = F.split(F.col(text_col), CANDIDATE, -1)
-    new = F.concat(F.transform(F.col("_found"), lambda f: pseudonym(f["value"], f["kind"])), F.array(F.lit("")))
+    new = F.concat(F.transform(F.col("_parts"), lambda c: F.array_join(F.transform(c, lambda f: pseudonym(f["value"], f["kind"])), "")), F.array(F.lit("")))
     any_valid = F.coalesce(F.exists("_found", lambda f: f["kind"].isNotNull()), F.lit(False))
     text = F.when(any_valid, F.array_join(F.zip_with(pieces, new, lambda p, v: F.concat(p, v)), "")).otherwise(F.col(text_col))
     count = lambda test: F.coalesce(F.size(F.filter("_found", test)), F.lit(0)).cast("bigint")
     counts = {"n_private": F.when(F.col("_found").isNull(), 0).otherwise(count(lambda f: f["kind"].isNotNull())).cast("bigint")}
     counts |= {f"n_{k}": F.when(F.col("_found").isNull(), 0).otherwise(count(_is(k))).cast("bigint") for k in KINDS}
-    return base.withColumns({text_col: text} | counts).drop("_found")
+    return base.withColumns({text_col: text} | counts).drop("_found", "_parts")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -276,6 +276,14 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(empty(spark)).count() == 0
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    texts = ["4111 1111 1111 1111", "card 4111 1111 1111 1111 12/26", "4111111111111111 123 ok", "12 4111 1111 1111 1111", "BE68 5390 0754 7034 AND", "BE68539007547034 FOR", "BE68 5390 0754 7034 4111 1111 1111 1111", "4111 1111 1111 1112 12"]
+    got = [(re.sub(r"[ /]", "", r.text), r.n_card, r.n_iban) for r in pseudonyms.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()]
+    card, iban = got[0][0], got[5][0].removesuffix("FOR")
+    assert card != "4111111111111111" and iban != "BE68539007547034"
+    assert got == [(card, 1, 0), (f"card{card}1226", 1, 0), (f"{card}123ok", 1, 0), (f"12{card}", 1, 0), (f"{iban}AND", 0, 1), (f"{iban}FOR", 0, 1), (iban + card, 1, 1), ("411111111111111212", 0, 0)]
+
+
 def test_permutation_is_one_to_one(spark):
     v = F.array((F.col("id") % 7).cast("int"), F.floor(F.col("id") / 7).cast("int"))
     out = spark.range(77).select(pseudonyms.permuted(v, F.array(F.lit(7), F.lit(11)), F.lit("t")).alias("p"))
