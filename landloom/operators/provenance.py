@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 50
-
+from ..storage import materialise
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share (spark.checkpoint.dir; a temp folder where unset)."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="landloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "uncompressed").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MAX_DEPTH = 50
 
 
 def events(rows: DataFrame, entity_type: Column, entity_id: Column, operation: str, input_refs: Column, output_sha256: Column, tool: str = "landloom", actor: str = "system", run_id: Column | None = None) -> DataFrame:
@@ -45,14 +32,14 @@ def walk(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> Data
     Breadth first: the frontier meets the edges by an equi-join, nodes seen before are anti-joined, and each level is
     written to the shared folder, so cycles end and lineage stays short.
     """
-    level = checkpointed(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "walk")
+    level = materialise(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "walk")
     seen = [level]
     for depth in range(1, max_depth + 1):
         met = level.join(edges, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node")).distinct()
         past = seen[0].select("root", "node")
         for s in seen[1:]:
             past = past.union(s.select("root", "node"))
-        level = checkpointed(met.join(past, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "walk")
+        level = materialise(met.join(past, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "walk")
         if level.isEmpty():
             break
         seen.append(level)

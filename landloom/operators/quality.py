@@ -168,12 +168,12 @@ def poly_gap(c: Context) -> DataFrame:
     spark = c.features.sparkSession
     simple = out.join(branch, "layer_id", "left_anti")
     # outlines are chains: every corner takes the smallest corner it reaches, doubling the reach in each round
-    from .provenance import checkpointed
+    from ..storage import materialise
 
-    step = checkpointed(simple.select("layer_id", "layer_name", "a", F.col("b").alias("next"), F.least("a", "b").alias("low"), ((F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")) / 2).alias("area")), "outline")
+    step = materialise(simple.select("layer_id", "layer_name", "a", F.col("b").alias("next"), F.least("a", "b").alias("low"), ((F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")) / 2).alias("area")), "outline")
     while True:
         n = step.select("layer_id", F.col("a").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"))
-        moved = checkpointed(step.join(n, ["layer_id", "next"]).select("layer_id", "layer_name", "a", F.col("far").alias("next"), F.least("low", "far_low").alias("low"), "area", (F.least("low", "far_low") != F.col("low")).alias("changed")), "outline")
+        moved = materialise(step.join(n, ["layer_id", "next"]).select("layer_id", "layer_name", "a", F.col("far").alias("next"), F.least("low", "far_low").alias("low"), "area", (F.least("low", "far_low") != F.col("low")).alias("changed")), "outline")
         step = moved.drop("changed")
         if moved.where("changed").isEmpty():
             break

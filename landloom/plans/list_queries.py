@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import dedupe, georef, listing, publish
+from ..storage import new_path
 from .base import query, relation, table
 from .geo_queries import _COVER, _gcps
 from .registry_queries import _tasks
-from .source_queries import _folder
 
 
 @query("document_list", "SELECT doc_id, lang FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 50 OFFSET 10")
@@ -66,7 +64,7 @@ def tile_read(spark, sf):
     """The tile table written, then one tile read from its partition."""
     f = relation(spark, sf, "features").withColumn("geom", G.box(*map(F.col, ("minx", "miny", "maxx", "maxy")))).select("id", "layer_id", "geom")
     d = relation(spark, sf, "datasets").withColumn("version_id", F.lit(1))
-    path = _folder(spark)
+    path = new_path(spark, "appended")
     publish.publish(d, relation(spark, sf, "layers"), f, path, allow_unreviewed=True)
     t = publish.read_tile(spark, path, 1, 6, 50, 29)
     return t.select(F.explode("ids").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
@@ -99,7 +97,7 @@ def crawl_state_stream(spark, sf):
     """The event log through micro-batches, each one's source states appended and merged on reading."""
     from ..streaming.observe import crawl_state_stream as run
 
-    path = f"{_folder(spark)}-{uuid.uuid4().hex[:6]}"
+    path = new_path(spark, "upkeep")
     e = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     o = e.select(F.col("user_id").alias("source_id"), "ts", F.when(F.col("event_type") == "purchase", "error").otherwise("ok").alias("outcome"))
     q = run(o, lambda g, epoch: g.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

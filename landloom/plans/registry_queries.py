@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import geometry as G
 from ..operators import coverage, dedupe, diff, observe, publish, registry, versions
+from ..storage import new_path
 from .base import query, relation, table
 
 _STATES = """SELECT user_id AS source_id, max(ts) AS last_checked, max(CASE WHEN event_type <> 'purchase' THEN ts END) AS last_success, count(*) AS checks FROM events GROUP BY user_id"""
@@ -243,16 +244,9 @@ def publish_gate(spark, sf):
 
 @query("publish_version")
 def publish_version(spark, sf):
-    import uuid
-
     f = relation(spark, sf, "features").withColumn("geom", G.box(*map(F.col, ("minx", "miny", "maxx", "maxy")))).select("id", "layer_id", "geom")
     d = relation(spark, sf, "datasets").withColumn("version_id", F.col("dataset_id") % 2)
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="landloom-")
-    return publish.publish(d, relation(spark, sf, "layers"), f, f"{folder.rstrip('/')}/tiles-{uuid.uuid4().hex}", allow_unreviewed=True)
+    return publish.publish(d, relation(spark, sf, "layers"), f, new_path(spark, "tiles"), allow_unreviewed=True)
 
 
 @query("metadata_snapshot", "SELECT o_orderkey AS version_id, o_orderkey % 3 AS n_datasets, o_orderkey % 2 AS n_publications, CASE WHEN o_orderkey % 2 = 0 THEN 'unpublished' WHEN o_orderkey % 5 = 0 THEN 'unavailable' ELSE 'available' END AS state FROM orders")

@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources import files, payloads
+from ..storage import new_path
 from .base import query, relation, table
 
 
-def _folder(spark) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="landloom-")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _key(c, m):
     return F.concat(F.lit("s"), (F.col(c) % m).cast("string"))
 
@@ -209,7 +199,7 @@ def raster_register(spark, sf):
 @query("file_scan", "SELECT doc_id, CAST(strlen(lang || '|' || source) AS BIGINT) AS length FROM documents WHERE doc_id % 10 = 0")
 def file_scan(spark, sf):
     """Small files written to the shared folder and scanned back as binary files."""
-    path = _folder(spark)
+    path = new_path(spark, "files")
     table(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", F.concat_ws("|", "lang", "source").alias("value")).repartition(1).write.partitionBy("doc_id").text(path)
     found = files.scan_files(spark, path, ("*.txt",))
     return found.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), (F.col("length") - 1).alias("length"))
@@ -220,7 +210,7 @@ def observation_stream(spark, sf):
     """The whole event log through the stateful stream, in one go, into files of the shared folder."""
     from ..streaming.observe import observation_stream as classify
 
-    path = _folder(spark)
+    path = new_path(spark, "files")
     e = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     o = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("source_id"), F.concat_ws("/", "user_id", F.col("event_id") % 5).alias("resource_key"), (F.floor(F.col("value") * 10).cast("bigint") % 4).cast("string").alias("sha"))
     q = classify(o).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -233,7 +223,7 @@ def stream_append(spark, sf):
     """Every document appended twice by its content: the second time adds nothing."""
     from ..streaming.observe import append_new
 
-    path = _folder(spark)
+    path = new_path(spark, "files")
     d = table(spark, sf, "documents").select("source", F.sha2(F.concat_ws("|", "source", "text"), 256).alias("sha"))
     append_new(d, path, "sha")
     append_new(d, path, "sha")
