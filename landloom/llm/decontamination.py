@@ -1,14 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
-An item's sketch holds its smallest shingle hashes. A document that contains a share t of an item's n shingles misses
-n - ceil(t n) of them at most, so a sketch of one more is met by every such document: the search loses nothing. Sketch
-sizes therefore go by item size, and items are partitioned by it. Documents' shingle hashes are probed against the
-sketches, whatever the documents' lengths; candidates are verified by the exact share of the item's shingles that the
-document contains, shingle texts compared.
+Items are partitioned by their number of shingles. An item's MinHash sketch holds its smallest shingle hashes, as many
+as its partition's bound on missed shingles asks for, so every document that contains the item meets a known number of
+them: the search loses nothing, and one shared phrase makes no candidate. Documents' shingle hashes are probed against
+the sketches of the partitions that the document can hold, whatever its length; candidates are verified by the exact
+share of the item's shingles that the document contains, shingle texts compared.
 
 Defined cases: letter case A-Z is ignored; an item of fewer words than a shingle is one shingle of its words; null or
 wordless items are never found, null or wordless texts contain nothing; items of equal words are searched as one, under
-the smallest id; rows of one document id are verified each and the best is shown; an empty table gives no rows; columns
+the smallest id; rows of one document id are verified each and the best is shown (the filter judges each row); an empty table gives no rows; columns
 other than ids and texts are not read.
 """
 
@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialise
+from .shared import ascii_lower, materialise, text_key
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Hashes of a sketch beyond those that a containing document may miss.
+MORE = 2
 #: A sketch table of more rows than this is joined by shuffle, not broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -34,50 +36,71 @@ def shingle_texts(words: Column, size: Column) -> Column:
 
 
 def item_sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """item_id, copies, size (words of a shingle), shingles, n, part (size class), sketch."""
+    """item_id, copies, size (words of a shingle), shingles, n, part, reach, sketch, need.
+
+    part is the size partition, floor(log2 n). A containing document misses missed(n) = n - ceil(containment n) of an
+    item's shingles at most. Sketches of a partition have one size, that of missed() at the partition's upper end and
+    MORE: so a containing document meets `need` of the sketch at least, and has `reach` words' places at least.
+    """
     words = items.select(F.col(id_col).cast("bigint").alias("item_id"), words_of(F.col(text_col)).alias("words")).where("size(words) > 0")
     one = words.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies"))
     sized = one.withColumn("size", F.least(F.lit(shingle), F.size("words"))).withColumn("shingles", shingle_texts(F.col("words"), F.col("size")))
-    n = F.size("shingles")
-    keep = n - F.ceil(F.lit(containment) * n - 1e-9).cast("int") + 1
+    least = lambda n: F.ceil(F.lit(containment) * n - 1e-9).cast("int")
+    sized = sized.withColumn("n", F.size("shingles")).withColumn("part", F.floor(F.log2("n") + 1e-9).cast("int"))
+    low = F.pow(F.lit(2), F.col("part")).cast("int")
+    most = 2 * low - 1
+    sized = sized.withColumn("reach", least(low)).withColumn("k", F.least(F.col("n"), most - least(most) + MORE))
     hashes = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
-    return sized.select("item_id", "copies", "size", "shingles", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("part"), F.slice(hashes, F.lit(1), keep).alias("sketch"))
+    need = F.col("k") - (F.col("n") - least(F.col("n")))
+    return sized.select("item_id", "copies", "size", "shingles", "n", "part", "reach", F.slice(hashes, F.lit(1), F.col("k")).alias("sketch"), need.alias("need"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, item_id, item_copies, item_shingles, shared, containment for each item that a document contains."""
+def _contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shingle: int, containment: float) -> DataFrame:
+    """doc_id, h1, h2 (the text), item_id, item_copies, item_shingles, shared for each item that a row's text contains."""
     sketches = materialise(item_sketches(items, shingle=shingle, containment=containment), "item-sketches")
-    sizes = sorted(r[0] for r in sketches.select("size").distinct().collect())  # at most `shingle` values
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = rows.select("doc_id", F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+").alias("w"))
-    probes = None
-    for size in sizes:
-        keys = sketches.where(F.col("size") == size).select("item_id", F.explode("sketch").alias("h"))
+    parts = sketches.groupBy("size", "part", "reach").count().orderBy("size", "part").collect()  # a row for each size partition: shingle * 31 at most
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = ["doc_id", "h1", "h2"]
+    words = rows.select(*key, F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+").alias("w"))
+    met = None
+    for size in sorted({p["size"] for p in parts}):
+        # one pass over the texts for all partitions of a shingle size; a document is searched only for partitions whose items it can hold
+        least = min(p["reach"] for p in parts if p["size"] == size)
+        keys = sketches.where(F.col("size") == size).select("item_id", "part", "reach", "need", F.explode("sketch").alias("h"))
         keys = F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
-        each = words.where(F.size("w") >= size).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("i"))
+        each = words.where(F.size("w") >= size + least - 1).select(*key, "w", (F.size("w") - size + 1).alias("places"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("i"))
         text = F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(size)])
-        met = each.select("doc_id", F.xxhash64(text).alias("h")).join(keys, "h").select("doc_id", "item_id")
-        probes = met if probes is None else probes.union(met)
-    if probes is None:
-        return rows.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("item_copies"), F.lit(0).alias("item_shingles"), F.lit(0).alias("shared"), F.lit(0.0).alias("containment")).limit(0)
-    candidates = materialise(probes.distinct(), "contained-candidates").withColumnsRenamed({"doc_id": "of"})
-    wanted = candidates.groupBy("of").agg(F.collect_set("item_id").alias("found"))  # a document's own items only
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "found", words_of(F.col("text")).alias("words"))
-    full = texts.select("doc_id", F.explode("found").alias("item_id"), F.array(*[F.when(F.size("words") >= s, shingle_texts(F.col("words"), F.lit(s))).otherwise(F.array().cast("array<string>")) for s in range(1, shingle + 1) if s in sizes]).alias("by_size"))
-    details = sketches.select(F.col("item_id").alias("known_id"), "copies", "size", "shingles", "n")
-    details = F.broadcast(details) if details.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10 else details
-    joined = full.join(details, F.col("item_id").eqNullSafe(F.col("known_id")))
-    place = F.array_position(F.array(*map(F.lit, sizes)), F.col("size")).cast("int")
-    shared = F.size(F.array_intersect(F.element_at("by_size", place), F.col("shingles")))
-    verified = joined.select("doc_id", "item_id", F.col("copies").alias("item_copies"), F.col("n").alias("item_shingles"), shared.alias("shared"))
-    best = verified.groupBy("doc_id", "item_id", "item_copies", "item_shingles").agg(F.max("shared").alias("shared"))
-    return best.withColumn("containment", F.col("shared") / F.col("item_shingles")).where(F.col("containment") >= containment - 1e-9)
-
-
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The documents that contain no item, all columns kept."""
-    found = contained_items(docs, items, id_col=id_col, **settings).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+        found = each.select(*key, "places", F.xxhash64(text).alias("h")).join(keys, "h").where("places >= reach").select(*key, "item_id", "need", "h")
+        met = found if met is None else met.union(found)
+    if met is None:
+        return rows.select(*key, F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("item_copies"), F.lit(0).alias("item_shingles"), F.lit(0).alias("shared")).limit(0)
+    hits = met.groupBy(*key, "item_id", "need").agg(F.count_distinct("h").alias("hits")).where("hits >= need")
+    candidates = materialise(hits.select(*key, "item_id").distinct(), "contained-candidates")
+    wanted = candidates.select(*key).distinct().withColumnsRenamed({k: f"_{k}" for k in key})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    texts = rows.join(wanted, same, "left_semi").select(*key, words_of(F.col("text")).alias("words")).dropDuplicates(key)
+    # each text's shingles once, matched to the items' by the shingle itself
+    sizes = sorted({p["size"] for p in parts})
+    made = F.array(*[F.struct(F.lit(s).alias("size"), F.when(F.size("words") >= s, shingle_texts(F.col("words"), F.lit(s))).otherwise(F.array().cast("array<string>")).alias("own")) for s in sizes])
+    own = texts.select(*key, F.explode(made).alias("m")).select(*key, "m.size", F.explode("m.own").alias("s"))
+    known = sketches.select("item_id", F.col("copies").alias("item_copies"), F.col("n").alias("item_shingles"), "size", F.explode("shingles").alias("s"))
+    known = F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known
+    shared = own.join(known, ["size", "s"]).groupBy(*key, "item_id", "item_copies", "item_shingles").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    return shared.where(F.col("shared") >= containment * F.col("item_shingles") - 1e-9)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, item_id, item_copies, item_shingles, shared, containment for each item that a document contains."""
+    found = _contained(docs, items, id_col, text_col, shingle, containment)
+    best = found.groupBy("doc_id", "item_id", "item_copies", "item_shingles").agg(F.max("shared").alias("shared"))
+    return best.withColumn("containment", F.col("shared") / F.col("item_shingles"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows whose text contains no item, all columns kept; a row is judged by its own text, whatever its id."""
+    found = _contained(docs, items, id_col, text_col, shingle, containment).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    h1, h2 = text_key(F.col(text_col))
+    return docs.join(found, (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, spread_join
 
 SALTS = 32
 _TEXTS = "id bigint, digest binary, norm string"
@@ -45,7 +45,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = whole.select("digest", "keep_id", "group_size", F.count(F.lit(1)).over(Window.partitionBy("digest")).alias("variants"))
     groups = materialise(counted, "dedup-groups")
     ids = rows.mapInArrow(_only_digests, "id bigint, digest binary")
-    out = ids.join(groups.where("variants = 1").drop("variants"), "digest")
+    out = spread_join(ids, groups.where("variants = 1").drop("variants"), "digest", "group_size", "id")
     shared = groups.where("variants > 1").select("digest").distinct()
     if not shared.isEmpty():  # two texts of one digest: their rows are matched by the text itself
         full = rows.mapInArrow(_digests, _TEXTS).join(shared, "digest", "left_semi")

@@ -5,7 +5,8 @@ labels are learned with them by gradient ascent on the conditional likelihood (e
 Training sequences join windows of different documents, so switches of language occur in them. A document's words are
 labelled by posterior marginals; its language has the largest summed marginal, its score is that sum's share.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; tokens without letters are skipped; with no
+Defined cases: a null text, or one without a letter, is `und` with score 0; all runs of letters are words, whatever
+stands between them; a text of any length is labelled whole; with no
 labelled training rows every document is `und`; ties go to the label that sorts first; rows are labelled one by one,
 so repeated rows, null ids (they are held in) and extra columns change nothing; an empty table gives an empty table.
 """
@@ -37,13 +38,16 @@ KEPT = 200_000
 STEP_WORDS = 400_000
 MIN_SCORE = 0.4
 
-_letters = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
+#: Scripts written without spaces: their runs of letters are cut into pairs. Other runs are cut after 40 letters.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+_MORE = r"\p{L}[\p{L}\p{M}'’-]{0,39}"
+_words = regex.compile("[" + "".join(rf"\p{{{s}}}" for s in UNSPACED) + "]{1,2}|" + _MORE).findall
+_JVM_WORDS = "[" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED) + "]{1,2}|" + _MORE
 
 
-def word_of(token: str) -> str:
-    """The first run of letters, lower-cased; empty if there is none."""
-    found = _letters.search(token)
-    return found.group().lower() if found else ""
+def words_of(token: str) -> list[str]:
+    """All runs of letters, lower-cased."""
+    return _words(token.lower())
 
 
 def _bucket(parts: list[np.ndarray], salt: int) -> np.ndarray:
@@ -140,11 +144,10 @@ class Field:
 
 
 def train(windows: list[tuple[str, list[str]]]) -> Field | None:
-    """windows: (label, tokens). Two windows of different rows make one sequence."""
+    """windows: (label, words). Two windows of different rows make one sequence."""
     rng, by_label = np.random.default_rng(11), defaultdict(list)
     uses: dict[str, Counter] = defaultdict(Counter)
-    for label, tokens in sorted(windows):
-        words = [w for w in map(word_of, tokens) if w]
+    for label, words in sorted(windows):
         if words:
             by_label[label].append((words * WINDOW_WORDS)[:WINDOW_WORDS])
             for w in words:
@@ -185,63 +188,77 @@ def train(windows: list[tuple[str, list[str]]]) -> Field | None:
 
 
 class Labeller(dict):
-    """token -> row of its emissions, -1 without letters."""
+    """token -> its number; a token's words, none or several, have rows of emissions one after another."""
 
     def __init__(self, field: Field):
         super().__init__()
-        self.field, self.table = field, np.empty((KEPT + STEP_WORDS, len(field.labels)), np.float32)
+        self.field = field
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = np.zeros((0, len(self.field.labels)), np.float32)
 
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self]
-        if len(self) + len(new) > len(self.table):
-            self.clear()
-            new = list(tokens)
-        words = [word_of(t) for t in new]
-        real = sorted({w for w in words if w})
-        first = len(self)  # a token has a row of its own
-        place = {w: i for i, w in enumerate(real)}
-        found = np.concatenate([self.field.word_emissions(real[at : at + 50_000]) for at in range(0, len(real), 50_000)]) if real else np.zeros((1, len(self.field.labels)))
-        self.table[first : first + len(new)] = found[[place.get(w, 0) for w in words]]
-        self.update((t, first + i if w else -1 - first - i) for i, (t, w) in enumerate(zip(new, words, strict=True)))
-
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not new:
+            return
+        found = list(map(words_of, new))
+        place = {w: i for i, w in enumerate(sorted({w for f in found for w in f}))}
+        real = list(place)
+        rows = [self.table] if len(self) else []
+        if real:
+            emitted = np.concatenate([self.field.word_emissions(real[at : at + 50_000]) for at in range(0, len(real), 50_000)]).astype(np.float32)
+            rows.append(emitted[[place[w] for f in found for w in f]])
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        self.first = np.concatenate([self.first, len(self.table) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.table = np.concatenate(rows) if rows else self.table
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """Emissions of the words of known tokens."""
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        count = self.count[ids]
+        before = np.cumsum(count) - count
+        return self.table[np.repeat(self.first[ids] - before, count) + np.arange(count.sum())]
+
+    def posteriors(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """Place of each text that has a word, and the posterior of its words' labels, by groups of bounded size."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         at = 0
         while at < len(order):
             group, tokens, held = [], [], 0
             while at < len(order) and (not group or held < STEP_WORDS):
-                words = texts[order[at]].split()
+                tokens.append(texts[order[at]].split())
                 group.append(order[at])
-                tokens.append(words)
-                held += len(words)
+                held += len(tokens[-1])
                 at += 1
-            self._label(group, tokens, out)
-        return out
-
-    def _label(self, group: list[int], tokens: list[list[str]], out: list) -> None:
-        if sum(map(len, tokens)) > len(self.table):  # one text of more words than the table has rows
-            rows = [np.concatenate([self._rows(t[i : i + STEP_WORDS]) for i in range(0, len(t), STEP_WORDS)] or [np.zeros((0, len(self.field.labels)), np.float32)]) for t in tokens]
-        else:
-            self.learn({t for words in tokens for t in words})
-            rows = [self._known(words) for words in tokens]
-        order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: -len(rows[i]))
-        if not order:
-            return
-        lengths = np.array([len(rows[i]) for i in order])
-        posterior = self.field.marginals(np.concatenate([rows[i] for i in order]), lengths)
-        sums = np.add.reduceat(posterior, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
-        for i, share in zip(order, sums, strict=True):
-            best = int(share.argmax())
-            out[group[i]] = (self.field.labels[best], min(1.0, float(share[best])))
+            self.learn({t for own in tokens for t in own})
+            rows = [self.rows(own) for own in tokens]
+            if len(self) > KEPT:
+                self.forget()
+            longest = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: -len(rows[i]))
+            if longest:
+                lengths = np.array([len(rows[i]) for i in longest])
+                posterior = self.field.marginals(np.concatenate([rows[i] for i in longest]), lengths)
+                yield from zip([group[i] for i in longest], np.split(posterior, np.cumsum(lengths)[:-1]), strict=True)
 
-    def _rows(self, words: list[str]) -> np.ndarray:
-        self.learn(set(words))
-        return self._known(words)
+    def label(self, texts: list[str]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        for i, posterior in self.posteriors(texts):
+            share = posterior.sum(0) / len(posterior)
+            out[i] = self.field.labels[int(share.argmax())], min(1.0, float(share.max()))
+        return out
 
-    def _known(self, words: list[str]) -> np.ndarray:
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.table[ids[ids >= 0]]
+    def label_words(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
+        """(word, label, its probability) of each word of each text."""
+        out: list[list[tuple[str, str, float]]] = [[] for _ in texts]
+        for i, posterior in self.posteriors(texts):
+            words = [w for t in texts[i].split() for w in words_of(t)]
+            out[i] = [(w, self.field.labels[k], float(p)) for w, k, p in zip(words, posterior.argmax(1), posterior.max(1), strict=True)]
+        return out
 
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE_DOCS) -> list[tuple[str, list[str]]]:
@@ -252,33 +269,64 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     counts = rows.groupBy("lang").count().withColumn("bound", F.col("count").cast("double") ** -1 * (4 * sample) * (1 << 40))
     near = rows.join(F.broadcast(counts.select("lang", "bound")), "lang").where("h < bound")  # one row for each label
     first = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= sample)
-    words = first.select("lang", "h", F.split(F.trim("text"), r"\s+").alias("words"))
+    words = first.select("lang", "h", F.regexp_extract_all(F.lower("text"), F.lit(_JVM_WORDS), F.lit(0)).alias("words"))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.size("words") - WINDOW_WORDS + 1)) + 1
-    cut = words.select("lang", F.slice("words", start.cast("int"), WINDOW_WORDS).alias("tokens"))
-    return [(r.lang, [t[:100] for t in r.tokens]) for r in cut.collect()]
+    cut = words.select("lang", F.slice("words", start.cast("int"), WINDOW_WORDS).alias("words"))
+    return [(r.lang, r.words) for r in cut.collect()]  # `sample` rows of bounded size for each label
+
+
+def _fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int):
+    """A broadcast field or None; its size is fixed by BUCKETS, the labels and the sample."""
+    return docs.sparkSession.sparkContext.broadcast(train(training_windows(docs, id_col, text_col, lang_col, sample)))
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
 
 
 def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:
     """id, held_out, lang_pred, score of each row."""
-    field = train(training_windows(docs, id_col, text_col, lang_col, sample))
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # its size is fixed by BUCKETS, the labels and the sample
+    shared = _fitted(docs, id_col, text_col, lang_col, sample)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value) if shared.value is not None else None
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = _texts(b.column(1))
             found = labeller.label(texts) if labeller is not None else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     held = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_FOLD
     return rows.mapInArrow(each, "id bigint, lang_pred string, score double").select("id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_languages(docs: DataFrame, id_col: str = "doc_id", min_score: float = MIN_SCORE, **columns) -> DataFrame:
-    """The rows whose language is found with at least min_score, all columns kept."""
-    found = label_documents(docs, id_col, **columns).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return docs.join(found.select(F.col("id").alias("_id")).distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+def label_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:
+    """id, words (word, lang, p) of each row: the language of every word, for texts that switch between languages."""
+    shared = _fitted(docs, id_col, text_col, lang_col, sample)
+    kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value) if shared.value is not None else None
+        for b in batches:
+            found = labeller.label_words(_texts(b.column(1))) if labeller is not None else [[]] * len(b)
+            words = pa.array([[{"word": w, "lang": k, "p": p} for w, k, p in own] for own in found], kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), words], names=["id", "words"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(each, "id bigint, words array<struct<word: string, lang: string, p: double>>")
+
+
+def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose language is found with at least min_score, all columns kept; each row is judged where it is read."""
+    shared, at = _fitted(docs, id_col, text_col, lang_col, sample), docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value) if shared.value is not None else None
+        for b in batches:
+            if labeller is not None:
+                yield b.filter(pa.array([k != "und" and p >= min_score for k, p in labeller.label(_texts(b.column(at)))], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

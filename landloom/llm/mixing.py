@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialise, running_sum
+from .shared import WORD, materialise, running_sum, text_key
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -76,31 +76,44 @@ def schedule(plan: DataFrame) -> DataFrame:
     return ranked.select("slot", "sid", "pass", "nth", "block", words.alias("words"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """id, size, source_size, target, taken of each row."""
+def _mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
+    """id, source, h1, h2 (the text), size, source_size, target, taken, first_slot of each row."""
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order")), "mix-sizes")
+    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order"), *text_key(F.col(text_col))), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialise(block_plan(source_targets(sizes, weights, share, cap), block), "mix-plan")
     n, sources = rows.count(), plan.count()
     bits = max(4, math.ceil(math.log2(max(1, n / CHUNK_ROWS))))
     small = plan.select("sid", F.col("source").alias("of"), "source_size", "target", "block")
-    rows = rows.join(F.broadcast(small) if sources <= BROADCAST_SOURCES else small, F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
-    placed = running_sum(rows.where("size > 0").withColumn("chunk", F.expr(f"shiftright(order, {60 - bits})")), ["sid"], "chunk", ["order", "id", "size"], "size", "start")
+    rows = rows.join(F.broadcast(small) if sources <= BROADCAST_SOURCES else small, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    placed = running_sum(rows.where("size > 0").withColumn("chunk", F.expr(f"shiftright(order, {60 - bits})")), ["sid"], "chunk", ["order", "id", "size", "h1", "h2"], "size", "start")
     pieces = placed.withColumn("nth", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)"))).drop("block")
     used = pieces.join(schedule(plan), ["sid", "nth"], "left")
     low, high = F.greatest(F.col("start"), F.expr("nth * block")), F.least(F.expr("start + size"), F.expr("nth * block + words"))
-    taken = used.groupBy("sid", "start", "id", "size", "source_size", "target").agg(F.sum(F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), high - low)).otherwise(0)).cast("bigint").alias("taken"))
-    columns = ["id", "size", "source_size", "target", "taken"]
-    return taken.select(columns).unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("bigint")).select(columns))
+    part = F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), high - low)).otherwise(0)
+    columns = ["id", "source", "h1", "h2", "size", "source_size", "target", "taken", "first_slot"]
+    taken = used.groupBy("sid", "start", *columns[:-2]).agg(F.sum(part).cast("bigint").alias("taken"), F.min(F.when(part > 0, F.col("slot"))).alias("first_slot"))
+    none = {"taken": F.lit(0).cast("bigint"), "first_slot": F.lit(None).cast("bigint")}
+    return taken.select(columns).unionByName(rows.where("size = 0").withColumns(none).select(columns))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The documents of the mix, each as often as it is taken (to the nearest whole number), all columns kept."""
-    times = mix(docs, id_col=id_col, **settings).where("size > 0").select(F.col("id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
-    times = times.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0")
-    return docs.join(times, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_n")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """id, size, source_size, target, taken (words), first_slot (of the schedule, in which the mix first reads it) of each row."""
+    return _mix(docs, id_col, text_col, **settings).select("id", "size", "source_size", "target", "taken", "first_slot")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slot_col: str | None = None, **settings) -> DataFrame:
+    """The documents of the mix, each as often as it is taken (to the nearest whole number), all columns kept, and the
+    first slot of each as slot_col if that is named. Rows of one id, source and text are taken as often as they are on average."""
+    found = _mix(docs, id_col, text_col, source_col, **settings).where("size > 0").groupBy("id", "source", "h1", "h2")
+    found = found.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times"), F.min("first_slot").alias("_slot")).where("_times > 0")
+    times = found.withColumnsRenamed({"id": "_id", "source": "_source", "h1": "_h1", "h2": "_h2"})
+    h1, h2 = text_key(F.col(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2"))
+    out = docs.join(times, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    slot = [F.col("_slot").alias(slot_col)] if slot_col else []
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *slot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -118,9 +131,20 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2.0::DOUBLE *
       FROM w WINDOW a AS (ORDER BY source_size::DOUBLE / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, (source_size::DOUBLE / weight, sid)) AS fair FROM l WHERE 2.0::DOUBLE * source_size > level * weight),
 t AS (SELECT source, source_size, coalesce(least(2.0::DOUBLE * source_size, fair * weight), 2.0::DOUBLE * source_size) AS target FROM l LEFT JOIN f ON true),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
+b0 AS (SELECT t.*, s.sid, CAST(floor(target + 0.5) AS BIGINT) AS take FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source),
+b1 AS (SELECT *, CAST(greatest(1, least(4096, take // 64)) AS BIGINT) AS block FROM b0),
+b AS (SELECT *, CAST(ceil(source_size::DOUBLE / block) AS BIGINT) AS blocks FROM b1),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN (take // source_size) * blocks + CAST(ceil((take % source_size)::DOUBLE / block) AS BIGINT) ELSE 0 END AS slots FROM b),
+h AS (SELECT *, sum(slots) OVER ()::DOUBLE AS whole, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below FROM g WHERE slots > 0),
+q AS (SELECT *, below / whole AS low, below / whole + slots / whole AS high FROM h),
+u AS (SELECT i, (i + 1) * 0.6180339887498949::DOUBLE - floor((i + 1) * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(0, CAST(2 * (SELECT sum(slots) FROM g) + 512 AS BIGINT))) AS i)),
+r AS (SELECT q.*, u.i, row_number() OVER (PARTITION BY sid ORDER BY u.i) - 1 AS rank FROM u JOIN q ON u.u >= q.low AND u.u < q.high),
+v AS (SELECT sid, i, rank % blocks AS nth, block, least(block, source_size - (rank % blocks) * block, take - (rank // blocks) * source_size - (rank % blocks) * block) AS words FROM r WHERE rank < slots),
+p AS (SELECT b0.sid, d.doc_id, d.size, t.source_size, t.target, b0.take, row_number() OVER () AS rid,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN b0 ON b0.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT p.rid, CAST(min(v.i) AS BIGINT) AS first_slot FROM p JOIN v ON v.sid = p.sid AND least(p.start + p.size, v.nth * v.block + v.words) > greatest(p.start, v.nth * v.block) GROUP BY p.rid)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(start + size, take) - start) + greatest(0, least(start + size, take - source_size) - start) AS BIGINT) AS taken FROM p
+       CAST(greatest(0, least(start + size, take) - start) + greatest(0, least(start + size, take - source_size) - start) AS BIGINT) AS taken, x.first_slot
+FROM p LEFT JOIN x ON p.rid = x.rid
 """

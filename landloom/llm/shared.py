@@ -1,41 +1,41 @@
-"""What the operators of this subpackage share: shared-storage tables and two-level running sums."""
+"""What the operators of this subpackage share: shared-storage tables, text keys and two-level running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise, new_path
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "materialise", "new_path", "running_sum", "spread_join", "text_key"]
+
 #: A word: a run of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder where none is set (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="landloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, every other character kept."""
+    return F.translate(text, UPPER, LOWER)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def text_key(text: Column) -> list[Column]:
+    """h1, h2: 128 bits that stand for a text, so that rows of one id with different texts are told apart."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit("second"), whole).alias("h2")]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder once and reads it back: lineage is cut and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "uncompressed").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A key of more rows than this is dealt over SALTS tasks in spread_join.
+HOT_ROWS, SALTS = 100_000, 64
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased, every other character kept."""
-    return F.translate(text, UPPER, LOWER)
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: str) -> DataFrame:
+    """rows joined to table, which has one row for each key and the number of its rows in `weight`; rows of hot keys are
+    salted by a hash of spread_by, and their row of the table is repeated. At most rows / HOT_ROWS keys are hot: they are broadcast."""
+    hot = F.broadcast(table.where(F.col(weight) > HOT_ROWS).select(F.col(key).alias("_hot")))
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).cast("int"))
+    salts = F.when(F.col(weight) > HOT_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.drop("_hot").join(table.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
 
 
 def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str) -> DataFrame:

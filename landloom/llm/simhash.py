@@ -1,11 +1,10 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A document's fingerprint takes the majority of each bit over its shingles' hashes. Distinct fingerprints are indexed in
-four tables, one for each 16-bit segment: a table's keys are the fingerprint with every member of the Hamming ball of
-radius 1 around that segment in its place. Fingerprints that meet under a key differ in two bits at most, and any two
-that do meet under some key, be the bits in one segment or in two. At most 65 fingerprints share a key, so no key is
-hot however many copies a group has. Neighbours under a key are verified by their complete distance and joined into
-components. Exact copies share a fingerprint and are one node.
+two tables, one for each 32-bit segment. Each fingerprint enumerates the Hamming ball of radius 1 around its own
+segments, fetches the tables' matches by an equi-join and verifies the complete distance; segments that many
+fingerprints share are split by their other segment. Links are joined into components. Exact copies share a fingerprint
+and are one node.
 
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; fewer words than a shingle
 make one shingle; equal halves leave a bit 0; null ids never become a component's id unless it has no other; repeated
@@ -24,12 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import discard, materialise, spread_join, text_key
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 4
+#: Segments of a fingerprint and their bits; within MAX_BITS of each other, two fingerprints differ in one bit at most in some segment.
+SEGMENTS, WIDTH = 2, 32
 MAX_BITS = 2
+#: A segment that more fingerprints share is split by the other segment.
+CROWD = 64
+#: A list of more split segments than this is joined by shuffle, not broadcast.
+BROADCAST_CROWDED = 500_000
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -62,24 +66,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).mapInArrow(each, "id bigint, fp bigint")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """nodes(fp), distinct -> a, b: verified links that join all fingerprints within two bits of each other."""
-    width = 64 // SEGMENTS
-    balls = [f"transform(sequence({s * width}, {(s + 1) * width - 1}), i -> fp ^ shiftleft(1L, i))" for s in range(SEGMENTS)]
-    keys = nodes.select("fp", F.explode(F.expr(f"concat(array(fp), {', '.join(balls)})")).alias("key"))
-    pairs = keys.select("fp", F.lag("fp").over(Window.partitionBy("key").orderBy("fp")).alias("before")).where("before IS NOT NULL")
-    return pairs.where(f"bit_count(fp ^ before) <= {MAX_BITS}").select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
+def segment_of(fp, table):
+    """The 32 bits that are a table's segment, and the other 32."""
+    high, low = F.shiftrightunsigned(fp, WIDTH), fp.bitwiseAND(F.lit((1 << WIDTH) - 1))
+    return F.when(table == 0, high).otherwise(low), F.when(table == 0, low).otherwise(high)
+
+
+def ball(value) -> object:
+    """The value and every value one bit away, of WIDTH bits."""
+    return F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
+
+
+def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """nodes(fp), distinct -> a, b: all pairs of fingerprints within MAX_BITS of each other.
+
+    Two fingerprints within two bits agree in one of the two segments but for a bit. Table s lists fingerprints by
+    segment s; each fingerprint looks up the members of the ball around its own segment. A segment that more than
+    `crowd` fingerprints share is split by the other segment: its entries are listed under each member of the ball
+    around that one, and a look-up, which has one or two bits left, names the other segment itself or its ball's members. No
+    bucket then holds more than 33 for each look-up, whatever is indexed.
+    """
+    tabled = nodes.select("fp", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("tab"))
+    segment, other = segment_of(F.col("fp"), F.col("tab"))
+    index = tabled.select("fp", "tab", segment.alias("segment"), other.alias("other"))
+    crowded = materialise(index.groupBy("tab", "segment").count().where(F.col("count") > crowd).select("tab", "segment", F.lit(True).alias("split")), "crowded-segments")
+    small = crowded.limit(BROADCAST_CROWDED + 1).count() <= BROADCAST_CROWDED
+    known = F.broadcast(crowded) if small else crowded
+    none = F.array(F.lit(-1).cast("bigint"))
+    entries = index.join(known, ["tab", "segment"], "left").withColumn("rest", F.explode(F.when(F.col("split"), ball(F.col("other"))).otherwise(none)))
+    probes = index.select("fp", "tab", "other", F.posexplode(ball(F.col("segment"))).alias("flipped", "segment"))
+    left = F.when(F.col("flipped") == 0, ball(F.col("other"))).otherwise(F.array("other"))
+    probes = probes.join(known, ["tab", "segment"], "left").withColumn("rest", F.explode(F.when(F.col("split"), left).otherwise(none)))
+    met = probes.select("tab", "segment", "rest", "fp").join(entries.select("tab", "segment", "rest", F.col("fp").alias("found")), ["tab", "segment", "rest"])
+    return met.where((F.col("fp") < F.col("found")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("found"))) <= MAX_BITS)).select(F.col("fp").alias("a"), F.col("found").alias("b"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """id, fp, component_id (smallest id of the component) of each row."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprint-nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
     rooted = components(links(nodes.select("fp")))
-    named = nodes.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("id", "fp", "component_id")
+    classes = materialise(named.select("fp", "root", "n").join(smallest, "root").select("fp", "n", "component_id"), "fingerprint-classes")
+    return spread_join(prints, classes, "fp", "n", "id").select("id", "fp", "component_id")
 
 
 #: Near-duplicates by shingle similarity, found exactly. Shingles are put in one order, rarest first; two texts of that
@@ -100,14 +130,14 @@ def _digest(words: bytes) -> int:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """id, node (digest of the words) of each row."""
+    """id, h1, h2, node (digest of the words) of each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_digest(b" ".join(x.as_py().lower().split())) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["id", "node"])
+            found = [_digest(b" ".join(x.as_py().lower().split())) for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.int64())], names=["id", "h1", "h2", "node"])
 
-    return rows.mapInArrow(each, "id bigint, node bigint")
+    return rows.mapInArrow(each, "id bigint, h1 bigint, h2 bigint, node bigint")
 
 
 def _needed(n: int, least: float) -> int:
@@ -228,7 +258,7 @@ def _possible(a, b, least: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least `least`; shingles that no other text has can't be common."""
+    """a, b: the roots (ra, rb) of the pairs (a, b) whose similarity is at least `least`; shingles that no other text has can't be common."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,81 +268,112 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 x, y = (k[i].values.to_numpy() for k, _ in sides)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both / (sides[0][1][i] + sides[1][1][i] - both) >= least)
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("ra"), b.column("rb")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda s: texts.select(F.col("node").alias(s), F.col("keys").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
-    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint")
+    return pairs.select("a", "b", "ra", "rb").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint")
 
 
-def similar_edges(texts: DataFrame, least: float) -> DataFrame:
-    """texts as _candidates gives them -> a, b: verified links that join all texts of that similarity.
+def similar_roots(texts: DataFrame, least: float) -> DataFrame:
+    """texts as _candidates gives them -> node, root of each text that another is similar to; root is their smallest node.
 
-    Each key's texts meet its first one; then, under keys whose texts are in several components, each the one before it;
-    then, under keys that still hold several components, all pairs of texts of different components, by blocks. So each
-    possible pair is compared or already linked, and a linked family, however large, makes a few links for each text.
+    First each text meets one other: the text that comes first under most of its keys. Then, under keys whose texts are
+    in several components, each meets the first one and the one before it; then, under keys that still hold several
+    components, all pairs of texts of different components, by blocks. So each possible pair is compared or already
+    linked, and a family in which all pairs are similar makes about one comparison for each text. Between the steps the
+    components found so far stand for their texts.
     """
-    spark = texts.sparkSession
     listed = texts.select("node", "n", "own", F.posexplode(F.slice("keys", F.lit(1), F.col("first"))).alias("at", "key"))
     keys = materialise(listed.select("key", "node", "n", (F.col("own") + F.col("at")).alias("i"), "own"), "near-keys")
     maps = texts.select("node", "map")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
     whole = ["node", "n", "i", "own"]
+    follow_free = f"least(x.n, y.n) >= greatest(x.n, y.n) * {least} - {_EPS} AND least(x.n - x.i, y.n - y.i) >= (x.n + y.n) * {least / (1 + least)} - {_EPS}"  # sizes, and what can follow the key
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs(x, y) of texts under a key, without maps."""
-        once = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    def checked(once: DataFrame) -> DataFrame:
+        """once(a, b, x, y): texts met under a key, each pair once."""
         mapped = once.join(maps.withColumnsRenamed({"node": "a", "map": "ma"}), "a").join(maps.withColumnsRenamed({"node": "b", "map": "mb"}), "b")
         x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "own")} | {"map": F.col(m)} for s, m in (("x", "ma"), ("y", "mb")))
-        return materialise(_verified(mapped.where(_possible(x, y, least)), texts, least), name)
+        roots = [F.col(f"{s}.root").alias(f"r{t}") for s, t in (("x", "a"), ("y", "b"))]
+        return _verified(mapped.where(_possible(x, y, least)).select("a", "b", *roots), texts, least)
 
-    def unsettled() -> DataFrame:
+    def unsettled(roots: DataFrame) -> DataFrame:
         """Keys whose texts are in several components."""
-        roots = components(edges).withColumnsRenamed({"node": "of"})
-        rooted = keys.join(roots, F.col("node") == F.col("of"), "left").select("key", *whole, F.coalesce("root", "node").alias("root"))
+        of = roots.withColumnsRenamed({"node": "of"})
+        rooted = keys.join(of, F.col("node") == F.col("of"), "left").select("key", *whole, F.coalesce("root", "node").alias("root"))
         under = Window.partitionBy("key")
         return rooted.withColumn("least", F.min("root").over(under)).withColumn("most", F.max("root").over(under)).where("least <> most").drop("least", "most")
 
-    def follow_free(x: str, y: str) -> str:
-        """Sizes and what can follow the key; needs no map."""
-        return f"least({x}.n, {y}.n) >= greatest({x}.n, {y}.n) * {least} - {_EPS} AND least({x}.n - {x}.i, {y}.n - {y}.i) >= ({x}.n + {y}.n) * {least / (1 + least)} - {_EPS}"
+    def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """roots, after components of roots were joined: more(node, root) names some of them."""
+        both = roots.join(more.withColumnsRenamed({"node": "of", "root": "top"}), F.col("root") == F.col("of"), "full")
+        return materialise(both.select(F.coalesce("node", "of").alias("node"), F.coalesce("top", "root").alias("root")), "near-roots")
 
     under = Window.partitionBy("key").orderBy("n", "node")
-    met = keys.select(F.struct(*whole).alias("y"), F.first(F.struct(*whole)).over(under).alias("x")).where("x.node <> y.node")
-    edges = checked(met.where(follow_free("x", "y")), "near-links")
-    beside = materialise(unsettled(), "near-unsettled").select(F.struct(*whole, "root").alias("y"), F.lag(F.struct(*whole, "root")).over(under).alias("x"))
-    edges = edges.union(checked(beside.where("x.root <> y.root").where(follow_free("x", "y")), "near-links"))
-    last = materialise(unsettled(), "near-unsettled")
+    own_root = F.struct(*whole, F.col("node").alias("root"))
+    met = keys.select(own_root.alias("y"), F.first(own_root).over(under).alias("x")).where("x.node <> y.node").where(follow_free)
+    once = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.first("x").alias("x"), F.first("y").alias("y"))
+    best = once.groupBy("b").agg(F.max_by(F.struct("a", "x", "y"), F.struct("times", "a")).alias("m")).select("m.a", "b", "m.x", "m.y")
+    roots = components(checked(best))
+    rest = materialise(unsettled(roots), "near-unsettled")
+    entry = F.struct(*whole, "root")
+    beside = rest.select(entry.alias("y"), F.array(F.first(entry).over(under), F.lag(entry).over(under)).alias("xs")).select("y", F.explode("xs").alias("x")).where("x.root <> y.root").where(follow_free)
+    once = beside.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    roots = merged(roots, components(checked(once)))
+    discard(rest)
+    last = materialise(unsettled(roots), "near-unsettled")
     if last.isEmpty():
-        return edges
+        return roots
     placed = last.withColumn("place", F.row_number().over(under)).withColumn("block", F.floor(F.col("place") / BLOCK).cast("int")).join(maps, "node")
     placed = materialise(placed, "near-placed")
+    discard(keys, last)
     left = placed.select("key", "block", F.struct(*whole, "root", "map", "place").alias("x"))
     right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.struct(*whole, "root", "map", "place").alias("y"))
     x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "own", "map")} for s in "xy")
     other = (left["block"] == right["block"]) & (left["key"] == right["key"]) & (F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root"))
-    crossed = left.join(right, other & _possible(x, y, least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return edges.union(materialise(_verified(crossed, texts, least), "near-links"))
+    crossed = left.join(right, other & _possible(x, y, least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+    return merged(roots, components(_verified(crossed, texts, least)))
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
-    """id, component_id of each row with an id: components of texts whose shingles have that similarity or more."""
+def _winners(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """prints(id, h1, h2, node) of each row, and node, n (rows), win (the first of its class: smallest id, nulls last)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), *text_key(F.col(text_col)), text.alias("text"))
     prints = materialise(_nodes(rows), "near-prints")
+    rows = rows.select("id", "text")
     worth = docs.sparkSession.sparkContext.broadcast(_worth(rows, shingle, least))  # of fixed size
     texts = materialise(_candidates(_shared(_shingle_rows(rows, shingle, worth=worth)), least), "near-texts")
-    rooted = components(similar_edges(texts, least))
-    nodes = prints.groupBy("node").agg(F.min("id").alias("first_id"))
-    named = nodes.join(rooted.withColumnsRenamed({"node": "of"}), F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    rooted = similar_roots(texts, least)
+    same = prints.groupBy("node", "id", "h1", "h2").agg(F.count(F.lit(1)).alias("same"))
+    nodes = same.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "same")).alias("first"), F.sum("same").alias("n"))
+    named = nodes.join(rooted.withColumnsRenamed({"node": "of"}), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "near-nodes")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.select("node", "root"), "node").join(smallest, "root").select("id", "component_id")
+    discard(texts)
+    smallest = named.groupBy("root").agg(F.min("first").alias("win"))
+    return prints, materialise(named.select("node", "n", "root").join(smallest, "root").select("node", "n", "win"), "near-winners")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The row with the smallest id of each component, all columns kept; rows without an id stay."""
-    gone = similar_classes(docs, id_col, text_col, **settings).where("id <> component_id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
+    """id, component_id (smallest id of the class) of each row: components of texts whose shingles have that similarity or more."""
+    prints, winners = _winners(docs, id_col, text_col, shingle, least)
+    return spread_join(prints, winners, "node", "n", "id").select("id", F.col("win.id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
+    """One row of each class, all columns kept: the smallest id (nulls last), of rows of that id one text, of rows of that
+    id and text one."""
+    prints, winners = _winners(docs, id_col, text_col, shingle, least)
+    key = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
+    judged = spread_join(prints, winners, "node", "n", "id").select("id", "h1", "h2", (~key.eqNullSafe(F.struct("win.no_id", "win.id", "win.h1", "win.h2"))).alias("goes"))
+    names = {"id": "_id", "h1": "_g1", "h2": "_g2"}
+    gone = judged.where("goes").select("id", "h1", "h2").distinct().withColumnsRenamed(names)
+    h1, h2 = text_key(F.col(text_col))
+    keyed = docs.withColumns({"_h1": h1, "_h2": h2})
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    kept = keyed.join(gone, same, "left_anti")
+    again = winners.where("win.same > 1").select("win.id", "win.h1", "win.h2").distinct().withColumnsRenamed(names)
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "_h1", "_h2"]))
+    return kept.drop("_h1", "_h2")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
