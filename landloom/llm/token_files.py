@@ -11,24 +11,29 @@ neither read nor written.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import new_path
+from .token_counts import byte_letters
 
 END_ID = 1
-#: Encoded pieces that one Python worker keeps, twice.
-KEPT = 200_000
-#: Pieces encoded and handed to the writer at once, about.
-BATCH_PIECES = 150_000
+#: Encoded pieces that one Python worker keeps, twice; the caller's memory decides.
+KEPT = 400_000
+#: Runs encoded in one call.
+RUNS = 50_000
+#: Bytes of texts encoded and handed to the writer at once, about.
+BATCH_BYTES = 8 << 20
 STORED = "doc_id bigint, ord bigint, n_tokens int, ids array<int>"
 
 
@@ -38,101 +43,150 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The normaliser and pre-tokenizer for which texts may be encoded piece by piece.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+_word_and_marks = re.compile(f"([{_LETTERS}]*)([{_MARKS}]*)").fullmatch
+
+
+def fits(spec: dict) -> bool:
+    """Whether a tokenizer's file is of the kind that never joins letters across white space nor letters with marks."""
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}, {}])
+    model = spec["model"]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and len(split) == 2 and split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+        and all(t["content"].startswith("<|") for t in spec.get("added_tokens", [])) and split[1].get("type") == "ByteLevel" and not split[1].get("add_prefix_space") and not spec.get("post_processor") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and model.get("dropout") is None
+    )
+
+
 class PieceEncoder(dict):
-    """Ids (little-endian unsigned 32-bit) of the pieces of texts. The vocabulary never joins letters across white space,
-    so pieces between spaces and line ends are encoded by the library once and looked up afterwards. Lower-casing an
-    ASCII first letter changes nothing (the vocabulary does it), and a full stop or comma after letters is a token run of
-    its own: such pieces are put together from the ids of the rest and of the mark. Latin words are encoded many in one
-    text. Pieces not met since the table was last half full are forgotten."""
+    """piece -> its ids (little-endian unsigned 32-bit), by the tokenizers library.
+
+    A vocabulary that `fits` never joins letters across white space: the pieces between spaces and line ends are encoded
+    once and looked up afterwards. Pieces of Latin letters and then ASCII marks (no apostrophe) are put together from the
+    ids of the two runs, and new runs are encoded many in one call by the same model without the normaliser and the
+    pattern, whose work is done by then (lower case, a word for each run). All other pieces, and those with `<|`, of
+    which special tokens begin, go through the whole tokenizer. Any other vocabulary encodes whole texts. Pieces not met since the table of `kept` was last full are forgotten.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-
-    def encode_new(self, pieces: list[str]) -> None:
-        latin = [p for p in pieces if p.isalpha() and p.lower().isalpha() and max(p) < "\u0250"]
-        if latin:
-            e = self.tokenizer.encode(" ".join(latin), add_special_tokens=False)
-            words = np.array(e.word_ids, np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(words)]
-            ids = packed(e.ids)
-            if len(cuts) == len(latin) + 1:
-                self.update((p, ids[4 * a : 4 * b]) for p, a, b in zip(latin, cuts[:-1], cuts[1:], strict=True))
-        rest = [p for p in pieces if p not in self]
-        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self[p] = packed(e.ids)
-
-    def learn(self, missing: set[str], pieces: set[str]) -> None:
-        """Makes the missing pieces known; of a full table, only these pieces stay at hand."""
-        if len(self) > KEPT:
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer, self.kept, self.old = Tokenizer.from_file(path), kept, {}
+        with open(path, encoding="utf-8") as f:
+            self.by_piece = fits(json.load(f))
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer, self.words.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def encode_runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Runs of letters, lower-cased, or of marks."""
+        for at in range(0, len(runs), RUNS):
+            part = runs[at : at + RUNS]
+            bytewise = " ".join(part).encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = np.array(self.words.encode_batch_fast([bytewise], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the vocabulary's word ends don't match its words")
+            whole = ids.tobytes()
+            self.update((r, whole[4 * i : 4 * j]) for r, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
+
+    def learn(self, missing: list[str], wanted: list[str]) -> None:
+        """Makes the missing pieces known; of a full table, only wanted ones stay at hand."""
+        if len(self) > self.kept:
             self.old = dict(self)
             self.clear()
-        known = [p for p in pieces if p in self.old and p not in self]
+            missing = wanted
+        known = [p for p in missing if p in self.old]
         self.update(zip(known, map(self.old.pop, known), strict=True))
-        new = {p: plain(p) for p in pieces if p not in self}
-        stems = {x for stem, mark in new.values() for x in ((stem, mark) if mark else (stem,))}
-        self.encode_new([p for p in stems if p not in self])
-        for p, (stem, mark) in new.items():
-            if p not in self:
-                self[p] = self[stem] + self[mark] if mark else self[stem]
-
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """Ids of texts cut into pieces."""
-        missing: set[str] = set()
-        for t in texts:
-            missing.update(filterfalse(self.__contains__, t))
+        missing = [p for p in missing if p not in self]
+        found = list(map(_word_and_marks, missing))
+        rest = [p for p, m in zip(missing, found, strict=True) if m is None or "<|" in p]
+        plain = [(p, m[1].lower(), m[2]) for p, m in zip(missing, found, strict=True) if m is not None and "<|" not in p]
+        runs = {word for _, word, _ in plain}
+        runs.update([marks for _, _, marks in plain])
+        runs.discard("")
+        self.encode_runs([r for r in runs if r not in self])
+        self[""] = b""
+        self.update([(p, self[word] + self[marks] if marks else self[word]) for p, word, marks in plain])
+        self.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and how many each text has."""
+        gc.disable()  # hundreds of thousands of strings are made, and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_piece:
+            found = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *(np.array(x, "<u4") for x in found)]).astype("<u4"), np.array([len(x) for x in found], np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        pieces, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        known = list(map(self.get, pieces))
+        missing = [p for p, ids in zip(pieces, known, strict=True) if ids is None]
         if missing:
-            self.learn(missing, set().union(*texts) if len(self) > KEPT else missing)
-        out = [b"".join(map(self.__getitem__, t)) for t in texts]
-        for p in missing:
-            if len(p) > 64:
-                del self[p]
-        return out
+            self.learn(missing, pieces)
+            known = list(map(self.__getitem__, pieces))
+            for p in missing:
+                if len(p) > 64:
+                    del self[p]
+        flat = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        first, each = np.cumsum(size) - size, size[at]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(first[at] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(np.concatenate([[0], upto])[ends], prepend=0)
 
 
-def plain(piece: str) -> tuple[str, str]:
-    """The piece to look up, and the mark that follows it."""
-    mark = ""
-    if piece and piece[-1] in ".," and piece[:-1].isalpha() and piece[:-1].lower().isalpha():
-        piece, mark = piece[:-1], piece[-1]
-    return (piece[0].lower() + piece[1:] if piece and "A" <= piece[0] <= "Z" else piece), mark
+#: The printable letter that stands for each byte, as byte-level vocabularies have it; the space stays.
+_BYTE_LETTERS = {b: letter for b, letter in enumerate(byte_letters()) if b != 32}
 
 
 def packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+    return np.array(ids, "<u4").tobytes()
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder_for(path: str) -> PieceEncoder:
+def encoder_for(path: str, kept: int) -> PieceEncoder:
     """A worker's encoder; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders.clear()
+        _encoders[path, kept] = PieceEncoder(path, kept)
+    return _encoders[path, kept]
 
 
-def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None) -> str:
+def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, kept: int = KEPT) -> str:
     """Writes the ids of docs to ORC files under target, in ascending id order; returns target."""
-    path, end = path or vocabulary_path(), np.array([end_id], "<u4").tobytes()
+    path = path or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = encoder_for(path), 0
+        encoder, ord_at = encoder_for(path, kept), 0
         for b in batches:
-            keys, texts, first = b.column(0), b.column(1), 0
-            while first < len(texts):
-                pieces, held = [], 0
-                while first + len(pieces) < len(texts) and held < BATCH_PIECES:
-                    pieces.append(texts[first + len(pieces)].as_py().replace("\n", " ").split(" "))
-                    held += len(pieces[-1])
-                out = [ids + end for ids in encoder.encode(pieces)]
-                sizes = np.array([len(x) // 4 for x in out], np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                yield pa.RecordBatch.from_arrays([keys.slice(first, len(out)), pa.array(np.arange(at, at + len(out))), pa.array(sizes), ids], names=["doc_id", "ord", "n_tokens", "ids"])
-                at, first = at + len(out), first + len(out)
+            sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+            first = 0
+            while first < len(b):
+                held = np.cumsum(sizes[first:], dtype=np.int64)
+                n = max(1, int(np.searchsorted(held, BATCH_BYTES, side="right")))
+                ids, count = encoder.encode(b.column(1).slice(first, n))
+                with_end = np.full(len(ids) + n, end_id, "<u4")
+                with_end[np.arange(len(ids)) + np.repeat(np.arange(n), count)] = ids
+                count = count + 1
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(with_end.view("<i4")))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.arange(ord_at, ord_at + n)), pa.array(count.astype(np.int32)), lists], names=["doc_id", "ord", "n_tokens", "ids"])
+                ord_at, first = ord_at + n, first + n
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
@@ -159,22 +213,24 @@ def token_index(spark: SparkSession, source: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, from the files."""
     read = read_token_files(spark, source).select("doc_id", "ord", "file", "ids")
     found = read.mapInArrow(_checks, "doc_id bigint, ord bigint, file string, n_tokens bigint, ids_crc32 bigint")
-    totals = spark.read.schema(STORED).orc(source).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("file_tokens"))
-    found = running_sum_in_files(found, totals)
-    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+    stored = spark.read.schema(STORED).orc(source).groupBy(F.col("_metadata.file_name").alias("file"))
+    # files of one id follow each other by the number in their names, whatever its width
+    number = F.regexp_extract("file", r"^part-([0-9]+)", 1).cast("bigint")
+    totals = stored.agg(F.sum("n_tokens").alias("file_tokens"), F.min("doc_id").alias("low")).withColumn("number", number)
+    return running_sum_in_files(found, totals).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def running_sum_in_files(found: DataFrame, totals: DataFrame) -> DataFrame:
-    """Adds start. Totals has one row per file; file names rise with the ids they hold."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds start. Totals has one row per file; a file's smallest id, then its number, order the files (no id comes first)."""
+    before = Window.orderBy(F.col("low").asc_nulls_first(), "number", "file").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("file", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("file_start"))
     inside = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("in_file", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, "file").withColumn("start", F.col("in_file") + F.col("file_start"))
 
 
-def encode_and_index(docs: DataFrame, target: str | None = None) -> DataFrame:
+def encode_and_index(docs: DataFrame, target: str | None = None, kept: int = KEPT) -> DataFrame:
     spark = docs.sparkSession
-    return token_index(spark, write_token_files(docs, target or new_path(spark, "token-ids")))
+    return token_index(spark, write_token_files(docs, target or new_path(spark, "token-ids"), kept=kept))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

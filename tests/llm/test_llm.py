@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -180,15 +182,26 @@ def test_tokens_match_the_library(name, count):
 
     path = token_counts.vocabulary_path(name)
     rng = random.Random(1)
-    letters = "ab Z'st\t\n\r\x0b\x1c\x85\xa0́éÉ½²٣日🙂<|>_-9.,İß"
+    letters = "ab Z'stéÑ#&*\t\n\r\x0b\x1c\x85\xa0́éÉ½²٣日🙂<|>_-9.,İß"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["a<|endoftext|> b", "x" * 5000, " " * 300, "", *map(str, TEXTS)]
     wanted = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     if count:
         m = token_counts.MergeCounter(path)
         assert [m.count(t) for t in texts] == list(map(len, wanted))
     else:
-        e = token_files.PieceEncoder(path)
-        assert e.encode([t.replace("\n", " ").split(" ") for t in texts]) == [token_files.packed(w) for w in wanted]
+        for kept in (400_000, 50):  # a table that is full at once
+            e = token_files.PieceEncoder(path, kept)
+            for at in range(0, len(texts), 500):
+                ids, sizes = e.encode(pa.array(texts[at : at + 500]))
+                assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted[at : at + 500]
+
+
+def test_other_vocabularies_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary_path("byte_bpe_50k.json")
+    ids, sizes = token_files.PieceEncoder(path).encode(pa.array(["one two  three", "", "A b"]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(["one two  three", "", "A b"], add_special_tokens=False)]
 
 
 def test_token_counts_rows(spark):
@@ -238,8 +251,6 @@ def test_language(spark):
 def test_forward_backward_is_exact():
     import itertools
 
-    import numpy as np
-
     f = language.Field(["a", "b", "c"], {})
     rng = np.random.default_rng(0)
     f.moves = rng.normal(size=(3, 3))
@@ -346,8 +357,6 @@ def test_scoring(spark):
 
 
 def test_model_is_normalised_and_learns():
-    import numpy as np
-
     share = np.log(np.array([0.1, 0.1, 0.4, 0.4]))
     m = scoring.LogBilinear(share, 8)
     context, target = np.array([10, 15] * 200), np.array([3, 2] * 200)  # word 3 after (2, 2), word 2 after (3, 3)
