@@ -46,7 +46,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 #: The normaliser and pre-tokenizer for which texts may be encoded piece by piece.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"!-&(-/:-@\[-`{-~"
 _word_and_marks = re.compile(f"([{_LETTERS}]*)([{_MARKS}]*)").fullmatch
 
 
