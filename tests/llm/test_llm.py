@@ -356,16 +356,56 @@ def test_scoring(spark):
     assert scoring.score(empty(spark)).count() == 0
 
 
-def test_model_is_normalised_and_learns():
-    share = np.log(np.array([0.1, 0.1, 0.4, 0.4]))
-    m = scoring.LogBilinear(share, 8)
-    context, target = np.array([10, 15] * 200), np.array([3, 2] * 200)  # word 3 after (2, 2), word 2 after (3, 3)
-    for k in range(4):
-        m.train(context, target, np.ones(400, np.int64), k, 0.1)
-    z = m.normalisers()
-    q = (m.R * m.c[0])[[2]] + (m.R * m.c[1])[[2]]
-    p = np.exp(q @ m.Q.T + m.bias - z[10])
-    assert p.sum() == pytest.approx(1, abs=1e-5) and p[0, 3] > 0.7
+def test_model_score_by_brute_force(spark):
+    """Token by token from the parameters: both steps summed over all ids and over all words of a class, and the unmet."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing", "et", str(rng.randrange(90))]) for _ in range(rng.randrange(90))) for _ in range(60)] + TEXTS
+    d = docs(spark, texts)
+    _, counted, f = scoring.fit(d)
+    m, top = f.model, f.top.to_pylist()
+    c = {bytes(r.word): r.c for r in counted.where("word IS NOT NULL").collect()}
+    kind = lambda w: int(scoring.forms(pa.array([w], pa.binary()))[0][0])
+    form = lambda w: m.form[scoring.forms(pa.array([w], pa.binary()))[1][0]].astype(float).sum(0)
+    number = lambda w: 0 if w == b"\n" else top.index(w) + 1 if w in top else 1 + len(top) + kind(w)
+    tail = [w for w in c if number(w) > len(top)]
+
+    def chance(u, v, w):
+        q = m.R[u] * m.c[0] + m.R[v] * m.c[1]
+        s = np.array([q.astype(float) @ m.Q[k] + m.bias[k] for k in range(len(m.bias))])
+        p = math.exp(s[number(w)]) / np.exp(s).sum()
+        if number(w) <= len(top):
+            return p
+        head = m.inner[v if v < scoring.HEADS else scoring.HEADS + v % scoring.REST].astype(float)
+        weight = {x: (c[x] + 1) * math.exp(head @ form(x)) for x in tail if kind(x) == kind(w)}
+        return p * weight.get(w, 1) / (1 + sum(weight.values()))
+
+    got = {r.id: r.score for r in scoring.score(d).collect()}
+    assert m.bias.shape == (1 + len(top) + scoring.CLASSES,)
+    for i in [*range(0, 60, 7), *range(60, len(texts))]:
+        w = [x.encode() for x in words(texts[i])] + [b"\n"]
+        n = [0, 0, *map(number, w)]
+        assert got[i] == pytest.approx(sum(math.log10(chance(n[k], n[k + 1], x)) for k, x in enumerate(w)), rel=1e-4)
+
+
+def test_model_learns(monkeypatch):
+    monkeypatch.setattr(scoring, "NOISE", 8)
+    m = scoring.LogBilinear(np.log(np.array([0.1, 0.1, 0.4, 0.4])), 3)
+    u, w = np.array([2, 3] * 200), np.array([3, 2] * 200)  # word 3 after (2, 2), word 2 after (3, 3)
+    for k in range(300):
+        m.train(u, u, w, np.random.default_rng(k), 0.1)
+    a, b, norm = m.tables()
+    p = np.exp(a[2] + b[2] - norm[2, 2])
+    assert p.sum() == pytest.approx(1, abs=1e-5) and p[3] > 0.7
+    for _ in range(300):  # form 5 after head 1, against form 6
+        m.train_inner(np.full(50, 1), np.full((50, 3), 5), np.full((50, 1, 3), 6), 0.1)
+    assert m.factors(np.array([[5] * 3]))[0, 1] > 3 * m.factors(np.array([[6] * 3]))[0, 1]
+
+
+def test_parts_are_merged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "FAN", 3)
+    parts = spark.createDataFrame([(i, float(i + 1), np.array([i, 2.0 * i]).tobytes()) for i in range(20)], scoring.PART)
+    weight, mean = scoring.tree_mean(parts, 20)
+    assert weight == 210 and mean == pytest.approx(np.array([1, 2]) * sum(i * (i + 1) for i in range(20)) / 210)
 
 
 # mixing
@@ -388,6 +428,55 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mixed(d).columns == d.columns
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and repeated ids: each row keeps its own verdict."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    fine, near = " ".join(WORDS * 9), " ".join(WORDS * 9) + " end"
+    rows = [(None, item), (None, fine), (5, item), (5, fine), (5, fine), (5, None), (6, near), (None, near)]
+    d = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(r.n_chars for r in df.collect())
+    assert left(decontamination.clean(d, items)) == [1, 3, 4, 5, 6, 7]
+    kept = left(simhash.drop_near_duplicates(d))
+    assert len(kept) == 3 and {2, 5} < set(kept) and {3, 4} & set(kept)
+    taken = defaultdict(int)
+    for r in mixing.mixed(d, block=4).collect():
+        taken[r.n_chars] += 1
+    assert 5 not in taken and set(taken) <= set(range(8)) and taken[3] == taken[4]
+    langs = spark.createDataFrame([(None, "the and of with road house", "en"), (None, "12", "en"), (3, "the and of", "en"), (3, "??", None)] * 3, "doc_id long, text string, lang string")
+    assert {r.text for r in language.keep_languages(langs).collect()} == {"the and of with road house", "the and of"}
+
+
+def test_links_of_crowded_segments(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    fps = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (1 << 64) - 1 for b in base for _ in range(120)}
+    fps |= {base[0] ^ rng.getrandbits(32) for _ in range(150)} | {base[1] ^ rng.getrandbits(32) << 32 for _ in range(150)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for crowd in (64, 5):
+        assert {(r.a, r.b) for r in simhash.links(nodes, crowd).collect()} == want and len(want) > 100
+
+
+def test_forest_keeps_components(spark):
+    rng = random.Random(10)
+    e = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    less = components.forest(spark.createDataFrame(e, "a long, b long").coalesce(1)).collect()
+    find = lambda pairs: {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert find(e) == find([(r.a, r.b) for r in less]) and len(less) < len({x for p in e for x in p})
+
+
+def test_all_runs_of_letters_are_words(spark):
+    assert language.words_of("und/oder,HELLO") == ["und", "oder", "hello"] and language.words_of("123") == []
+    assert language.words_of("中文字,很") == ["中文", "字", "很"] and max(map(len, language.words_of("x" * 5000))) == 40
+    texts = ["the/and/of/with/road", "der,und,mit,straße", "the and of der und mit straße"] * 30
+    d = spark.createDataFrame([(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.id: [(w.word, w.lang) for w in r.words] for r in language.label_words(d).collect()}
+    assert got[2] == [(w, "en") for w in ("the", "and", "of")] + [(w, "de") for w in ("der", "und", "mit", "straße")]
+    assert [w for w, _ in got[0]] == ["the", "and", "of", "with", "road"]
+
+
 def test_mixing_sql(spark):
     assert difference(mixing.query(spark, SF).toPandas(), oracle_rows(SF, mixing.ORACLE)) == ""
 
