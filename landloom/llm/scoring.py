@@ -46,7 +46,7 @@ BATCH = 4096
 ROUNDS = 3  # each over its third of the documents
 RATE = 0.08
 FAN = 32  # parts merged at once
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 END = b"\n"  # no word holds a line end
 STEP = 200_000  # tokens scored at once
 
@@ -111,14 +111,14 @@ class Chunk:
         raw = np.frombuffer(get("tokens").as_buffer(), np.uint8).reshape(int(sizes.sum()), -1)
         wide = np.zeros((len(raw), 4), np.uint8)
         wide[:, : raw.shape[1]] = raw
-        self.tokens = wide.view("<u4")[:, 0].astype(np.int64)
+        self.tokens = wide.view("<i4")[:, 0]
         self.words = get("words").values
 
     def before(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the word before last and of the last word of each token; the end stands before a text."""
-        last = np.concatenate([[0], ids[:-1]])
+        last = np.roll(ids, 1)
         last[self.first] = 0
-        two = np.concatenate([[0], last[:-1]])
+        two = np.roll(last, 1)
         two[self.first] = 0
         return two, last
 
@@ -148,7 +148,7 @@ def forms(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_ids(words: pa.Array, top: pa.Array, kinds: np.ndarray) -> np.ndarray:
     """First-step id of each word: 0 the end, then the top words, then the classes."""
     listed = pc.index_in(words, value_set=top).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = np.where(listed >= 0, listed + 1, 1 + len(top) + kinds)
+    ids = np.where(listed >= 0, listed + 1, 1 + len(top) + kinds).astype(np.int32)
     ids[pc.equal(words, pa.scalar(END, words.type)).to_numpy(zero_copy_only=False)] = 0
     return ids
 
