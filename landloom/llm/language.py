@@ -32,10 +32,10 @@ EPOCHS = 6
 RATE = 0.3
 #: A word is in a label's lexicon when the label has this share of its sampled uses.
 LEXICON_SHARE = 0.8
-#: Words whose emissions one Python worker keeps; emptied when full.
-KEPT = 200_000
+#: Tokens whose emissions one Python worker keeps; emptied when full.
+KEPT = 120_000
 #: Words labelled at once.
-STEP_WORDS = 400_000
+STEP_WORDS = 200_000
 MIN_SCORE = 0.4
 
 #: Scripts written without spaces: their runs of letters are cut into pairs. Other runs are cut after 40 letters.
@@ -280,8 +280,12 @@ def _fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     return docs.sparkSession.sparkContext.broadcast(train(training_windows(docs, id_col, text_col, lang_col, sample)))
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def _slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches of a bounded number of rows, and the texts of their column `at`."""
+    for b in batches:
+        for first in range(0, len(b), rows):
+            part = b.slice(first, rows)
+            yield part, [t or "" for t in part.column(at).to_pylist()]
 
 
 def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -290,8 +294,7 @@ def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value) if shared.value is not None else None
-        for b in batches:
-            texts = _texts(b.column(1))
+        for b, texts in _slices(batches, 1):
             found = labeller.label(texts) if labeller is not None else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["id", "lang_pred", "score"])
 
@@ -307,8 +310,8 @@ def label_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value) if shared.value is not None else None
-        for b in batches:
-            found = labeller.label_words(_texts(b.column(1))) if labeller is not None else [[]] * len(b)
+        for b, texts in _slices(batches, 1):
+            found = labeller.label_words(texts) if labeller is not None else [[]] * len(b)
             words = pa.array([[{"word": w, "lang": k, "p": p} for w, k, p in own] for own in found], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), words], names=["id", "words"])
 
@@ -322,9 +325,9 @@ def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value) if shared.value is not None else None
-        for b in batches:
+        for b, texts in _slices(batches, at):
             if labeller is not None:
-                yield b.filter(pa.array([k != "und" and p >= min_score for k, p in labeller.label(_texts(b.column(at)))], pa.bool_()))
+                yield b.filter(pa.array([k != "und" and p >= min_score for k, p in labeller.label(texts)], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 

@@ -17,8 +17,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,14 +114,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return spread_join(prints, classes, "fp", "n", "id").select("id", "fp", "component_id")
 
 
-#: Near-duplicates by shingle similarity, found exactly. Shingles are put in one order, rarest first; two texts of that
-#: similarity share one of their first n - ceil(least * n) + 1 shingles, whatever their length or the number of texts.
+#: Near-duplicates by shingle similarity, found exactly. Shingles are put in one order, about rarest first; two texts of
+#: that similarity share one of their first n - ceil(least * n) + 1 shingles, whatever their length or the number of texts.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 #: Longs of a text's parity map: each shared shingle flips one bit, so two maps differ in no more bits than shingles.
 MAP_LONGS = 8
 #: Texts of a crowded key that meet in one block of pairs.
 BLOCK = 2000
+#: Slots in which texts' shingles are counted; a shingle of many texts stands out from its slot's mean. MERGED tasks' counts meet.
+SLOTS, MERGED = 1 << 20, 16
 #: Bits of the map of texts worth a whole look, of fixed size: where texts outgrow it, it drops fewer of them, none wrongly.
 WORTH_BITS, PAGE_BITS = 1 << 26, 1 << 15
 _EPS = 1e-9
@@ -145,51 +149,86 @@ def _needed(n: int, least: float) -> int:
     return math.ceil(least * n - _EPS)
 
 
-def _shingle_rows(rows: DataFrame, shingle: int, taken=None, worth=None) -> DataFrame:
-    """key, node, n (distinct shingles of the text) of each of the first taken(n) shingles in the order of their hashes, of
-    the texts in the map `worth` if given; copies in one task give theirs once."""
+def _hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """A text's distinct shingle hashes, in order."""
+    return np.unique(shingle_hashes(raw, shingle, SEED))
+
+
+def _commonness(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts hold a shingle of each slot, summed over all rows. Vectors of fixed size meet MERGED at a time."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        out = np.zeros(SLOTS, np.uint32)
         for b in batches:
-            nodes, sizes, keys, held = [], [], [], 0
             for text in b.column(1):
                 raw = text.as_py()
                 node = _digest(b" ".join(raw.lower().split()))
-                slot = node % WORTH_BITS
-                if node in seen or worth is not None and not worth.value[slot >> 3] >> (slot & 7) & 1:
+                if node not in seen:
+                    seen.add(node)
+                    np.add.at(out, (_hashes(raw, shingle) % np.uint64(SLOTS)).astype(np.int64), 1)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "flat"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(SLOTS, np.uint32)
+        for flat in pdf["flat"]:
+            out += np.frombuffer(flat, np.uint32)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // MERGED], "flat": [out.tobytes()]})
+
+    parts, count = rows.mapInArrow(each, "part int, flat binary"), rows.rdd.getNumPartitions()
+    while count > 1:
+        parts, count = parts.groupBy(F.expr(f"part div {MERGED}")).applyInPandas(merge, "part int, flat binary"), -(-count // MERGED)
+    found = parts.collect()  # one vector
+    return np.frombuffer(found[0].flat, np.uint32) if found else np.zeros(SLOTS, np.uint32)
+
+
+def _prefix_rows(rows: DataFrame, shingle: int, least: float, common) -> DataFrame:
+    """key, node, n (distinct shingles), i (its place) of each of the first n - needed + 1 shingles of each text, in the order
+    of how common their slot is, then of their hashes; copies in one task give theirs once."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        nodes, sizes, keys, held = [], [], [], 0
+        for b in batches:
+            for text in b.column(1):
+                raw = text.as_py()
+                node = _digest(b" ".join(raw.lower().split()))
+                if node in seen:
                     continue
                 seen.add(node)
-                own = np.unique(shingle_hashes(raw, shingle, SEED)).view(np.int64)
-                sizes.append(len(own))
-                keys.append(own if taken is None else own[: taken(len(own))])
-                nodes.append(node)
-                held += len(keys[-1])
+                own = _hashes(raw, shingle)
+                if len(own):
+                    rank = common.value[(own % np.uint64(SLOTS)).astype(np.int64)]
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    keys.append(own[np.argsort(rank, kind="stable")[: len(own) - _needed(len(own), least) + 1]].view(np.int64))
+                    held += len(keys[-1])
                 if held > 200_000:
                     yield _exploded(nodes, sizes, keys)
                     nodes, sizes, keys, held = [], [], [], 0
-            yield _exploded(nodes, sizes, keys)
+        yield _exploded(nodes, sizes, keys)
 
-    return rows.mapInArrow(each, "key bigint, node bigint, n int")
+    return rows.mapInArrow(each, "key bigint, node bigint, n int, i int")
 
 
 def _exploded(nodes: list[int], sizes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
     each = np.array([len(k) for k in keys], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *keys])
-    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["key", "node", "n"])
+    flat, place = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in each)])
+    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(place)], names=["key", "node", "n", "i"])
 
 
-def _shared(shingles: DataFrame) -> DataFrame:
-    """The shingles that two texts or more have, with df, the number of their rows."""
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """The rows of keys that two texts or more have; a text's row once."""
     under = Window.partitionBy("key")
-    counted = shingles.withColumn("df", F.count(F.lit(1)).over(under)).withColumn("least", F.min("node").over(under)).withColumn("most", F.max("node").over(under))
-    return counted.where("least <> most").drop("least", "most")
+    bounds = prefixes.withColumn("least", F.min("node").over(under)).withColumn("most", F.max("node").over(under))
+    return bounds.where("least <> most").select("key", "node", "n", "i").distinct()
 
 
-def _worth(rows: DataFrame, shingle: int, least: float) -> np.ndarray:
-    """A map of the texts that share one of their first shingles in the order of hashes: no other has a partner."""
-    first = _shingle_rows(rows, shingle, lambda n: n - _needed(n, least) + 1 if n else 0)
-    slots = _shared(first).select(F.pmod("node", F.lit(WORTH_BITS)).alias("slot")).distinct()
+def _worth(keys: DataFrame) -> np.ndarray:
+    """A map of the texts that have a key: others need not be looked at. Of fixed size: where texts outgrow it, it drops
+    fewer of them, none wrongly."""
+    slots = keys.select(F.pmod("node", F.lit(WORTH_BITS)).alias("slot")).distinct()
     page, at = F.floor(F.col("slot") / PAGE_BITS).alias("page"), (F.col("slot") % PAGE_BITS).alias("at")
     pages = slots.select(page, at).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect()  # WORTH_BITS at most
     out = np.zeros(WORTH_BITS // 8, np.uint8)
@@ -198,54 +237,34 @@ def _worth(rows: DataFrame, shingle: int, least: float) -> np.ndarray:
     return out
 
 
-def _candidates(shared: DataFrame, least: float) -> DataFrame:
-    """node, n, own (shingles no other text has), map, keys (the shared ones, rarest first), first (how many of keys are
-    in the prefix) of each text that can have a partner: one most of whose shingles are shared."""
-
-    def text(node: int, n: int, keys: np.ndarray) -> tuple | None:
-        need = _needed(n, least)
-        if len(keys) < need:
-            return None
-        bits = np.bincount(keys.view(np.uint64) % np.uint64(64 * MAP_LONGS), minlength=64 * MAP_LONGS) % 2
-        return node, n, n - len(keys), np.packbits(bits.astype(np.uint8)).view("<i8").tolist(), keys.tolist(), len(keys) - need + 1
-
-    def batch(found: list) -> pa.RecordBatch:
-        good = [x for x in found if x is not None]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*good, strict=True)) or [()] * 6, _CANDIDATE.types, strict=True)], schema=_CANDIDATE)
+def _whole_texts(rows: DataFrame, shingle: int, worth) -> DataFrame:
+    """node, n, map, keys (all shingle hashes, in order) of each text in the map `worth`."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        for b in batches:
-            held = [np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, ("node", "n", "key"), strict=True)]
-            starts = np.flatnonzero(np.diff(held[0], prepend=held[0][:1] ^ 1))
-            yield batch([text(int(held[0][i]), int(held[1][i]), held[2][i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)])
-            if len(starts):
-                held = [h[starts[-1] :] for h in held]
-        if len(held[0]):
-            yield batch([text(int(held[0][0]), int(held[1][0]), held[2])])
-
-    # a copy of a text in another task gives the same rows again
-    once = shared.repartition("node").sortWithinPartitions("node", "df", "key").select("node", "n", "key")
-    return once.mapInArrow(_without_repeats(each), "node bigint, n int, own int, map array<bigint>, keys array<bigint>, first int")
-
-
-def _without_repeats(each):
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen: set[int] = set()
         for b in batches:
-            node, key = (b.column(c).to_numpy() for c in ("node", "key"))
-            if not len(node):
-                continue
-            new = np.ones(len(node), bool)
-            new[1:] = (node[1:] != node[:-1]) | (key[1:] != key[:-1])
-            new[0] = last != (node[0], key[0])
-            last = node[-1], key[-1]
-            yield b.filter(pa.array(new))
+            found = []
+            for text in b.column(1):
+                raw = text.as_py()
+                node = _digest(b" ".join(raw.lower().split()))
+                slot = node % WORTH_BITS
+                if node not in seen and worth.value[slot >> 3] >> (slot & 7) & 1:
+                    seen.add(node)
+                    keys = _hashes(raw, shingle)
+                    bits = np.bincount((keys % np.uint64(64 * MAP_LONGS)).astype(np.int64), minlength=64 * MAP_LONGS) % 2
+                    found.append((node, len(keys), np.packbits(bits.astype(np.uint8)).view("<i8"), keys.view(np.int64)))
+                if len(found) >= 500:
+                    yield _texts_batch(found)
+                    found = []
+            yield _texts_batch(found)
 
-    return lambda batches: each(clean(batches))
+    return rows.mapInArrow(each, "node bigint, n int, map array<bigint>, keys array<bigint>").dropDuplicates(["node"])
 
 
-_CANDIDATE = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("map", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("first", pa.int32())])
+def _texts_batch(found: list[tuple]) -> pa.RecordBatch:
+    n = np.array([f[1] for f in found], np.int32)
+    lists = lambda at, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(f[at] for f in found)])))
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(n), lists(2, np.full(len(found), MAP_LONGS)), lists(3, n)], names=["node", "n", "map", "keys"])
 
 
 def _possible(a, b, least: float):
@@ -254,11 +273,11 @@ def _possible(a, b, least: float):
     sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - _EPS
     follow = F.least(a["n"] - a["i"], b["n"] - b["i"]) >= total * (least / (1 + least)) - _EPS
     differ = F.aggregate(F.zip_with(a["map"], b["map"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return sizes & follow & (a["own"] + b["own"] + differ <= total * ((1 - least) / (1 + least)) + _EPS)
+    return sizes & follow & (differ <= total * ((1 - least) / (1 + least)) + _EPS)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """a, b: the roots (ra, rb) of the pairs (a, b) whose similarity is at least `least`; shingles that no other text has can't be common."""
+    """a, b: the roots (ra, rb) of the pairs (a, b) whose similarity is at least `least`."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,8 +293,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "ra", "rb").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint")
 
 
-def similar_roots(texts: DataFrame, least: float) -> DataFrame:
-    """texts as _candidates gives them -> node, root of each text that another is similar to; root is their smallest node.
+def similar_roots(keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """keys(key, node, n, i), stored, and texts(node, n, map, keys) -> node, root of each text that another is similar to; root is their smallest node.
 
     First each text meets one other: the text that comes first under most of its keys. Then, under keys whose texts are
     in several components, each meets the first one and the one before it; then, under keys that still hold several
@@ -283,16 +302,14 @@ def similar_roots(texts: DataFrame, least: float) -> DataFrame:
     linked, and a family in which all pairs are similar makes about one comparison for each text. Between the steps the
     components found so far stand for their texts.
     """
-    listed = texts.select("node", "n", "own", F.posexplode(F.slice("keys", F.lit(1), F.col("first"))).alias("at", "key"))
-    keys = materialise(listed.select("key", "node", "n", (F.col("own") + F.col("at")).alias("i"), "own"), "near-keys")
     maps = texts.select("node", "map")
-    whole = ["node", "n", "i", "own"]
+    whole = ["node", "n", "i"]
     follow_free = f"least(x.n, y.n) >= greatest(x.n, y.n) * {least} - {_EPS} AND least(x.n - x.i, y.n - y.i) >= (x.n + y.n) * {least / (1 + least)} - {_EPS}"  # sizes, and what can follow the key
 
     def checked(once: DataFrame) -> DataFrame:
         """once(a, b, x, y): texts met under a key, each pair once."""
         mapped = once.join(maps.withColumnsRenamed({"node": "a", "map": "ma"}), "a").join(maps.withColumnsRenamed({"node": "b", "map": "mb"}), "b")
-        x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "own")} | {"map": F.col(m)} for s, m in (("x", "ma"), ("y", "mb")))
+        x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i")} | {"map": F.col(m)} for s, m in (("x", "ma"), ("y", "mb")))
         roots = [F.col(f"{s}.root").alias(f"r{t}") for s, t in (("x", "a"), ("y", "b"))]
         return _verified(mapped.where(_possible(x, y, least)).select("a", "b", *roots), texts, least)
 
@@ -328,7 +345,7 @@ def similar_roots(texts: DataFrame, least: float) -> DataFrame:
     discard(keys, last)
     left = placed.select("key", "block", F.struct(*whole, "root", "map", "place").alias("x"))
     right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.struct(*whole, "root", "map", "place").alias("y"))
-    x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "own", "map")} for s in "xy")
+    x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "map")} for s in "xy")
     other = (left["block"] == right["block"]) & (left["key"] == right["key"]) & (F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root"))
     crossed = left.join(right, other & _possible(x, y, least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
     return merged(roots, components(_verified(crossed, texts, least)))
@@ -340,9 +357,12 @@ def _winners(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), *text_key(F.col(text_col)), text.alias("text"))
     prints = materialise(_nodes(rows), "near-prints")
     rows = rows.select("id", "text")
-    worth = docs.sparkSession.sparkContext.broadcast(_worth(rows, shingle, least))  # of fixed size
-    texts = materialise(_candidates(_shared(_shingle_rows(rows, shingle, worth=worth)), least), "near-texts")
-    rooted = similar_roots(texts, least)
+    context = docs.sparkSession.sparkContext
+    common = context.broadcast(_commonness(rows, shingle))  # of fixed size, as is worth
+    keys = materialise(_shared(_prefix_rows(rows, shingle, least, common)), "near-keys")
+    worth = context.broadcast(_worth(keys))
+    texts = materialise(_whole_texts(rows, shingle, worth), "near-texts")
+    rooted = similar_roots(keys, texts, least)
     same = prints.groupBy("node", "id", "h1", "h2").agg(F.count(F.lit(1)).alias("same"))
     nodes = same.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "same")).alias("first"), F.sum("same").alias("n"))
     named = nodes.join(rooted.withColumnsRenamed({"node": "of"}), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))
