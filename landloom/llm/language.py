@@ -286,6 +286,7 @@ def _slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = 1000) -> Ite
         for first in range(0, len(b), rows):
             part = b.slice(first, rows)
             yield part, [t or "" for t in part.column(at).to_pylist()]
+    pa.default_memory_pool().release_unused()  # the worker stays for the stages that follow
 
 
 def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:

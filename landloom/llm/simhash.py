@@ -208,6 +208,7 @@ def _prefix_rows(rows: DataFrame, shingle: int, least: float, common) -> DataFra
                     yield _exploded(nodes, sizes, keys)
                     nodes, sizes, keys, held = [], [], [], 0
         yield _exploded(nodes, sizes, keys)
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(each, "key bigint, node bigint, n int, i int")
 
@@ -257,6 +258,7 @@ def _whole_texts(rows: DataFrame, shingle: int, worth) -> DataFrame:
                     yield _texts_batch(found)
                     found = []
             yield _texts_batch(found)
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(each, "node bigint, n int, map array<bigint>, keys array<bigint>").dropDuplicates(["node"])
 

@@ -31,8 +31,8 @@ END_ID = 1
 #: Encoded pieces that one Python worker keeps, twice; the caller's memory decides.
 KEPT = 400_000
 #: Runs encoded in one call.
-RUNS = 50_000
-#: Bytes of texts encoded and handed to the writer at once, about.
+RUNS = 20_000
+#: Bytes of texts encoded and handed to the writer at once, about; a worker takes some 350 MB with 2 MB and 500 MB with 8 MB.
 BATCH_BYTES = 8 << 20
 STORED = "doc_id bigint, ord bigint, n_tokens int, ids array<int>"
 
@@ -168,7 +168,7 @@ def encoder_for(path: str, kept: int) -> PieceEncoder:
     return _encoders[path, kept]
 
 
-def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, kept: int = KEPT) -> str:
+def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, kept: int = KEPT, batch_bytes: int = BATCH_BYTES) -> str:
     """Writes the ids of docs to ORC files under target, in ascending id order; returns target."""
     path = path or vocabulary_path()
 
@@ -179,7 +179,7 @@ def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text
             first = 0
             while first < len(b):
                 held = np.cumsum(sizes[first:], dtype=np.int64)
-                n = max(1, int(np.searchsorted(held, BATCH_BYTES, side="right")))
+                n = max(1, int(np.searchsorted(held, batch_bytes, side="right")))
                 ids, count = encoder.encode(b.column(1).slice(first, n))
                 with_end = np.full(len(ids) + n, end_id, "<u4")
                 with_end[np.arange(len(ids)) + np.repeat(np.arange(n), count)] = ids
@@ -228,9 +228,9 @@ def running_sum_in_files(found: DataFrame, totals: DataFrame) -> DataFrame:
     return found.withColumn("in_file", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, "file").withColumn("start", F.col("in_file") + F.col("file_start"))
 
 
-def encode_and_index(docs: DataFrame, target: str | None = None, kept: int = KEPT) -> DataFrame:
+def encode_and_index(docs: DataFrame, target: str | None = None, kept: int = KEPT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     spark = docs.sparkSession
-    return token_index(spark, write_token_files(docs, target or new_path(spark, "token-ids"), kept=kept))
+    return token_index(spark, write_token_files(docs, target or new_path(spark, "token-ids"), kept=kept, batch_bytes=batch_bytes))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
