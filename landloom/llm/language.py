@@ -33,9 +33,9 @@ RATE = 0.3
 #: A word is in a label's lexicon when the label has this share of its sampled uses.
 LEXICON_SHARE = 0.8
 #: Tokens whose emissions one Python worker keeps; emptied when full.
-KEPT = 120_000
+KEPT = 80_000
 #: Words labelled at once.
-STEP_WORDS = 200_000
+STEP_WORDS = 100_000
 MIN_SCORE = 0.4
 
 #: Scripts written without spaces: their runs of letters are cut into pairs. Other runs are cut after 40 letters.
@@ -209,7 +209,7 @@ class Labeller(dict):
         real = list(place)
         rows = [self.table] if len(self) else []
         if real:
-            emitted = np.concatenate([self.field.word_emissions(real[at : at + 50_000]) for at in range(0, len(real), 50_000)]).astype(np.float32)
+            emitted = np.concatenate([self.field.word_emissions(real[at : at + 10_000]) for at in range(0, len(real), 10_000)]).astype(np.float32)
             rows.append(emitted[[place[w] for f in found for w in f]])
         count = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.concatenate([self.first, len(self.table) + np.cumsum(count) - count])

@@ -168,12 +168,13 @@ def encoder_for(path: str, kept: int) -> PieceEncoder:
     return _encoders[path, kept]
 
 
-def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, kept: int = KEPT, batch_bytes: int = BATCH_BYTES) -> str:
-    """Writes the ids of docs to ORC files under target, in ascending id order; returns target."""
+def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, kept: int = KEPT, batch_bytes: int = BATCH_BYTES, across_tasks: bool = True) -> str:
+    """Writes the ids of docs to ORC files under target, in ascending id order; returns target. Encoded pieces are kept
+    from task to task in a worker if across_tasks, which costs its memory afterwards."""
     path = path or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ord_at = encoder_for(path, kept), 0
+        encoder, ord_at = encoder_for(path, kept) if across_tasks else PieceEncoder(path, kept), 0
         for b in batches:
             sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
             first = 0
@@ -187,6 +188,7 @@ def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(with_end.view("<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.arange(ord_at, ord_at + n)), pa.array(count.astype(np.int32)), lists], names=["doc_id", "ord", "n_tokens", "ids"])
                 ord_at, first = ord_at + n, first + n
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
@@ -228,9 +230,9 @@ def running_sum_in_files(found: DataFrame, totals: DataFrame) -> DataFrame:
     return found.withColumn("in_file", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, "file").withColumn("start", F.col("in_file") + F.col("file_start"))
 
 
-def encode_and_index(docs: DataFrame, target: str | None = None, kept: int = KEPT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def encode_and_index(docs: DataFrame, target: str | None = None, kept: int = KEPT, batch_bytes: int = BATCH_BYTES, across_tasks: bool = True) -> DataFrame:
     spark = docs.sparkSession
-    return token_index(spark, write_token_files(docs, target or new_path(spark, "token-ids"), kept=kept, batch_bytes=batch_bytes))
+    return token_index(spark, write_token_files(docs, target or new_path(spark, "token-ids"), kept=kept, batch_bytes=batch_bytes, across_tasks=across_tasks))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
