@@ -60,8 +60,11 @@ def consecutive_failures(runs: DataFrame, key: str = "source_id", at: str = "ts"
     return j.groupBy(key).agg(F.count_if(~F.col("ok") & after).alias("failures"), F.count(F.lit(1)).alias("runs"), F.max_by("ok", place).alias("last_ok"))
 
 
-def run_status(errors: Column, items: Column, fatal: Column) -> Column:
-    return F.when(fatal, "failed").when((errors > 0) & (errors >= items), "failed").when(errors > 0, "partial").otherwise("succeeded")
+def run_status(errors: Column, discovered: Column, downloaded: Column, fatal: Column) -> Column:
+    """fatal: the message that ended the run, or null; one of a blocked source doesn't fail it. Errors alone fail a run
+    that found nothing and fetched nothing."""
+    failed = fatal.isNotNull() & ~F.coalesce(fatal.startswith("blocked:"), F.lit(False))
+    return F.when(failed, "failed").when((errors > 0) & (discovered == 0) & (downloaded == 0), "failed").when(errors > 0, "partial").otherwise("succeeded")
 
 
 def due_sources(sources: DataFrame, states: DataFrame, now: Column) -> DataFrame:

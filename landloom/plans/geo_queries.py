@@ -182,17 +182,17 @@ def provenance_summary(spark, sf):
     return found.select("id", "p.layer_name", "p.dataset_name", "p.derivation_level", "p.source_key")
 
 
-_EDGES = "SELECT DISTINCT 'o' || l_orderkey AS child, 'p' || (l_partkey % 50) AS parent FROM lineitem WHERE l_orderkey % 40 = 0 UNION SELECT DISTINCT 'p' || (l_partkey % 50), 's' || (l_suppkey % 20) FROM lineitem WHERE l_partkey % 3 = 0"
+_EDGES = "SELECT DISTINCT 'o' || l_orderkey AS child, 'p' || l_partkey AS parent FROM lineitem UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
 
 
 @query("provenance_bfs", f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT DISTINCT child AS root, child AS node, 0 AS depth FROM e WHERE child LIKE 'o%' UNION SELECT root, parent, depth + 1 FROM w JOIN e ON e.child = w.node WHERE depth < 50)
 SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY root, node""")
 def provenance_bfs(spark, sf):
-    li = table(spark, sf, "lineitem")
-    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    a = li.where("l_orderkey % 40 = 0").select(s("o", F.col("l_orderkey")).alias("child"), s("p", F.col("l_partkey") % 50).alias("parent"))
-    b = li.where("l_partkey % 3 = 0").select(s("p", F.col("l_partkey") % 50).alias("child"), s("s", F.col("l_suppkey") % 20).alias("parent"))
-    return provenance.walk(a.union(b).distinct(), a.select(F.col("child").alias("root")).distinct())
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edge = lambda t, a, x, b, y: table(spark, sf, t).select(s(a, x).alias("child"), s(b, y).alias("parent"))
+    orders = edge("lineitem", "o", "l_orderkey", "p", "l_partkey").union(edge("orders", "o", "o_orderkey", "c", "o_custkey"))
+    edges = orders.union(edge("customer", "c", "c_custkey", "n", "c_nationkey")).union(edge("nation", "n", "n_nationkey", "r", "n_regionkey")).distinct()
+    return provenance.walk(edges, orders.select(F.col("child").alias("root")).distinct())
 
 
 @query("entity_labels", "SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 3 = 0 THEN 'customer' WHEN o_orderkey % 3 = 1 THEN 'nation' ELSE 'ghost' END AS entity_type, coalesce(c_name, n_name, '(deleted)') AS label FROM orders LEFT JOIN customer ON o_orderkey % 3 = 0 AND c_custkey = o_custkey LEFT JOIN nation ON o_orderkey % 3 = 1 AND n_nationkey = o_custkey")

@@ -60,10 +60,13 @@ def health(spark, sf):
     return _failures(spark, sf).select("source_id", h.alias("health"))
 
 
-@query("run_status", "SELECT source_id, event_type, count(*) AS items, count(*) FILTER (WHERE sha = 0) AS errors, CASE WHEN count(*) FILTER (WHERE sha = 0) > 0 AND count(*) FILTER (WHERE sha = 0) >= count(*) THEN 'failed' WHEN count(*) FILTER (WHERE sha = 0) > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM observations GROUP BY source_id, event_type")
+@query("run_status", """WITH r AS (SELECT source_id, event_type, CASE source_id % 7 WHEN 3 THEN 'blocked: robots' WHEN 5 THEN 'timeout' END AS fatal, count(*) FILTER (WHERE sha = 0) AS errors,
+  count(*) FILTER (WHERE sha > 1) AS discovered, count(*) FILTER (WHERE sha > 2) AS downloaded FROM observations GROUP BY source_id, event_type)
+SELECT source_id, event_type, errors, discovered, downloaded, CASE WHEN fatal IS NOT NULL AND fatal NOT LIKE 'blocked:%' THEN 'failed' WHEN errors > 0 AND downloaded = 0 AND discovered = 0 THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM r""")
 def run_status(spark, sf):
-    g = relation(spark, sf, "observations").groupBy("source_id", "event_type").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("sha") == 0).alias("errors"))
-    return g.withColumn("status", observe.run_status(F.col("errors"), F.col("items"), F.lit(False)))
+    g = relation(spark, sf, "observations").groupBy("source_id", "event_type").agg(F.count_if(F.col("sha") == 0).alias("errors"), F.count_if(F.col("sha") > 1).alias("discovered"), F.count_if(F.col("sha") > 2).alias("downloaded"))
+    fatal = F.when(F.col("source_id") % 7 == 3, "blocked: robots").when(F.col("source_id") % 7 == 5, "timeout")
+    return g.withColumn("status", observe.run_status(F.col("errors"), F.col("discovered"), F.col("downloaded"), fatal))
 
 
 @query("active_resources", "SELECT source_id, count(DISTINCT resource_key) FILTER (WHERE last_ok) AS active FROM (SELECT source_id, resource_key, arg_max(outcome = 'ok', (ts, event_id)) AS last_ok FROM observations GROUP BY 1, 2) GROUP BY source_id")
@@ -312,11 +315,13 @@ def land_use_pair(spark, sf):
     return diff.layer_pairs(ls)
 
 
-@query("semantic_dedupe", """WITH d AS (SELECT doc_id, lang, source, sha256(lower(substr(text, 1, 40))) AS digest FROM documents)
-SELECT doc_id, coalesce(digest = lag(digest) OVER (PARTITION BY lang, source ORDER BY doc_id), false) AS duplicate FROM d""")
+@query("semantic_dedupe", """WITH d AS (SELECT doc_id, v, sha256(text || CASE WHEN v = 2 AND doc_id % 3 = 0 THEN ' changed' ELSE '' END) AS digest FROM documents, (VALUES (1), (2)) AS t(v))
+SELECT doc_id, v, coalesce(digest = lag(digest) OVER (PARTITION BY doc_id ORDER BY v), false) AS duplicate FROM d""")
 def semantic_dedupe(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.sha2(F.lower(F.substring("text", 1, 40)), 256).alias("digest"))
-    return dedupe.semantic_duplicates(d, "lang", "source", "doc_id", "digest", "doc_id").select("doc_id", "duplicate")
+    """Two versions of every document, the second changed for some; digests of whole texts."""
+    changed = F.when((F.col("v") == 2) & (F.col("doc_id") % 3 == 0), " changed").otherwise("")
+    d = table(spark, sf, "documents").withColumn("v", F.explode(F.array(F.lit(1), F.lit(2)))).select("doc_id", "source", "v", F.sha2(F.concat("text", changed), 256).alias("digest"))
+    return dedupe.semantic_duplicates(d, "doc_id", "source", "v", "digest", "v").select("doc_id", "v", "duplicate")
 
 
 @query("first_wins", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
