@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "landloom"
+#: The registered query's key, unless the session names one under KEY_SETTING; the operator has no default.
+QUERY_KEY, KEY_SETTING = "landloom", "spark.landloom.pseudonymKey"
 ROUNDS = 8
 #: Days of 400 Gregorian years, and two factors of it: the halves of a date's permutation.
 CYCLE_DAYS, DATE_RADICES = 146_097, (189, 773)
@@ -65,7 +66,7 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def permuted(values: Column, radices: Column, label: Column, key: str = KEY) -> Column:
+def permuted(values: Column, radices: Column, label: Column, key: str) -> Column:
     """A keyed permutation of arrays of numbers, each below its radix; label names the format."""
 
     def mixed(target: Column, source: Column, rad: Column, label: Column, k: Column) -> Column:
@@ -90,7 +91,7 @@ def permuted(values: Column, radices: Column, label: Column, key: str = KEY) ->
     return let(F.struct(values.alias("v"), radices.alias("r"), label.alias("l")), network)
 
 
-def permuted_symbols(value: Column, label: str) -> Column:
+def permuted_symbols(value: Column, label: str, key: str) -> Column:
     """The value's letters and digits, permuted each in its class."""
     base = lambda c: F.when(c <= 57, 48).when(c <= 90, 65).otherwise(97)
 
@@ -98,7 +99,7 @@ def permuted_symbols(value: Column, label: str) -> Column:
         numbers = F.transform(codes, lambda c: c - base(c))
         radices = F.transform(codes, lambda c: F.when(c <= 57, 10).otherwise(26))
         shape = F.array_join(F.transform(codes, lambda c: F.when(c <= 57, "0").when(c <= 90, "A").otherwise("a")), "")
-        return F.array_join(F.zip_with(permuted(numbers, radices, F.concat(F.lit(f"{label}:"), shape)), codes, lambda x, c: F.char(x + base(c))), "")
+        return F.array_join(F.zip_with(permuted(numbers, radices, F.concat(F.lit(f"{label}:"), shape), key), codes, lambda x, c: F.char(x + base(c))), "")
 
     return let(F.transform(F.filter(F.split(value, ""), lambda c: c.rlike("^[A-Za-z0-9]$")), lambda c: F.ascii(c)), move)
 
@@ -167,28 +168,28 @@ def pieces_of(value: Column) -> Column:
     return let(piece(value, kind_of(value)), lambda f: F.when(f["kind"].isNull() & f["value"].rlike(number), parts(f["value"])).otherwise(F.array(f)))
 
 
-def pseudonym(value: Column, kind: Column) -> Column:
+def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a value of that kind; the value itself where kind is null."""
     digits = _plain(value)
-    card = let(permuted_symbols(F.substring(digits, F.lit(1), F.length(digits) - 1), "card"), lambda head: F.concat(head, ((10 - luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10).cast("string")))
+    card = let(permuted_symbols(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key), lambda head: F.concat(head, ((10 - luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10).cast("string")))
     country = F.substring(digits, 1, 2)
-    iban = let(permuted_symbols(F.substring(digits, F.lit(5), F.length(digits)), "iban"), lambda account: F.concat(country, F.lpad((98 - mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account))
+    iban = let(permuted_symbols(F.substring(digits, F.lit(5), F.length(digits)), "iban", key), lambda account: F.concat(country, F.lpad((98 - mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account))
     octets = F.transform(F.split(value, r"\."), lambda o: o.cast("int"))
-    ip = F.array_join(permuted(octets, F.array_repeat(F.lit(256), 4), F.lit("ip")).cast("array<string>"), ".")
+    ip = F.array_join(permuted(octets, F.array_repeat(F.lit(256), 4), F.lit("ip"), key).cast("array<string>"), ".")
     since = F.datediff(_date(value), F.lit(FIRST_DAY).cast("date"))
-    moved = permuted(F.array(F.floor(since / DATE_RADICES[1]).cast("int"), since % DATE_RADICES[1]), F.array(*map(F.lit, DATE_RADICES)), F.lit("date"))
+    moved = permuted(F.array(F.floor(since / DATE_RADICES[1]).cast("int"), since % DATE_RADICES[1]), F.array(*map(F.lit, DATE_RADICES)), F.lit("date"), key)
     day = let(moved, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), (m[0] * DATE_RADICES[1] + m[1]).cast("int")))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     code = F.regexp_extract(value, r"^\+[0-9]{1,3}[ .-]?", 0)
     number = F.substring(value, F.length(code) + 1, F.length(value))
     return (
-        F.when(kind == "email", F.concat(laid_out(permuted_symbols(local, "email"), local), F.lit("@"), domain))
+        F.when(kind == "email", F.concat(laid_out(permuted_symbols(local, "email", key), local), F.lit("@"), domain))
         .when(kind == "date", F.when(value.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(value.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy")))
         .when(kind == "ip", ip)
-        .when(kind == "ssn", laid_out(permuted_symbols(digits, "ssn"), value))
+        .when(kind == "ssn", laid_out(permuted_symbols(digits, "ssn", key), value))
         .when(kind == "iban", laid_out(iban, value))
         .when(kind == "card", laid_out(card, value))
-        .when(kind == "phone", F.concat(code, laid_out(permuted_symbols(_plain(number), "phone"), number)))
+        .when(kind == "phone", F.concat(code, laid_out(permuted_symbols(_plain(number), "phone", key), number)))
         .otherwise(value)
     )
 
@@ -197,13 +198,13 @@ def _is(kind: str):
     return lambda f: f["kind"] == kind
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text replaced, and n_private and one count for each kind added."""
     has = F.col(text_col).rlike("[0-9@]")
     base = docs.withColumn("_parts", F.when(has, F.transform(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), pieces_of)))
     base = base.withColumn("_found", F.flatten("_parts"))
     pieces = F.split(F.col(text_col), CANDIDATE, -1)
-    new = F.concat(F.transform(F.col("_parts"), lambda c: F.array_join(F.transform(c, lambda f: pseudonym(f["value"], f["kind"])), "")), F.array(F.lit("")))
+    new = F.concat(F.transform(F.col("_parts"), lambda c: F.array_join(F.transform(c, lambda f: pseudonym(f["value"], f["kind"], key)), "")), F.array(F.lit("")))
     any_valid = F.coalesce(F.exists("_found", lambda f: f["kind"].isNotNull()), F.lit(False))
     text = F.when(any_valid, F.array_join(F.zip_with(pieces, new, lambda p, v: F.concat(p, v)), "")).otherwise(F.col(text_col))
     count = lambda test: F.coalesce(F.size(F.filter("_found", test)), F.lit(0)).cast("bigint")
@@ -215,4 +216,4 @@ def pseudonymise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: every document with its private values replaced."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs)
+    return pseudonymise(docs, spark.conf.get(KEY_SETTING, QUERY_KEY))

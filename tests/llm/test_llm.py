@@ -18,6 +18,7 @@ from landloom.llm import components, decontamination, exact_dedup, language, mix
 from tests.compare import difference, oracle_rows
 
 SF = "/root/testdata/sf0.001"
+KEY = "a test key"
 LOW = str.maketrans({i: i + 32 for i in range(65, 91)})
 WORDS = "the of and plan road river house map zone land".split()
 TEXTS = [None, "", "  \n", "One", "one", "ONE", "Ünïcode É É", "a b c d e f g", "a b c d e f g", "x" * 3000, " ".join(WORDS * 40), " ".join(WORDS * 40) + " end", "12 34 !!", "Mixed CASE words Here", "mixed case words here"]
@@ -273,7 +274,9 @@ def test_pseudonyms(spark):
     private = "4111 1111 1111 1111 x 4111111111111111 y GB82 WEST 1234 5698 7654 32 z 2024-02-29 and 29/02/2024 at 10.1.2.3 for x.y9@mail.example.com or +1 (017) 555-7713"
     texts = [private, private + " more", "id 4111111111111112 and 2023-02-30 and 300.1.1.1 and 12 34", None, "", "no numbers", "7" * 40]
     d = docs(spark, texts)
-    got = [r.text for r in pseudonyms.pseudonymise(d).orderBy("doc_id").collect()]
+    got = [r.text for r in pseudonyms.pseudonymise(d, KEY).orderBy("doc_id").collect()]
+    other = [r.text for r in pseudonyms.pseudonymise(d, "another key").orderBy("doc_id").collect()]
+    assert other[2:] == got[2:] and other[0] != got[0]
     assert got[2:] == texts[2:] and got[1] == got[0] + " more"
     shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"\d", "9", re.sub(r"\d+\.\d+\.\d+\.\d+", "IP", t)))
     assert shape(got[0]).replace("A", "X") and len(shape(got[0])) == len(shape(private)) and got[0] != private
@@ -284,12 +287,12 @@ def test_pseudonyms(spark):
     day, same = re.search(r"(\d{4})-(\d\d)-(\d\d)", got[0]), re.search(r"(\d\d)/(\d\d)/(\d{4})", got[0])
     assert day.groups() == same.groups()[::-1]
     assert all(int(x) < 256 for x in re.search(r"at (\S+) for", got[0])[1].split("."))
-    assert pseudonyms.pseudonymise(empty(spark)).count() == 0
+    assert pseudonyms.pseudonymise(empty(spark), KEY).count() == 0
 
 
 def test_pseudonyms_beside_other_numbers(spark):
     texts = ["4111 1111 1111 1111", "card 4111 1111 1111 1111 12/26", "4111111111111111 123 ok", "12 4111 1111 1111 1111", "BE68 5390 0754 7034 AND", "BE68539007547034 FOR", "BE68 5390 0754 7034 4111 1111 1111 1111", "4111 1111 1111 1112 12"]
-    got = [(re.sub(r"[ /]", "", r.text), r.n_card, r.n_iban) for r in pseudonyms.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = [(re.sub(r"[ /]", "", r.text), r.n_card, r.n_iban) for r in pseudonyms.pseudonymise(docs(spark, texts), KEY).orderBy("doc_id").collect()]
     card, iban = got[0][0], got[5][0].removesuffix("FOR")
     assert card != "4111111111111111" and iban != "BE68539007547034"
     assert got == [(card, 1, 0), (f"card{card}1226", 1, 0), (f"{card}123ok", 1, 0), (f"12{card}", 1, 0), (f"{iban}AND", 0, 1), (f"{iban}FOR", 0, 1), (iban + card, 1, 1), ("411111111111111212", 0, 0)]
@@ -297,7 +300,7 @@ def test_pseudonyms_beside_other_numbers(spark):
 
 def test_permutation_is_one_to_one(spark):
     v = F.array((F.col("id") % 7).cast("int"), F.floor(F.col("id") / 7).cast("int"))
-    out = spark.range(77).select(pseudonyms.permuted(v, F.array(F.lit(7), F.lit(11)), F.lit("t")).alias("p"))
+    out = spark.range(77).select(pseudonyms.permuted(v, F.array(F.lit(7), F.lit(11)), F.lit("t"), KEY).alias("p"))
     assert out.distinct().count() == 77 and out.where("p[0] >= 7 OR p[1] >= 11").count() == 0
 
 
