@@ -41,10 +41,10 @@ CLASSES = 223  # of all other words
 DIMENSIONS, INNER = 16, 8  # of the first and the second step
 HEADS, REST = 128, 32  # words before, of the second step: most frequent ids, and groups of all other ids
 FORMS = 1 << 13  # hashed vectors of the second step
-NOISE, INNER_NOISE = 24, 1
+NOISE, INNER_NOISE = 48, 2
 BATCH = 4096
 ROUNDS = 3  # each over its third of the documents
-RATE = 0.08
+RATE = 0.06
 FAN = 32  # parts merged at once
 CHUNK_BYTES = 16 << 20
 END = b"\n"  # no word holds a line end

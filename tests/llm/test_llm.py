@@ -400,7 +400,7 @@ def test_model_learns(monkeypatch):
     p = np.exp(a[2] + b[2] - norm[2, 2])
     assert p.sum() == pytest.approx(1, abs=1e-5) and p[3] > 0.7
     for _ in range(300):  # form 5 after head 1, against form 6
-        m.train_inner(np.full(50, 1), np.full((50, 3), 5), np.full((50, 1, 3), 6), 0.1)
+        m.train_inner(np.full(50, 1), np.full((50, 3), 5), np.full((50, scoring.INNER_NOISE, 3), 6), 0.1)
     assert m.factors(np.array([[5] * 3]))[0, 1] > 3 * m.factors(np.array([[6] * 3]))[0, 1]
 
 
