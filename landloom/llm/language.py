@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import release
+
 FOLDS, HELD_FOLD = 3, 1
 #: The training sample: at most so many windows of so many words for each label, one from each sampled document.
 SAMPLE_DOCS = 400
@@ -286,7 +288,7 @@ def _slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = 1000) -> Ite
         for first in range(0, len(b), rows):
             part = b.slice(first, rows)
             yield part, [t or "" for t in part.column(at).to_pylist()]
-    pa.default_memory_pool().release_unused()  # the worker stays for the stages that follow
+    release()
 
 
 def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:

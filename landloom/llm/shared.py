@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import ctypes
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialise, new_path
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "materialise", "new_path", "running_sum", "spread_join", "text_key"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "materialise", "new_path", "release", "running_sum", "small_batches", "spread_join", "text_key"]
 
 #: A word: a run of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +28,24 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit("second"), whole).alias("h2")]
 
 
+#: Rows and bytes of an Arrow batch of whole texts: the JVM and the Python worker each hold some of them for each task.
+BATCH_ROWS, BATCH_SIZE = 2000, "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands whole texts to Python workers in batches of bounded bytes, however long the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back to the system at a task's end: workers stay for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 #: A key of more rows than this is dealt over SALTS tasks in spread_join.
 HOT_ROWS, SALTS = 100_000, 64
 

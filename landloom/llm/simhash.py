@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, materialise, spread_join, text_key
+from .shared import discard, materialise, release, spread_join, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -140,6 +140,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
         for b in batches:
             found = [_digest(b" ".join(x.as_py().lower().split())) for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.int64())], names=["id", "h1", "h2", "node"])
+        release()
 
     return rows.mapInArrow(each, "id bigint, h1 bigint, h2 bigint, node bigint")
 
@@ -208,7 +209,7 @@ def _prefix_rows(rows: DataFrame, shingle: int, least: float, common) -> DataFra
                     yield _exploded(nodes, sizes, keys)
                     nodes, sizes, keys, held = [], [], [], 0
         yield _exploded(nodes, sizes, keys)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(each, "key bigint, node bigint, n int, i int")
 
@@ -258,7 +259,7 @@ def _whole_texts(rows: DataFrame, shingle: int, worth) -> DataFrame:
                     yield _texts_batch(found)
                     found = []
             yield _texts_batch(found)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(each, "node bigint, n int, map array<bigint>, keys array<bigint>").dropDuplicates(["node"])
 
@@ -290,6 +291,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both / (sides[0][1][i] + sides[1][1][i] - both) >= least)
             yield pa.RecordBatch.from_arrays([b.column("ra"), b.column("rb")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        release()
 
     side = lambda s: texts.select(F.col("node").alias(s), F.col("keys").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
     return pairs.select("a", "b", "ra", "rb").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, release
 from .token_counts import byte_letters
 
 END_ID = 1
@@ -188,7 +188,7 @@ def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(with_end.view("<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.arange(ord_at, ord_at + n)), pa.array(count.astype(np.int32)), lists], names=["doc_id", "ord", "n_tokens", "ids"])
                 ord_at, first = ord_at + n, first + n
-        pa.default_memory_pool().release_unused()
+        release()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
