@@ -122,6 +122,8 @@ NEAR_SIMILARITY = 0.8
 MAP_LONGS = 8
 #: Texts of a crowded key that meet in one block of pairs.
 BLOCK = 2000
+#: Keys before a text's key that tell whether a pair has met already.
+EARLIER = 8
 #: Slots in which texts' shingles are counted; a shingle of many texts stands out from its slot's mean. MERGED tasks' counts meet.
 SLOTS, MERGED = 1 << 20, 16
 #: Bits of the map of texts worth a whole look, of fixed size: where texts outgrow it, it drops fewer of them, none wrongly.
@@ -239,8 +241,13 @@ def _worth(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _whole_texts(rows: DataFrame, shingle: int, worth) -> DataFrame:
-    """node, n, map, keys (all shingle hashes, in order) of each text in the map `worth`."""
+def _marked(found: np.ndarray, node: int) -> bool:
+    slot = node % WORTH_BITS
+    return bool(found[slot >> 3] >> (slot & 7) & 1)
+
+
+def _maps(rows: DataFrame, shingle: int, worth) -> DataFrame:
+    """node, n (distinct shingles), map of each text in the map `worth`."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -249,25 +256,47 @@ def _whole_texts(rows: DataFrame, shingle: int, worth) -> DataFrame:
             for text in b.column(1):
                 raw = text.as_py()
                 node = _digest(b" ".join(raw.lower().split()))
-                slot = node % WORTH_BITS
-                if node not in seen and worth.value[slot >> 3] >> (slot & 7) & 1:
+                if node not in seen and _marked(worth.value, node):
                     seen.add(node)
                     keys = _hashes(raw, shingle)
                     bits = np.bincount((keys % np.uint64(64 * MAP_LONGS)).astype(np.int64), minlength=64 * MAP_LONGS) % 2
-                    found.append((node, len(keys), np.packbits(bits.astype(np.uint8)).view("<i8"), keys.view(np.int64)))
+                    found.append((node, len(keys), np.packbits(bits.astype(np.uint8)).view("<i8")))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), _lists([f[2] for f in found])], names=["node", "n", "map"])
+        release()
+
+    return rows.mapInArrow(each, "node bigint, n int, map array<bigint>").dropDuplicates(["node"])
+
+
+def _sets(rows: DataFrame, shingle: int, wanted) -> DataFrame:
+    """node, n, keys (all shingle hashes, in order) of each text in the map `wanted`: made anew for the texts of a step,
+    so that no table holds the sets of all."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            found = []
+            for text in b.column(1):
+                raw = text.as_py()
+                node = _digest(b" ".join(raw.lower().split()))
+                if node not in seen and _marked(wanted.value, node):
+                    seen.add(node)
+                    found.append((node, _hashes(raw, shingle).view(np.int64)))
                 if len(found) >= 500:
-                    yield _texts_batch(found)
+                    yield _sets_batch(found)
                     found = []
-            yield _texts_batch(found)
+            yield _sets_batch(found)
         release()
 
-    return rows.mapInArrow(each, "node bigint, n int, map array<bigint>, keys array<bigint>").dropDuplicates(["node"])
+    return rows.mapInArrow(each, "node bigint, n int, keys array<bigint>").dropDuplicates(["node"])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _texts_batch(found: list[tuple]) -> pa.RecordBatch:
-    n = np.array([f[1] for f in found], np.int32)
-    lists = lambda at, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(f[at] for f in found)])))
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(n), lists(2, np.full(len(found), MAP_LONGS)), lists(3, n)], names=["node", "n", "map", "keys"])
+def _sets_batch(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([len(f[1]) for f in found], pa.int32()), _lists([f[1] for f in found])], names=["node", "n", "keys"])
 
 
 def _possible(a, b, least: float):
@@ -279,8 +308,8 @@ def _possible(a, b, least: float):
     return sizes & follow & (differ <= total * ((1 - least) / (1 + least)) + _EPS)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """a, b: the roots (ra, rb) of the pairs (a, b) whose similarity is at least `least`."""
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """a, b: the roots (ra, rb) of the pairs (a, b) whose similarity is at least `least`; rows hold the texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,20 +322,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("ra"), b.column("rb")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
         release()
 
+    pairs = materialise(pairs.select("a", "b", "ra", "rb").distinct(), "near-pairs")
+    wanted = _worth(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    texts = _sets(rows, shingle, rows.sparkSession.sparkContext.broadcast(wanted))  # of fixed size
     side = lambda s: texts.select(F.col("node").alias(s), F.col("keys").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
-    return pairs.select("a", "b", "ra", "rb").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint")
+    good = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint"), "near-links")
+    discard(pairs)
+    return good
 
 
-def similar_roots(keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """keys(key, node, n, i), stored, and texts(node, n, map, keys) -> node, root of each text that another is similar to; root is their smallest node.
+def similar_roots(keys: DataFrame, maps: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """keys(key, node, n, i), stored, maps(node, n, map), stored, and rows, which hold the texts -> node, root of each text
+    that another is similar to; root is their smallest node.
 
     First each text meets one other: the text that comes first under most of its keys. Then, under keys whose texts are
     in several components, each meets the first one and the one before it; then, under keys that still hold several
-    components, all pairs of texts of different components, by blocks. So each possible pair is compared or already
+    components, all pairs of texts of different components, by blocks; a pair that shares one of the EARLIER keys before
+    this one in both texts has met there and isn't made again. So each possible pair is compared or already
     linked, and a family in which all pairs are similar makes about one comparison for each text. Between the steps the
     components found so far stand for their texts.
     """
-    maps = texts.select("node", "map")
+    maps = maps.select("node", "map")
     whole = ["node", "n", "i"]
     follow_free = f"least(x.n, y.n) >= greatest(x.n, y.n) * {least} - {_EPS} AND least(x.n - x.i, y.n - y.i) >= (x.n + y.n) * {least / (1 + least)} - {_EPS}"  # sizes, and what can follow the key
 
@@ -315,7 +351,7 @@ def similar_roots(keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         mapped = once.join(maps.withColumnsRenamed({"node": "a", "map": "ma"}), "a").join(maps.withColumnsRenamed({"node": "b", "map": "mb"}), "b")
         x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i")} | {"map": F.col(m)} for s, m in (("x", "ma"), ("y", "mb")))
         roots = [F.col(f"{s}.root").alias(f"r{t}") for s, t in (("x", "a"), ("y", "b"))]
-        return _verified(mapped.where(_possible(x, y, least)).select("a", "b", *roots), texts, least)
+        return _verified(mapped.where(_possible(x, y, least)).select("a", "b", *roots), rows, shingle, least)
 
     def unsettled(roots: DataFrame) -> DataFrame:
         """Keys whose texts are in several components."""
@@ -344,15 +380,17 @@ def similar_roots(keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     last = materialise(unsettled(roots), "near-unsettled")
     if last.isEmpty():
         return roots
-    placed = last.withColumn("place", F.row_number().over(under)).withColumn("block", F.floor(F.col("place") / BLOCK).cast("int")).join(maps, "node")
+    before = Window.partitionBy("node").orderBy("i").rowsBetween(-EARLIER, -1)
+    placed = last.withColumn("place", F.row_number().over(under)).withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    placed = placed.withColumn("earlier", F.collect_list("key").over(before)).join(maps, "node")
     placed = materialise(placed, "near-placed")
     discard(keys, last)
-    left = placed.select("key", "block", F.struct(*whole, "root", "map", "place").alias("x"))
-    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.struct(*whole, "root", "map", "place").alias("y"))
+    left = placed.select("key", "block", F.struct(*whole, "root", "map", "place", "earlier").alias("x"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.struct(*whole, "root", "map", "place", "earlier").alias("y"))
     x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "i", "map")} for s in "xy")
-    other = (left["block"] == right["block"]) & (left["key"] == right["key"]) & (F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root"))
+    other = (left["block"] == right["block"]) & (left["key"] == right["key"]) & (F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root")) & ~F.arrays_overlap("x.earlier", "y.earlier")
     crossed = left.join(right, other & _possible(x, y, least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    return merged(roots, components(_verified(crossed, texts, least)))
+    return merged(roots, components(_verified(crossed, rows, shingle, least)))
 
 
 def _winners(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -365,13 +403,13 @@ def _winners(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     common = context.broadcast(_commonness(rows, shingle))  # of fixed size, as is worth
     keys = materialise(_shared(_prefix_rows(rows, shingle, least, common)), "near-keys")
     worth = context.broadcast(_worth(keys))
-    texts = materialise(_whole_texts(rows, shingle, worth), "near-texts")
-    rooted = similar_roots(keys, texts, least)
+    maps = materialise(_maps(rows, shingle, worth), "near-maps")
+    rooted = similar_roots(keys, maps, rows, shingle, least)
     same = prints.groupBy("node", "id", "h1", "h2").agg(F.count(F.lit(1)).alias("same"))
     nodes = same.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "same")).alias("first"), F.sum("same").alias("n"))
     named = nodes.join(rooted.withColumnsRenamed({"node": "of"}), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "near-nodes")
-    discard(texts)
+    discard(maps)
     smallest = named.groupBy("root").agg(F.min("first").alias("win"))
     return prints, materialise(named.select("node", "n", "root").join(smallest, "root").select("node", "n", "win"), "near-winners")
 
