@@ -122,6 +122,8 @@ NEAR_SIMILARITY = 0.8
 MAP_LONGS = 8
 #: Texts of a crowded key that meet in one block of pairs.
 BLOCK = 2000
+#: Parts of the keys, after each of which the links found are joined, before pairs are made by blocks.
+TURNS = 4
 #: Keys before a text's key that tell whether a pair has met already.
 EARLIER = 8
 #: Slots in which texts' shingles are counted; a shingle of many texts stands out from its slot's mean. MERGED tasks' counts meet.
@@ -337,7 +339,8 @@ def similar_roots(keys: DataFrame, maps: DataFrame, rows: DataFrame, shingle: in
 
     First each text meets one other: the text that comes first under most of its keys. Then, under keys whose texts are
     in several components, each meets the first one and the one before it; then, under keys that still hold several
-    components, all pairs of texts of different components, by blocks; a pair that shares one of the EARLIER keys before
+    components, each meets a neighbour in an order that differs from key to key, by TURNS parts of the keys; and under
+    keys that even then hold several components, all pairs of texts of different components, by blocks; a pair that shares one of the EARLIER keys before
     this one in both texts has met there and isn't made again. So each possible pair is compared or already
     linked, and a family in which all pairs are similar makes about one comparison for each text. Between the steps the
     components found so far stand for their texts.
@@ -378,6 +381,19 @@ def similar_roots(keys: DataFrame, maps: DataFrame, rows: DataFrame, shingle: in
     roots = merged(roots, components(checked(once)))
     discard(rest)
     last = materialise(unsettled(roots), "near-unsettled")
+    for turn in range(TURNS):
+        if last.isEmpty():
+            return roots
+        shuffled = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
+        dealt = last.where(F.pmod(F.xxhash64("key"), F.lit(TURNS)) == turn).select(entry.alias("y"), F.lag(entry).over(shuffled).alias("x"))
+        beside = dealt.where("x.root <> y.root").where(follow_free)
+        lower = F.col("x.node") < F.col("y.node")
+        first, second = F.when(lower, F.col("x")).otherwise(F.col("y")), F.when(lower, F.col("y")).otherwise(F.col("x"))
+        beside = beside.select(first.alias("x"), second.alias("y"))
+        once = beside.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+        roots = merged(roots, components(checked(once)))
+        discard(last)
+        last = materialise(unsettled(roots), "near-unsettled")
     if last.isEmpty():
         return roots
     before = Window.partitionBy("node").orderBy("i").rowsBetween(-EARLIER, -1)
