@@ -67,28 +67,80 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
     return float(total)
 
 
-def self_crossing(parts) -> bool:
-    """Two edges of the geometry that aren't neighbours meet."""
-    for part in parts if parts is not None else []:
-        for ring in part:
-            p = np.array([(q["x"], q["y"]) for q in ring], float)
-            n = len(p) - 1
-            for i in range(n):
-                for j in range(i + 2, n):
-                    if i == 0 and j == n - 1:
-                        continue
-                    if _meet(p[i], p[i + 1], p[j], p[j + 1]):
-                        return True
-    return False
+def _side(p, q, r):
+    return np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
 
 
-def _meet(a, b, c, d) -> bool:
-    side = lambda p, q, r: np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
-    inside = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
-    s1, s2, s3, s4 = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
-    if s1 != s2 and s3 != s4:
-        return True
-    return any(s == 0 and inside(*x) for s, x in ((s1, (a, b, c)), (s2, (a, b, d)), (s3, (c, d, a)), (s4, (c, d, b))))
+def _within(p, q, r):
+    return (np.minimum(p, q) <= r).all(-1) & (r <= np.maximum(p, q)).all(-1)
+
+
+def _where(ring: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """1 for places inside a ring, 0 on it, -1 outside."""
+    a, b, q = ring[None, :-1], ring[None, 1:], p[:, None]
+    on = ((_side(a, b, q) == 0) & _within(a, b, q)).any(1)
+    up = (a[..., 1] <= q[..., 1]) != (b[..., 1] <= q[..., 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = a[..., 0] + (q[..., 1] - a[..., 1]) / (b[..., 1] - a[..., 1]) * (b[..., 0] - a[..., 0])
+    return np.where(on, 0, np.where((up & (cut > q[..., 0])).sum(1) % 2 == 1, 1, -1))
+
+
+def _of(ring: np.ndarray, other: np.ndarray) -> int:
+    """Where a ring that doesn't cross another lies: 1 inside, -1 outside, 0 along it. Corners tell first, then middles."""
+    for p in (other[:-1], (other[:-1] + other[1:]) / 2):
+        w = _where(ring, p)
+        if (w != 0).any():
+            return int(w[w != 0][0])
+    return 0
+
+
+def broken_rule(parts) -> str | None:
+    """self_intersection: edges of a ring that aren't neighbours meet, or rings cross or run along each other;
+    hole_outside_shell, nested_holes, nested_parts: rings that lie in the wrong place. Rings may touch in points."""
+    rings, owner = [], []
+    for k, part in enumerate(parts if parts is not None else []):
+        for h, ring in enumerate(part):
+            p = np.array([(q["x"], q["y"]) for q in ring], float)
+            keep = np.ones(len(p), bool)
+            keep[1:] = (p[1:] != p[:-1]).any(1)
+            rings.append(p[keep])
+            owner.append((k, h))
+    if not rings or any(len(r) < 4 for r in rings):
+        return "self_intersection" if rings else None
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    of = np.repeat(np.arange(len(rings)), [len(r) - 1 for r in rings])
+    at = np.concatenate([np.arange(len(r) - 1) for r in rings])
+    last = np.array([len(r) - 2 for r in rings])[of]
+    order = np.argsort(np.minimum(a[:, 0], b[:, 0]), kind="stable")
+    a, b, of, at, last = a[order], b[order], of[order], at[order], last[order]
+    stop = np.searchsorted(np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0]), "right")
+    for i in range(len(a)):  # a sweep: each edge against those that start before it ends
+        c, d = a[i + 1 : stop[i]], b[i + 1 : stop[i]]
+        if not len(c):
+            continue
+        s1, s2, s3, s4 = _side(a[i], b[i], c), _side(a[i], b[i], d), _side(c, d, a[i]), _side(c, d, b[i])
+        proper = (s1 * s2 < 0) & (s3 * s4 < 0)
+        touch = (s1 == 0) & _within(a[i], b[i], c) | (s2 == 0) & _within(a[i], b[i], d) | (s3 == 0) & _within(c, d, a[i]) | (s4 == 0) & _within(c, d, b[i])
+        low, high = np.maximum(np.minimum(a[i], b[i]), np.minimum(c, d)), np.minimum(np.maximum(a[i], b[i]), np.maximum(c, d))
+        along = (s1 == 0) & (s2 == 0) & (low <= high).all(1) & (low < high).any(1)
+        same = of[i + 1 : stop[i]] == of[i]
+        step = np.abs(at[i + 1 : stop[i]] - at[i])
+        beside = same & ((step == 1) | (step == last[i]))
+        if (proper | along | (touch & same & ~beside)).any():
+            return "self_intersection"
+    shells = [i for i, (_, h) in enumerate(owner) if h == 0]
+    for i, (k, h) in enumerate(owner):
+        shell = next(s for s in shells if owner[s][0] == k)
+        if h and _of(rings[shell], rings[i]) < 0:
+            return "hole_outside_shell"
+        if h and any(_of(rings[j], rings[i]) > 0 for j, (m, g) in enumerate(owner) if m == k and g and j != i):
+            return "nested_holes"
+    for s in shells:
+        for t in shells:
+            inside = s != t and (rings[s].min(0) <= rings[t].min(0)).all() and (rings[s].max(0) >= rings[t].max(0)).all() and _of(rings[s], rings[t]) >= 0
+            if inside and not any(_of(rings[j], rings[t]) >= 0 for j, (m, g) in enumerate(owner) if m == owner[s][0] and g):
+                return "nested_parts"
+    return None
 
 
 def clip_ring(ring: list, minx: float, miny: float, maxx: float, maxy: float) -> list:
@@ -127,9 +179,10 @@ def overlap_degrees(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(edges(x), edges(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(T.BooleanType())
-def crosses_itself(parts: pd.Series) -> pd.Series:
-    return pd.Series([self_crossing(x) for x in parts], dtype=bool)
+@F.pandas_udf(T.StringType())
+def breaks_rules(parts: pd.Series) -> pd.Series:
+    """The rule that a polygon breaks, null for a valid one."""
+    return pd.Series([broken_rule(x) for x in parts], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(_TILE_POINT))))

@@ -97,8 +97,8 @@ def geom_empty(c: Context) -> DataFrame:
 @rule("GEOM-INVALID", "Geometry is not valid", "error")
 def geom_invalid(c: Context) -> DataFrame:
     rows = _layer(c).withColumn("issue", G.structure_issue(F.col("geom"))).where(F.col("issue").isNull() | F.col("issue").isin("not_finite", "few_points", "unclosed_ring"))
-    bad = rows.withColumn("crosses", F.when(F.col("issue").isNull() & F.col("geom.gtype").isin("Polygon", "MultiPolygon"), overlay.crosses_itself("geom.parts")))
-    return found(bad.where("issue IS NOT NULL OR crosses"), "GEOM-INVALID", F.coalesce("issue", F.lit("self_intersection")), F.col("key"), evidence=_name())
+    bad = rows.withColumn("broken", F.when(F.col("issue").isNull() & F.col("geom.gtype").isin("Polygon", "MultiPolygon"), overlay.breaks_rules("geom.parts")))
+    return found(bad.where("issue IS NOT NULL OR broken IS NOT NULL"), "GEOM-INVALID", F.coalesce("issue", "broken"), F.col("key"), evidence=_name())
 
 
 @rule("GEOM-COLLECTION", "Geometry is a collection", "warning")
@@ -185,13 +185,23 @@ def poly_gap(c: Context) -> DataFrame:
 
 @rule("TOPO-LINE-CROSS", "Lines of a layer meet in one point", "warning")
 def line_cross(c: Context) -> DataFrame:
-    segs = lambda s: F.transform(F.flatten(F.transform(F.flatten(f"geom_{s}.parts"), G.segments)), lambda x: x)
+    """Lines that share one point only, ends included. Parallel segments in one line share the ends of their common part,
+    so lines that join end to end have one point and lines that run along each other two."""
+    segs = lambda s: F.flatten(F.transform(F.flatten(f"geom_{s}.parts"), G.segments))
+    near = lambda s, t: F.greatest(F.least(s["a"]["x"], s["b"]["x"]), F.least(t["a"]["x"], t["b"]["x"])) - 1e-9 <= F.least(F.greatest(s["a"]["x"], s["b"]["x"]), F.greatest(t["a"]["x"], t["b"]["x"]))
     p = _pairs(c, "cross", ("LineString", "MultiLineString")).select("layer_id", "name_a", "key_a", "key_b", F.explode(segs("a")).alias("s"), segs("b").alias("others"))
-    p = p.select("layer_id", "name_a", "key_a", "key_b", "s", F.explode("others").alias("t"))
+    p = p.select("layer_id", "name_a", "key_a", "key_b", "s", F.explode(F.filter("others", lambda t: near(F.col("s"), t))).alias("t"))
+    length = lambda s: F.expr(f"sqrt(power({s}.b.x - {s}.a.x, 2) + power({s}.b.y - {s}.a.y, 2))")
+    p = p.withColumn("ls", length("s")).withColumn("lt", length("t")).where("ls > 0 AND lt > 0")
     det = F.expr("(s.b.x - s.a.x) * (t.b.y - t.a.y) - (s.b.y - s.a.y) * (t.b.x - t.a.x)")
     u = F.expr("((t.a.x - s.a.x) * (t.b.y - t.a.y) - (t.a.y - s.a.y) * (t.b.x - t.a.x)) / det")
     v = F.expr("((t.a.x - s.a.x) * (s.b.y - s.a.y) - (t.a.y - s.a.y) * (s.b.x - s.a.x)) / det")
-    hit = p.withColumn("det", det).where("det <> 0").withColumn("u", u).withColumn("v", v).where("u BETWEEN -1e-12 AND 1 + 1e-12 AND v BETWEEN -1e-12 AND 1 + 1e-12")
+    cut = F.when(u.between(-1e-12, 1 + 1e-12) & v.between(-1e-12, 1 + 1e-12), F.array(u))
+    aside = F.expr("abs((t.a.x - s.a.x) * (s.b.y - s.a.y) - (t.a.y - s.a.y) * (s.b.x - s.a.x)) / ls")
+    along = lambda e: F.expr(f"((t.{e}.x - s.a.x) * (s.b.x - s.a.x) + (t.{e}.y - s.a.y) * (s.b.y - s.a.y)) / (ls * ls)")
+    low, high = F.greatest(F.lit(0.0), F.least(along("a"), along("b"))), F.least(F.lit(1.0), F.greatest(along("a"), along("b")))
+    common = F.when((aside <= 1e-9) & (low <= high + 1e-12), F.array(low, high))
+    hit = p.withColumn("det", det).withColumn("u", F.explode(F.when(F.expr("abs(det) > 1e-12 * ls * lt"), cut).otherwise(common)))
     at = hit.select("layer_id", "name_a", "key_a", "key_b", F.struct(F.expr("round(s.a.x + u * (s.b.x - s.a.x), 9)").alias("x"), F.expr("round(s.a.y + u * (s.b.y - s.a.y), 9)").alias("y")).alias("at"))
     one = at.groupBy("layer_id", "name_a", "key_a", "key_b").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first = last")
     return found(one, "TOPO-LINE-CROSS", F.concat(F.lit("crosses "), F.col("key_b")), F.col("key_a"), evidence=F.to_json(F.struct("first")))

@@ -1,8 +1,8 @@
 """Spatial joins by grid cells: points to geometries, geometries to geometries, geometries to tiles.
 
 Both sides are keyed by the cells that their boxes cover and joined by equality; a pair is kept in one cell only, so no
-distinct is needed. Boxes that cover more than WIDE_CELLS cells are keyed by coarser cells, eight times as wide at each
-level, so one national polygon doesn't make millions of keys; the narrow side looks up every level.
+distinct is needed. Boxes of either side that cover more than WIDE_CELLS cells are keyed by coarser cells, eight times as
+wide at each level, so one national polygon doesn't make millions of keys; levels that a side doesn't use are skipped.
 """
 
 from __future__ import annotations
@@ -31,21 +31,31 @@ def _level(minx: Column, miny: Column, maxx: Column, maxy: Column, size: float)
     return out
 
 
-def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str], rbox: tuple[str, str, str, str], size: float, on: list[str] | None = None) -> DataFrame:
-    """All pairs whose boxes meet (sides included), and that agree in the `on` columns. Right boxes go to the level where
-    they are few cells; left boxes are looked up at each level that the right side has; the pair is kept in the cell of
-    the larger lower corner."""
+def _keyed(df: DataFrame, others: DataFrame, box: tuple[str, ...], size: float, at_home: tuple[int, ...], away: int) -> DataFrame:
+    """df once for each cell and turn: at its own level in the turns at_home, and at wider levels, where the other side has
+    rows of its own, in the turn away."""
+    turn = lambda k, t, guest: F.struct(k.alias("_lv"), F.lit(t).alias("_turn"), F.lit(guest).alias("_guest"))
+    wider = F.filter(F.array(*[F.lit(k) for k in range(LEVELS)]), lambda k: k > F.col("_own"))
+    turns = F.concat(F.array(*[turn(F.col("_own"), t, False) for t in at_home]), F.transform(wider, lambda k: turn(k, away, True)))
     width = F.element_at(F.array(*[F.lit(size * 8**k) for k in range(LEVELS)]), F.col("_lv") + 1)
-    r = right.withColumn("_lv", _level(*map(F.col, rbox), size)).withColumn("_w", width)
-    r = r.withColumn("_c", F.explode(cells(*map(F.col, rbox), F.col("_w")))).select("*", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy")).drop("_c", "_w")
-    used = F.array(*[F.lit(k) for k in range(LEVELS)])
-    wide = left.withColumn("_lv", F.explode(used)).withColumn("_w", width)
-    l = wide.withColumn("_c", F.explode(cells(*map(F.col, lbox), F.col("_w")))).select("*", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy")).drop("_c")  # noqa: E741
-    met = l.join(r, [*(on or []), "_lv", "_cx", "_cy"])
+    out = df.select("*", F.inline(turns)).drop("_own").withColumn("_w", width)
+    out = out.select("*", F.inline(cells(*map(F.col, box), F.col("_w"))).alias("_cx", "_cy"))
+    levels = df.sparkSession.range(LEVELS).select(F.col("id").cast("int").alias("_lv"), F.lit(False).alias("_guest"))
+    used = levels.union(others.select("_own", F.lit(True)).distinct())  # 2 LEVELS rows at most
+    return out.join(F.broadcast(used), ["_lv", "_guest"], "left_semi").drop("_guest")
+
+
+def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str], rbox: tuple[str, str, str, str], size: float, on: list[str] | None = None) -> DataFrame:
+    """All pairs whose boxes meet (sides included), and that agree in the `on` columns. Each box has the level where it is
+    few cells, and a pair meets at the wider level of its two: in turn 0 left boxes of the level meet right ones of it or
+    below, in turn 1 right boxes of the level meet left ones below. So two boxes below a level never meet at it, and no box
+    of either side is more than WIDE_CELLS cells at a level. The pair is kept in the cell of the larger lower corner."""
+    a, b = (df.withColumn("_own", _level(*map(F.col, box), size)) for df, box in ((left, lbox), (right, rbox)))
+    met = _keyed(a, b, lbox, size, (0,), 1).join(_keyed(b, a, rbox, size, (0, 1), 0).drop("_w"), [*(on or []), "_lv", "_turn", "_cx", "_cy"])
     lx, ly, hx, hy = (F.col(c) for c in lbox)
     rx, ry, sx, sy = (F.col(c) for c in rbox)
     once = (F.floor(F.greatest(lx, rx) / F.col("_w")) == F.col("_cx")) & (F.floor(F.greatest(ly, ry) / F.col("_w")) == F.col("_cy"))
-    return met.where((lx <= sx) & (hx >= rx) & (ly <= sy) & (hy >= ry) & once).drop("_lv", "_cx", "_cy", "_w")
+    return met.where((lx <= sx) & (hx >= rx) & (ly <= sy) & (hy >= ry) & once).drop("_lv", "_turn", "_cx", "_cy", "_w")
 
 
 def within_distance(points: DataFrame, features: DataFrame, metres: float, geom: str = "geom", size: float = 5000.0) -> DataFrame:

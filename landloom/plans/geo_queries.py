@@ -217,43 +217,49 @@ def provenance_inputs(spark, sf):
     return e.select(F.explode_outer("input_refs").alias("r")).groupBy(F.col("r.entity_id").cast("int").alias("input_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# georeferencing: each nation is a job, its customers are control points on an exact affine
+# georeferencing: every twelve customers are the control points of a job, on an exact affine
 
 
 def _gcps(spark, sf, outliers: bool):
-    k, j = F.col("c_custkey"), F.col("c_nationkey")
-    px, py = (k * 37 % 1000).cast("double"), (k * 91 % 800).cast("double")
-    c = table(spark, sf, "customer").withColumn("n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("n <= 12")
+    k, j = F.col("c_custkey") % 997, F.col("job_id") % 25
+    px, py = (k * k * 7 % 1000).cast("double"), (k * 91 % 800).cast("double")
+    c = table(spark, sf, "customer").withColumn("job_id", F.floor(F.col("c_custkey") / 12)).withColumn("n", (F.col("c_custkey") % 12 + 1).cast("int"))
     off = F.when(F.col("n") == 5, 0.5).otherwise(0.0) if outliers else F.lit(0.0)
-    return c.select(j.alias("job_id"), F.col("n").alias("gcp_id"), px.alias("px"), py.alias("py"), (105 + j * 0.01 + px * 1e-4 + py * 2e-5 + off).alias("mx"), (20 + j * 0.01 - py * 1e-4 + px * 1e-5).alias("my"), F.lit(True).alias("enabled"))
+    return c.select("job_id", F.col("n").alias("gcp_id"), px.alias("px"), py.alias("py"), (105 + j * 0.01 + px * 1e-4 + py * 2e-5 + off).alias("mx"), (20 + j * 0.01 - py * 1e-4 + px * 1e-5).alias("my"), F.lit(True).alias("enabled"))
 
 
-@query("georef_affine", """SELECT n_nationkey AS job_id, CAST(1e-4 AS DOUBLE) AS a, CAST(2e-5 AS DOUBLE) AS b, CAST(1e-5 AS DOUBLE) AS d, CAST(-1e-4 AS DOUBLE) AS e, round(105 + n_nationkey * 0.01::DOUBLE, 6) AS c, round(20 + n_nationkey * 0.01::DOUBLE, 6) AS f FROM nation
-  WHERE n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 3)""")
+_JOBS = "(SELECT c_custkey // 12 AS job_id, count(*) AS n FROM customer GROUP BY 1)"
+
+
+@query("georef_affine", f"SELECT job_id, CAST(1e-4 AS DOUBLE) AS a, CAST(2e-5 AS DOUBLE) AS b, CAST(1e-5 AS DOUBLE) AS d, CAST(-1e-4 AS DOUBLE) AS e, round(105 + job_id % 25 * 0.01::DOUBLE, 6) AS c, round(20 + job_id % 25 * 0.01::DOUBLE, 6) AS f FROM {_JOBS} WHERE n >= 3")
 def georef_affine(spark, sf):
     m = georef.fit_affine(_gcps(spark, sf, False))
     return m.select("job_id", *[F.round(c, 9).alias(c) for c in "abde"], F.round("c", 6).alias("c"), F.round("f", 6).alias("f"))
 
 
-@query("georef_residuals", "SELECT n_nationkey AS job_id, CAST(0 AS DOUBLE) AS rmse FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 3)")
+@query("georef_residuals", f"SELECT job_id, CAST(0 AS DOUBLE) AS rmse FROM {_JOBS} WHERE n >= 3")
 def georef_residuals(spark, sf):
     g = _gcps(spark, sf, False)
     return georef.residuals(g, georef.fit_affine(g)).select("job_id", F.abs(F.round("rmse", 8)).alias("rmse"))
 
 
-@query("georef_consensus", "SELECT job_id, CAST(n - CASE WHEN n >= 5 THEN 1 ELSE 0 END AS BIGINT) AS inliers, CASE WHEN n >= 5 THEN 5 END AS rejected FROM (SELECT c_nationkey AS job_id, least(12, count(*)) AS n FROM customer GROUP BY 1) WHERE n >= 6")
+@query("georef_consensus", "SELECT c_custkey // 12 AS job_id, CAST(count(*) - count(*) FILTER (WHERE c_custkey % 12 = 4) AS BIGINT) AS inliers, CASE WHEN count(*) FILTER (WHERE c_custkey % 12 = 4) > 0 THEN 5 END AS rejected FROM customer GROUP BY 1 HAVING count(*) >= 6")
 def georef_consensus(spark, sf):
     g = _gcps(spark, sf, True)
     enough = g.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 6").select("job_id")
     return georef.consensus(g.join(enough, "job_id")).select("job_id", "inliers", F.get("rejected", F.lit(0)).alias("rejected"))
 
 
-@query("georef_nonaffine")
+@query("georef_nonaffine", f"""SELECT job_id, kind, CASE WHEN n >= least THEN 'computed' ELSE 'too_few_points' END AS status, CASE WHEN n >= least THEN CAST(0 AS DOUBLE) END AS rmse
+  FROM {_JOBS}, (VALUES ('poly2', 6), ('projective', 4), ('tps', 3)) k(kind, least)""")
 def georef_nonaffine(spark, sf):
-    return georef.fit_other(_gcps(spark, sf, False), "poly2")
+    """All jobs by each kind of transform; every kind fits an exact affine."""
+    g = _gcps(spark, sf, False)
+    fits = [georef.fit_other(g, kind) for kind in ("poly2", "projective", "tps")]
+    return fits[0].union(fits[1]).union(fits[2]).select("job_id", "kind", "status", F.abs(F.round("rmse", 6)).alias("rmse"))
 
 
-@query("georef_apply", "SELECT job_id, gcp_id, true AS same FROM (SELECT c_nationkey AS job_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS gcp_id, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE gcp_id <= 12 AND n >= 3")
+@query("georef_apply", "SELECT job_id, gcp_id, true AS same FROM (SELECT c_custkey // 12 AS job_id, CAST(c_custkey % 12 + 1 AS INTEGER) AS gcp_id, count(*) OVER (PARTITION BY c_custkey // 12) AS n FROM customer) WHERE n >= 3")
 def georef_apply(spark, sf):
     g = _gcps(spark, sf, False)
     at = georef.apply_affine(g.join(georef.fit_affine(g), "job_id"))

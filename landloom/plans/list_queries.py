@@ -8,7 +8,7 @@ from ..functions import geometry as G
 from ..operators import dedupe, georef, listing, publish
 from ..storage import new_path
 from .base import query, relation, table
-from .geo_queries import _COVER, _gcps
+from .geo_queries import _COVER, _JOBS, _gcps
 from .registry_queries import _tasks
 
 
@@ -70,7 +70,7 @@ def tile_read(spark, sf):
     return t.select(F.explode("ids").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-@query("georef_apply_other", "SELECT job_id, gcp_id AS point_id, true AS near FROM (SELECT c_nationkey AS job_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS gcp_id, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE gcp_id <= 12 AND n >= 6")
+@query("georef_apply_other", "SELECT job_id, point_id, true AS near FROM (SELECT c_custkey // 12 AS job_id, CAST(c_custkey % 12 + 1 AS INTEGER) AS point_id, count(*) OVER (PARTITION BY c_custkey // 12) AS n FROM customer) WHERE n >= 6")
 def georef_apply_other(spark, sf):
     g = _gcps(spark, sf, False)
     p = georef.apply_other(g, g.select("job_id", F.col("gcp_id").alias("point_id"), "px", "py"), "poly2")
@@ -78,10 +78,11 @@ def georef_apply_other(spark, sf):
     return j.select("job_id", "point_id", ((F.abs(F.col("x") - F.col("mx")) < 1e-6) & (F.abs(F.col("y") - F.col("my")) < 1e-6)).alias("near"))
 
 
-@query("georef_status", "SELECT n_nationkey AS job_id, CASE WHEN n_nationkey % 4 = 0 THEN 'approved' WHEN n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 3) THEN 'computed' ELSE 'draft' END AS status, n_nationkey % 4 = 0 AS locked FROM nation")
+@query("georef_status", f"SELECT job_id, CASE WHEN job_id % 4 = 0 THEN 'approved' WHEN n >= 3 THEN 'computed' ELSE 'draft' END AS status, job_id % 4 = 0 AS locked FROM {_JOBS}")
 def georef_status(spark, sf):
-    jobs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("job_id"), F.when(F.col("n_nationkey") % 4 == 0, "approved").otherwise("draft").alias("status"))
-    return georef.job_status(jobs, georef.fit_affine(_gcps(spark, sf, False)))
+    g = _gcps(spark, sf, False)
+    jobs = g.select("job_id").distinct().withColumn("status", F.when(F.col("job_id") % 4 == 0, "approved").otherwise("draft"))
+    return georef.job_status(jobs, georef.fit_affine(g))
 
 
 @query("drop_copies", """WITH d AS (SELECT doc_id, v, sha256(text || CASE WHEN v = 3 AND doc_id % 3 = 0 THEN ' changed' ELSE '' END) AS digest FROM documents, (VALUES (1), (2), (3)) AS t(v)),

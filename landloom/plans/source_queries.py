@@ -10,8 +10,9 @@ from ..storage import new_path
 from .base import query, relation, table
 
 
-def _key(c, m):
-    return F.concat(F.lit("s"), (F.col(c) % m).cast("string"))
+def _key(c, n):
+    """Sources of n rows each, so that their number grows with the table and no body does."""
+    return F.concat(F.lit("s"), F.floor(F.col(c) / n).cast("string"))
 
 
 @query("html_links", "SELECT url AS page_url, link, count(*) AS n FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>.*?</a>', 1)) AS link FROM pages) WHERE link LIKE '/%' AND link NOT LIKE '//%' GROUP BY 1, 2")
@@ -24,7 +25,7 @@ def html_links(spark, sf):
 
 @query("html_index")
 def html_index(spark, sf):
-    p = table(spark, sf, "pages").select(_key("page_id", 7).alias("source_key"), "url", F.floor(F.col("page_id") / 7).alias("page"), F.col("html").alias("body"))
+    p = table(spark, sf, "pages").select(_key("page_id", 200).alias("source_key"), "url", (F.col("page_id") % 200).alias("page"), F.col("html").alias("body"))
     return payloads.html_index(p, exclude=(r"\.css$",)).select("source_key", "url", "filename")
 
 
@@ -37,9 +38,9 @@ def attachments(spark, sf):
     return payloads.attachments(listing, p.select(key.alias("source_key"), "url", body.alias("body"))).select("source_key", "url", F.col("metadata")["title"].alias("title"))
 
 
-@query("sitemap", "SELECT 's' || (page_id % 5) AS source_key, url, min('2024-01-0' || (page_id % 9 + 1)) AS lastmod FROM pages WHERE url LIKE '%/en/%' GROUP BY ALL")
+@query("sitemap", "SELECT 's' || (page_id // 100) AS source_key, url, min('2024-01-0' || (page_id % 9 + 1)) AS lastmod FROM pages WHERE url LIKE '%/en/%' GROUP BY ALL")
 def sitemap(spark, sf):
-    p = table(spark, sf, "pages").withColumn("source_key", _key("page_id", 5))
+    p = table(spark, sf, "pages").withColumn("source_key", _key("page_id", 100))
     entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod></url>"))
     sets = p.groupBy("source_key").agg(F.array_join(F.sort_array(F.collect_list(F.struct((F.col("page_id") % 9).alias("k"), "url", entry.alias("e")))).getField("e"), "").alias("b"))
     sets = sets.select("source_key", F.lit("https://x/set.xml").alias("url"), F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "b", F.lit("</urlset>")).alias("body"), F.lit(False).alias("root"))
@@ -47,20 +48,20 @@ def sitemap(spark, sf):
     return payloads.sitemap(index.union(sets), include=("/en/",)).select("source_key", "url", F.col("metadata")["lastmod"].alias("lastmod"))
 
 
-@query("feed", "SELECT 's' || (page_id % 4) AS source_key, CASE WHEN page_id % 2 = 0 THEN 'https://f.example/' || page_id || '.pdf' ELSE 'https://p.example/' || page_id END AS url, 'g' || page_id AS identity FROM pages")
+@query("feed", "SELECT 's' || (page_id // 100) AS source_key, CASE WHEN page_id % 2 = 0 THEN 'https://f.example/' || page_id || '.pdf' ELSE 'https://p.example/' || page_id END AS url, 'g' || page_id AS identity FROM pages")
 def feed(spark, sf):
     k = F.col("page_id").cast("string")
     item = F.concat(F.lit("<item><title>t"), k, F.lit("</title><link>https://p.example/"), k, F.lit("</link><guid>g"), k, F.lit("</guid>"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<enclosure url="https://f.example/'), k, F.lit('.pdf"/>'))).otherwise(""), F.lit("</item>"))
-    b = table(spark, sf, "pages").select(_key("page_id", 4).alias("source_key"), item.alias("i")).groupBy("source_key").agg(F.array_join(F.sort_array(F.collect_list("i")), "").alias("b"))
+    b = table(spark, sf, "pages").select(_key("page_id", 100).alias("source_key"), item.alias("i")).groupBy("source_key").agg(F.array_join(F.sort_array(F.collect_list("i")), "").alias("b"))
     rows = b.select("source_key", F.lit("https://x/feed").alias("url"), F.concat(F.lit("<rss><channel>"), "b", F.lit("</channel></rss>")).alias("body"))
     return payloads.feed(rows).select("source_key", "url", "identity")
 
 
-@query("ckan", "SELECT 's' || (c_custkey % 3) AS source_key, 'http://d/' || c_custkey || '.geojson' AS url, 'ckan:r' || c_custkey AS identity FROM customer WHERE c_custkey % 2 = 0")
+@query("ckan", "SELECT 's' || (c_custkey // 100) AS source_key, 'http://d/' || c_custkey || '.geojson' AS url, 'ckan:r' || c_custkey AS identity FROM customer WHERE c_custkey % 2 = 0")
 def ckan(spark, sf):
     k = F.col("c_custkey").cast("string")
     res = F.struct(F.concat(F.lit("r"), k).alias("id"), F.concat(F.lit("http://d/"), k, F.lit(".geojson")).alias("url"), F.when(F.col("c_custkey") % 2 == 0, "GeoJSON").otherwise("PDF").alias("format"), F.col("c_name").alias("name"))
-    p = table(spark, sf, "customer").select(_key("c_custkey", 3).alias("source_key"), F.struct(k.alias("id"), F.col("c_name").alias("title"), F.array(res, res).alias("resources")).alias("p"))
+    p = table(spark, sf, "customer").select(_key("c_custkey", 100).alias("source_key"), F.struct(k.alias("id"), F.col("c_name").alias("title"), F.array(res, res).alias("resources")).alias("p"))
     body = p.groupBy("source_key").agg(F.to_json(F.struct(F.struct(F.collect_list("p").alias("results")).alias("result"))).alias("body"))
     return payloads.ckan(body.withColumn("url", F.lit("x")), formats=("geojson",)).select("source_key", "url", "identity")
 
@@ -71,9 +72,9 @@ def ogc_collections(spark, sf):
     return payloads.ogc_collections(b.withColumn("url", F.lit("https://o.example/collections?f=json"))).select("source_key", "url", "identity")
 
 
-@query("ogc_items", "SELECT 's' || (c_custkey % 5) AS source_key, count(*) AS total, count(*) > 200 AS truncated, least(count(*), 200) AS kept FROM customer GROUP BY 1")
+@query("ogc_items", "SELECT 's' || (c_custkey // 350) AS source_key, count(*) AS total, count(*) > 200 AS truncated, least(count(*), 200) AS kept FROM customer GROUP BY 1")
 def ogc_items(spark, sf):
-    pages = table(spark, sf, "customer").select(_key("c_custkey", 5).alias("source_key"), (F.col("c_custkey") % 7).alias("page"), F.struct(F.lit("Feature").alias("type"), F.col("c_custkey").alias("id")).alias("f")).groupBy("source_key", "page").agg(F.to_json(F.struct(F.collect_list("f").alias("features"))).alias("body"))
+    pages = table(spark, sf, "customer").select(_key("c_custkey", 350).alias("source_key"), (F.col("c_custkey") % 7).alias("page"), F.struct(F.lit("Feature").alias("type"), F.col("c_custkey").alias("id")).alias("f")).groupBy("source_key", "page").agg(F.to_json(F.struct(F.collect_list("f").alias("features"))).alias("body"))
     kept, total = payloads.ogc_items(pages, 200)
     return total.join(kept.groupBy("source_key").agg(F.count(F.lit(1)).alias("kept")), "source_key")
 
@@ -102,7 +103,7 @@ def arcgis_layers(spark, sf):
 @query("arcgis_harvest", "SELECT c_nationkey AS layer, count(*) AS harvested, count(*) + c_nationkey % 2 AS server_count, c_nationkey % 2 = 0 AS complete FROM customer GROUP BY c_nationkey")
 def arcgis_harvest(spark, sf):
     c = table(spark, sf, "customer")
-    batches = c.groupBy(F.col("c_nationkey").alias("layer"), F.col("c_custkey") % 4).agg(F.to_json(F.struct(F.collect_list(F.struct("c_custkey")).alias("features"))).alias("body"))
+    batches = c.groupBy(F.col("c_nationkey").alias("layer"), F.floor(F.col("c_custkey") / 500)).agg(F.to_json(F.struct(F.collect_list(F.struct("c_custkey")).alias("features"))).alias("body"))
     expected = c.groupBy(F.col("c_nationkey").alias("layer")).agg((F.count(F.lit(1)) + F.first("c_nationkey") % 2).alias("server_count"))
     return payloads.arcgis_harvest(batches.select("layer", "body"), expected)
 
@@ -161,9 +162,10 @@ def jsvar_unwrap(spark, sf):
 
 
 def _collections(spark, sf):
+    """The features as GeoJSON texts of some 500 features of one layer each."""
     f = relation(spark, sf, "features").withColumn("geom", G.box(*map(F.col, ("minx", "miny", "maxx", "maxy"))))
     feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.when(F.col("id") % 10 == 0, "null").otherwise(G.to_geojson(F.col("geom"))), F.lit(',"properties":{"code":"'), "fkey", F.lit('","type":"'), "class", F.lit('"}}'))
-    b = f.select("layer_id", "id", feature.alias("x")).groupBy("layer_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]), ",").alias("b"))
+    b = f.select("layer_id", "id", feature.alias("x")).groupBy("layer_id", F.floor(F.col("id") / 500).alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]), ",").alias("b"))
     return b.select("layer_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), "b", F.lit("]}")).alias("body"))
 
 
@@ -196,13 +198,14 @@ def raster_register(spark, sf):
     return files.register_rasters(table(spark, sf, "documents").select(F.col("doc_id").alias("artifact_id"), (F.col("doc_id") % 2 == 0).alias("georeferenced"), F.lit(None).cast("string").alias("grp")))
 
 
-@query("file_scan", "SELECT doc_id, CAST(strlen(lang || '|' || source) AS BIGINT) AS length FROM documents WHERE doc_id % 10 = 0")
+@query("file_scan", "SELECT doc_id // 100 AS part, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS length FROM documents GROUP BY 1")
 def file_scan(spark, sf):
-    """Small files written to the shared folder and scanned back as binary files."""
+    """All texts written to the shared folder, a hundred to a file, and scanned back as binary files."""
     path = new_path(spark, "files")
-    table(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", F.concat_ws("|", "lang", "source").alias("value")).repartition(1).write.partitionBy("doc_id").text(path)
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), F.coalesce("text", F.lit("")).alias("value"))
+    d.repartition("part").write.partitionBy("part").text(path)
     found = files.scan_files(spark, path, ("*.txt",))
-    return found.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), (F.col("length") - 1).alias("length"))
+    return found.groupBy(F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part")).agg(F.sum("length").alias("length"))
 
 
 @query("observation_stream", "SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'seen_new' WHEN lag(sha) OVER w = sha THEN 'unchanged' ELSE 'changed' END AS state FROM observations WINDOW w AS (PARTITION BY source_id, resource_key ORDER BY ts, event_id)")

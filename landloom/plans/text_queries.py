@@ -15,9 +15,12 @@ def vn_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.vn_normalize(F.col("text")).alias("folded"))
 
 
-@query("fold_token", f"SELECT p_partkey, {_NORM.format(x='p_name')} AS token FROM part")
+@query("fold_token", f"SELECT p_partkey, {_NORM.format(x='p_name')} || ' dat o 12 dat' AS token FROM part")
 def fold_token(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", text.fold_token(F.col("p_name")).alias("token"))
+    """Names in full-width letters, with marks apart and composed, full-width digits and the barred d."""
+    low = "abcdefghijklmnopqrstuvwxyz"
+    wide = F.translate(F.col("p_name"), low, "".join(chr(ord(c) + 0xFEE0) for c in low))
+    return table(spark, sf, "part").select("p_partkey", text.fold_token(F.concat(wide, F.lit(" \u0110a\u0302\u0301t \u1edf \uff11\uff12 \u0111\u1ea5t"))).alias("token"))
 
 
 @query("parse_coordinates", "SELECT point_id, lon, lat FROM (SELECT point_id, CAST(round(lon, 4) AS DOUBLE) AS lon, CAST(round(lat, 4) AS DOUBLE) AS lat FROM points)")
@@ -72,12 +75,38 @@ def _page_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (k % 3 + 1).alias("page"), F.when(k % 2 == 0, F.concat(mast, F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
-@query("text_candidates", """SELECT doc_id, name, value, doc_id % 3 + 1 AS page FROM (
-  SELECT doc_id, 'decision_number' AS name, (doc_id % 900 + 1) || '/QD-UBND' AS value FROM documents WHERE doc_id % 2 = 0
-  UNION ALL SELECT doc_id, 'signed_date', printf('%04d-%02d-%02d', doc_id % 20 + 2000, doc_id % 12 + 1, doc_id % 28 + 1) FROM documents WHERE doc_id % 2 = 0
-  UNION ALL SELECT doc_id, 'scale', '1/' || ((doc_id % 5 + 1) * 1000) FROM documents WHERE doc_id % 2 = 0)""")
+_DAY = ("doc_id % 28 + 1", "doc_id % 12 + 1", "doc_id % 20 + 2000")
+#: name -> what its pattern meets in the masthead, as SQL over doc_id, and the value it gives
+_MET = {
+    "decision_number": ("'quyet dinh so ' || (doc_id % 900 + 1) || '/qd-ubnd'", "(doc_id % 900 + 1) || '/QD-UBND'"),
+    "signed_date": ("printf('ngay %d thang %d nam %d', {}, {}, {})".format(*_DAY), "printf('%04d-%02d-%02d', {2}, {1}, {0})".format(*_DAY)),
+    "scale": ("'ty le 1/' || ((doc_id % 5 + 1) * 1000)", "'1/' || ((doc_id % 5 + 1) * 1000)"),
+    "planning_code": ("'ma quy hoach: qh-' || doc_id", "'QH-' || doc_id"),
+    "supersedes_decision": ("'thay the quyet dinh so ' || (doc_id % 70 + 1) || '/qd-cp'", "(doc_id % 70 + 1) || '/QD-CP'"),
+    "planning_period": ("'thoi ky 2021 - ' || (doc_id % 20 + 2030)", "'2021-' || (doc_id % 20 + 2030)"),
+    "effective_date": ("printf('co hieu luc tu ngay %d/%d/%d', {}, {}, {})".format(*_DAY), "printf('%04d-%02d-%02d', {2}, {1}, {0})".format(*_DAY)),
+    "effective_from_signed": ("'co hieu luc ke tu ngay ky'", "'signed_date'"),
+    "plan_title": ("'quy hoach chung khu ' || doc_id", "'quy hoach chung khu ' || doc_id"),
+    "approving_authority": ("'uy ban nhan dan tinh ninh binh'", "'uy ban nhan dan tinh ninh binh'"),
+}
+_WHOLE = "concat_ws('', " + ", ', ', ".join(_MET[n][0] for n in list(_MET)[:8]) + ", '. ', " + _MET["plan_title"][0] + ", '. ', " + _MET["approving_authority"][0] + ", '. ', text)"
+
+
+@query("text_candidates", f"WITH p AS (SELECT doc_id, {_NORM.format(x=_WHOLE)} AS folded FROM documents WHERE doc_id % 2 = 0), m AS (" + " UNION ALL ".join(f"SELECT doc_id, folded, '{n}' AS name, {met} AS met, {value} AS value FROM p" for n, (met, value) in _MET.items()) + """),
+  a AS (SELECT *, instr(folded, met) AS pos, greatest(instr(folded, met) - 20, 1) AS first FROM m)
+SELECT doc_id, name, value, doc_id % 3 + 1 AS page, substr(trim(substr(folded, first, pos + length(met) + 90 - first)), 1, 160) AS snippet FROM a""")
 def text_candidates(spark, sf):
-    return text.text_candidates(_page_text(spark, sf)).where(F.col("name").isin("decision_number", "signed_date", "scale")).select("doc_id", "name", "value", "page")
+    """All patterns, in whole texts that start with a masthead where the number is even."""
+    k = F.col("doc_id")
+    d, m, y = (x.cast("string") for x in (k % 28 + 1, k % 12 + 1, k % 20 + 2000))
+    t = lambda x: x.cast("string")
+    head = F.concat(
+        F.lit("Quyết định số "), t(k % 900 + 1), F.lit("/QD-UBND, ngày "), d, F.lit(" tháng "), m, F.lit(" năm "), y, F.lit(", tỷ lệ 1/"), t((k % 5 + 1) * 1000), F.lit(", Mã quy hoạch: QH-"), t(k),
+        F.lit(", thay thế quyết định số "), t(k % 70 + 1), F.lit("/QD-CP, thời kỳ 2021 - "), t(k % 20 + 2030), F.lit(", có hiệu lực từ ngày "), d, F.lit("/"), m, F.lit("/"), y,
+        F.lit(", có hiệu lực kể từ ngày ký. Quy hoạch chung khu "), t(k), F.lit(". Ủy ban nhân dân tỉnh Ninh Bình. "),
+    )
+    pages = table(spark, sf, "documents").select("doc_id", (k % 3 + 1).alias("page"), F.when(k % 2 == 0, F.concat(head, F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
+    return text.text_candidates(pages).select("doc_id", "name", "value", "page", "snippet")
 
 
 @query("document_metadata", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'N' || doc_id WHEN doc_id % 2 = 0 THEN (doc_id % 900 + 1) || '/QD-UBND' END AS document_number,

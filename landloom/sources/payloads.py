@@ -38,15 +38,22 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-_LINK = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
+_LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>(.*?)</a>"
 _XMLNS = r"\sxmlns(:\w+)?=\"[^\"]*\""
 
 
+def _unescaped(text: Column) -> Column:
+    """The five entities of XML resolved, the ampersand last."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
 def links(pages: DataFrame) -> DataFrame:
     """pages(source_key, url, page, body) -> ord, href, title of every anchor, in page and reading order."""
     hrefs, titles = F.regexp_extract_all("body", F.lit(_LINK), F.lit(1)), F.regexp_extract_all("body", F.lit(_LINK), F.lit(2))
     e = pages.select("source_key", "url", "page", F.posexplode(F.arrays_zip(hrefs.alias("href"), titles.alias("title"))).alias("ord", "a"))
-    return e.select("source_key", "page", "ord", url_join(F.col("url"), F.col("a.href")).alias("link"), F.trim(F.regexp_replace(F.regexp_replace("a.title", "<[^>]*>", " "), r"\s+", " ")).alias("title"))
+    return e.select("source_key", "page", "ord", url_join(F.col("url"), _unescaped(F.trim(F.regexp_replace("a.href", r"^[\"']|[\"']$", "")))).alias("link"), F.trim(F.regexp_replace(F.regexp_replace("a.title", "<[^>]*>", " "), r"\s+", " ")).alias("title"))
 
 
 @parser("html")
@@ -159,8 +166,13 @@ def wfs_types(payloads: DataFrame, include: tuple[str, ...] = (), exclude: tuple
 @parser("wms")
 def wms_layers(payloads: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """Layers with a name; a group without one is no candidate."""
-    t = payloads.select("source_key", "url", F.posexplode(F.regexp_extract_all(F.regexp_replace("body", _XMLNS, ""), F.lit(r"(?s)<Layer[^>]*>\s*<Name>([^<]+)</Name>"), F.lit(1))).alias("ord", "name"))
-    return candidates(t.where(passes(F.col("name"), include, exclude)), F.col("url"), F.concat(F.lit("wms:"), F.col("name")), meta(title=F.col("name")))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"(?s)<!--.*?-->", ""), _XMLNS, ""), r"(</?)\w+:", "$1")
+    own = F.regexp_replace(plain, r"(?s)<(Style|MetadataURL|Attribution|Identifier)\b[^>]*?(?:/>|>.*?</\1>)", "")  # these have names of their own
+    # a layer's own part ends where the next layer starts or a layer ends, so groups and their members are told apart
+    t = payloads.select("source_key", "url", F.posexplode(F.regexp_extract_all(own, F.lit(r"(?s)<Layer\b[^>]*>(.*?)(?=<Layer\b|</Layer>)"), F.lit(1))).alias("ord", "item"))
+    text = lambda tag: F.nullif(_unescaped(F.trim(F.regexp_extract("item", rf"(?s)<{tag}>([^<]*)</{tag}>", 1))), F.lit(""))
+    t = t.select("source_key", "url", "ord", text("Name").alias("name"), text("Title").alias("title"))
+    return candidates(t.where(F.col("name").isNotNull() & passes(F.col("name"), include, exclude)), F.col("url"), F.concat(F.lit("wms:"), F.col("name")), meta(title=F.coalesce("title", "name")))
 
 
 @parser("arcgis")

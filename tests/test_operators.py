@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
+from landloom.functions import overlay
 from landloom.operators import dedupe, diff, georef, observe, provenance, publish, quality, spatial, versions
 from landloom.sources import files, payloads
 from landloom.streaming.observe import observation_stream
@@ -80,6 +81,18 @@ def test_wide_boxes_meet_once(spark):
     assert sorted(map(tuple, got)) == sorted([(i, 1) for i in range(50)] + [(3, 2)])
 
 
+def test_boxes_of_both_sides_go_to_their_levels(spark):
+    rows = [(i, i * 1.0, 0.0, i + 0.5, 0.5) for i in range(20)] + [(90, -1000.0, -1000.0, 1000.0, 1000.0), (91, 0.0, 0.0, 3.0, 3.0), (92, 5.25, 0.25, 5.25, 0.25)]
+    a = spark.createDataFrame(rows, "i int, ax double, ay double, bx double, by double")
+    b = a.toDF("j", "cx", "cy", "dx", "dy")
+    got = spatial.box_join(a, b, ("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"), 0.1).select("i", "j").collect()
+    want = [(p[0], q[0]) for p in rows for q in rows if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    own = a.withColumn("_own", spatial._level(*map(F.col, ("ax", "ay", "bx", "by")), 0.1))
+    keys = spatial._keyed(own, own, ("ax", "ay", "bx", "by"), 0.1, (0,), 1).groupBy("i", "_lv").count()
+    assert keys.agg(F.max("count")).first()[0] <= spatial.WIDE_CELLS
+
+
 @pytest.mark.parametrize("kind", ["poly2", "projective", "tps"])
 def test_other_fits(spark, kind):
     rows = [(1, i, float(i % 4 * 10), float(i // 4 * 10), i % 4 * 10 * 2.0 + 5, i // 4 * 10 * -1.0 + 1, True) for i in range(12)] + [(2, 1, 0.0, 0.0, 0.0, 0.0, True)]
@@ -124,6 +137,37 @@ def test_gap_and_cross(spark):
     assert [r.target_ref for r in quality.line_cross(ctx(spark, lines, cross=True)).collect()] == ["f0"]
 
 
+def test_lines_that_join_and_lines_that_run_along(spark):
+    line = lambda *p: '{"type":"LineString","coordinates":[' + ",".join(f"[{x},{y}]" for x, y in p) + "]}"
+    hits = lambda *ls: [r.target_ref for r in quality.line_cross(ctx(spark, list(ls), cross=True)).collect()]
+    assert hits(line((0, 0), (1, 1)), line((1, 1), (2, 2))) == ["f0"]  # end to end in one straight line
+    assert hits(line((0, 0), (1, 0)), line((1, 0), (1, 1))) == ["f0"]
+    assert hits(line((0, 0), (2, 0)), line((1, 0), (3, 0))) == []  # a common part is no point
+    assert hits(line((0, 0), (1, 0)), line((2, 0), (3, 0))) == [] and hits(line((0, 0), (1, 0)), line((0, 1), (1, 1))) == []
+    assert hits(line((0, 0), (2, 0)), line((0, 1), (1, -1), (2, 1))) == []  # two points
+    assert hits(line((0, 0), (0, 0), (1, 0)), line((0.5, -1), (0.5, 1))) == ["f0"]
+
+
+@pytest.mark.parametrize(
+    "rings, issue",
+    [
+        ([[[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (2, 1), (2, 2), (1, 2)]]], None),
+        ([[[(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (2, 1), (1, 2)]]], None),  # a hole that touches in a corner
+        ([[[(0, 0), (2, 2), (2, 0), (0, 2)]]], "self_intersection"),
+        ([[[(0, 0), (4, 0), (4, 4), (0, 4)], [(3, 1), (5, 1), (5, 2), (3, 2)]]], "self_intersection"),
+        ([[[(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 1), (1, 1), (1, 2), (0, 2)]]], "self_intersection"),  # along the shell
+        ([[[(0, 0), (4, 0), (4, 4), (0, 4)], [(6, 1), (7, 1), (7, 2), (6, 2)]]], "hole_outside_shell"),
+        ([[[(0, 0), (9, 0), (9, 9), (0, 9)], [(1, 1), (8, 1), (8, 8), (1, 8)], [(2, 2), (3, 2), (3, 3), (2, 3)]]], "nested_holes"),
+        ([[[(0, 0), (4, 0), (4, 4), (0, 4)]], [[(1, 1), (2, 1), (2, 2), (1, 2)]]], "nested_parts"),
+        ([[[(0, 0), (9, 0), (9, 9), (0, 9)], [(1, 1), (8, 1), (8, 8), (1, 8)]], [[(2, 2), (3, 2), (3, 3), (2, 3)]]], None),  # a part in a hole
+        ([[[(0, 0), (1, 0), (1, 1), (0, 1)]], [[(1, 1), (2, 1), (2, 2), (1, 2)]]], None),
+    ],
+)
+def test_broken_polygons(rings, issue):
+    parts = [[[{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]] for r in part] for part in rings]
+    assert overlay.broken_rule(parts) == issue
+
+
 def test_broken_rule_becomes_a_finding(spark):
     quality.RULES["QH-ZZZ"] = quality.Rule("QH-ZZZ", "", "error", "dataset", lambda c: 1 / 0)
     try:
@@ -153,6 +197,10 @@ def test_payloads(spark):
     row = lambda body: spark.createDataFrame([("s", "https://h/x?y=1", body)], "source_key string, url string, body string")
     assert payloads.sitemap(row("<urlset><url><loc>https://h/a.pdf</loc></url><url><loc>https://h/b</loc></url></urlset>"), include=(r"\.pdf$",)).first().filename == "a.pdf"
     assert payloads.feed(row("<feed><entry><id>1</id><link href='https://h/p'/><link rel='enclosure' href='https://h/f.pdf'/></entry></feed>")).first().url == "https://h/f.pdf"
+    wms = "<Layer><Title>g</Title><Layer queryable='1'><Title>A &amp; B</Title><Name>a</Name><Style><Name>s</Name></Style></Layer><wms:Layer><wms:Name>b</wms:Name></wms:Layer></Layer><!-- <Layer><Name>c</Name></Layer> -->"
+    assert [(r.identity, r.metadata["title"]) for r in payloads.wms_layers(row(wms)).collect()] == [("wms:a", "A & B"), ("wms:b", "b")]
+    html = row("<a href=/a?x=1&amp;y=2>one</a><a class=k href='b.pdf' data-href='z'>two</a>").withColumn("page", F.lit(1))
+    assert [r.link for r in payloads.links(html).orderBy("ord").collect()] == ["https://h/a?x=1&y=2", "https://h/b.pdf"]
     assert payloads.ckan(row("not json")).count() == 0 and payloads.wfs_types(row("")).count() == 0
     assert payloads.arcgis_layers(row('{"id":3,"name":"n","fields":[{"name":"FID","type":"esriFieldTypeOID"}]}')).first().metadata["oid"] == "FID"
 
