@@ -1,6 +1,7 @@
 """The operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, extra columns,
 empty tables."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -298,6 +299,138 @@ def test_pseudonyms_beside_other_numbers(spark):
     assert got == [(card, 1, 0), (f"card{card}1226", 1, 0), (f"{card}123ok", 1, 0), (f"12{card}", 1, 0), (f"{iban}AND", 0, 1), (f"{iban}FOR", 0, 1), (iban + card, 1, 1), ("411111111111111212", 0, 0)]
 
 
+def luhn(d):
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(d))))
+
+
+def rest97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def feistel(values, radices, label, key):
+    half = len(values) // 2
+    sides, rads = [list(values[:half]), list(values[half:])], [radices[:half], radices[half:]]
+    for k in range(1, pseudonyms.ROUNDS + 1):
+        here, there = (0, 1) if k % 2 == 0 else (1, 0)
+        seed = f"{key}|{label}|{k}|" + ",".join(map(str, sides[there]))
+        hexes = [hashlib.sha256(f"{seed}|{i // 7}".encode()).hexdigest()[i % 7 * 9 : i % 7 * 9 + 9] for i in range(len(sides[here]))]
+        sides[here] = [(x + int(h, 16)) % r for x, h, r in zip(sides[here], hexes, rads[here], strict=True)]
+    return sides[0] + sides[1]
+
+
+def moved(symbols, label, key):
+    low = [48 if c.isdigit() else 65 if c.isupper() else 97 for c in symbols]
+    shape = "".join(chr(x) for x in low)
+    out = feistel([ord(c) - x for c, x in zip(symbols, low, strict=True)], [10 if x == 48 else 26 for x in low], f"{label}:{shape}", key)
+    return "".join(chr(v + x) for v, x in zip(out, low, strict=True))
+
+
+def spread(symbols, value):
+    left = iter(symbols)
+    return re.sub("[A-Za-z0-9]", lambda _: next(left), value)
+
+
+def day_of(v):
+    n = list(map(int, re.split(r"[-/.]", v)))
+    try:
+        return datetime.date(*(n if v[4] == "-" else n[::-1]))
+    except ValueError:
+        return None
+
+
+def kind_by_hand(v):
+    full = lambda p: re.fullmatch(p, v)
+    plain = re.sub("[^A-Za-z0-9]", "", v)
+    if full(pseudonyms._EMAIL):
+        return "email"
+    if full(pseudonyms._DATE):
+        day = day_of(v)
+        return "date" if day and 1800 <= day.year < 2200 else None
+    if full(pseudonyms._IP):
+        return "ip" if all(int(o) < 256 for o in v.split(".")) else None
+    if full(pseudonyms._SSN):
+        return "ssn"
+    if full(pseudonyms._IBAN):
+        return "iban" if rest97(plain) == 1 else None
+    if full(pseudonyms._CARD) and luhn(plain) % 10 == 0:
+        return "card"
+    return "phone" if full(pseudonyms._PHONE) or full(pseudonyms._PLUS) else None
+
+
+def pseudonym_by_hand(v, kind, key):
+    plain, first = re.sub("[^A-Za-z0-9]", "", v), datetime.date(1800, 1, 1)
+    if kind == "email":
+        local, domain = v.split("@")
+        return spread(moved(re.sub("[^A-Za-z0-9]", "", local), kind, key), local) + "@" + domain
+    if kind == "date":
+        a, b = feistel(divmod((day_of(v) - first).days, 773), (189, 773), kind, key)
+        return (first + datetime.timedelta(a * 773 + b)).strftime("%Y-%m-%d" if "-" in v else "%d/%m/%Y" if "/" in v else "%d.%m.%Y")
+    if kind == "ip":
+        return ".".join(map(str, feistel(list(map(int, v.split("."))), [256] * 4, kind, key)))
+    if kind == "ssn":
+        return spread(moved(plain, kind, key), v)
+    if kind == "iban":
+        account = moved(plain[4:], kind, key)
+        return spread(f"{plain[:2]}{98 - rest97(plain[:2] + '00' + account):02d}{account}", v)
+    if kind == "card":
+        head = moved(plain[:-1], kind, key)
+        return spread(head + str(-luhn(head + "0") % 10), v)
+    code = re.match(r"(?:\+[0-9]{1,3}[ .-]?)?", v)[0]
+    return code + spread(moved(re.sub("[^0-9]", "", v[len(code) :]), kind, key), v[len(code) :])
+
+
+def pieces_by_hand(v):
+    number = f"{pseudonyms._CARD}|{pseudonyms._IBAN}"
+    if kind_by_hand(v) or not re.fullmatch(number, v):
+        return [(v, kind_by_hand(v))]
+    out, i = [], 0
+    while i < len(v):
+        ends = [e for e in range(len(v), i + 11, -1) if v[i] not in " -" and (i == 0 or v[i - 1] in " -") and v[e - 1] not in " -" and (e == len(v) or v[e] in " -")]
+        valid = next((e for e in ends if re.fullmatch(number, v[i:e]) and kind_by_hand(v[i:e]) in ("card", "iban")), None)
+        out.append((v[i : valid or i + 1], valid and kind_by_hand(v[i:valid])))
+        i = valid or i + 1
+    return out
+
+
+def private_texts():
+    draw = random.Random(5)
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+
+    def card():
+        head = digits(draw.choice((12, 14, 15, 15, 18)))
+        d = head + str(-luhn(head + "0") % 10)
+        return draw.choice((d, " ".join(re.findall(".{1,4}", d)), "-".join(re.findall(".{1,4}", d))))
+
+    def iban():
+        account = digits(draw.choice((12, 14, 18))) if draw.random() < 0.5 else "WEST" + digits(14)
+        d = f"GB{98 - rest97('GB00' + account):02d}{account}"
+        return draw.choice((d, " ".join(re.findall(".{1,4}", d))))
+
+    date = lambda: draw.choice(("{0:04d}-{1:02d}-{2:02d}", "{2}/{1}/{0}", "{2:02d}.{1:02d}.{0}")).format(draw.randint(1790, 2210), draw.randint(1, 13), draw.randint(1, 31))
+    ip = lambda: ".".join(str(draw.randint(0, 270)) for _ in range(4))
+    email = lambda: draw.choice(("x", "a.B9", "Long-Name_7+t")) + "@" + draw.choice(("mail.example.com", "h.org"))
+    phone = lambda: draw.choice((f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+44 {digits(4)} {digits(3)} {digits(3)}"))
+    makers = (card, iban, date, ip, email, phone, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: digits(draw.randint(1, 20)), lambda: draw.choice(("AND", "word", "12/26", "(", ".", "Đất")))
+    texts = [" ".join(draw.choice(makers)() for _ in range(draw.randint(1, 12))) for _ in range(250)]
+    return [*texts, " and ".join(texts), None, "", "no numbers", "7" * 40, texts[0], texts[0]]
+
+
+def test_pseudonyms_query_against_brute_force(spark, tmp_path):
+    """The registered query, on drawn values of every kind and on the given documents."""
+    given = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs(spark, [*private_texts(), *given]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    key, seen = pseudonyms.QUERY_KEY, Counter()
+    rows = pseudonyms.query(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert len(rows) == len(given) + len(private_texts())
+    for r, t in zip(rows, [*private_texts(), *given], strict=True):
+        finds = [] if t is None else [x for m in re.finditer(pseudonyms.CANDIDATE, t) for x in pieces_by_hand(m[0])]
+        n = Counter(k for _, k in finds if k)
+        want = t and re.sub(pseudonyms.CANDIDATE, lambda m: "".join(pseudonym_by_hand(v, k, key) if k else v for v, k in pieces_by_hand(m[0])), t)
+        assert (r.text, r.n_private, [r[f"n_{k}"] for k in pseudonyms.KINDS]) == (want, n.total(), [n[k] for k in pseudonyms.KINDS])
+        seen += n
+    assert all(seen[k] > 20 for k in pseudonyms.KINDS)
+
+
 def test_permutation_is_one_to_one(spark):
     v = F.array((F.col("id") % 7).cast("int"), F.floor(F.col("id") / 7).cast("int"))
     out = spark.range(77).select(pseudonyms.permuted(v, F.array(F.lit(7), F.lit(11)), F.lit("t"), KEY).alias("p"))
