@@ -143,6 +143,11 @@ def broken_rule(parts) -> str | None:
     return None
 
 
+def self_crossing(parts) -> bool:
+    """Edges of the geometry meet where they may not."""
+    return broken_rule(parts) == "self_intersection"
+
+
 def clip_ring(ring: list, minx: float, miny: float, maxx: float, maxy: float) -> list:
     """A ring cut to a rectangle, one side after the other."""
     p = [(q["x"], q["y"]) for q in ring]
@@ -179,6 +184,11 @@ def overlap_degrees(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(edges(x), edges(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(T.BooleanType())
+def crosses_itself(parts: pd.Series) -> pd.Series:
+    return pd.Series([self_crossing(x) for x in parts], dtype=bool)
+
+
 @F.pandas_udf(T.StringType())
 def breaks_rules(parts: pd.Series) -> pd.Series:
     """The rule that a polygon breaks, null for a valid one."""
