@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, mixing, pseudonyms, scoring, simhash, token_counts, token_files, url_rules
+from . import decontamination, exact_dedup, language, mixing, prefix_trie, pseudonyms, repair, scoring, secrets, simhash, token_counts, token_files, url_rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_rules": url_rules.query,
     "op9_scoring": scoring.query,
     "op10_token_files": token_files.query,
+    "op11_prefix_trie": prefix_trie.query,
+    "op12_secrets": secrets.query,
+    "op13_repair": repair.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
