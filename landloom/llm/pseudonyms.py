@@ -1,10 +1,12 @@
 """Format-preserving pseudonyms for personal numbers and dates, in DataFrame functions only.
 
-One pattern finds candidates; each is validated (Luhn, mod 97, octets up to 255, real dates, phone and e-mail forms). The
-symbols of a valid one are permuted by a keyed Feistel network over its own alphabet: two halves, eight rounds, each
-round adds keyed digests of one half to the other, symbol by symbol. So digits stay digits and letters letters, check
-digits are made anew, dates stay dates of the 400-year cycle from 1800, and equal values have equal pseudonyms in all
-documents, whatever separators they are written with.
+One pattern finds candidates; each is validated (Luhn, mod 97, octets up to 255, real dates, provinces of national
+numbers, phone and e-mail forms). The symbols of a valid one are permuted by a keyed Feistel network over its own
+alphabet: two halves, eight rounds, each round adds keyed digests of one half to the other, symbol by symbol. So digits
+stay digits and letters letters, check digits are made anew, and equal values have equal pseudonyms in all documents,
+whatever separators they are written with. A date keeps its 400-year cycle, whether its year is a leap year, whether its
+month has one digit or two, and whether its day is below 10, below 13 or above: so any way to write it, month first too,
+stays that way and names the same new date. An e-mail's domain keeps its dots and its last label.
 
 Defined cases: a null text stays null and has no finds; candidates that don't validate stay as they are; overlapping
 candidates are taken from the left, the longest valid run of groups of a number or account first; very long texts are split at their finds only, never cut;
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 #: The registered query's key, unless the session names one under KEY_SETTING; the operator has no default.
 QUERY_KEY, KEY_SETTING = "landloom", "spark.landloom.pseudonymKey"
 ROUNDS = 8
-#: Days of 400 Gregorian years, and two factors of it: the halves of a date's permutation.
-CYCLE_DAYS, DATE_RADICES = 146_097, (189, 773)
-FIRST_DAY = "1800-01-01"
-KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date")
+#: A year that a 400-year cycle of dates begins with; dates have the years 1 to 9999.
+CYCLE_START, CYCLE = 1800, 400
+PROVINCES = 96  # first three digits of a national number: 001 to this
+KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date", "national")
 _EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
@@ -31,7 +33,8 @@ _PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0
 _PLUS = r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}"
-CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){_EMAIL}|(?<![A-Za-z0-9+(])(?:{_IBAN}|{_DATE}|{_IP}|{_SSN}|{_PHONE}|{_PLUS}|{_CARD})(?![A-Za-z0-9]|-[0-9])"
+_NATIONAL = r"[0-9]{12}"
+CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){_EMAIL}|(?<![A-Za-z0-9+(])(?:{_IBAN}|{_DATE}|{_IP}|{_SSN}|{_PHONE}|{_PLUS}|{_CARD}|{_NATIONAL})(?![A-Za-z0-9]|-[0-9])"
 
 
 def _full(pattern: str) -> str:
@@ -119,24 +122,72 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(value, "[^A-Za-z0-9]", "")
 
 
+_ISO, _PARTS = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4})$"
+
+
 def _date(value: Column) -> Column:
+    """The date that a value writes: year first, else day first, else month first; null if it is none."""
     part = lambda p, i: F.nullif(F.regexp_extract(value, p, i), F.lit(""))
-    iso, day = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4})$"
-    text = F.concat_ws("-", F.coalesce(part(iso, 1), part(day, 3)), F.lpad(F.coalesce(part(iso, 2), part(day, 2)), 2, "0"), F.lpad(F.coalesce(part(iso, 3), part(day, 1)), 2, "0"))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+    day = lambda y, m, d: F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+    a, b, year = (part(_PARTS, i) for i in (1, 2, 3))
+    found = F.when(value.contains("-"), day(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3))).otherwise(F.coalesce(day(year, b, a), day(year, a, b)))
+    return F.when(F.coalesce(part(_ISO, 1), year) != "0000", found)
+
+
+def _leap(year: Column) -> Column:
+    return (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+
+
+def _day_class(month: Column, day: Column) -> Column:
+    """What a way of writing a date depends on: digits of the month and of the day, and whether the day can be a month."""
+    return F.when(month < 10, 0).otherwise(3) + F.when(day < 10, 0).when(day < 13, 1).otherwise(2)
+
+
+def moved_date(date: Column, key: str) -> Column:
+    """struct(y, m, d): the date permuted among those of its class."""
+
+    def move(g: Column) -> Column:
+        years = F.filter(F.sequence(F.greatest(g["low"], F.lit(1)), F.least(g["low"] + CYCLE - 1, F.lit(9999))), lambda y: _leap(y) == g["leap"])
+        in_month = lambda m: F.when(m == 2, F.when(g["leap"], 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        days = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.transform(F.sequence(F.lit(1), in_month(m)), lambda d: m * 100 + d)))
+        days = F.filter(days, lambda x: _day_class(F.floor(x / 100), x % 100) == g["kind"])
+        both = F.struct(years.alias("years"), days.alias("days"))
+
+        def drawn(s: Column) -> Column:
+            at = F.array((F.array_position(s["years"], g["y"]) - 1).cast("int"), (F.array_position(s["days"], g["m"] * 100 + g["d"]) - 1).cast("int"))
+            label = F.concat_ws(":", F.lit("date"), g["low"].cast("string"), g["leap"].cast("string"), g["kind"].cast("string"))
+            new = permuted(at, F.array(F.size(s["years"]), F.size(s["days"])), label, key)
+            return let(new, lambda n: F.struct(F.element_at(s["years"], n[0] + 1).alias("y"), F.floor(F.element_at(s["days"], n[1] + 1) / 100).cast("int").alias("m"), (F.element_at(s["days"], n[1] + 1) % 100).cast("int").alias("d")))
+
+        return let(both, drawn)
+
+    y, m, d = F.year(date), F.month(date), F.dayofmonth(date)
+    low = (F.floor((y - CYCLE_START) / CYCLE) * CYCLE + CYCLE_START).cast("int")
+    return let(F.struct(y.alias("y"), m.alias("m"), d.alias("d"), low.alias("low"), _leap(y).alias("leap"), _day_class(m, d).alias("kind")), move)
+
+
+def _written(value: Column, new: Column) -> Column:
+    """The new date, written as the value is."""
+    sign, first = F.when(value.contains("/"), "/").otherwise("."), F.regexp_extract(value, _PARTS, 1)
+    second, year = F.regexp_extract(value, _PARTS, 2), F.lpad(new["y"].cast("string"), 4, "0")
+    in_width = lambda n, like: F.lpad(n.cast("string"), F.length(like), "0")
+    month_first = second.cast("int") > 12
+    a, b = F.when(month_first, new["m"]).otherwise(new["d"]), F.when(month_first, new["d"]).otherwise(new["m"])
+    iso = F.concat_ws("-", year, F.lpad(new["m"].cast("string"), 2, "0"), F.lpad(new["d"].cast("string"), 2, "0"))
+    return F.when(value.contains("-"), iso).otherwise(F.concat(in_width(a, first), sign, in_width(b, second), sign, year))
 
 
 def kind_of(value: Column) -> Column:
     """The kind of a valid candidate, else null."""
     digits = _plain(value)
-    day = _date(value)
     return (
         F.when(value.rlike(_full(_EMAIL)), "email")
-        .when(value.rlike(_full(_DATE)), F.when((day >= F.lit(FIRST_DAY).cast("date")) & (day < F.date_add(F.lit(FIRST_DAY).cast("date"), CYCLE_DAYS)), "date"))
+        .when(value.rlike(_full(_DATE)), F.when(_date(value).isNotNull(), "date"))
         .when(value.rlike(_full(_IP)), F.when(F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255), "ip"))
         .when(value.rlike(_full(_SSN)), "ssn")
         .when(value.rlike(_full(_IBAN)), F.when(mod97(digits) == 1, "iban"))
         .when(value.rlike(_full(_CARD)) & (luhn_sum(digits) % 10 == 0), "card")
+        .when(value.rlike(_full(_NATIONAL)), F.when(F.substring(value, 1, 3).cast("int").between(1, PROVINCES), "national"))
         .when(value.rlike(_full(_PHONE)) | value.rlike(_full(_PLUS)), "phone")
     )
 
@@ -176,15 +227,19 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     iban = let(permuted_symbols(F.substring(digits, F.lit(5), F.length(digits)), "iban", key), lambda account: F.concat(country, F.lpad((98 - mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account))
     octets = F.transform(F.split(value, r"\."), lambda o: o.cast("int"))
     ip = F.array_join(permuted(octets, F.array_repeat(F.lit(256), 4), F.lit("ip"), key).cast("array<string>"), ".")
-    since = F.datediff(_date(value), F.lit(FIRST_DAY).cast("date"))
-    moved = permuted(F.array(F.floor(since / DATE_RADICES[1]).cast("int"), since % DATE_RADICES[1]), F.array(*map(F.lit, DATE_RADICES)), F.lit("date"), key)
-    day = let(moved, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), (m[0] * DATE_RADICES[1] + m[1]).cast("int")))
+    day = let(moved_date(_date(value), key), lambda new: _written(value, new))
+    cut = [F.substring(value, i, n).cast("int") for i, n in ((1, 3), (4, 1), (5, 2), (7, 3), (10, 3))]
+    moved = permuted(F.array(cut[0] - 1, *cut[1:]), F.array(*map(F.lit, (PROVINCES, 10, 100, 1000, 1000))), F.lit("national"), key)
+    national = let(moved, lambda n: F.concat(*(F.lpad((n[i] + int(i == 0)).cast("string"), w, "0") for i, w in enumerate((3, 1, 2, 3, 3)))))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
     code = F.regexp_extract(value, r"^\+[0-9]{1,3}[ .-]?", 0)
     number = F.substring(value, F.length(code) + 1, F.length(value))
     return (
-        F.when(kind == "email", F.concat(laid_out(permuted_symbols(local, "email", key), local), F.lit("@"), domain))
-        .when(kind == "date", F.when(value.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(value.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy")))
+        F.when(kind == "email", F.concat(laid_out(permuted_symbols(local, "email", key), local), F.lit("@"), laid_out(permuted_symbols(host, "domain", key), host), F.lit("."), last))
+        .when(kind == "date", day)
+        .when(kind == "national", national)
         .when(kind == "ip", ip)
         .when(kind == "ssn", laid_out(permuted_symbols(digits, "ssn", key), value))
         .when(kind == "iban", laid_out(iban, value))

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -299,6 +300,24 @@ def test_pseudonyms_beside_other_numbers(spark):
     assert got == [(card, 1, 0), (f"card{card}1226", 1, 0), (f"{card}123ok", 1, 0), (f"12{card}", 1, 0), (f"{iban}AND", 0, 1), (f"{iban}FOR", 0, 1), (iban + card, 1, 1), ("411111111111111212", 0, 0)]
 
 
+def test_pseudonyms_keep_formats(spark):
+    texts = ["02/29/2024", "29/02/2024", "2024-02-29", "12/25/1999", "1999-12-25", "12/05/1799", "1/2/2024", "01.02.2024", "079203012345", "a@mail.example.com b@mail.example.com", "000203012345", "0000-01-01"]
+    got = [r.text for r in pseudonyms.pseudonymise(docs(spark, texts), KEY).orderBy("doc_id").collect()]
+    assert all(x != y for x, y in zip(got[:10], texts, strict=False)) and got[10:] == texts[10:]
+    assert re.fullmatch(r"\d\d/\d\d/\d{4}", got[0]) and got[0][:2] == got[1][3:5] and got[0][3:5] == got[1][:2] and got[0][6:] == got[1][6:]
+    assert got[2] == f"{got[1][6:]}-{got[1][3:5]}-{got[1][:2]}" and got[4] == f"{got[3][6:]}-{got[3][:2]}-{got[3][3:5]}"
+    assert re.fullmatch(r"[1-9]/[1-9]/\d{4}", got[6]) and [f"{int(x):02d}" for x in got[6].split("/")[:2]] == got[7].split(".")[:2]
+    assert re.fullmatch(r"\d{12}", got[8]) and 1 <= int(got[8][:3]) <= 96
+    domains = re.findall("@(\\S+)", got[9])
+    assert domains[0] == domains[1] != "mail.example.com" and re.fullmatch(r"[a-z]{4}\.[a-z]{7}\.com", domains[0])
+
+
+def test_pseudonyms_of_long_and_repeated_texts(spark):
+    long = "4111 1111 1111 1111 " + "x 7 " * 50_000 + " 12/25/1999"
+    got = [r.text for r in pseudonyms.pseudonymise(docs(spark, [long, long]), KEY).collect()]
+    assert got[0] == got[1] and got[0][20:-11] == long[20:-11] and got[0][:19] != long[:19] and got[0][-10:] != long[-10:]
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(d))))
 
@@ -332,10 +351,26 @@ def spread(symbols, value):
 
 def day_of(v):
     n = list(map(int, re.split(r"[-/.]", v)))
-    try:
-        return datetime.date(*(n if v[4] == "-" else n[::-1]))
-    except ValueError:
-        return None
+    for order in [n] if v[4] == "-" else [n[::-1], [n[2], n[0], n[1]]]:
+        try:
+            return datetime.date(*order)
+        except ValueError:
+            pass
+    return None
+
+
+def date_class(d):
+    leap = (datetime.date(d.year, 3, 1) - datetime.timedelta(1)).day == 29
+    return (d.year - 1800) // 400 * 400 + 1800, leap, 3 * (d.month > 9) + (d.day > 9) + (d.day > 12)
+
+
+def moved_day(d, key):
+    """By listing all dates of its class."""
+    low, leap, kind = date_class(d)
+    years = [y for y in range(max(low, 1), min(low + 400, 10_000)) if date_class(datetime.date(y, 1, 1))[1] == leap]
+    days = [(x.month, x.day) for k in range(366 if leap else 365) for x in [datetime.date(2000 if leap else 2001, 1, 1) + datetime.timedelta(k)] if date_class(x)[2] == kind]
+    a, b = feistel([years.index(d.year), days.index((d.month, d.day))], [len(years), len(days)], f"date:{low}:{str(leap).lower()}:{kind}", key)
+    return datetime.date(years[a], *days[b])
 
 
 def kind_by_hand(v):
@@ -344,8 +379,7 @@ def kind_by_hand(v):
     if full(pseudonyms._EMAIL):
         return "email"
     if full(pseudonyms._DATE):
-        day = day_of(v)
-        return "date" if day and 1800 <= day.year < 2200 else None
+        return "date" if day_of(v) else None
     if full(pseudonyms._IP):
         return "ip" if all(int(o) < 256 for o in v.split(".")) else None
     if full(pseudonyms._SSN):
@@ -354,17 +388,28 @@ def kind_by_hand(v):
         return "iban" if rest97(plain) == 1 else None
     if full(pseudonyms._CARD) and luhn(plain) % 10 == 0:
         return "card"
+    if full(r"\d{12}"):
+        return "national" if 1 <= int(v[:3]) <= 96 else None
     return "phone" if full(pseudonyms._PHONE) or full(pseudonyms._PLUS) else None
 
 
 def pseudonym_by_hand(v, kind, key):
-    plain, first = re.sub("[^A-Za-z0-9]", "", v), datetime.date(1800, 1, 1)
+    plain = re.sub("[^A-Za-z0-9]", "", v)
     if kind == "email":
         local, domain = v.split("@")
-        return spread(moved(re.sub("[^A-Za-z0-9]", "", local), kind, key), local) + "@" + domain
+        host, last = domain.rsplit(".", 1)
+        return spread(moved(re.sub("[^A-Za-z0-9]", "", local), kind, key), local) + "@" + spread(moved(re.sub("[^A-Za-z0-9]", "", host), "domain", key), host) + "." + last
     if kind == "date":
-        a, b = feistel(divmod((day_of(v) - first).days, 773), (189, 773), kind, key)
-        return (first + datetime.timedelta(a * 773 + b)).strftime("%Y-%m-%d" if "-" in v else "%d/%m/%Y" if "/" in v else "%d.%m.%Y")
+        new = moved_day(day_of(v), key)
+        if v[4] == "-":
+            return f"{new.year:04d}-{new.month:02d}-{new.day:02d}"
+        x, y, _ = re.split("[/.]", v)
+        m, n = (new.month, new.day) if int(y) > 12 else (new.day, new.month)
+        sign = v[len(x)]
+        return f"{m:0{len(x)}d}{sign}{n:0{len(y)}d}{sign}{new.year:04d}"
+    if kind == "national":
+        p, c, y, a, b = feistel([int(v[:3]) - 1, int(v[3]), int(v[4:6]), int(v[6:9]), int(v[9:])], [96, 10, 100, 1000, 1000], kind, key)
+        return f"{p + 1:03d}{c}{y:02d}{a:03d}{b:03d}"
     if kind == "ip":
         return ".".join(map(str, feistel(list(map(int, v.split("."))), [256] * 4, kind, key)))
     if kind == "ssn":
@@ -406,11 +451,11 @@ def private_texts():
         d = f"GB{98 - rest97('GB00' + account):02d}{account}"
         return draw.choice((d, " ".join(re.findall(".{1,4}", d))))
 
-    date = lambda: draw.choice(("{0:04d}-{1:02d}-{2:02d}", "{2}/{1}/{0}", "{2:02d}.{1:02d}.{0}")).format(draw.randint(1790, 2210), draw.randint(1, 13), draw.randint(1, 31))
+    date = lambda: draw.choice(("{0:04d}-{1:02d}-{2:02d}", "{2}/{1}/{0:04d}", "{2:02d}.{1:02d}.{0:04d}", "{1:02d}/{2:02d}/{0:04d}", "{1}/{2}/{0:04d}")).format(draw.choice((draw.randint(1790, 2210), draw.randint(0, 9999))), draw.randint(1, 13), draw.randint(1, 31))
     ip = lambda: ".".join(str(draw.randint(0, 270)) for _ in range(4))
     email = lambda: draw.choice(("x", "a.B9", "Long-Name_7+t")) + "@" + draw.choice(("mail.example.com", "h.org"))
     phone = lambda: draw.choice((f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+44 {digits(4)} {digits(3)} {digits(3)}"))
-    makers = (card, iban, date, ip, email, phone, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: digits(draw.randint(1, 20)), lambda: draw.choice(("AND", "word", "12/26", "(", ".", "Đất")))
+    makers = (card, iban, date, ip, email, phone, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: digits(draw.randint(1, 20)), lambda: "0" + digits(11), lambda: draw.choice(("AND", "word", "12/26", "(", ".", "Đất")))
     texts = [" ".join(draw.choice(makers)() for _ in range(draw.randint(1, 12))) for _ in range(250)]
     return [*texts, " and ".join(texts), None, "", "no numbers", "7" * 40, texts[0], texts[0]]
 
@@ -468,6 +513,17 @@ def test_url_rules(spark):
     assert url_rules.filter_urls(pages.limit(0), rules).count() == 0 and url_rules.filter_urls(pages, rules.limit(0)).where("rule IS NOT NULL").count() == 0
 
 
+
+def test_url_of_many_labels(spark):
+    """Linear in the host's length, and right at every label count."""
+    rules = spark.createDataFrame([("block", "b.c.example", "/"), ("block", "example", "/x/"), ("allow", "a.b.c.example", "/x")], "verdict string, host string, path string")
+    urls = ["http://" + "a." * 20_000 + "b.c.example/y", "http://" + "." * 40_000 + "/x/", "http://example/x/", "http://c.example/x/1", "http://b.c.example/", "http://z.a.b.c.example/x", "http://xb.c.example/", "http://.example/x/"]
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.filter_urls(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), rules).collect()}
+    assert time.time() - began < 30
+    assert got == {0: ("b.c.example/", "block"), 1: (None, "allow"), 2: ("example/x/", "block"), 3: ("example/x/", "block"), 4: ("b.c.example/", "block"), 5: ("a.b.c.example/x", "allow"), 6: (None, "allow"), 7: ("example/x/", "block")}
+
+
 def test_url_rules_sql(spark):
     assert difference(url_rules.query(spark, SF).toPandas(), oracle_rows(SF, url_rules.ORACLE)) == ""
 
