@@ -1,9 +1,9 @@
 """URL filters: rules found by hashed host-suffix and path-prefix expressions.
 
-A URL is expanded into host suffix + path prefix expressions. Their short hash prefixes are equi-joined to the rules',
+A URL is expanded into host suffix + path prefix expressions: suffixes of as many labels, and prefixes of as many
+characters, as some rule has, so the work of a URL grows with its length only. Their short hash prefixes are equi-joined to the rules',
 full digests confirm the match, and precedence picks one rule: the longest rule string, blocks before allows when
-equally long, then the smallest rule string. Prefixes are cut at the lengths that rule paths have, so "/en/1" fits
-"/en/12" too; hosts are cut at dots only.
+equally long, then the smallest rule string. "/en/1" fits "/en/12" too; hosts are cut at dots only.
 
 Defined cases: a null URL or one without "://" has an empty host and path, and fits no rule; an unmatched URL is
 allowed; a host rule with an empty path fits every path; repeated rows each get their row; an empty table or rule
@@ -37,12 +37,12 @@ def path_of(url: Column) -> Column:
 def judge_urls(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """parts(host, path), rules(verdict, host, path) -> host, path, rule, verdict; one row per distinct part that a rule fits."""
     rules = rules.select(F.col("verdict").alias("rule_verdict"), ascii_lower(F.coalesce("host", F.lit(""))).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")).distinct()
+    counts = [r[0] for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("n")).distinct().orderBy("n").collect()]  # distinct label counts, at most the longest rule host
     lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().orderBy(F.length("rule_path")).collect()]  # distinct lengths, at most the longest rule path
     keyed = rules.withColumn("rule_digest", F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256)).withColumn("short", F.substring("rule_digest", 1, PREFIX_DIGITS))
     if keyed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in counts]))  # a shorter host as a whole
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
     each = parts.where("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
     each = each.select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
