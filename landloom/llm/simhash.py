@@ -240,6 +240,8 @@ def _worth(keys: DataFrame) -> np.ndarray:
     out = np.zeros(WORTH_BITS // 8, np.uint8)
     for r in pages:
         out[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    del pages
+    release()
     return out
 
 
@@ -325,10 +327,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) ->
         release()
 
     pairs = materialise(pairs.select("a", "b", "ra", "rb").distinct(), "near-pairs")
-    wanted = _worth(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    texts = _sets(rows, shingle, rows.sparkSession.sparkContext.broadcast(wanted))  # of fixed size
+    wanted = rows.sparkSession.sparkContext.broadcast(_worth(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))))  # of fixed size
+    texts = _sets(rows, shingle, wanted)
     side = lambda s: texts.select(F.col("node").alias(s), F.col("keys").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
     good = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint"), "near-links")
+    wanted.destroy()
     discard(pairs)
     return good
 
@@ -420,6 +423,8 @@ def _winners(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     keys = materialise(_shared(_prefix_rows(rows, shingle, least, common)), "near-keys")
     worth = context.broadcast(_worth(keys))
     maps = materialise(_maps(rows, shingle, worth), "near-maps")
+    common.destroy()
+    worth.destroy()
     rooted = similar_roots(keys, maps, rows, shingle, least)
     same = prints.groupBy("node", "id", "h1", "h2").agg(F.count(F.lit(1)).alias("same"))
     nodes = same.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "same")).alias("first"), F.sum("same").alias("n"))
