@@ -6,23 +6,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _form_decoded(text: Column) -> Column:
+    """A form value as text: plus signs are spaces, percent signs that start no escape stay."""
+    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _form_encoded(text: Column) -> Column:
+    """Text as a form value: letters, digits and _.-~ stay, spaces become plus signs, all else is escaped."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def form_pairs(query: Column) -> Column:
+    """array of struct(k, i, v): names and values of a query's parameters, decoded, in order; a name alone has an empty value."""
+    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
+    name = lambda p: F.substring_index(p, "=", 1)
+    value = lambda p: F.substr(p, F.length(name(p)) + 2)
+    return F.transform(pieces, lambda p, i: F.struct(_form_decoded(name(p)).alias("k"), i.alias("i"), _form_decoded(value(p)).alias("v")))
+
+
 def canonicalize_url(url: Column, strip_params: tuple[str, ...] = (), keep_params: tuple[str, ...] = (), strip_query: bool = False) -> Column:
-    """Lower-case scheme and host, default port and fragment gone, parameters sorted by name, the last of equal ones kept."""
-    scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit("")), F.lit("https"))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    host = F.when(((scheme == "http") & host.endswith(":80")) | ((scheme == "https") & host.endswith(":443")), F.regexp_replace(host, ":[0-9]+$", "")).otherwise(host)
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: p.contains("="))
-    numbered = F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), F.regexp_replace(p, "^[^=]*=", "").alias("v")))
-    last = F.filter(numbered, lambda a: ~F.exists(numbered, lambda b: (b["k"] == a["k"]) & (b["i"] > a["i"])))
+    """Lower-case scheme (https if there is none) and host, default port and fragment gone, parameters decoded, the last of
+    equal names kept, sorted by name and encoded again. An address can lack its scheme, its host or both; tabs and line
+    ends inside it go, and an empty parameter part (;) at its path's end does too."""
+    clean = F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
+    part = lambda n: F.regexp_extract(clean, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?", n)
+    scheme = F.coalesce(F.nullif(F.lower(part(1)), F.lit("")), F.lit("https"))
+    host, path = F.lower(part(3)), F.regexp_replace(part(4), "(^|/)([^/;]*);$", "$1$2")
+    port = F.when(scheme == "http", ":80").when(scheme == "https", ":443")
+    host = F.when(host.endswith(port), F.substr(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
+    ordered = F.array_sort(F.transform(form_pairs(part(5)), lambda p: F.struct(p["k"].alias("k"), (-p["i"]).alias("i"), p["v"].alias("v"))))  # by name, the last of equal names first
+    pairs = F.filter(ordered, lambda p, i: (i == 0) | (F.get(ordered, i - 1)["k"] != p["k"]))
     if strip_params:
-        last = F.filter(last, lambda p: ~p["k"].isin(*strip_params))
+        pairs = F.filter(pairs, lambda p: ~p["k"].isin(*strip_params))
     if keep_params:
-        last = F.filter(last, lambda p: p["k"].isin(*keep_params))
-    text = F.array_join(F.transform(F.array_sort(last), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+        pairs = F.filter(pairs, lambda p: p["k"].isin(*keep_params))
+    text = F.array_join(F.transform(pairs, lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"]))), "&")
     text = F.lit("") if strip_query else text
-    return F.concat(scheme, F.lit("://"), host, path, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+    rooted = F.when((host != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+    before = F.when((host != "") | (path == "") | path.startswith("/"), F.concat(F.lit("//"), host)).otherwise("")
+    return F.concat(scheme, F.lit(":"), before, rooted, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
 
 
 def resource_key(identity: Column, canonical_url: Column) -> Column:

@@ -31,19 +31,33 @@ def parse_coordinates(spark, sf):
     return p.select("point_id", text.parse_coordinates(q).alias("c")).select("point_id", "c.lon", "c.lat")
 
 
-_CANON = """lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)
-  || CASE WHEN regexp_extract(url, '[?]([^#]*)', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')), '&') END"""
+#: Every address, and in turn: form values to decode, blank and repeated names, a default port, no scheme, no host.
+_URLS = """u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(split_part(url, '#', 1), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'q=a+c%20d&b=%C3%A9*~&b&q=', page_id)
+  WHEN 1 THEN replace(url, '.example.', '.EXAMPLE.') WHEN 2 THEN regexp_replace(split_part(url, '#', 1), '^(https?)://([^/]*)', concat('HTTPS://', '\\2', ':443')) WHEN 3 THEN regexp_replace(url, '^https?:', '')
+  WHEN 4 THEN concat(url, ';') ELSE url END AS url FROM pages)"""
+_CANON = f"""{_URLS}, w AS (SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '^([A-Za-z]+):', 1)), ''), 'https') AS scheme, lower(regexp_extract(url, '^(?:[A-Za-z]+:)?//([^/?#]*)', 1)) AS host,
+  regexp_extract(url, '^(?:[A-Za-z]+:)?//[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM u),
+one AS (SELECT page_id, unnest(list_filter(string_split(query, '&'), lambda x: x <> '')) AS p, generate_subscripts(list_filter(string_split(query, '&'), lambda x: x <> ''), 1) AS i FROM w),
+kv AS (SELECT page_id, i, url_decode(replace(split_part(p, '=', 1), '+', ' ')) AS k, url_decode(replace(CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END, '+', ' ')) AS v FROM one),
+last AS (SELECT page_id, k, arg_max(v, i) AS v FROM kv GROUP BY 1, 2),
+joined AS (SELECT page_id, string_agg(replace(url_encode(k), '%20', '+') || '=' || replace(url_encode(v), '%20', '+'), '&' ORDER BY k) AS query FROM last GROUP BY 1),
+c AS (SELECT w.page_id, scheme || '://' || CASE WHEN scheme = 'https' AND ends_with(host, ':443') THEN left(host, -4) ELSE host END || CASE WHEN ends_with(path, ';') AND NOT contains(regexp_extract(path, '([^/]*)$', 1)[:-2], ';') THEN left(path, -1) ELSE path END
+  || coalesce('?' || joined.query, '') AS canonical FROM w LEFT JOIN joined ON w.page_id = joined.page_id)"""
 
 
-@query("canonical_url", f"SELECT page_id, {_CANON} AS canonical FROM pages")
+def _addresses(spark, sf):
+    return spark.sql(f"WITH {_URLS.replace(chr(92) + '2', '$2').replace('FROM pages', 'FROM {pages}')} SELECT page_id, url FROM u", pages=table(spark, sf, "pages"))
+
+
+@query("canonical_url", f"WITH {_CANON} SELECT page_id, canonical FROM c")
 def canonical_url(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.canonicalize_url(F.col("url")).alias("canonical"))
+    return _addresses(spark, sf).select("page_id", urls.canonicalize_url(F.col("url")).alias("canonical"))
 
 
-@query("resource_key", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'id:p' || page_id ELSE 'u:' || substr(sha256({_CANON}), 1, 48) END AS resource_key FROM pages")
+@query("resource_key", f"WITH {_CANON} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'id:p' || page_id ELSE 'u:' || substr(sha256(canonical), 1, 48) END AS resource_key FROM c")
 def resource_key(spark, sf):
     identity = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("p"), F.col("page_id").cast("string")))
-    return table(spark, sf, "pages").select("page_id", urls.resource_key(identity, urls.canonicalize_url(F.col("url"))).alias("resource_key"))
+    return _addresses(spark, sf).select("page_id", urls.resource_key(identity, urls.canonicalize_url(F.col("url"))).alias("resource_key"))
 
 
 @query("filename", "SELECT page_id, CASE WHEN f = '' THEN 'file' ELSE f END AS filename FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS f FROM pages)")

@@ -42,11 +42,17 @@ _LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>(.*?)
 _XMLNS = r"\sxmlns(:\w+)?=\"[^\"]*\""
 
 
+def _character(piece: Column) -> Column:
+    """What an entity (numeric, or one of XML's five) stands for; any other piece as it is."""
+    digits = F.regexp_extract(piece, "^&#[xX]?([0-9A-Fa-f]{1,7});$", 1)
+    code = F.when(piece.rlike("^&#[xX]"), F.lpad(digits, 8, "0")).otherwise(F.lpad(F.hex(digits.try_cast("int")), 8, "0"))
+    named = F.when(piece == "&lt;", "<").when(piece == "&gt;", ">").when(piece == "&quot;", '"').when(piece == "&apos;", "'").when(piece == "&amp;", "&").otherwise(piece)
+    return F.when(digits == "", named).otherwise(F.coalesce(F.decode(F.unhex(code), "UTF-32"), piece))
+
+
 def _unescaped(text: Column) -> Column:
-    """The five entities of XML resolved, the ampersand last."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+    """Entities resolved, each once."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(&#?[0-9A-Za-z]+;|[^&]+|&)"), 1), _character), "")
 
 
 def links(pages: DataFrame) -> DataFrame:

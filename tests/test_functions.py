@@ -18,7 +18,9 @@ def test_fold(spark, given, wanted):
     assert one(spark, text.vn_normalize(F.lit(given).cast("string")))[0] == wanted
 
 
-@pytest.mark.parametrize("given, wanted", [("20.9, 105.8", (105.8, 20.9)), ("105.8 20.9", (105.8, 20.9)), ("https://x/#map=10/20.95/105.82", (105.82, 20.95)), ("x?lat=1.5&lon=2", (2.0, 1.5)), ("hello", None), (None, None)])
+@pytest.mark.parametrize("given, wanted", [("20.9, 105.8", (105.8, 20.9)), ("105.8 20.9", (105.8, 20.9)), ("https://x/#map=10/20.95/105.82", (105.82, 20.95)), ("x?lat=1.5&lon=2", (2.0, 1.5)), ("hello", None), (None, None),
+    ("", None), (" 105.8 ;\t20.9 ", (105.8, 20.9)), ("-5,-10.25", (-5.0, -10.25)), ("1,,2", None), ("1 2 3", None), ("1e2, 3", None), ("1000, 2", None), ("5., 2", None), (".5, 2", None), ("--5, 2", None), ("5-, 2", None), ("NaN, 1", None),
+    ("http://m/?y=20.5,x&z=1&lng=105.5z", (105.5, 20.5)), ("http://m/?lat=-1&lat=2&x=3", (3.0, -1.0)), ("http://m/lat=1&lon=2", None), ("http://m/#map=9.5/-20.95/105.8&layers=N", (105.8, -20.95)), ("http://m/?lat=abc&lon=2", None)])
 def test_coordinates(spark, given, wanted):
     got = one(spark, text.parse_coordinates(F.lit(given).cast("string")))[0]
     assert (tuple(got) if got else None) == wanted
@@ -32,9 +34,17 @@ def test_candidates_carry_page_and_evidence(spark):
     assert got["supersedes_decision"].value == "5/QD" and got["planning_period"].value == "2021-2030"
 
 
-@pytest.mark.parametrize("given, wanted", [("HTTP://Ex.COM:80/a?b=2&a=1&b=3#f", "http://ex.com/a?a=1&b=3"), ("https://e.x/p", "https://e.x/p")])
+@pytest.mark.parametrize("given, wanted", [("HTTP://Ex.COM:80/a?b=2&a=1&b=3#f", "http://ex.com/a?a=1&b=3"), ("https://e.x/p", "https://e.x/p"),
+    ("http://h/p?b=a+c&a=a%20c", "http://h/p?a=a+c&b=a+c"), ("http://h/?b&a=&&b=%C3%A9*~%2f", "http://h/?a=&b=%C3%A9%2A~%2F"), ("http://h/?x=%zz%4", "http://h/?x=%25zz%254"), ("//W.example/x", "https://w.example/x"), ("/only/path?q", "https:///only/path?q="),
+    (" \thttps://H:443/a\n;#f", "https://h/a"), ("http://h/a;b;", "http://h/a;b;"), ("http://h:8080", "http://h:8080"), ("HTTPS://h?%62=1&b=2", "https://h?b=2"), ("http://h/p?a=1=2", "http://h/p?a=1%3D2"), (None, None)])
 def test_canonical_url(spark, given, wanted):
-    assert one(spark, urls.canonicalize_url(F.lit(given)))[0] == wanted
+    assert one(spark, urls.canonicalize_url(F.lit(given).cast("string")))[0] == wanted
+
+
+def test_canonical_url_by_rules(spark):
+    url = F.lit("http://h/?b=1&a%62=2&c=3")
+    r = one(spark, urls.canonicalize_url(url, strip_params=("ab",)), urls.canonicalize_url(url, keep_params=("ab", "c")), urls.canonicalize_url(url, strip_query=True))
+    assert tuple(r) == ("http://h/?b=1&c=3", "http://h/?ab=2&c=3", "http://h/")
 
 
 @pytest.mark.parametrize("href, wanted", [("b.pdf", "http://h/x/b.pdf"), ("/c", "http://h/c"), ("//z/q", "http://z/q"), ("https://o/p", "https://o/p"), ("?n=2", "http://h/x/y?n=2")])

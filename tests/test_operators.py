@@ -199,8 +199,8 @@ def test_payloads(spark):
     assert payloads.feed(row("<feed><entry><id>1</id><link href='https://h/p'/><link rel='enclosure' href='https://h/f.pdf'/></entry></feed>")).first().url == "https://h/f.pdf"
     wms = "<Layer><Title>g</Title><Layer queryable='1'><Title>A &amp; B</Title><Name>a</Name><Style><Name>s</Name></Style></Layer><wms:Layer><wms:Name>b</wms:Name></wms:Layer></Layer><!-- <Layer><Name>c</Name></Layer> -->"
     assert [(r.identity, r.metadata["title"]) for r in payloads.wms_layers(row(wms)).collect()] == [("wms:a", "A & B"), ("wms:b", "b")]
-    html = row("<a href=/a?x=1&amp;y=2>one</a><a class=k href='b.pdf' data-href='z'>two</a>").withColumn("page", F.lit(1))
-    assert [r.link for r in payloads.links(html).orderBy("ord").collect()] == ["https://h/a?x=1&y=2", "https://h/b.pdf"]
+    html = row("<a href=/a?x=1&amp;y=2>one</a><a href=v&#233;&#xE9;.pdf?&#38;lt;>n</a><a class=k href='b.pdf' data-href='z'>two</a>").withColumn("page", F.lit(1))
+    assert [r.link for r in payloads.links(html).orderBy("ord").collect()] == ["https://h/a?x=1&y=2", "https://h/véé.pdf?&lt;", "https://h/b.pdf"]
     assert payloads.ckan(row("not json")).count() == 0 and payloads.wfs_types(row("")).count() == 0
     assert payloads.arcgis_layers(row('{"id":3,"name":"n","fields":[{"name":"FID","type":"esriFieldTypeOID"}]}')).first().metadata["oid"] == "FID"
 
