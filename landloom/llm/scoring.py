@@ -182,13 +182,14 @@ class LogBilinear:
 
     def step(self, rate: float, **gradients: np.ndarray) -> None:
         for k, d in gradients.items():
+            d = d.astype(np.float32)  # else the parameters would turn double
             self.spread[k] += d * d
             setattr(self, k, getattr(self, k) + rate * d / np.sqrt(self.spread[k]))
 
     def train(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One mini-batch of the first step: data against noise words drawn by their share."""
         size, share = len(self.bias), np.exp(self.log_share.astype(np.float64))
-        noise, log_k = rng.choice(size, NOISE, p=share / share.sum()), np.log(NOISE)
+        noise, log_k = rng.choice(size, NOISE, p=share / share.sum()), float(np.log(NOISE))  # a Python number keeps single precision
         q = self.R[u] * self.c[0] + self.R[v] * self.c[1]
         target = self.Q[w]
         g = 1 - _sigmoid(_dots(q, target) + (self.bias - self.log_share)[w] - log_k)
@@ -203,7 +204,7 @@ class LogBilinear:
 
     def train_inner(self, v: np.ndarray, own: np.ndarray, noise: np.ndarray, rate: float) -> None:
         """One mini-batch of the second step: own and noise hold words' vectors, noise drawn by the words' shares of the class."""
-        a, log_k = self.inner[v], np.log(INNER_NOISE)
+        a, log_k = self.inner[v], float(np.log(INNER_NOISE))
         dv, at, rows = np.zeros_like(a), [], []
         for vectors, real in [(own, 1), *((noise[:, k], 0) for k in range(INNER_NOISE))]:
             s = self.word_vectors(vectors)
