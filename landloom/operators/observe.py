@@ -38,7 +38,7 @@ def observation_cycle(resources: DataFrame, discovered: DataFrame, complete: boo
     }
     events = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests.items()]))
     status = F.when(seen, "active").when(F.lit(complete), "disappeared").otherwise(F.col("o_status"))
-    return j.select(*keys, F.coalesce("n_url", "o_url").alias("url"), F.coalesce("n_meta", "o_meta").alias("meta"), F.when(fetched, F.col("n_sha")).otherwise(F.col("o_sha")).alias("sha"), status.alias("status"), events.alias("events"))
+    return j.select(*keys, F.when(seen, F.col("n_url")).otherwise(F.col("o_url")).alias("url"), F.when(seen, F.col("n_meta")).otherwise(F.col("o_meta")).alias("meta"), F.when(fetched, F.col("n_sha")).otherwise(F.col("o_sha")).alias("sha"), status.alias("status"), events.alias("events"))
 
 
 def change_events(state: DataFrame, keys: tuple[str, str] = ("source_id", "resource_key")) -> DataFrame:

@@ -20,7 +20,20 @@ def scan_files(spark: SparkSession, root: str, globs: tuple[str, ...] = ("*",))
 
 def stream_files(spark: SparkSession, root: str, glob: str = "*"):
     """New files as they come (run with the availableNow trigger to pick up what is there)."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+
+
+def pick_up(spark: SparkSession, root: str, target: str, checkpoint: str, glob: str = "*") -> None:
+    """Files under root that no earlier call with this checkpoint has taken: path, sha256, size and pass of each are added to
+    target. Progress is stored after each batch, so a call that broke off goes on where it was, and no file is listed twice. Files without a byte
+    are not listed: Spark's file stream passes them over."""
+
+    def listed(batch: DataFrame, epoch: int) -> None:
+        found = batch.select("path", F.sha2("content", 256).alias("sha256"), "length")
+        found.write.mode("overwrite").parquet(f"{target}/pass={epoch}")  # a batch that comes again is written over
+
+    stream_files(spark, root, glob).writeStream.foreachBatch(listed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def content_address(content: Column, name: Column) -> Column:
