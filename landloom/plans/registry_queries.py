@@ -245,11 +245,28 @@ def publish_gate(spark, sf):
     return g.select("version_id", "dataset_count", F.size("blocked").cast("bigint").alias("n_blocked"))
 
 
-@query("publish_version")
+_TILES = """t AS (SELECT f.*, dataset_id % 2 AS version_id FROM features f JOIN layers USING (layer_id) JOIN datasets USING (dataset_id)), c AS (SELECT version_id, id, z, x, unnest(range(CAST(floor((1 - ln(tan(radians(maxy)) + 1 / cos(radians(maxy))) / pi()) / 2 * power(2, z)) AS BIGINT), CAST(floor((1 - ln(tan(radians(miny)) + 1 / cos(radians(miny))) / pi()) / 2 * power(2, z)) AS BIGINT) + 1)) AS y
+  FROM (SELECT *, unnest(range(CAST(floor((minx + 180) / 360 * power(2, z)) AS BIGINT), CAST(floor((maxx + 180) / 360 * power(2, z)) AS BIGINT) + 1)) AS x FROM (SELECT *, unnest(range(0, 15)) AS z FROM t)))"""
+
+
+@query("publish_version", f"""WITH {_TILES}, g AS (SELECT dataset_id % 2 AS version_id, bool_and(derivation_level LIKE 'official%' OR review_status = 'approved') AS ok, count(*) AS n, count(*) FILTER (WHERE NOT (derivation_level LIKE 'official%' OR review_status = 'approved')) AS n_blocked FROM datasets GROUP BY 1),
+s AS (SELECT version_id, count(DISTINCT (z, x, y)) AS tile_count, count(*) AS feature_count FROM c GROUP BY 1), b AS (SELECT version_id, round(min(minx), 6) AS minx, round(max(maxy), 6) AS maxy, count(*) AS in_manifest FROM t GROUP BY 1)
+SELECT version_id, CASE WHEN ok THEN 'published' ELSE 'blocked' END AS status, n_blocked, CASE WHEN ok THEN tile_count END AS tile_count, CASE WHEN ok THEN feature_count END AS feature_count, CASE WHEN ok THEN minx END AS minx, CASE WHEN ok THEN maxy END AS maxy,
+  CASE WHEN ok THEN in_manifest END AS in_manifest, CASE WHEN ok THEN n END AS n_published, CASE WHEN ok THEN 2 END AS n_events, CASE WHEN ok THEN true END AS same_checksum, CASE WHEN ok THEN 14 END AS max_zoom FROM g JOIN s USING (version_id) JOIN b USING (version_id)""")
 def publish_version(spark, sf):
+    """All features to zoom 14, twice: the second publication takes the first one's place, with the same content."""
     f = relation(spark, sf, "features").withColumn("geom", G.box(*map(F.col, ("minx", "miny", "maxx", "maxy")))).select("id", "layer_id", "geom")
-    d = relation(spark, sf, "datasets").withColumn("version_id", F.col("dataset_id") % 2)
-    return publish.publish(d, relation(spark, sf, "layers"), f, new_path(spark, "tiles"), allow_unreviewed=True)
+    d, path = relation(spark, sf, "datasets").withColumn("version_id", F.col("dataset_id") % 2), new_path(spark, "published")
+    for _ in range(2):
+        found = publish.publish(d, relation(spark, sf, "layers"), f, path)
+    flags = publish.published_datasets(spark, path).groupBy("version_id").agg(F.count(F.lit(1)).alias("n_published"))
+    told = F.from_json("manifest", "datasets array<struct<features:bigint>>, checksum string")
+    whole = F.aggregate(told["datasets"], F.lit(0).cast("bigint"), lambda n, x: n + x["features"])
+    same = (F.size(F.array_distinct("events.output_hash")) == 1) & (told["checksum"] == F.col("checksum"))
+    return found.join(flags, "version_id", "left").select(
+        "version_id", "status", F.size("blocked").cast("bigint").alias("n_blocked"), "tile_count", "feature_count", F.round(F.col("bbox")[0], 6).alias("minx"), F.round(F.col("bbox")[3], 6).alias("maxy"), F.when(told.isNotNull(), whole).alias("in_manifest"),
+        "n_published", F.when(F.col("events").isNotNull(), F.size("events")).alias("n_events"), same.alias("same_checksum"), "max_zoom",
+    )
 
 
 @query("metadata_snapshot", "SELECT o_orderkey AS version_id, o_orderkey % 3 AS n_datasets, o_orderkey % 2 AS n_publications, CASE WHEN o_orderkey % 2 = 0 THEN 'unpublished' WHEN o_orderkey % 5 = 0 THEN 'unavailable' ELSE 'available' END AS state FROM orders")

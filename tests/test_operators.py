@@ -182,9 +182,37 @@ def test_gate_and_tiles(spark, tmp_path):
     assert {(r.version_id, r.ok) for r in publish.gate(d).collect()} == {(1, True), (2, False)}
     ls = spark.createDataFrame([(1, 1), (2, 2)], "layer_id int, dataset_id int")
     f = spark.createDataFrame([(7, 1), (8, 2)], "id int, layer_id int").withColumn("geom", G.box(*[F.lit(v) for v in (105.0, 20.0, 105.01, 20.01)]))
-    out = publish.publish(d, ls, f, str(tmp_path / "t"), max_zoom=3).collect()
-    assert [(r.version_id, r.tile_count) for r in out] == [(1, 4)]
-    assert publish.read_tile(spark, str(tmp_path / "t"), 1, 0, 0, 0).first().ids == [7]
+    target = str(tmp_path / "t")
+    out = {r.version_id: r for r in publish.publish(d, ls, f, target, max_zoom=3).collect()}
+    assert (out[1].status, out[1].tile_count, out[1].feature_count, out[2].status, out[2].blocked, out[2].checksum) == ("published", 4, 4, "blocked", [2], None)
+    assert publish.read_tile(spark, target, 1, 0, 0, 0).first().ids == [7]
+    with pytest.raises(LookupError):
+        publish.read_tile(spark, target, 2, 0, 0, 0)
+    again = {r.version_id: r for r in publish.publish(d, ls, f, target, max_zoom=2, allow_unreviewed=True).collect()}
+    assert again[1].tile_count == 3 and [e.tiles for e in again[1].events] == [4, 3] and again[2].status == "published"
+    assert {tuple(r) for r in publish.published_datasets(spark, target).collect()} == {(1, 1), (2, 2)}
+
+
+def test_failed_publication_leaves_the_old_one(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(1, "a", "official_vector", "pending", 1)], "dataset_id int, dataset_name string, derivation_level string, review_status string, version_id int")
+    ls, target = spark.createDataFrame([(1, 1)], "layer_id int, dataset_id int"), str(tmp_path / "t")
+    f = spark.createDataFrame([(7, 1)], "id int, layer_id int").withColumn("geom", G.box(*[F.lit(v) for v in (105.0, 20.0, 105.01, 20.01)]))
+    publish.publish(d, ls, f, target, max_zoom=1)
+    before = publish.publications(spark, target).read().collect()
+    monkeypatch.setattr(publish.StateTable, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        publish.publish(d, ls, f.withColumn("id", F.lit(9)), target, max_zoom=1)
+    assert publish.publications(spark, target).read().collect() == before
+    assert publish.read_tile(spark, target, 1, 1, 1, 0).first().ids == [7]
+
+
+def test_tiles_are_cut_into_chunks(spark):
+    f = spark.range(500).select("id", F.lit(1).alias("version_id"), G.box(*[F.lit(v) for v in (105.0, 20.0, 105.01, 20.01)]).alias("geom"))
+    rows = publish.tiles(f, 0, 1, geometry=False, chunk=40).collect()
+    for z in (0, 1):
+        own = [r for r in rows if r.z == z]
+        assert sorted(i for r in own for i in r.ids) == list(range(500)) and len({r.chunk for r in own}) == len(own) > 8
+        assert all(r.n == len(r.ids) <= 80 and r.ids == sorted(r.ids) for r in own)
 
 
 def test_tasks_conflict(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from landloom.operators import observe
 from landloom.sources import files
+from landloom.storage import StateTable
 from landloom.streaming import crawl
 
 LOG = crawl.LOG
@@ -70,7 +71,7 @@ def states(table):
 
 
 def test_state_table_carries_failures_and_replays(spark, tmp_path):
-    table = crawl.StateTable(spark, str(tmp_path / "t"), crawl.STATE, "source_id", buckets=4)
+    table = StateTable(spark, str(tmp_path / "t"), crawl.STATE, "source_id", buckets=4)
     assert table.read().count() == 0
     first = finished(spark, [(1, 1, 0, 2, None), (1, 2, 0, 0, "down"), (2, 1, 1, 0, None), (3, 1, 0, 0, "blocked:robots")])
     second = finished(spark, [(1, 3, 0, 0, "down again"), (2, 2, 0, 0, "x"), (2, 3, 0, 1, None), (4, 3, 0, 0, "y")])
@@ -91,10 +92,10 @@ def test_state_table_carries_failures_and_replays(spark, tmp_path):
 
 
 def test_epoch_without_manifest_is_not_seen(spark, tmp_path):
-    table = crawl.StateTable(spark, str(tmp_path / "t"), crawl.STATE, "source_id", buckets=2)
+    table = StateTable(spark, str(tmp_path / "t"), crawl.STATE, "source_id", buckets=2)
     table.merge(finished(spark, [(1, 1, 0, 0, None)]), 0, crawl.merged_states)
     before = states(table)
-    broken = crawl.StateTable(spark, str(tmp_path / "t"), crawl.STATE, "source_id", buckets=2)
+    broken = StateTable(spark, str(tmp_path / "t"), crawl.STATE, "source_id", buckets=2)
     broken._commit = lambda epoch, current: (_ for _ in ()).throw(RuntimeError("lost"))
     try:
         broken.merge(finished(spark, [(1, 2, 0, 0, "down")]), 1, crawl.merged_states)
