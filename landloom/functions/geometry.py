@@ -50,14 +50,12 @@ def line(points: Column) -> Column:
     return make(F.lit("LineString"), F.array(F.array(points)))
 
 
-def from_geojson(text: Column) -> Column:
-    """Geometry of a GeoJSON geometry text; heights are dropped; unknown types and bad JSON give null."""
-    kind = F.get_json_object(text, "$.type")
-    coords = F.get_json_object(text, "$.coordinates")
+def _parts(kind: Column, coords: Column) -> Column:
+    """Parts, rings and places of a geometry's coordinates as JSON text."""
     place = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     ring = lambda r: F.transform(r, place)
     read = lambda depth: F.from_json(F.concat(F.lit('{"c":'), coords, F.lit("}")), f"c {'array<' * depth}double{'>' * depth}")["c"]
-    parts = (
+    return (
         F.when(kind == "Polygon", F.array(F.transform(read(3), ring)))
         .when(kind == "MultiPolygon", F.transform(read(4), lambda p: F.transform(p, ring)))
         .when(kind == "LineString", F.array(F.array(F.transform(read(2), place))))
@@ -65,7 +63,15 @@ def from_geojson(text: Column) -> Column:
         .when(kind == "Point", F.array(F.array(F.array(place(read(1))))))
         .when(kind == "MultiPoint", F.transform(read(2), lambda p: F.array(F.array(place(p)))))
     )
-    return make(kind, parts)
+
+
+def from_geojson(text: Column) -> Column:
+    """Geometry of a GeoJSON geometry text; heights are dropped; a collection has the parts of its members; unknown types and
+    bad JSON give null."""
+    kind = F.get_json_object(text, "$.type")
+    members = F.from_json(text, "geometries array<struct<type:string,coordinates:string>>")["geometries"]
+    together = F.flatten(F.array_compact(F.transform(members, lambda m: _parts(m["type"], m["coordinates"]))))
+    return make(kind, F.when(kind == "GeometryCollection", together).otherwise(_parts(kind, F.get_json_object(text, "$.coordinates"))))
 
 
 def to_geojson(g: Column) -> Column:

@@ -18,7 +18,7 @@ from ..functions import geometry as G
 from ..functions import overlay
 from ..functions.dates import strict_date
 from ..functions.properties import OFFICIAL
-from . import spatial
+from . import spatial, topology
 
 PREFIX = "QH-"
 FINDING = "rule_code string, severity string, message string, target_type string, target_ref string, evidence string"
@@ -153,34 +153,12 @@ def poly_overlap(c: Context) -> DataFrame:
 
 @rule("TOPO-POLY-GAP", "Polygons of a layer leave gaps", "info", "layer")
 def poly_gap(c: Context) -> DataFrame:
-    """Edges that two polygons share cancel; what is left are outlines: a counter-clockwise one is an outer ring, a
-    clockwise one a gap. Corners are rounded to 1e-9 degrees; layers whose outlines branch are not decided."""
-    rows = _layer(c).where(F.col("gap") & F.col("geom.gtype").isin("Polygon", "MultiPolygon"))
-    ring = F.explode(F.flatten("geom.parts"))
-    r = rows.select("layer_id", "layer_name", "key", ring.alias("ring"))
-    r = r.withColumn("ring", F.when(G.planar_area(F.col("ring")) >= 0, F.col("ring")).otherwise(F.reverse("ring")))
-    snap = lambda p: F.struct(F.round(p["x"], 9).alias("x"), F.round(p["y"], 9).alias("y"))
-    e = r.select("layer_id", "layer_name", F.explode(G.segments(F.col("ring"))).alias("s")).select("layer_id", "layer_name", snap(F.col("s.a")).alias("a"), snap(F.col("s.b")).alias("b")).where("a <> b")
-    undirected = e.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
-    left = undirected.groupBy("layer_id", "layer_name", "lo", "hi").agg(F.sum(F.when(F.col("a") == F.col("lo"), 1).otherwise(-1)).alias("way")).where("way <> 0")
-    out = left.select("layer_id", "layer_name", F.when(F.col("way") > 0, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("way") > 0, F.col("hi")).otherwise(F.col("lo")).alias("b"))
-    branch = out.groupBy("layer_id", "a").count().where("count > 1").select("layer_id").distinct()
-    spark = c.features.sparkSession
-    simple = out.join(branch, "layer_id", "left_anti")
-    # outlines are chains: every corner takes the smallest corner it reaches, doubling the reach in each round
-    from ..storage import materialise
-
-    step = materialise(simple.select("layer_id", "layer_name", "a", F.col("b").alias("next"), F.least("a", "b").alias("low"), ((F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")) / 2).alias("area")), "outline")
-    while True:
-        n = step.select("layer_id", F.col("a").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"))
-        moved = materialise(step.join(n, ["layer_id", "next"]).select("layer_id", "layer_name", "a", F.col("far").alias("next"), F.least("low", "far_low").alias("low"), "area", (F.least("low", "far_low") != F.col("low")).alias("changed")), "outline")
-        step = moved.drop("changed")
-        if moved.where("changed").isEmpty():
-            break
-    rings = step.groupBy("layer_id", "layer_name", "low").agg(F.sum("area").alias("area"))
-    g = rings.groupBy("layer_id", "layer_name").agg(F.count_if(F.col("area") > 0).alias("outer"), F.count_if(F.col("area") < 0).alias("gaps")).where("outer = 1 AND gaps > 0")
-    _ = spark
-    return found(g, "TOPO-POLY-GAP", F.concat(F.col("gaps").cast("string"), F.lit(" gap(s)")), F.col("layer_id"), target="layer", evidence=_name())
+    """Holes in what the valid polygons of a layer cover, if they are two or more and cover one piece."""
+    rows = _layer(c).where(F.col("gap") & F.col("geom.gtype").isin("Polygon", "MultiPolygon") & G.structure_issue(F.col("geom")).isNull())
+    valid = rows.where(overlay.breaks_rules("geom.parts").isNull())
+    several = valid.groupBy("layer_id").agg(F.first("layer_name").alias("layer_name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    holes = topology.coverage(valid.select("layer_id", "key", "geom"), c.cell).where("pieces = 1 AND holes > 0")
+    return found(holes.join(several, "layer_id"), "TOPO-POLY-GAP", F.concat(F.col("holes").cast("string"), F.lit(" gap(s)")), F.col("layer_id"), target="layer", evidence=_name())
 
 
 @rule("TOPO-LINE-CROSS", "Lines of a layer meet in one point", "warning")
@@ -201,7 +179,7 @@ def line_cross(c: Context) -> DataFrame:
     along = lambda e: F.expr(f"((t.{e}.x - s.a.x) * (s.b.x - s.a.x) + (t.{e}.y - s.a.y) * (s.b.y - s.a.y)) / (ls * ls)")
     low, high = F.greatest(F.lit(0.0), F.least(along("a"), along("b"))), F.least(F.lit(1.0), F.greatest(along("a"), along("b")))
     common = F.when((aside <= 1e-9) & (low <= high + 1e-12), F.array(low, high))
-    hit = p.withColumn("det", det).withColumn("u", F.explode(F.when(F.expr("abs(det) > 1e-12 * ls * lt"), cut).otherwise(common)))
+    hit = p.withColumn("det", det).withColumn("u", F.explode(F.when(F.expr("abs(det) > 1e-9 * greatest(ls, lt)"), cut).otherwise(common)))
     at = hit.select("layer_id", "name_a", "key_a", "key_b", F.struct(F.expr("round(s.a.x + u * (s.b.x - s.a.x), 9)").alias("x"), F.expr("round(s.a.y + u * (s.b.y - s.a.y), 9)").alias("y")).alias("at"))
     one = at.groupBy("layer_id", "name_a", "key_a", "key_b").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first = last")
     return found(one, "TOPO-LINE-CROSS", F.concat(F.lit("crosses "), F.col("key_b")), F.col("key_a"), evidence=F.to_json(F.struct("first")))

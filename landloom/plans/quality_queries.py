@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import quality as Q
+from ..storage import materialise
 from .base import query, relation, table
 
 
@@ -108,3 +110,77 @@ def rule_catalog(spark, sf):
     """Findings of two dataset rules, by their catalog rows."""
     f = Q.run(context(spark, sf), spark, only=("QH-CRS-MISSING", "QH-AUTH-MISSING"))
     return f.join(F.broadcast(Q.catalog(spark).where("applies_to = 'dataset'")), "rule_code").groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+# rules on shapes that break them: parts as shapes, in groups of several
+
+
+def _made(parts, shape, gap: bool = False, cross: bool = False) -> Q.Context:
+    """parts(k, g) with shape as GeoJSON text (null: none), each group a layer."""
+    told = materialise(parts.select("g", "k", shape.alias("shape")), "shapes")  # as text first: the parser reads it many times
+    f = told.select(F.col("g").alias("layer_id"), F.col("k").alias("ord"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("key"), G.from_geojson(F.col("shape")).alias("geom"))
+    layers = parts.select(F.col("g").alias("layer_id"), F.concat(F.lit("L"), F.col("g").cast("string")).alias("layer_name"), F.lit(1).alias("dataset_id")).distinct().withColumns({"overlap": F.lit(False), "gap": F.lit(gap), "cross": F.lit(cross)})
+    return Q.Context(f.where("geom IS NOT NULL"), layers, parts.sparkSession.createDataFrame([(1, 4326)], "dataset_id int, epsg int"))
+
+
+def _parts(spark, sf, per: int):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(k.alias("k"), F.floor(k / per).alias("g"), (k % per).alias("i"))
+
+
+def _at(x, y):
+    """A corner as GeoJSON text: x and y thousandths from the group's own place."""
+    g = F.col("g")
+    return F.concat(F.lit("["), (105 + g % 100 / 100 + x / 1000).cast("string"), F.lit(","), (15 + F.floor(g / 100) / 100 + y / 1000).cast("string"), F.lit("]"))
+
+
+def _ring(*corners):
+    return F.concat(F.lit("["), F.concat_ws(",", *[_at(F.lit(x) if not isinstance(x, Column) else x, F.lit(y) if not isinstance(y, Column) else y) for x, y in (*corners, corners[0])]), F.lit("]"))
+
+
+def _polygon(*rings):
+    return F.concat(F.lit('{"type":"Polygon","coordinates":['), F.concat_ws(",", *rings), F.lit("]}"))
+
+
+@query("faulty_shapes", """WITH k AS (SELECT p_partkey AS k, p_partkey % 6 AS i FROM part)
+SELECT 'p' || k AS target_ref, CASE i WHEN 1 THEN 'QH-GEOM-COLLECTION' WHEN 2 THEN 'QH-CRS-BOUNDS' ELSE 'QH-GEOM-INVALID' END AS rule_code,
+  CASE i WHEN 0 THEN 'self_intersection' WHEN 1 THEN 'geometry collection' WHEN 2 THEN 'outside the expected extent' WHEN 3 THEN 'hole_outside_shell' ELSE 'nested_holes' END AS message FROM k WHERE i < 5""")
+def faulty_shapes(spark, sf):
+    """Every part as a bow tie, a collection, a place far off, a hole outside, a hole in a hole, or a sound box."""
+    parts, i = _parts(spark, sf, 6), F.col("i")
+    box = lambda a, b: _ring((a, a), (b, a), (b, b), (a, b))
+    shape = (
+        F.when(i == 0, _polygon(_ring((0, 0), (1, 1), (1, 0), (0, 1)))).when(i == 1, F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":'), _at(F.lit(0), F.lit(0)), F.lit("}]}")))
+        .when(i == 2, F.concat(F.lit('{"type":"Point","coordinates":[1.5,'), (F.col("g") % 50).cast("string"), F.lit("]}"))).when(i == 3, _polygon(box(0, 1), box(2, 3))).when(i == 4, _polygon(box(0, 9), box(1, 8), box(2, 7))).otherwise(_polygon(box(0, 1)))
+    )
+    c = _made(parts, shape)
+    found = Q.geom_invalid(c).unionByName(Q.geom_collection(c)).unionByName(Q.crs_bounds(c))
+    return found.select("target_ref", "rule_code", "message")
+
+
+@query("coverage_gaps", """SELECT CAST(p_partkey // 9 AS BIGINT) AS layer_id, CASE WHEN p_partkey // 9 % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey // 9 % 4 = 1 THEN 1 ELSE 0 END AS holes
+FROM part WHERE (SELECT count(*) FROM part q WHERE q.p_partkey // 9 = part.p_partkey // 9) = 9 GROUP BY 1, 2 HAVING holes > 0""")
+def coverage_gaps(spark, sf):
+    """Nine parts as a square of three by three: in every third group the middle one is missing; in every second one long
+    box takes the left side's place, so its neighbours meet it in T-junctions; in every fifth all but the middle are wider
+    and overlap; in every fourth the right lower one has a hole of its own."""
+    parts = _parts(spark, sf, 9)
+    whole = parts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n = 9").select("g")
+    parts, g, i = parts.join(whole, "g"), F.col("g"), F.col("i")
+    x, y, more = i % 3, F.floor(i / 3), F.when((g % 5 == 1) & (i != 4), 0.1).otherwise(0.0)
+    high = F.when((i == 0) & (g % 2 == 0), F.lit(3)).otherwise(y + 1)
+    box = _ring((x - more, y - more), (x + 1 + more, y - more), (x + 1 + more, high + more), (x - more, high + more))
+    hole = _ring((x + 0.3, y + 0.3), (x + 0.6, y + 0.3), (x + 0.6, y + 0.6), (x + 0.3, y + 0.6))
+    shape = F.when((i == 4) & (g % 3 == 0) | i.isin(3, 6) & (g % 2 == 0), None).when((i == 2) & (g % 4 == 1), _polygon(box, hole)).otherwise(_polygon(box))
+    found = Q.poly_gap(_made(parts, shape, gap=True))
+    return found.select(F.col("target_ref").cast("bigint").alias("layer_id"), F.regexp_extract("message", "^[0-9]+", 0).cast("int").alias("holes"))
+
+
+@query("line_crossings", """WITH k AS (SELECT p_partkey AS k, p_partkey // 4 AS g, p_partkey % 4 AS i FROM part)
+SELECT 'p' || a.k AS target_ref, 'crosses p' || b.k AS message FROM k a JOIN k b ON a.g = b.g AND (a.i, b.i) IN ((0, 1), (0, 2), (1, 3))""")
+def line_crossings(spark, sf):
+    """Four parts as lines: two cross, one goes on where the first ends, one runs along the first and crosses the second."""
+    parts, i = _parts(spark, sf, 4), F.col("i")
+    line = lambda *p: F.concat(F.lit('{"type":"LineString","coordinates":['), F.concat_ws(",", *[_at(F.lit(x), F.lit(y)) for x, y in p]), F.lit("]}"))
+    shape = F.when(i == 0, line((0, 0), (2, 2))).when(i == 1, line((0, 2), (2, 0))).when(i == 2, line((2, 2), (3, 1))).otherwise(line((0.5, 0.5), (1.5, 1.5)))
+    return Q.line_cross(_made(parts, shape, cross=True)).select("target_ref", "message")

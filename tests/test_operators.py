@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
 from landloom.functions import overlay
-from landloom.operators import dedupe, diff, georef, observe, provenance, publish, quality, spatial, versions
+from landloom.operators import dedupe, diff, georef, observe, provenance, publish, quality, spatial, topology, versions
 from landloom.sources import files, payloads
 from landloom.streaming.observe import observation_stream
 
@@ -137,6 +137,35 @@ def test_gap_and_cross(spark):
     assert [r.target_ref for r in quality.line_cross(ctx(spark, lines, cross=True)).collect()] == ["f0"]
 
 
+def polygon(*rings):
+    return '{"type":"Polygon","coordinates":[' + ",".join("[" + ",".join(f"[{x},{y}]" for x, y in [*r, r[0]]) + "]" for r in rings) + "]}"
+
+
+def square(a, b, c, d):
+    return [(a, b), (c, b), (c, d), (a, d)]
+
+
+COVERED = [  # shapes, pieces, holes
+    ([square(0, 0, 1, 1)], 1, 0),
+    ([square(0, 0, 3, 1), square(0, 2, 3, 3), square(0, 1, 1, 2), square(2, 1, 3, 2)], 1, 1),  # T-junctions at every corner
+    ([square(0, 0, 2, 3), square(1, 0, 3, 1), square(1, 2, 3, 3), square(2.5, 0, 3, 3)], 1, 1),  # overlaps around a gap
+    ([square(0, 0, 2, 2), square(0, 0, 2, 2), square(1, 1, 3, 3)], 1, 0),  # a copy, and crossing outlines
+    ([square(0, 0, 1, 1), square(1, 1, 2, 2)], 2, 0),  # apart but for a point
+    ([square(1, 0, 2, 1), square(0, 1, 1, 2), square(2, 1, 3, 2), square(1, 2, 2, 3)], 4, 1),  # four that touch around a place
+    ([[(0, 0), (4, 0), (4, 4), (0, 4)], square(9, 9, 10, 10)], 2, 0),
+    ([square(0, 0, 1, 3), square(1, 0, 2, 1), square(1, 2, 2, 3), square(2, 0, 3, 3), square(1.4, 1.4, 1.6, 1.6)], 2, 1),  # an island in the gap
+    ([square(0, 0, 3, 1.5), square(0, 1.5, 3, 3)], 1, 0),
+    ([polygon(square(0, 0, 9, 9), square(1, 1, 2, 2), square(3, 3, 4, 4))], 1, 2),
+]
+
+
+def test_coverage(spark):
+    """Every case a layer."""
+    rows = [(k, f"f{i}", s if isinstance(s, str) else polygon(s)) for k, (shapes, *_) in enumerate(COVERED) for i, s in enumerate(shapes)]
+    p = spark.createDataFrame(rows, "layer_id int, key string, g string").select("layer_id", "key", G.from_geojson(F.col("g")).alias("geom"))
+    assert {r.layer_id: (r.pieces, r.holes) for r in topology.coverage(p, 0.7).collect()} == {k: (pieces, holes) for k, (_, pieces, holes) in enumerate(COVERED)}
+
+
 def test_lines_that_join_and_lines_that_run_along(spark):
     line = lambda *p: '{"type":"LineString","coordinates":[' + ",".join(f"[{x},{y}]" for x, y in p) + "]}"
     hits = lambda *ls: [r.target_ref for r in quality.line_cross(ctx(spark, list(ls), cross=True)).collect()]
