@@ -74,6 +74,12 @@ def from_geojson(text: Column) -> Column:
     return make(kind, F.when(kind == "GeometryCollection", together).otherwise(_parts(kind, F.get_json_object(text, "$.coordinates"))))
 
 
+def geometry_text(g: Column) -> Column:
+    """Type and places (nine decimals) of a geometry as one text, the same wherever it was read from; null for none."""
+    ring = lambda r: F.array_join(F.transform(r, lambda p: F.format_string("%.9f %.9f", p["x"], p["y"])), ",")
+    return F.concat(g["gtype"], F.lit("|"), F.array_join(F.transform(g["parts"], lambda p: F.array_join(F.transform(p, ring), ";")), "/"))
+
+
 def to_geojson(g: Column) -> Column:
     """GeoJSON text of polygons and of boxes."""
     rings = F.transform(g["parts"], lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))

@@ -35,35 +35,86 @@ def equal_area(e: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Pairs of edges that are looked at together.
+PAIRS = 1 << 18
+
+
+def _pairs(a: np.ndarray, b: np.ndarray):
+    """Places of edges of a and of b whose heights and widths meet, in batches of a bounded size: a sweep up both, each edge
+    against those of the other that start at or below its end and have not ended before it starts."""
+    low, high = np.minimum(b[:, 1], b[:, 3]), np.maximum(b[:, 1], b[:, 3])
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    reach = np.maximum.accumulate(high)  # before the first place where this is high enough, all have ended
+    bottom, top = np.minimum(a[:, 1], a[:, 3]), np.maximum(a[:, 1], a[:, 3])
+    first, stop = np.searchsorted(reach, bottom, "left"), np.searchsorted(low, top, "right")
+    count = np.maximum(stop - first, 0)
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(a):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")) - at)
+        i = np.repeat(np.arange(at, at + n), count[at : at + n])
+        own = np.arange(len(i)) - np.repeat(np.cumsum(count[at : at + n]) - count[at : at + n], count[at : at + n])
+        j = order[first[i] + own]
+        near = (np.minimum(a[i, 0], a[i, 2]) <= np.maximum(b[j, 0], b[j, 2])) & (np.minimum(b[j, 0], b[j, 2]) <= np.maximum(a[i, 0], a[i, 2]))
+        yield i[near], j[near]
+        at += n
+
+
 def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Heights at which edges of a cross edges of b."""
-    d, f = (a[:, 2:] - a[:, :2])[:, None], (b[:, 2:] - b[:, :2])[None]
-    w = b[None, :, :2] - a[:, None, :2]
-    det = d[..., 0] * f[..., 1] - d[..., 1] * f[..., 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (w[..., 0] * f[..., 1] - w[..., 1] * f[..., 0]) / det
-        u = (w[..., 0] * d[..., 1] - w[..., 1] * d[..., 0]) / det
-    ok = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return (a[:, None, 1] + np.where(ok, t, 0) * d[..., 1])[ok]
+    out = [np.zeros(0)]
+    for i, j in _pairs(a, b):
+        d, f, w = a[i, 2:] - a[i, :2], b[j, 2:] - b[j, :2], b[j, :2] - a[i, :2]
+        det = d[:, 0] * f[:, 1] - d[:, 1] * f[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (w[:, 0] * f[:, 1] - w[:, 1] * f[:, 0]) / det
+            u = (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / det
+        ok = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        out.append(np.unique(a[i, 1][ok] + t[ok] * d[ok, 1]))
+    return np.concatenate(out)
+
+
+class _Active:
+    """The edges that a rising line meets: each comes in at its lower end and goes at its upper one."""
+
+    def __init__(self, e: np.ndarray):
+        up = e[np.argsort(np.minimum(e[:, 1], e[:, 3]), kind="stable")]
+        self.low, self.edges, self.next, self.on = np.minimum(up[:, 1], up[:, 3]), up, 0, np.zeros((0, 4))
+
+    def spans(self, y: float) -> np.ndarray:
+        """Even-odd filled intervals at height y; heights must rise from call to call."""
+        stop = int(np.searchsorted(self.low, y, "right"))
+        q = np.concatenate([self.on, self.edges[self.next : stop]]) if stop > self.next else self.on
+        self.next = stop
+        self.on = q = q[np.maximum(q[:, 1], q[:, 3]) > y]
+        x = np.sort(q[:, 0] + (y - q[:, 1]) / (q[:, 3] - q[:, 1]) * (q[:, 2] - q[:, 0]))
+        return x[: len(x) // 2 * 2].reshape(-1, 2)
+
+
+def _shared_length(s: np.ndarray, t: np.ndarray) -> float:
+    """Length that two lists of disjoint rising intervals share."""
+    if not len(s) or not len(t):
+        return 0.0
+    covered = np.concatenate([[0.0], np.cumsum(t[:, 1] - t[:, 0])])
+
+    def upto(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(t[:, 0], x, "right")
+        return covered[np.maximum(k - 1, 0)] + np.where(k > 0, np.clip(x - t[np.maximum(k - 1, 0), 0], 0, t[np.maximum(k - 1, 0), 1] - t[np.maximum(k - 1, 0), 0]), 0)
+
+    return float((upto(s[:, 1]) - upto(s[:, 0])).sum())
 
 
 def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
     """Area that two even-odd filled edge sets share: slabs between vertex and crossing heights, intervals at mid-slab."""
     if not len(a) or not len(b):
         return 0.0
-    ys = np.unique(np.concatenate([a[:, 1], a[:, 3], b[:, 1], b[:, 3], _crossings(a, b), _crossings(a, a), _crossings(b, b)]))
-    total = 0.0
+    meets = [_crossings(a, b)] if a is b else [_crossings(a, b), _crossings(a, a), _crossings(b, b)]
+    ys = np.unique(np.concatenate([a[:, 1], a[:, 3], b[:, 1], b[:, 3], *meets]))
+    first, second, total = _Active(a), _Active(b), 0.0
     for low, high in zip(ys[:-1], ys[1:], strict=True):
-        mid = (low + high) / 2
-        spans = []
-        for e in (a, b):
-            on = (e[:, 1] <= mid) != (e[:, 3] <= mid)
-            q = e[on]
-            spans.append(np.sort(q[:, 0] + (mid - q[:, 1]) / (q[:, 3] - q[:, 1]) * (q[:, 2] - q[:, 0])))
-        s, t = (x[: len(x) // 2 * 2].reshape(-1, 2) for x in spans)
-        if len(s) and len(t):
-            both = np.minimum(s[:, None, 1], t[None, :, 1]) - np.maximum(s[:, None, 0], t[None, :, 0])
-            total += (high - low) * np.clip(both, 0, None).sum()
+        s = first.spans((low + high) / 2)
+        total += (high - low) * (float((s[:, 1] - s[:, 0]).sum()) if a is b else _shared_length(s, second.spans((low + high) / 2)))
     return float(total)
 
 

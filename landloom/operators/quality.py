@@ -7,6 +7,7 @@ itself; expressions are null-safe, so rows never fail a rule.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,6 +19,7 @@ from ..functions import geometry as G
 from ..functions import overlay
 from ..functions.dates import strict_date
 from ..functions.properties import OFFICIAL
+from ..storage import materialise
 from . import spatial, topology
 
 PREFIX = "QH-"
@@ -70,14 +72,16 @@ def found(df: DataFrame, code: str, message: Column, ref: Column, severity: str
 
 
 def run(ctx: Context, spark: SparkSession, only: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of the chosen rules."""
+    """Findings of the chosen rules. Each rule is carried out by itself, into a table of its own: one that fails, as it is
+    planned or as it runs, becomes a finding and hides no other."""
     out = []
     for code in sorted(RULES):
         if (not only or code in only) and code not in skip:
             try:
-                out.append(RULES[code].run(ctx))
-            except Exception as e:  # one broken rule must not hide the others
-                out.append(spark.createDataFrame([(PREFIX + "RULE-ERROR", "error", f"{code}: {type(e).__name__}", "dataset", None, None)], FINDING))
+                out.append(materialise(RULES[code].run(ctx), "findings"))
+            except Exception as e:
+                said = re.search(r"\[([A-Z_.]+)\]", str(e))
+                out.append(spark.createDataFrame([(PREFIX + "RULE-ERROR", "error", f"{code}: {type(e).__name__}{' ' + said[1] if said else ''}", "dataset", None, None)], FINDING))
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], FINDING)
 
 

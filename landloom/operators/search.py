@@ -14,16 +14,20 @@ GRAM = 3
 def search(questions: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
     """questions(q), entities(kind, id, title, place) -> q, kind, id, title, rank.
 
-    A title matches when its folded form contains the folded question. Candidates come from an equi-join on the
-    question's first characters, so no pair of question and title is made that shares none. Shortest titles come first
-    within a kind, `limit` of each; kinds follow their place, `limit` in all.
+    A title matches when its folded form contains the folded question. Candidates come from an equi-join on the run of
+    characters of the question that the fewest titles have, so a run that most titles share is the key of questions only
+    that consist of such runs. Shortest titles come first within a kind, `limit` of each; kinds follow their place, `limit`
+    in all; both are kept down to the limit before they are shuffled.
     """
     asked = questions.select("q", vn_normalize(F.col("q")).alias("folded")).where("folded <> ''").distinct()
     titled = entities.withColumn("norm", vn_normalize(F.col("title")))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - GRAM + 1, F.lit(1))), lambda i: F.substring("norm", i, F.lit(GRAM))))
-    long_q = asked.where(F.length("folded") >= GRAM).withColumn("gram", F.substring("folded", 1, GRAM))
+    runs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(GRAM))))
+    grams = asked.where(F.length("folded") >= GRAM).withColumn("gram", F.explode(runs_of("folded")))
+    had = titled.select(F.explode(runs_of("norm")).alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("titles"))
+    rarest = F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("rarest")
+    long_q = grams.join(had, "gram", "left").groupBy("q", "folded").agg(rarest).where("rarest.titles > 0").select("q", "folded", "rarest.gram")
     short_q = asked.where(F.length("folded") < GRAM)
-    hits = titled.withColumn("gram", F.explode(runs)).join(long_q, "gram").where(F.contains("norm", "folded")).select("q", "kind", "id", "title", "norm", "place")
+    hits = titled.withColumn("gram", F.explode(runs_of("norm"))).join(long_q, "gram").where(F.contains("norm", "folded")).select("q", "kind", "id", "title", "norm", "place")
     if not short_q.isEmpty():  # one or two characters: indexed by single and double characters
         small = F.array_distinct(F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm"), F.lit(1))), lambda i: F.substring("norm", i, F.lit(1)))], *[F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - 1, F.lit(1))), lambda i: F.substring("norm", i, F.lit(2)))]))
         hits = hits.unionByName(titled.withColumn("folded", F.explode(small)).join(short_q, "folded").select("q", "kind", "id", "title", "norm", "place"))

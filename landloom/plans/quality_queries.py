@@ -101,8 +101,8 @@ def findings_targets(spark, sf):
 
 @query("rule_findings_by_rule")
 def rule_findings_by_rule(spark, sf):
-    """All rules over all features and datasets in one plan."""
-    return Q.run(context(spark, sf), spark, skip=("QH-TOPO-POLY-GAP",)).groupBy("rule_code", "severity").agg(F.count(F.lit(1)).alias("n"))
+    """All rules over all features and datasets."""
+    return Q.run(context(spark, sf), spark).groupBy("rule_code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rule_catalog", "SELECT rule_code, count(*) AS n FROM (SELECT 'QH-CRS-MISSING' AS rule_code FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'QH-AUTH-MISSING' FROM orders WHERE o_orderkey % 6 = 3) GROUP BY 1")
@@ -115,6 +115,18 @@ def rule_catalog(spark, sf):
 # rules on shapes that break them: parts as shapes, in groups of several
 
 
+@query("rule_errors", "SELECT 'QH-CRS-MISSING' AS rule_code, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'QH-RULE-ERROR', CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM orders")
+def rule_errors(spark, sf):
+    """A rule that divides by zero on some dataset as it runs, beside one that is sound."""
+    code = Q.PREFIX + "BROKEN"
+    Q.RULES[code] = Q.Rule(code, "", "error", "dataset", lambda c: Q.found(c.datasets.where(1 / (F.col("dataset_id") % 2) > 0), "CRS-MISSING", F.lit("never"), F.col("dataset_id")))
+    try:
+        found = Q.run(context(spark, sf), spark, only=(code, "QH-CRS-MISSING"))
+    finally:
+        del Q.RULES[code]
+    return found.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _made(parts, shape, gap: bool = False, cross: bool = False) -> Q.Context:
     """parts(k, g) with shape as GeoJSON text (null: none), each group a layer."""
     told = materialise(parts.select("g", "k", shape.alias("shape")), "shapes")  # as text first: the parser reads it many times

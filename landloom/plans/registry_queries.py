@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, properties
 from ..functions import geometry as G
 from ..operators import coverage, dedupe, diff, observe, publish, registry, versions
 from ..storage import new_path
@@ -442,3 +442,25 @@ def descriptor_upsert(spark, sf):
     return registry.upsert(s.where("source_id % 4 <> 0"), new, "source_key").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+# digests of what datasets say
+
+_JSON = """concat('{"class":', to_json(class), ',"name":', to_json(name || ' "' || id || '" \\ '), '}')"""
+
+
+@query("canonical_json", f"SELECT id, {_JSON} AS json FROM features")
+def canonical_json(spark, sf):
+    return relation(spark, sf, "features").select("id", properties.canonical_json(_properties()).alias("json"))
+
+
+def _properties():
+    """Keys in another order than that of the digest."""
+    return F.create_map(F.lit("name"), F.concat("name", F.lit(' "'), F.col("id").cast("string"), F.lit('" \\ ')), F.lit("class"), F.col("class"))
+
+
+@query("dataset_digest", f"""WITH h AS (SELECT dataset_id, sha256(concat_ws(chr(0), layer_name, CASE WHEN id % 5 = 0 THEN '' ELSE fkey END, class, {_JSON}, concat('Polygon|', printf('%.9f %.9f,%.9f %.9f,%.9f %.9f,%.9f %.9f,%.9f %.9f', minx, miny, maxx, miny, maxx, maxy, minx, maxy, minx, miny)))) AS h FROM features JOIN layers USING (layer_id)),
+b AS (SELECT dataset_id, CAST('0x' || substr(h, 1, 6) AS BIGINT) % 64 AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY ALL)
+SELECT dataset_id, sha256(string_agg(digest, '' ORDER BY bucket)) AS digest FROM b GROUP BY dataset_id""")
+def dataset_digest(spark, sf):
+    """Layer, external id, class, properties and geometry of all features, by dataset."""
+    f = relation(spark, sf, "features").withColumn("geom", G.box(*map(F.col, ("minx", "miny", "maxx", "maxy")))).withColumn("external_id", F.when(F.col("id") % 5 != 0, F.col("fkey")))
+    return dedupe.dataset_digests(f.join(relation(spark, sf, "layers"), "layer_id").withColumn("properties", _properties()))

@@ -1,11 +1,14 @@
 """The golden scenarios of the blueprint, rebuilt as small frames."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from landloom.functions import geometry as G
 from landloom.functions import overlay
-from landloom.operators import dedupe, diff, georef, observe, provenance, publish, quality, spatial, topology, versions
+from landloom.operators import dedupe, diff, georef, observe, provenance, publish, quality, search, spatial, topology, versions
 from landloom.sources import files, payloads
 from landloom.streaming.observe import observation_stream
 
@@ -206,6 +209,47 @@ def test_broken_rule_becomes_a_finding(spark):
     assert got[0].rule_code == "QH-RULE-ERROR"
 
 
+def test_rule_that_fails_as_it_runs_hides_no_other(spark):
+    quality.RULES["QH-ZZZ"] = quality.Rule("QH-ZZZ", "", "error", "feature", lambda c: quality.found(c.features.where(1 / F.col("ord") > 2), "GEOM-EMPTY", F.lit("x"), F.col("key")))
+    try:
+        got = quality.run(ctx(spark, [None, poly((0, 0), (1, 1), (1, 0))]), spark, only=("QH-ZZZ", "QH-GEOM-EMPTY")).collect()
+    finally:
+        del quality.RULES["QH-ZZZ"]
+    assert {(r.rule_code, r.target_ref) for r in got} == {("QH-RULE-ERROR", None), ("QH-GEOM-EMPTY", "f0")}
+    assert [r.message for r in got if r.rule_code == "QH-RULE-ERROR"][0].endswith("DIVIDE_BY_ZERO")
+
+
+def test_dataset_digest_covers_every_part(spark):
+    def digest(layer="l", ext="e", cls="c", props={"a": "1", "b": "x"}, x=0.0, twice=False):
+        rows = [(1, layer, ext, cls, props, x), (1, "m", None, None, None, 5.0)] + [(1, layer, ext, cls, props, x)] * twice
+        df = spark.createDataFrame(rows, "dataset_id int, layer_name string, external_id string, class string, properties map<string,string>, x double")
+        return dedupe.dataset_digests(df.withColumn("geom", G.box(F.col("x"), F.lit(0.0), F.col("x") + 1, F.lit(1.0))).repartition(3)).first().digest
+
+    same = digest()
+    assert same == digest(props={"b": "x", "a": "1"})
+    others = [digest(layer="k"), digest(ext="f"), digest(cls=None), digest(props={"a": "1"}), digest(x=0.001), digest(twice=True), digest(layer="le", ext="")]
+    assert len({same, *others}) == len(others) + 1
+
+
+def test_search_by_the_rarest_run(spark):
+    titles = [("record", i, f"quy hoach khu {i}", 1) for i in range(300)] + [("record", 900, "quy hoach ven song", 1), ("unit", 901, "Vên", 2)]
+    entities = spark.createDataFrame(titles, "kind string, id long, title string, place int")
+    asked = spark.createDataFrame([("quy hoach",), ("HOACH VEN",), ("ven",), ("ve",), ("nothing",), ("",), ("khu 299",)], "q string")
+    got = {}
+    for r in search.search(asked, entities, 3).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    assert got == {"quy hoach": [0, 1, 2], "HOACH VEN": [900], "ven": [900, 901], "ve": [900, 901], "khu 299": [299]}
+
+
+def test_overlay_of_many_edges():
+    turn = [2 * math.pi * i / 3000 for i in range(3000)]
+    ring = lambda x, r: np.array([[x + r * math.cos(t), r * math.sin(t), x + r * math.cos(u), r * math.sin(u)] for t, u in zip(turn, [*turn[1:], turn[0]], strict=True)])
+    a, b = ring(0, 1), ring(1, 1)
+    lens = 2 * math.pi / 3 - math.sqrt(3) / 2
+    assert overlay.overlap_area(a, a) == pytest.approx(math.pi, rel=1e-5) and overlay.overlap_area(a, b) == pytest.approx(lens, rel=1e-5)
+    assert overlay.overlap_area(a, ring(9, 1)) == 0 and overlay.overlap_area(a, ring(0, 0.5)) == pytest.approx(math.pi / 4, rel=1e-5)
+
+
 def test_gate_and_tiles(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", "official_vector", "pending", 1), (2, "b", "derived_machine_unreviewed", "pending", 2)], "dataset_id int, dataset_name string, derivation_level string, review_status string, version_id int")
     assert {(r.version_id, r.ok) for r in publish.gate(d).collect()} == {(1, True), (2, False)}
