@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,33 @@ def labelled(refs: DataFrame, names: DataFrame) -> DataFrame:
     return refs.join(names, ["entity_type", "entity_id"], "left").withColumn("label", F.coalesce("label", F.lit("(deleted)")))
 
 
-def walk(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """edges(child, parent), roots(root) -> root, node, depth: every input reached from each root, at its least depth.
-
-    Breadth first: the frontier meets the edges by an equi-join, nodes seen before are anti-joined, and each level is
-    written to the shared folder, so cycles end and lineage stays short.
-    """
+def _levels(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """Breadth first: the frontier meets the edges by an equi-join, nodes seen before are anti-joined, and each level is
+    written to the shared folder, so cycles end and lineage stays short."""
     level = materialise(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "walk")
     seen = [level]
     for depth in range(1, max_depth + 1):
         met = level.join(edges, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node")).distinct()
-        past = seen[0].select("root", "node")
-        for s in seen[1:]:
-            past = past.union(s.select("root", "node"))
+        past = reduce(DataFrame.union, [s.select("root", "node") for s in seen])
         level = materialise(met.join(past, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "walk")
         if level.isEmpty():
             break
         seen.append(level)
-    out = seen[0]
-    for s in seen[1:]:
-        out = out.union(s)
-    return out
+    return reduce(DataFrame.union, seen)
+
+
+def walk(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """edges(child, parent), roots(root) -> root, node, depth: every input reached from each root, at its least depth.
+
+    Where the roots' direct inputs are fewer than the roots, as when many records share their sources, the levels are walked
+    from these inputs once, and each root takes what its inputs reach: one join and one least depth instead of a pass of
+    all roots for each level. Else the levels are walked from the roots themselves."""
+    own = materialise(roots.select("root").distinct(), "walk-roots")
+    first = own.join(edges, F.col("root") == F.col("child")).select("root", "parent")
+    inputs = materialise(first.select(F.col("parent").alias("root")).distinct(), "walk-inputs")
+    if max_depth < 1 or inputs.count() >= own.count():
+        return _levels(edges, own, max_depth)
+    reached = _levels(edges, inputs, max_depth - 1)
+    met = first.join(reached.withColumnRenamed("root", "parent"), "parent").select("root", "node", F.col("depth") + 1)
+    whole = own.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).union(met)
+    return whole.groupBy("root", "node").agg(F.min("depth").alias("depth"))

@@ -71,6 +71,27 @@ def test_digest_ignores_order_and_partitions(spark):
     assert a == {tuple(r) for r in dedupe.digests(rows.repartition(7).orderBy(F.desc("h")), ["k"], "h").collect()}
 
 
+@pytest.mark.parametrize("n_roots", [2, 40])
+def test_walk_by_brute_force(spark, n_roots):
+    """Few roots (walked by themselves) and many that share their inputs; cycles, a root that is an input, a bound of depth."""
+    import random
+
+    rng = random.Random(n_roots)
+    inner = [f"n{i}" for i in range(9)]
+    pairs = {(a, b) for a in inner for b in rng.sample(inner, 2)} | {(f"r{i}", rng.choice(inner)) for i in range(n_roots) for _ in range(3)} | {("n0", "r0")}
+    edges = spark.createDataFrame(list(pairs), "child string, parent string")
+    for bound in (50, 2):
+        want = set()
+        for root in [f"r{i}" for i in range(n_roots)] + ["alone"]:
+            depth, level = {root: 0}, [root]
+            for d in range(1, bound + 1):
+                level = [b for a, b in pairs if a in level and b not in depth]
+                depth |= dict.fromkeys(level, d)
+            want |= {(root, n, d) for n, d in depth.items()}
+        roots = spark.createDataFrame([(f"r{i}",) for i in range(n_roots)] + [("alone",)], "root string")
+        assert {tuple(r) for r in provenance.walk(edges, roots, bound).collect()} == want
+
+
 def test_walk_ends_on_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "child string, parent string")
     got = {(r.node, r.depth) for r in provenance.walk(e, spark.createDataFrame([("a",)], "root string")).collect()}
