@@ -184,6 +184,27 @@ def vector_normalise(spark, sf):
     return normalise(r, layers)[0].select("fkey", "class", "grp")
 
 
+@query("vector_ingest", """SELECT 'datasets' AS output, CASE WHEN layer_id % 5 = 4 OR layer_id % 2 = 0 OR without > 0 THEN 'errors' ELSE 'unchecked' END AS state, count(*) AS n FROM (SELECT layer_id, count(*) FILTER (WHERE id % 10 = 0) AS without FROM features GROUP BY 1) GROUP BY 2
+UNION ALL SELECT 'layers', 'features', count(*) FROM features WHERE id % 10 <> 0 AND layer_id % 5 <> 4
+UNION ALL SELECT 'features', grp, count(*) FROM (SELECT CASE WHEN layer_id % 3 = 0 THEN 'quy_hoach' WHEN layer_id % 3 = 1 THEN 'hien_trang' ELSE 'hoso_gis' END AS grp FROM features WHERE id % 10 <> 0 AND layer_id % 5 <> 4) GROUP BY 2
+UNION ALL SELECT 'findings', 'QH-GEOM-EMPTY', count(*) FROM features WHERE id % 10 = 0 UNION ALL SELECT 'findings', 'QH-ATTR-REQUIRED', count(*) FROM features WHERE layer_id % 2 = 0
+UNION ALL SELECT 'findings', 'QH-CRS-MISSING', count(DISTINCT layer_id) FROM features WHERE layer_id % 5 = 4 UNION ALL SELECT 'events', 'imported', count(DISTINCT layer_id) FROM features""")
+def vector_ingest(spark, sf):
+    """All features as layers of one artifact each: datasets, layers, features, findings and events, counted by state."""
+    from ..operators.vector import ingest
+
+    k = F.col("layer_id")
+    r = files.read_geojson(_collections(spark, sf), keep=("layer_id",)).withColumns({"layer": F.concat(F.lit("Layer "), k.cast("string")), "epsg": F.when(k % 5 != 4, 4326), "artifact_id": F.concat(F.lit("a"), k.cast("string")), "sha256": F.sha2(k.cast("string"), 256)})
+    l = relation(spark, sf, "layers")  # noqa: E741
+    group = F.when(k % 3 == 0, "QuyHoach").when(k % 3 == 1, "HienTrang")
+    none = {c: F.lit(None).cast(t) for c, t in (("dataset_group", "string"), ("canonical_name", "string"), ("expected_type", "string"), ("derivation_level", "string"), ("no_overlap", "boolean"), ("no_gaps", "boolean"), ("no_line_cross", "boolean"))}
+    config = l.select(F.concat(F.lit("Layer "), k.cast("string")).alias("layer"), group.alias("thematic_group"), F.when(k % 2 == 0, F.array(F.lit("name"))).otherwise(F.array(F.lit("code"))).alias("required")).withColumns(none)
+    out = ingest(r, config)
+    count = lambda name, state, n=F.count(F.lit(1)): out[name].groupBy(state.alias("state")).agg(n.cast("bigint").alias("n")).select(F.lit(name).alias("output"), "state", "n")  # noqa: E731, B008
+    parts = [count("datasets", F.col("quality_state")), count("layers", F.lit("features"), F.sum("feature_count")), count("features", F.col("grp")), count("findings", F.col("rule_code")), count("events", F.col("operation"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
 @query("vector_withheld", "SELECT fkey FROM features WHERE id % 10 = 0")
 def vector_withheld(spark, sf):
     from ..operators.vector import normalise
