@@ -232,12 +232,14 @@ def _shared(prefixes: DataFrame) -> DataFrame:
 
 
 def _worth(keys: DataFrame) -> np.ndarray:
-    """A map of the texts that have a key: others need not be looked at. Of fixed size: where texts outgrow it, it drops
-    fewer of them, none wrongly."""
-    slots = keys.select(F.pmod("node", F.lit(WORTH_BITS)).alias("slot")).distinct()
+    """A map of the texts that have a key: others need not be looked at. Its size follows the texts' number up to WORTH_BITS;
+    where texts outgrow that, it drops fewer of them, none wrongly."""
+    texts = keys.agg(F.approx_count_distinct("node")).first()[0]
+    size = min(WORTH_BITS, max(PAGE_BITS, 1 << (16 * texts).bit_length()))
+    slots = keys.select(F.pmod("node", F.lit(size)).alias("slot")).distinct()
     page, at = F.floor(F.col("slot") / PAGE_BITS).alias("page"), (F.col("slot") % PAGE_BITS).alias("at")
     pages = slots.select(page, at).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect()  # WORTH_BITS at most
-    out = np.zeros(WORTH_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in pages:
         out[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = np.frombuffer(r.bits, np.uint8)
     del pages
@@ -246,7 +248,7 @@ def _worth(keys: DataFrame) -> np.ndarray:
 
 
 def _marked(found: np.ndarray, node: int) -> bool:
-    slot = node % WORTH_BITS
+    slot = node % (len(found) << 3)
     return bool(found[slot >> 3] >> (slot & 7) & 1)
 
 
