@@ -114,8 +114,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return spread_join(prints, classes, "fp", "n", "id").select("id", "fp", "component_id")
 
 
-#: Near-duplicates by shingle similarity, found exactly. Shingles are put in one order, about rarest first; two texts of
-#: that similarity share one of their first n - ceil(least * n) + 1 shingles, whatever their length or the number of texts.
+#: Near-duplicates by shingle similarity, found exactly. SimHash links texts first: fingerprints within MAX_BITS, found by the
+#: multi-index tables, whose texts an exact comparison confirms. Similar texts whose fingerprints are further apart are found
+#: by their shingles: put in one order, about rarest first, two texts of that similarity share one of their first
+#: n - ceil(least * n) + 1 shingles, whatever their length or the number of texts.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 #: Longs of a text's parity map: each shared shingle flips one bit, so two maps differ in no more bits than shingles.
@@ -137,16 +139,24 @@ def _digest(words: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(words)[:8], "little", signed=True)
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """id, h1, h2, node (digest of the words) of each row."""
+def _nodes(rows: DataFrame, shingle: int) -> DataFrame:
+    """id, h1, h2, node (digest of the words), fp (SimHash fingerprint over the shingles; null without words) of each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_digest(b" ".join(x.as_py().lower().split())) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.int64())], names=["id", "h1", "h2", "node"])
+            found, fps = [], []
+            for text in b.column(3):
+                words = _words(text)
+                found.append(_digest(b" ".join(words)))
+                fps.append(majority(_shingles(words, shingle)) if words else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.int64()), pa.array(fps, pa.int64())], names=["id", "h1", "h2", "node", "fp"])
         release()
 
-    return rows.mapInArrow(each, "id bigint, h1 bigint, h2 bigint, node bigint")
+    return rows.mapInArrow(each, "id bigint, h1 bigint, h2 bigint, node bigint, fp bigint")
+
+
+def _words(text: pa.Scalar) -> list[bytes]:
+    return text.as_py().lower().split()
 
 
 def _needed(n: int, least: float) -> int:
@@ -154,9 +164,32 @@ def _needed(n: int, least: float) -> int:
     return math.ceil(least * n - _EPS)
 
 
-def _hashes(raw: bytes, shingle: int) -> np.ndarray:
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """64-bit hash of each run of `shingle` words (fewer words: of all), repeats included: words are hashed one by one, runs all at once."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    size = min(shingle, len(words))
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    runs = len(words) - size + 1
+    out = each[:runs] + np.uint64(size)
+    for i in range(1, size + 1):
+        out *= _MIX
+        out ^= out >> np.uint64(29)
+        if i < size:
+            out += each[i : i + runs]
+    out *= _MIX
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """A text's distinct shingle hashes, in order."""
-    return np.unique(shingle_hashes(raw, shingle, SEED))
+    out = _shingles(words, shingle)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
 
 def _commonness(rows: DataFrame, shingle: int) -> np.ndarray:
@@ -167,11 +200,11 @@ def _commonness(rows: DataFrame, shingle: int) -> np.ndarray:
         out = np.zeros(SLOTS, np.uint32)
         for b in batches:
             for text in b.column(1):
-                raw = text.as_py()
-                node = _digest(b" ".join(raw.lower().split()))
+                words = _words(text)
+                node = _digest(b" ".join(words))
                 if node not in seen:
                     seen.add(node)
-                    np.add.at(out, (_hashes(raw, shingle) % np.uint64(SLOTS)).astype(np.int64), 1)
+                    np.add.at(out, (_hashes(words, shingle) % np.uint64(SLOTS)).astype(np.int64), 1)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "flat"])
 
@@ -197,12 +230,12 @@ def _prefix_rows(rows: DataFrame, shingle: int, least: float, common) -> DataFra
         nodes, sizes, keys, held = [], [], [], 0
         for b in batches:
             for text in b.column(1):
-                raw = text.as_py()
-                node = _digest(b" ".join(raw.lower().split()))
+                words = _words(text)
+                node = _digest(b" ".join(words))
                 if node in seen:
                     continue
                 seen.add(node)
-                own = _hashes(raw, shingle)
+                own = _hashes(words, shingle)
                 if len(own):
                     rank = common.value[(own % np.uint64(SLOTS)).astype(np.int64)]
                     nodes.append(node)
@@ -260,11 +293,11 @@ def _maps(rows: DataFrame, shingle: int, worth) -> DataFrame:
         for b in batches:
             found = []
             for text in b.column(1):
-                raw = text.as_py()
-                node = _digest(b" ".join(raw.lower().split()))
+                words = _words(text)
+                node = _digest(b" ".join(words))
                 if node not in seen and _marked(worth.value, node):
                     seen.add(node)
-                    keys = _hashes(raw, shingle)
+                    keys = _hashes(words, shingle)
                     bits = np.bincount((keys % np.uint64(64 * MAP_LONGS)).astype(np.int64), minlength=64 * MAP_LONGS) % 2
                     found.append((node, len(keys), np.packbits(bits.astype(np.uint8)).view("<i8")))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), _lists([f[2] for f in found])], names=["node", "n", "map"])
@@ -282,11 +315,11 @@ def _sets(rows: DataFrame, shingle: int, wanted) -> DataFrame:
         for b in batches:
             found = []
             for text in b.column(1):
-                raw = text.as_py()
-                node = _digest(b" ".join(raw.lower().split()))
+                words = _words(text)
+                node = _digest(b" ".join(words))
                 if node not in seen and _marked(wanted.value, node):
                     seen.add(node)
-                    found.append((node, _hashes(raw, shingle).view(np.int64)))
+                    found.append((node, _hashes(words, shingle).view(np.int64)))
                 if len(found) >= 500:
                     yield _sets_batch(found)
                     found = []
@@ -338,11 +371,34 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) ->
     return good
 
 
-def similar_roots(keys: DataFrame, maps: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """keys(key, node, n, i), stored, maps(node, n, map), stored, and rows, which hold the texts -> node, root of each text
-    that another is similar to; root is their smallest node.
+def fingerprint_pairs(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """prints(node, fp) -> a, b: texts whose fingerprints are within MAX_BITS, by the multi-index tables.
 
-    First each text meets one other: the text that comes first under most of its keys. Then, under keys whose texts are
+    A fingerprint's first text stands for it: its other texts meet that one, and the first texts of linked fingerprints meet.
+    Of a fingerprint's links to smaller ones two are taken, the least and the largest, so a group in which all
+    fingerprints are linked makes two pairs for each.
+    """
+    texts = prints.where("fp IS NOT NULL").select("node", "fp")
+    firsts = materialise(texts.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
+    same = texts.distinct().join(firsts, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    linked = links(firsts.select("fp"), crowd).groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    linked = linked.select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("a"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    met = linked.join(side("a"), "a").join(side("b"), "b")
+    return same.union(met.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+
+
+def fingerprint_roots(prints: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """node, root of the texts that SimHash links to another and whose similarity is at least `least`."""
+    pairs = fingerprint_pairs(prints)
+    return components(_verified(pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")}), rows, shingle, least))
+
+
+def similar_roots(keys: DataFrame, maps: DataFrame, rows: DataFrame, shingle: int, least: float, roots: DataFrame) -> DataFrame:
+    """keys(key, node, n, i), stored, maps(node, n, map), stored, rows, which hold the texts, and roots, what SimHash linked
+    -> node, root of each text that another is similar to; root is their smallest node.
+
+    First, under keys whose texts are in several components, each text meets one other: the text that comes first under most of its keys. Then, under keys whose texts are
     in several components, each meets the first one and the one before it; then, under keys that still hold several
     components, each meets a neighbour in an order that differs from key to key, by TURNS parts of the keys; and under
     keys that even then hold several components, all pairs of texts of different components, by blocks; a pair that shares one of the EARLIER keys before
@@ -374,13 +430,12 @@ def similar_roots(keys: DataFrame, maps: DataFrame, rows: DataFrame, shingle: in
         return materialise(both.select(F.coalesce("node", "of").alias("node"), F.coalesce("top", "root").alias("root")), "near-roots")
 
     under = Window.partitionBy("key").orderBy("n", "node")
-    own_root = F.struct(*whole, F.col("node").alias("root"))
-    met = keys.select(own_root.alias("y"), F.first(own_root).over(under).alias("x")).where("x.node <> y.node").where(follow_free)
+    entry = F.struct(*whole, "root")
+    met = unsettled(roots).select(entry.alias("y"), F.first(entry).over(under).alias("x")).where("x.root <> y.root").where(follow_free)
     once = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.first("x").alias("x"), F.first("y").alias("y"))
     best = once.groupBy("b").agg(F.max_by(F.struct("a", "x", "y"), F.struct("times", "a")).alias("m")).select("m.a", "b", "m.x", "m.y")
-    roots = components(checked(best))
+    roots = merged(roots, components(checked(best)))
     rest = materialise(unsettled(roots), "near-unsettled")
-    entry = F.struct(*whole, "root")
     beside = rest.select(entry.alias("y"), F.array(F.first(entry).over(under), F.lag(entry).over(under)).alias("xs")).select("y", F.explode("xs").alias("x")).where("x.root <> y.root").where(follow_free)
     once = beside.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x").alias("x"), F.first("y").alias("y"))
     roots = merged(roots, components(checked(once)))
@@ -418,8 +473,10 @@ def _winners(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     """prints(id, h1, h2, node) of each row, and node, n (rows), win (the first of its class: smallest id, nulls last)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), *text_key(F.col(text_col)), text.alias("text"))
-    prints = materialise(_nodes(rows), "near-prints")
+    prints = materialise(_nodes(rows, shingle), "near-prints")
     rows = rows.select("id", "text")
+    linked = fingerprint_roots(prints, rows, shingle, least)
+    prints = prints.drop("fp")
     context = docs.sparkSession.sparkContext
     common = context.broadcast(_commonness(rows, shingle))  # of fixed size, as is worth
     keys = materialise(_shared(_prefix_rows(rows, shingle, least, common)), "near-keys")
@@ -427,7 +484,7 @@ def _winners(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     maps = materialise(_maps(rows, shingle, worth), "near-maps")
     common.destroy()
     worth.destroy()
-    rooted = similar_roots(keys, maps, rows, shingle, least)
+    rooted = similar_roots(keys, maps, rows, shingle, least, linked)
     same = prints.groupBy("node", "id", "h1", "h2").agg(F.count(F.lit(1)).alias("same"))
     nodes = same.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "same")).alias("first"), F.sum("same").alias("n"))
     named = nodes.join(rooted.withColumnsRenamed({"node": "of"}), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))

@@ -678,3 +678,32 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, SF).collect()
     assert got and sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
+
+
+def test_similar_texts_are_linked_by_fingerprint(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(20):
+        t = [word() for _ in range(300)]
+        texts += [" ".join(t), " ".join([*t[:-1], word()]), " ".join([*t, word()])]
+    texts += [None, "", "a b", "A  b"]
+    fps = [simhash.majority(simhash._shingles((t or "").lower().encode().split(), simhash.NEAR_SHINGLE)) & (1 << 64) - 1 for t in texts]
+    near = {(i, j) for j in range(len(texts) - 4) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= simhash.MAX_BITS}
+    rows = docs(spark, texts).select(F.col("doc_id").alias("id"), *simhash.text_key(F.col("text")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    prints = simhash._nodes(rows, simhash.NEAR_SHINGLE)
+    place = {r.node: r.id for r in prints.orderBy(F.desc("id")).collect()}
+    got = {tuple(sorted((place[r.a], place[r.b]))) for r in simhash.fingerprint_pairs(prints).collect()}
+    assert got and got <= near
+    assert {min(i, j) // 3 for i, j in got} == {i // 3 for i, _ in near} and {max(p) for p in got} | {min(p) for p in got} == {i for p in near for i in p}
+    linked = []
+    monkeypatch.setattr(simhash, "fingerprint_roots", lambda *a, f=simhash.fingerprint_roots: linked.append(f(*a)) or linked[-1])
+    assert [r.component_id for r in simhash.similar_classes(docs(spark, texts)).orderBy("id").collect()] == brute_classes(texts)
+    assert {place[r.node] for r in linked[0].collect()} == {i for p in near for i in p}
+
+
+def test_shingle_hashes_of_runs():
+    a, b = [w.encode() for w in "a b c d e f a b c d e".split()], [b"a", b"b"]
+    own = simhash._shingles(a, 5)
+    assert len(own) == 7 and own[0] == own[6] and len(set(own.tolist())) == 6 and len(simhash._hashes(a, 5)) == 6
+    assert len(simhash._shingles(b, 5)) == 1 and simhash._shingles(b, 5)[0] not in own and not len(simhash._hashes([], 5))
