@@ -29,7 +29,7 @@ FOLDS, HELD_FOLD = 3, 1
 #: The training sample: at most so many windows of so many words for each label, one from each sampled document.
 SAMPLE_DOCS = 400
 WINDOW_WORDS = 24
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of two
 EPOCHS = 6
 RATE = 0.3
 #: A word is in a label's lexicon when the label has this share of its sampled uses.
@@ -43,7 +43,8 @@ MIN_SCORE = 0.4
 #: Scripts written without spaces: their runs of letters are cut into pairs. Other runs are cut after 40 letters.
 UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 _MORE = r"\p{L}[\p{L}\p{M}'’-]{0,39}"
-_words = regex.compile("[" + "".join(rf"\p{{{s}}}" for s in UNSPACED) + "]{1,2}|" + _MORE).findall
+_WORDS = "[" + "".join(rf"\p{{{s}}}" for s in UNSPACED) + "]{1,2}|" + _MORE
+_words, _words_and_ends = regex.compile(_WORDS).findall, regex.compile(_WORDS + r"|\n").findall
 _JVM_WORDS = "[" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED) + "]{1,2}|" + _MORE
 
 
@@ -52,34 +53,52 @@ def words_of(token: str) -> list[str]:
     return _words(token.lower())
 
 
+def words_of_all(tokens: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of lower-cased tokens without white space, one after another, and how many each token has: one pass over all."""
+    found = _words_and_ends("\n".join(tokens))
+    ends = np.array([w == "\n" for w in found], bool)
+    places = np.flatnonzero(ends)
+    count = np.diff(np.concatenate([[-1], places, [len(found)]])) - 1
+    return [w for w in found if w != "\n"], count[: len(tokens)]
+
+
 def _bucket(parts: list[np.ndarray], salt: int) -> np.ndarray:
     """Hash of the characters at the same place of each part, by salt."""
     h = np.full(parts[0].shape, salt, np.uint64)
     for p in parts:
         h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h % np.uint64(BUCKETS)).astype(np.int64)
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' features, word after word, and how many each has: the word itself, its first and last one to
     three letters, and the pairs and triples of its letters with its ends marked."""
-    marked = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    first, end = np.cumsum(sizes) - sizes, np.cumsum(sizes)
-    pairs, triples = np.ones(len(marked), bool), np.ones(len(marked), bool)
-    pairs[end - 1] = triples[end - 1] = triples[end - 2] = False
+    marked = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(sizes)
+    first, each = end - sizes, 2 * sizes + 4  # a word of n marked letters has n - 1 pairs, n - 2 triples, six ends and itself
+    start = np.cumsum(each) - each
+    flat = np.empty(int(each.sum()), np.int64)
+    pairs = np.ones(len(marked), bool)
+    pairs[end - 1] = False
+    triples = pairs.copy()
+    triples[end - 2] = False
+    shift = np.repeat(start - first, sizes) + np.arange(len(marked))  # where a letter's pair goes
     at2, at3 = np.flatnonzero(pairs), np.flatnonzero(triples)
-    own = np.repeat(np.arange(len(words)), sizes)
-    found, of = [_bucket([marked[at2], marked[at2 + 1]], 2), _bucket([marked[at3], marked[at3 + 1], marked[at3 + 2]], 3)], [own[at2], own[at3]]
+    flat[shift[at2]] = _bucket([marked[at2], marked[at2 + 1]], 2)
+    flat[(shift + np.repeat(sizes - 1, sizes))[at3]] = _bucket([marked[at3], marked[at3 + 1], marked[at3 + 2]], 3)
+    last = start + each - 7
     for n in (1, 2, 3):
         inside = lambda at: np.where((at > first) & (at < end - 1), marked[np.clip(at, 0, len(marked) - 1)], 0)
-        found += [_bucket([inside(first + 1 + k) for k in range(n)], 10 + n), _bucket([inside(end - 2 - k) for k in range(n)], 20 + n)]
-        of += [np.arange(len(words))] * 2
-    found.append(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64))
-    of.append(np.arange(len(words)))
-    flat, of = np.concatenate(found), np.concatenate(of)
-    return flat[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+        flat[last + 2 * n - 2] = _bucket([inside(first + 1 + k) for k in range(n)], 10 + n)
+        flat[last + 2 * n - 1] = _bucket([inside(end - 2 - k) for k in range(n)], 20 + n)
+    try:
+        whole = list(map(str.encode, words))
+    except UnicodeEncodeError:  # a lone surrogate
+        whole = [w.encode("utf-8", "surrogatepass") for w in words]
+    flat[last + 6] = np.fromiter(map(zlib.crc32, whole), np.int64, len(words)) % BUCKETS
+    return flat, each
 
 
 class Field:
@@ -111,22 +130,29 @@ class Field:
         return out
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Forward-backward over sequences laid end to end, longest first; all sequences move one word at a time."""
-        p = np.exp(scores - scores.max(1, keepdims=True))
+        """Forward-backward over sequences laid end to end, longest first; all sequences move one word at a time. Inside, the
+        words of one step lie together."""
         a = np.exp(self.moves - self.moves.max())
         starts, top = np.cumsum(lengths) - lengths, int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(top), side="left")  # sequences longer than t
+        steps = np.concatenate([[0], np.cumsum(active)])
+        step = np.arange(len(scores)) - np.repeat(starts, lengths)
+        place = steps[step] + np.repeat(np.arange(len(lengths)), lengths)
+        p = np.empty_like(scores)
+        p[place] = np.exp(scores - scores.max(1, keepdims=True))
         ahead, back = np.empty_like(p), np.ones_like(p)
+        same, turned = np.ones_like(a), np.ascontiguousarray(a.T)  # x @ same: the row's sum in each column
+        at = steps.tolist()
         for t in range(top):
-            at = starts[: active[t]] + t
-            x = p[at] * (ahead[at - 1] @ a) if t else p[at]
-            ahead[at] = x / x.sum(1, keepdims=True)
+            low, high = at[t], at[t + 1]
+            x = p[low:high] * (ahead[at[t - 1] : at[t - 1] + high - low] @ a) if t else p[low:high]
+            np.divide(x, x @ same, out=ahead[low:high])
         for t in range(top - 2, -1, -1):
-            at = starts[: active[t + 1]] + t
-            x = (back[at + 1] * p[at + 1]) @ a.T
-            back[at] = x / x.sum(1, keepdims=True)
-        both = ahead * back
-        return both / both.sum(1, keepdims=True)
+            low, high = at[t + 1], at[t + 2]
+            x = (back[low:high] * p[low:high]) @ turned
+            np.divide(x, x @ same, out=back[at[t] : at[t] + high - low])
+        ahead *= back
+        return (ahead / ahead.sum(1, keepdims=True))[place]
 
     def pair_counts(self, scores: np.ndarray, posterior: np.ndarray, n: int, length: int) -> np.ndarray:
         """Expected transition counts of n sequences of one length, from the same recursions."""
@@ -190,61 +216,77 @@ def train(windows: list[tuple[str, list[str]]]) -> Field | None:
 
 
 class Labeller(dict):
-    """token -> its number; a token's words, none or several, have rows of emissions one after another."""
+    """Lower-cased token -> its number; a token's words, none or several, have rows of emissions one after another."""
 
     def __init__(self, field: Field):
         super().__init__()
         self.field = field
-        self.forget()
-
-    def forget(self) -> None:
+        self.keep([])
+
+    def keep(self, numbers: list[int]) -> None:
+        """Forgets all tokens but these."""
+        names = list(self)
+        kept = np.array(numbers, np.int64)
+        if len(kept):
+            self.table = self.table[self.places(kept)]
+            self.count = self.count[kept]
+        else:
+            self.count, self.table = np.zeros(0, np.int64), np.zeros((0, len(self.field.labels)), np.float32)
+        self.first = np.cumsum(self.count) - self.count
+        self.uses = np.zeros(len(kept), np.int64)
         self.clear()
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.table = np.zeros((0, len(self.field.labels)), np.float32)
+        self.update(zip([names[i] for i in numbers], range(len(kept)), strict=True))
 
     def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self]
+        new = list(tokens.difference(self))
         if not new:
             return
-        found = list(map(words_of, new))
-        place = {w: i for i, w in enumerate(sorted({w for f in found for w in f}))}
+        found, count = words_of_all(new)
+        place = {w: i for i, w in enumerate(dict.fromkeys(found))}
         real = list(place)
         rows = [self.table] if len(self) else []
         if real:
             emitted = np.concatenate([self.field.word_emissions(real[at : at + 10_000]) for at in range(0, len(real), 10_000)]).astype(np.float32)
-            rows.append(emitted[[place[w] for f in found for w in f]])
-        count = np.fromiter(map(len, found), np.int64, len(found))
+            rows.append(emitted[np.fromiter(map(place.__getitem__, found), np.int64, len(found))])
         self.first = np.concatenate([self.first, len(self.table) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.table = np.concatenate(rows) if rows else self.table
         self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
 
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        """Emissions of the words of known tokens."""
-        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of the table that hold these tokens' words, one after another."""
         count = self.count[ids]
         before = np.cumsum(count) - count
-        return self.table[np.repeat(self.first[ids] - before, count) + np.arange(count.sum())]
+        return np.repeat(self.first[ids] - before, count) + np.arange(count.sum())
 
     def posteriors(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """Place of each text that has a word, and the posterior of its words' labels, by groups of bounded size."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         at = 0
         while at < len(order):
-            group, tokens, held = [], [], 0
-            while at < len(order) and (not group or held < STEP_WORDS):
-                tokens.append(texts[order[at]].split())
+            group, tokens, sizes = [], [], []
+            while at < len(order) and (not group or len(tokens) < STEP_WORDS):
+                own = texts[order[at]].lower().split()
+                tokens += own
                 group.append(order[at])
-                held += len(tokens[-1])
+                sizes.append(len(own))
                 at += 1
-            self.learn({t for own in tokens for t in own})
-            rows = [self.rows(own) for own in tokens]
-            if len(self) > KEPT:
-                self.forget()
-            longest = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: -len(rows[i]))
-            if longest:
-                lengths = np.array([len(rows[i]) for i in longest])
-                posterior = self.field.marginals(np.concatenate([rows[i] for i in longest]), lengths)
+            self.learn(set(tokens))
+            ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+            rows = self.table[self.places(ids)]
+            upto = np.concatenate([[0], np.cumsum(self.count[ids])])[np.cumsum([0, *sizes])]
+            self.uses += np.bincount(ids, minlength=len(self))
+            if len(self) > KEPT:  # the tokens that came more than once stay, but half of the bound at most
+                again = np.flatnonzero(self.uses > 1)
+                self.keep(sorted(again[np.argsort(-self.uses[again], kind="stable")[: KEPT // 2]].tolist()))
+            words = np.diff(upto)
+            longest = np.argsort(-words, kind="stable")[: np.count_nonzero(words)]
+            if len(longest):
+                lengths = words[longest]
+                before = np.cumsum(lengths) - lengths
+                laid = rows[np.repeat(upto[longest] - before, lengths) + np.arange(lengths.sum())]
+                posterior = self.field.marginals(laid, lengths)
                 yield from zip([group[i] for i in longest], np.split(posterior, np.cumsum(lengths)[:-1]), strict=True)
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:

@@ -707,3 +707,21 @@ def test_shingle_hashes_of_runs():
     own = simhash._shingles(a, 5)
     assert len(own) == 7 and own[0] == own[6] and len(set(own.tolist())) == 6 and len(simhash._hashes(a, 5)) == 6
     assert len(simhash._shingles(b, 5)) == 1 and simhash._shingles(b, 5)[0] not in own and not len(simhash._hashes([], 5))
+
+
+def test_labels_do_not_hang_on_what_is_kept(monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeéñßЖ中ÀÉIΣ'-,.12") for _ in range(rng.randrange(1, 12)))
+    tokens = list(dict.fromkeys(w for w in (word().lower() for _ in range(2000)) if w))
+    found, count = language.words_of_all(tokens)
+    assert [x.tolist() for x in np.split(np.array(found, object), np.cumsum(count)[:-1])] == [language.words_of(t) for t in tokens]
+    assert [len(x) for x in language.words_of_all([])] == [0, 0]
+    field = language.train([(k, [w + k for w in WORDS]) for k in ("a", "b", "c") for _ in range(4)])
+    texts = [" ".join(["the", "The", *(word() for _ in range(rng.randrange(60)))]) for _ in range(200)] + ["", "12", "road"]
+    want = language.Labeller(field).label(texts)
+    monkeypatch.setattr(language, "KEPT", 300)
+    monkeypatch.setattr(language, "STEP_WORDS", 400)
+    kept = language.Labeller(field)
+    got = kept.label(texts[:120]) + kept.label(texts[120:])
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([p for _, p in got], [p for _, p in want], atol=1e-6)
+    assert "the" in kept and len(kept) < 900
