@@ -79,8 +79,8 @@ class PieceEncoder(dict):
         self.tokenizer, self.kept, self.old = Tokenizer.from_file(path), kept, {}
         with open(path, encoding="utf-8") as f:
             self.by_piece = fits(json.load(f))
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer, self.words.pre_tokenizer = None, WhitespaceSplit()
+        self.words = Tokenizer(self.tokenizer.model)  # the same model, held once
+        self.words.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -168,31 +168,34 @@ def encoder_for(path: str, kept: int) -> PieceEncoder:
     return _encoders[path, kept]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, kept: int, batch_bytes: int, across_tasks: bool) -> Iterator[pa.RecordBatch]:
+    """Rows as STORED has them, of batches of id and text; a task's own encoder is gone before its memory is released."""
+    encoder, ord_at = encoder_for(path, kept) if across_tasks else PieceEncoder(path, kept), 0
+    for b in batches:
+        sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+        first = 0
+        while first < len(b):
+            held = np.cumsum(sizes[first:], dtype=np.int64)
+            n = max(1, int(np.searchsorted(held, batch_bytes, side="right")))
+            ids, count = encoder.encode(b.column(1).slice(first, n))
+            with_end = np.full(len(ids) + n, end_id, "<u4")
+            with_end[np.arange(len(ids)) + np.repeat(np.arange(n), count)] = ids
+            count = count + 1
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(with_end.view("<i4")))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.arange(ord_at, ord_at + n)), pa.array(count.astype(np.int32)), lists], names=["doc_id", "ord", "n_tokens", "ids"])
+            ord_at, first = ord_at + n, first + n
+            del ids, count, with_end, lists
+    del encoder
+    release()
+
+
 def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, kept: int = KEPT, batch_bytes: int = BATCH_BYTES, across_tasks: bool = True) -> str:
     """Writes the ids of docs to ORC files under target, in ascending id order; returns target. Encoded pieces are kept
     from task to task in a worker if across_tasks, which costs its memory afterwards."""
     path = path or vocabulary_path()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ord_at = encoder_for(path, kept) if across_tasks else PieceEncoder(path, kept), 0
-        for b in batches:
-            sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
-            first = 0
-            while first < len(b):
-                held = np.cumsum(sizes[first:], dtype=np.int64)
-                n = max(1, int(np.searchsorted(held, batch_bytes, side="right")))
-                ids, count = encoder.encode(b.column(1).slice(first, n))
-                with_end = np.full(len(ids) + n, end_id, "<u4")
-                with_end[np.arange(len(ids)) + np.repeat(np.arange(n), count)] = ids
-                count = count + 1
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(with_end.view("<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.arange(ord_at, ord_at + n)), pa.array(count.astype(np.int32)), lists], names=["doc_id", "ord", "n_tokens", "ids"])
-                ord_at, first = ord_at + n, first + n
-        release()
-
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    writer = ordered.mapInArrow(encode, STORED).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
+    writer = ordered.mapInArrow(lambda batches: encoded(batches, path, end_id, kept, batch_bytes, across_tasks), STORED).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     writer.option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("compression", "zstd").orc(target)
     return target
 

@@ -2,6 +2,7 @@
 empty tables."""
 
 import datetime
+import gc
 import hashlib
 import math
 import random
@@ -214,6 +215,22 @@ def test_token_counts_rows(spark):
     assert token_counts.token_counts(empty(spark)).count() == 0
 
 
+def test_token_files_free_a_tasks_encoder_before_they_release(monkeypatch):
+    alive = []
+    monkeypatch.setattr(token_files, "release", lambda: alive.append(sum(isinstance(x, token_files.PieceEncoder) for x in gc.get_objects())))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["one two", "", "Three!"])], names=["doc_id", "text"])
+    gc.collect()
+    before = sum(isinstance(x, token_files.PieceEncoder) for x in gc.get_objects())
+    out = list(token_files.encoded(iter([batch]), token_files.vocabulary_path(), 1, 100, 8, False))
+    assert [i for b in out for i in b.column(0).to_pylist()] == [1, 2, 3] and alive == [before]
+
+
+def test_encoder_holds_its_model_once():
+    encoder = token_files.PieceEncoder(token_files.vocabulary_path())
+    encoder.words.model.dropout = 0.5
+    assert encoder.tokenizer.model.dropout == 0.5
+
+
 def test_token_files_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
