@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialise, new_path
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "materialise", "new_path", "release", "running_sum", "small_batches", "spread_join", "text_key"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "materialise", "new_path", "release", "running_sum", "small_batches", "small_broadcasts", "spread_join", "text_key"]
 
 #: A word: a run of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)
 
 
+#: Bytes by Spark's own estimate up to which it may broadcast a table unasked.
+BROADCAST_BYTES = 256 << 10
+
+
+def small_broadcasts(spark: SparkSession) -> None:
+    """From now on the session broadcasts unasked only what it sizes at BROADCAST_BYTES or less: its estimates, by the sizes
+    of files, leave out what an explode, a dictionary's codes or a hash table's entries add, all of which the driver holds."""
+    if spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > BROADCAST_BYTES:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", BROADCAST_BYTES)
+
+
 def release() -> None:
     """Gives a Python worker's free memory back to the system at a task's end: workers stay for the stages that follow."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, materialise, release, spread_join, text_key
+from .shared import discard, materialise, release, small_broadcasts, spread_join, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -35,7 +35,7 @@ MAX_BITS = 2
 #: A segment that more fingerprints share is split by the other segment.
 CROWD = 64
 #: A list of more split segments than this is joined by shuffle, not broadcast.
-BROADCAST_CROWDED = 500_000
+BROADCAST_CROWDED = 100_000
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -86,20 +86,21 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     segment s; each fingerprint looks up the members of the ball around its own segment. A segment that more than
     `crowd` fingerprints share is split by the other segment: its entries are listed under each member of the ball
     around that one, and a look-up, which has one or two bits left, names the other segment itself or its ball's members. No
-    bucket then holds more than 33 for each look-up, whatever is indexed.
+    bucket then holds more than 33 for each look-up, whatever is indexed. Look-ups and entries meet by shuffle: Spark sizes
+    them as if nothing had been exploded.
     """
     tabled = nodes.select("fp", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("tab"))
     segment, other = segment_of(F.col("fp"), F.col("tab"))
     index = tabled.select("fp", "tab", segment.alias("segment"), other.alias("other"))
     crowded = materialise(index.groupBy("tab", "segment").count().where(F.col("count") > crowd).select("tab", "segment", F.lit(True).alias("split")), "crowded-segments")
     small = crowded.limit(BROADCAST_CROWDED + 1).count() <= BROADCAST_CROWDED
-    known = F.broadcast(crowded) if small else crowded
+    known = F.broadcast(crowded) if small else crowded.hint("merge")
     none = F.array(F.lit(-1).cast("bigint"))
     entries = index.join(known, ["tab", "segment"], "left").withColumn("rest", F.explode(F.when(F.col("split"), ball(F.col("other"))).otherwise(none)))
     probes = index.select("fp", "tab", "other", F.posexplode(ball(F.col("segment"))).alias("flipped", "segment"))
     left = F.when(F.col("flipped") == 0, ball(F.col("other"))).otherwise(F.array("other"))
     probes = probes.join(known, ["tab", "segment"], "left").withColumn("rest", F.explode(F.when(F.col("split"), left).otherwise(none)))
-    met = probes.select("tab", "segment", "rest", "fp").join(entries.select("tab", "segment", "rest", F.col("fp").alias("found")), ["tab", "segment", "rest"])
+    met = probes.select("tab", "segment", "rest", "fp").join(entries.select("tab", "segment", "rest", F.col("fp").alias("found")).hint("merge"), ["tab", "segment", "rest"])
     return met.where((F.col("fp") < F.col("found")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("found"))) <= MAX_BITS)).select(F.col("fp").alias("a"), F.col("found").alias("b"))
 
 
@@ -520,5 +521,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: fingerprint and component of every document."""
+    small_broadcasts(spark)
     found = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
