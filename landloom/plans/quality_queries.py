@@ -141,9 +141,10 @@ def _parts(spark, sf, per: int):
 
 
 def _at(x, y):
-    """A corner as GeoJSON text: x and y thousandths from the group's own place."""
+    """A corner as GeoJSON text: x and y thousandths from the group's place, one of 100,000 in the expected extent; groups are
+    layers of their own, so those of one place don't meet."""
     g = F.col("g")
-    return F.concat(F.lit("["), (105 + g % 100 / 100 + x / 1000).cast("string"), F.lit(","), (15 + F.floor(g / 100) / 100 + y / 1000).cast("string"), F.lit("]"))
+    return F.concat(F.lit("["), (105 + g % 100 / 100 + x / 1000).cast("string"), F.lit(","), (15 + F.floor(g / 100) % 1000 / 100 + y / 1000).cast("string"), F.lit("]"))
 
 
 def _ring(*corners):
