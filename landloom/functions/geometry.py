@@ -46,6 +46,15 @@ def box(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     return F.struct(F.lit("Polygon").alias("gtype"), F.lit(4326).alias("srid"), F.array(F.array(ring)).alias("parts"), minx.alias("minx"), miny.alias("miny"), maxx.alias("maxx"), maxy.alias("maxy"))
 
 
+def is_box(g: Column) -> Column:
+    """Whether a geometry is one ring along its bounding box, each side once."""
+    ring = F.get(F.get(g["parts"], F.lit(0)), F.lit(0))
+    corner = lambda p: p["x"].isin(g["minx"], g["maxx"]) & p["y"].isin(g["miny"], g["maxy"])
+    one = (F.size(g["parts"]) == 1) & (F.size(F.get(g["parts"], F.lit(0))) == 1) & (F.size(ring) == 5) & (F.get(ring, F.lit(0)) == F.get(ring, F.lit(4)))
+    straight = lambda s: (s["a"]["x"] == s["b"]["x"]) != (s["a"]["y"] == s["b"]["y"])
+    return F.coalesce(one & (F.size(F.array_distinct(ring)) == 4) & F.forall(ring, corner) & F.forall(segments(ring), straight), F.lit(False))
+
+
 def line(points: Column) -> Column:
     return make(F.lit("LineString"), F.array(F.array(points)))
 

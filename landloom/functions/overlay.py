@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,7 +152,7 @@ def broken_rule(parts) -> str | None:
     rings, owner = [], []
     for k, part in enumerate(parts if parts is not None else []):
         for h, ring in enumerate(part):
-            p = np.array([(q["x"], q["y"]) for q in ring], float)
+            p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
             keep = np.ones(len(p), bool)
             keep[1:] = (p[1:] != p[:-1]).any(1)
             rings.append(p[keep])
@@ -194,6 +195,100 @@ def broken_rule(parts) -> str | None:
     return None
 
 
+#: Polygons of up to so many edges and rings are judged together, those of one make at once; so many pairs of edges at a time.
+FEW_EDGES, FEW_RINGS, AT_ONCE = 32, 6, 1 << 20
+
+
+def _flat(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each geometry's parts, each part's rings and each ring's places start, and all places (n x 2, nan for none)."""
+    places = parts.values.values.values
+    xy = np.stack([places.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy"], axis=1) if len(places) else np.zeros((0, 2))
+    return parts.offsets.to_numpy(), parts.values.offsets.to_numpy(), parts.values.values.offsets.to_numpy(), xy
+
+
+def _sides(rings: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """_of for many rings at once: rings (n x k x 2) and others (n x m x 2)."""
+    p = np.concatenate([others[:, :-1], (others[:, :-1] + others[:, 1:]) / 2], axis=1)
+    a, b, q = rings[:, None, :-1], rings[:, None, 1:], p[:, :, None]
+    on = ((_side(a, b, q) == 0) & _within(a, b, q)).any(2)
+    up = (a[..., 1] <= q[..., 1]) != (b[..., 1] <= q[..., 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = a[..., 0] + (q[..., 1] - a[..., 1]) / (b[..., 1] - a[..., 1]) * (b[..., 0] - a[..., 0])
+    w = np.where(on, 0, np.where((up & (cut > q[..., 0])).sum(2) % 2 == 1, 1, -1))
+    return np.take_along_axis(w, np.argmax(w != 0, axis=1)[:, None], axis=1)[:, 0]
+
+
+def _broken_alike(rings: list[np.ndarray], owner: list[tuple[int, int]]) -> np.ndarray:
+    """broken_rule of polygons of one make: rings[r] holds the r-th ring (n x places x 2) of all, without repeated places."""
+    a, b = np.concatenate([r[:, :-1] for r in rings], axis=1), np.concatenate([r[:, 1:] for r in rings], axis=1)
+    edges_of = [r.shape[1] - 1 for r in rings]
+    of, at, last = np.repeat(np.arange(len(rings)), edges_of), np.concatenate([np.arange(k) for k in edges_of]), np.repeat(np.array(edges_of) - 1, edges_of)
+    start, end = np.minimum(a[..., 0], b[..., 0]), np.maximum(a[..., 0], b[..., 0])
+    order = np.argsort(start, axis=1, kind="stable")
+    i, j = np.triu_indices(a.shape[1], 1)
+    first, second = order[:, i], order[:, j]
+    row = np.arange(len(a))[:, None]
+    p, q, c, d = a[row, first], b[row, first], a[row, second], b[row, second]
+    s1, s2, s3, s4 = _side(p, q, c), _side(p, q, d), _side(c, d, p), _side(c, d, q)
+    proper = (s1 * s2 < 0) & (s3 * s4 < 0)
+    touch = (s1 == 0) & _within(p, q, c) | (s2 == 0) & _within(p, q, d) | (s3 == 0) & _within(c, d, p) | (s4 == 0) & _within(c, d, q)
+    low, high = np.maximum(np.minimum(p, q), np.minimum(c, d)), np.minimum(np.maximum(p, q), np.maximum(c, d))
+    along = (s1 == 0) & (s2 == 0) & (low <= high).all(-1) & (low < high).any(-1)
+    same, step = of[first] == of[second], np.abs(at[first] - at[second])
+    beside = same & ((step == 1) | (step == last[first]))
+    near = np.take_along_axis(start, second, 1) <= np.take_along_axis(end, first, 1)
+    out = np.where((near & (proper | along | (touch & same & ~beside))).any(1), "self_intersection", None).astype(object)
+    shells = [r for r, (_, h) in enumerate(owner) if h == 0]
+    tell = lambda where, what: out.__setitem__((out == None) & where, what)  # noqa: E711, E731
+    for r, (k, h) in enumerate(owner):
+        if h:
+            tell(_sides(rings[next(s for s in shells if owner[s][0] == k)], rings[r]) < 0, "hole_outside_shell")
+            for other, (m, g) in enumerate(owner):
+                if m == k and g and other != r:
+                    tell(_sides(rings[other], rings[r]) > 0, "nested_holes")
+    for s in shells:
+        for t in shells:
+            if s != t:
+                inside = (rings[s].min(1) <= rings[t].min(1)).all(1) & (rings[s].max(1) >= rings[t].max(1)).all(1) & (_sides(rings[s], rings[t]) >= 0)
+                for hole, (m, g) in enumerate(owner):
+                    if m == owner[s][0] and g:
+                        inside &= _sides(rings[hole], rings[t]) < 0
+                tell(inside, "nested_parts")
+    return out
+
+
+def broken_rules(parts: pa.Array) -> np.ndarray:
+    """broken_rule of each: polygons of few edges by their make, many at once; others, and those with repeated places, one by one."""
+    out, single = np.full(len(parts), None, object), []
+    at_part, at_ring, at_place, xy = _flat(parts)
+    ring_counts, lengths = np.diff(at_ring), np.diff(at_place)
+    makes: dict[tuple[bytes, bytes], list[int]] = {}
+    none = parts.is_null().to_numpy(zero_copy_only=False)
+    for i in range(len(parts)):
+        p, q = at_part[i], at_part[i + 1]
+        if not none[i] and q > p:
+            makes.setdefault((ring_counts[p:q].tobytes(), lengths[at_ring[p] : at_ring[q]].tobytes()), []).append(i)
+    for (counts, sizes), rows in makes.items():
+        own, places = np.frombuffer(counts, ring_counts.dtype), np.frombuffer(sizes, lengths.dtype)
+        m = int(places.sum()) - len(places)
+        if not len(places) or places.min() < 4 or own.min() < 1 or m > FEW_EDGES or len(places) > FEW_RINGS:
+            single += rows
+            continue
+        owner, ends, step = [(k, h) for k, n in enumerate(own) for h in range(n)], np.cumsum([0, *places]), max(1, AT_ONCE // (m * m))
+        for lo in range(0, len(rows), step):
+            some = np.array(rows[lo : lo + step])
+            all_ = xy[at_place[at_ring[at_part[some]]][:, None] + np.arange(ends[-1])]
+            rings = [all_[:, s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            plain = np.isfinite(all_).all((1, 2))
+            for r in rings:
+                plain &= (r[:, 1:] != r[:, :-1]).any(2).all(1)
+            single += some[~plain].tolist()
+            out[some[plain]] = _broken_alike([r[plain] for r in rings], owner)
+    for i in single:
+        out[i] = broken_rule(parts[i].as_py())
+    return out
+
+
 def self_crossing(parts) -> bool:
     """Edges of the geometry meet where they may not."""
     return broken_rule(parts) == "self_intersection"
@@ -201,7 +296,10 @@ def self_crossing(parts) -> bool:
 
 def clip_ring(ring: list, minx: float, miny: float, maxx: float, maxy: float) -> list:
     """A ring cut to a rectangle, one side after the other."""
-    p = [(q["x"], q["y"]) for q in ring]
+    return [{"x": x, "y": y} for x, y in _clipped([(q["x"], q["y"]) for q in ring], minx, miny, maxx, maxy)]
+
+
+def _clipped(p: list[tuple[float, float]], minx: float, miny: float, maxx: float, maxy: float) -> list[tuple[float, float]]:
     for axis, bound, keep in ((0, minx, 1), (0, maxx, -1), (1, miny, 1), (1, maxy, -1)):
         out = []
         for i, b in enumerate(p):
@@ -215,7 +313,7 @@ def clip_ring(ring: list, minx: float, miny: float, maxx: float, maxy: float) ->
         p = out
         if not p:
             return []
-    return [{"x": x, "y": y} for x, y in p]
+    return p
 
 
 @F.pandas_udf(T.DoubleType())
@@ -240,24 +338,51 @@ def crosses_itself(parts: pd.Series) -> pd.Series:
     return pd.Series([self_crossing(x) for x in parts], dtype=bool)
 
 
-@F.pandas_udf(T.StringType())
-def breaks_rules(parts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def breaks_rules(parts: pa.Array) -> pa.Array:
     """The rule that a polygon breaks, null for a valid one."""
-    return pd.Series([broken_rule(x) for x in parts], dtype=object)
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(_TILE_POINT))))
-def tile_geometry(parts: pd.Series, bounds: pd.DataFrame) -> pd.Series:
-    """Parts clipped to a tile with a buffer of 64 and quantised to 4096 units a side, y down."""
-
-    def merc(lat: float) -> float:
-        return math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
-
-    def one(p, b):
-        top, bottom, buffer = merc(b.maxy), merc(b.miny), 64 / 4096
-        w, h = b.maxx - b.minx, top - bottom
-        unit = [[[{"x": (q["x"] - b.minx) / w, "y": (top - merc(q["y"])) / h} for q in r] for r in part] for part in p]
-        cut = [[clip_ring(r, -buffer, -buffer, 1 + buffer, 1 + buffer) for r in part] for part in unit]
-        return [[[{"x": round(q["x"] * 4096), "y": round(q["y"] * 4096)} for q in r] for r in part if r] for part in cut if any(part)]
-
-    return pd.Series([one(p, b) for p, b in zip(parts, bounds.itertuples(index=False), strict=True)])
+    return pa.array(broken_rules(parts), pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.ArrayType(_TILE_POINT))))
+def tile_geometry(parts: pa.Array, bounds: pa.Array) -> pa.Array:
+    """Parts clipped to a tile with a buffer of 64 and quantised to 4096 units a side, y down. All places of a batch are worked
+    out at once; only rings that reach over the buffer are cut one by one."""
+    at_part, at_ring, at_place, xy = _flat(parts)
+    at_part = at_part - at_part[0] + (first := int(at_part[0]))  # an array may be a slice of a longer one
+    rings = slice(int(at_ring[first]), int(at_ring[at_part[-1]]))
+    at_ring = at_ring[first : at_part[-1] + 1] - rings.start
+    at_part = at_part - first
+    start = int(at_place[rings.start])
+    at_place = at_place[rings.start : rings.stop + 1] - start
+    xy = xy[start : start + at_place[-1]]
+    part_of, ring_of = np.repeat(np.arange(len(at_ring) - 1), np.diff(at_ring)), np.repeat(np.arange(len(at_place) - 1), np.diff(at_place))
+    feature_of = np.repeat(np.arange(len(parts)), np.diff(at_part))  # of a part
+    merc = lambda lat: np.log(np.tan(math.pi / 4 + np.radians(lat) / 2))
+    minx, miny, maxx, maxy = (bounds.field(c).to_numpy(zero_copy_only=False) for c in ("minx", "miny", "maxx", "maxy"))
+    top, bottom, own = merc(maxy), merc(miny), feature_of[part_of[ring_of]]
+    x, y = (xy[:, 0] - minx[own]) / (maxx - minx)[own], (top[own] - merc(xy[:, 1])) / (top - bottom)[own]
+    low, high, n = -64 / 4096, 1 + 64 / 4096, len(at_place) - 1
+    outside = np.zeros(n, bool)
+    over = np.bincount(ring_of, ~((x >= low) & (x <= high) & (y >= low) & (y <= high)), n) > 0
+    size = np.diff(at_place)
+    for beyond in (x < low, x > high, y < low, y > high):
+        outside |= (size > 0) & (np.bincount(ring_of, beyond, n) == size)
+    cut = {int(r): _clipped(list(zip(x[at_place[r] : at_place[r + 1]].tolist(), y[at_place[r] : at_place[r + 1]].tolist(), strict=True)), low, low, high, high) for r in np.flatnonzero(over & ~outside)}
+    kept = np.where(outside, 0, size)
+    for r, p in cut.items():
+        kept[r] = len(p)
+    ends = np.cumsum([0, *kept])
+    out = np.zeros((int(ends[-1]), 2))
+    whole = ~(over | outside)[ring_of]
+    out[(ends[:-1] - at_place[:-1])[ring_of[whole]] + np.flatnonzero(whole)] = np.stack([x[whole], y[whole]], axis=1)
+    for r, p in cut.items():
+        out[ends[r] : ends[r + 1]] = np.array(p, float).reshape(-1, 2)
+    out = np.rint(out * 4096).astype(np.int32)
+    some = kept > 0
+    by_part = np.bincount(part_of[some], minlength=len(at_ring) - 1)
+    by_feature = np.bincount(feature_of[by_part > 0], minlength=len(parts))
+    value = pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["x", "y"])
+    for counts in (kept[some], by_part[by_part > 0], by_feature):
+        value = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), value)
+    return value

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import quality as Q
-from ..storage import materialise
+from ..storage import dealt, materialise
 from .base import query, relation, table
 
 
 def context(spark, sf) -> Q.Context:
-    f = relation(spark, sf, "features")
+    f = dealt(relation(spark, sf, "features"))
     k = F.col("id")
     shared = F.when(k % 50 == 7, 107.001).otherwise(F.col("minx"))
     geom = F.when(k % 40 == 0, None).when(k % 40 == 1, G.line(F.array(G.xy(F.col("minx"), F.col("miny")), G.xy(F.col("maxx"), F.col("maxy"))))).when(k % 50 == 7, G.box(shared, F.lit(20.0), shared + 0.001, F.lit(20.001))).otherwise(G.box(*map(F.col, ("minx", "miny", "maxx", "maxy"))))
@@ -129,8 +129,8 @@ def rule_errors(spark, sf):
 
 def _made(parts, shape, gap: bool = False, cross: bool = False) -> Q.Context:
     """parts(k, g) with shape as GeoJSON text (null: none), each group a layer."""
-    told = materialise(parts.select("g", "k", shape.alias("shape")), "shapes")  # as text first: the parser reads it many times
-    f = told.select(F.col("g").alias("layer_id"), F.col("k").alias("ord"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("key"), G.from_geojson(F.col("shape")).alias("geom"))
+    told = materialise(dealt(parts).select("g", "k", shape.alias("shape")), "shapes")  # as text first: the parser reads it many times
+    f = materialise(told.select(F.col("g").alias("layer_id"), F.col("k").alias("ord"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("key"), G.from_geojson(F.col("shape")).alias("geom")), "geometries")
     layers = parts.select(F.col("g").alias("layer_id"), F.concat(F.lit("L"), F.col("g").cast("string")).alias("layer_name"), F.lit(1).alias("dataset_id")).distinct().withColumns({"overlap": F.lit(False), "gap": F.lit(gap), "cross": F.lit(cross)})
     return Q.Context(f.where("geom IS NOT NULL"), layers, parts.sparkSession.createDataFrame([(1, 4326)], "dataset_id int, epsg int"))
 
