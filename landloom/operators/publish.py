@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import overlay
 from ..functions.properties import level_rank, official
-from ..storage import StateTable, materialise
+from ..storage import StateTable, dealt, materialise
 from . import spatial
 
 MAX_ZOOM = 14
@@ -52,13 +52,13 @@ def tiles(features: DataFrame, min_zoom: int, max_zoom: int, geometry: bool = Tr
     No row grows with a version: ids are dealt over so many parts that the parts of the fullest tile hold a quarter of a
     chunk each, and parts are filled into chunks by running counts of the parts."""
     parts = -(-features.count() * 4 // chunk) or 1
-    t = spatial.tile_cover(features, min_zoom, max_zoom)
+    t = spatial.tile_cover(dealt(features), min_zoom, max_zoom)
     shape = overlay.tile_geometry(F.col("geom.parts"), G.tile_bounds(F.col("z"), F.col("x"), F.col("y"))) if geometry else F.lit(None).cast("array<array<array<struct<x:bigint,y:bigint>>>>")
     t = t.select("version_id", "z", "x", "y", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.struct("id", shape.alias("shape")).alias("one"))
     tile = ["version_id", "z", "x", "y"]
     by = t.groupBy(*tile, "part").agg(F.collect_list("one").alias("own"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*tile).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = by.withColumn("chunk", F.floor(before / chunk).cast("int")).groupBy(*tile, "chunk").agg(F.array_sort(F.flatten(F.collect_list("own")), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("own"))
+    rows = by.withColumn("chunk", F.floor(before / chunk).cast("int")).groupBy(*tile, "chunk").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("own"))
     return rows.select(*tile, G.hilbert_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "chunk", F.size("own").alias("n"), F.col("own.id").alias("ids"), F.col("own.shape").alias("shapes"))
 
 
