@@ -123,7 +123,7 @@ def geom_duplicate(c: Context) -> DataFrame:
     """The first of equal geometries is found by an aggregate, so copies never meet in a sort."""
     h = _layer(c).where("geom IS NOT NULL").withColumn("h", F.sha2(F.to_json("geom"), 256))
     first = h.groupBy("layer_id", "h").agg(F.min(F.struct("ord", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = h.join(first, ["layer_id", "h"]).where("ord > first.ord")
+    later = h.join(first, ["layer_id", "h"]).where(F.struct("ord", "key") > F.col("first"))  # places in files repeat, keys tell
     return found(later, "GEOM-DUPLICATE", F.concat(F.lit("duplicate of "), F.col("first.key")), F.col("key"), evidence=_name())
 
 

@@ -9,7 +9,7 @@ from landloom.functions import geometry as G
 from landloom.functions import overlay
 from landloom.operators import quality as Q
 from landloom.operators import publish, topology
-from landloom.plans import quality_queries
+from landloom.plans import catalog, quality_queries
 from landloom.storage import materialise
 
 PARTS = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
@@ -103,3 +103,12 @@ def test_copies_of_a_polygon_cover_once(spark, monkeypatch):
     monkeypatch.setattr(topology, "noded", lambda e, cell, own=topology.noded: edges.append(e.count()) or own(e, cell))
     assert [tuple(r) for r in topology.coverage(materialise(f, "copies").select("layer_id", "key", "geom"), 1.0).collect()] == [(1, 1, 1)]
     assert edges == [16]
+
+
+def test_features_of_high_numbers_are_no_copies(spark, tmp_path):
+    """Boxes come again after 210,000 ids: two of one layer at other places of their files."""
+    ids = [(i, f"n{i}", 3, 1.0, "m") for i in (1, 2, 210_002, 420_002)]
+    spark.createDataFrame(ids, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert "QH-GEOM-DUPLICATE" not in {r.state for r in catalog.QUERIES["vector_ingest"](spark, str(tmp_path)).collect()}
