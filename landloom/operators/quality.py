@@ -139,19 +139,37 @@ def crs_bounds(c: Context) -> DataFrame:
     return found(rows, "CRS-BOUNDS", F.lit("outside the expected extent"), F.col("key"), evidence=_name())
 
 
+def _opted(c: Context, flag: str, family: tuple[str, ...]) -> DataFrame:
+    """Sound features of a family in opted-in layers."""
+    return _layer(c).where(F.col(flag) & F.col("geom.gtype").isin(*family) & G.structure_issue(F.col("geom")).isNull())
+
+
+def _met(c: Context, first: DataFrame, second: DataFrame, more: tuple[str, ...]) -> DataFrame:
+    """Pairs of features of a layer whose boxes meet, first by order; each side's columns end in _a and _b."""
+    side = lambda rows, s: rows.select("layer_id", F.col("layer_name").alias(f"name_{s}"), *[F.col(k).alias(f"{k}_{s}") for k in ("ord", "key", *more)], *[F.col(f"geom.{k}").alias(f"{s}_{k}") for k in ("minx", "miny", "maxx", "maxy")])
+    box = lambda s: tuple(f"{s}_{k}" for k in ("minx", "miny", "maxx", "maxy"))
+    return spatial.box_join(side(first, "a"), side(second, "b"), box("a"), box("b"), c.cell, on=["layer_id"]).where("ord_a < ord_b")
+
+
 def _pairs(c: Context, flag: str, family: tuple[str, ...]) -> DataFrame:
     """Pairs of features of an opted-in layer whose boxes meet, first by order."""
-    rows = _layer(c).where(F.col(flag) & F.col("geom.gtype").isin(*family) & G.structure_issue(F.col("geom")).isNull())
-    side = lambda s: rows.select("layer_id", F.col("layer_name").alias(f"name_{s}"), F.col("ord").alias(f"ord_{s}"), F.col("key").alias(f"key_{s}"), F.col("geom").alias(f"geom_{s}"), *[F.col(f"geom.{k}").alias(f"{s}_{k}") for k in ("minx", "miny", "maxx", "maxy")])
-    box = lambda s: tuple(f"{s}_{k}" for k in ("minx", "miny", "maxx", "maxy"))
-    return spatial.box_join(side("a"), side("b"), box("a"), box("b"), c.cell, on=["layer_id"]).where("ord_a < ord_b")
+    rows = _opted(c, flag, family)
+    return _met(c, rows, rows, ("geom",))
 
 
 @rule("TOPO-POLY-OVERLAP", "Polygons of a layer overlap", "warning")
 def poly_overlap(c: Context) -> DataFrame:
-    both = _pairs(c, "overlap", ("Polygon", "MultiPolygon")).withColumn("shared", overlay.overlap_degrees("geom_a.parts", "geom_b.parts"))
-    own = F.abs(F.aggregate(F.flatten("geom_a.parts"), F.lit(0.0), lambda s, r: s + G.planar_area(r)))
-    bad = both.where(F.col("shared") > 1e-9 * F.greatest(own, F.lit(1e-12)))
+    """Two boxes share what their sides tell; their shapes don't go through the join. All other pairs are overlaid."""
+    own = F.abs(F.aggregate(F.flatten("geom.parts"), F.lit(0.0), lambda s, r: s + G.planar_area(r)))
+    rows = _opted(c, "overlap", ("Polygon", "MultiPolygon")).withColumns({"own": own, "plain": G.is_box(F.col("geom"))})
+    plain, others = rows.where("plain"), rows.where("NOT plain")
+    wide, high = F.least("a_maxx", "b_maxx") - F.greatest("a_minx", "b_minx"), F.least("a_maxy", "b_maxy") - F.greatest("a_miny", "b_miny")
+    columns = ["name_a", "key_a", "key_b", "own_a", "shared"]
+    both = _met(c, plain, plain, ("own",)).withColumn("shared", wide * high).select(columns)
+    for first, second in ((others, rows), (plain, others)):
+        met = _met(c, first, second, ("own", "geom")).withColumn("shared", overlay.overlap_degrees("geom_a.parts", "geom_b.parts"))
+        both = both.unionByName(met.select(columns))
+    bad = both.where(F.col("shared") > 1e-9 * F.greatest("own_a", F.lit(1e-12)))
     return found(bad, "TOPO-POLY-OVERLAP", F.concat(F.lit("overlaps "), F.col("key_b")), F.col("key_a"), evidence=F.to_json(F.struct(F.col("name_a").alias("layer"), F.round("shared", 12).alias("degrees2"))))
 
 
