@@ -38,11 +38,12 @@ def _keyed(df: DataFrame, others: DataFrame, box: tuple[str, ...], size: float,
     wider = F.filter(F.array(*[F.lit(k) for k in range(LEVELS)]), lambda k: k > F.col("_own"))
     turns = F.concat(F.array(*[turn(F.col("_own"), t, False) for t in at_home]), F.transform(wider, lambda k: turn(k, away, True)))
     width = F.element_at(F.array(*[F.lit(size * 8**k) for k in range(LEVELS)]), F.col("_lv") + 1)
-    out = df.select("*", F.inline(turns)).drop("_own").withColumn("_w", width)
-    out = out.select("*", F.inline(cells(*map(F.col, box), F.col("_w"))).alias("_cx", "_cy"))
     levels = df.sparkSession.range(LEVELS).select(F.col("id").cast("int").alias("_lv"), F.lit(False).alias("_guest"))
-    used = levels.union(others.select("_own", F.lit(True)).distinct())  # 2 LEVELS rows at most
-    return out.join(F.broadcast(used), ["_lv", "_guest"], "left_semi").drop("_guest")
+    used = levels.union(others.select("_own", F.lit(True)).distinct()).agg(F.collect_set(F.struct("_lv", "_guest")).alias("_used"))  # 2 LEVELS at most
+    own = df.columns
+    met = F.filter(turns, lambda t: F.array_contains("_used", F.struct(t["_lv"].alias("_lv"), t["_guest"].alias("_guest"))))  # before cells are made
+    out = df.crossJoin(F.broadcast(used)).select(*own, F.inline(met)).drop("_own", "_guest").withColumn("_w", width)
+    return out.select("*", F.inline(cells(*map(F.col, box), F.col("_w"))).alias("_cx", "_cy"))
 
 
 def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str], rbox: tuple[str, str, str, str], size: float, on: list[str] | None = None) -> DataFrame:

@@ -97,7 +97,9 @@ def _rings(pieces: DataFrame, turn: str) -> DataFrame:
 def coverage(polygons: DataFrame, cell: float = 0.05) -> DataFrame:
     """polygons(layer_id, key, geom) -> layer_id, pieces, holes of what the layer's polygons cover together. Pieces that
     touch in a point are apart; a hole may touch the outside in a point. A layer whose pieces don't alternate around a
-    corner (corners nearer than DECIMALS tell apart) has nulls."""
+    corner (corners nearer than DECIMALS tell apart) has nulls. Polygons of a layer that are equal count once: copies cover
+    nothing more, and their edges would all meet each other."""
+    polygons = materialise(polygons.groupBy("layer_id", "geom").agg(F.min("key").alias("key")).select("layer_id", "key", "geom"), "polygons")
     pieces = materialise(outline(polygons, cell).withColumn("id", F.monotonically_increasing_id()), "outline")
     ray = lambda at, to, end: pieces.select("layer_id", F.col(at).alias("at"), F.atan2(F.col(f"{to}.y") - F.col(f"{at}.y"), F.col(f"{to}.x") - F.col(f"{at}.x")).alias("angle"), "id", F.lit(end).alias("ends"))
     around = Window.partitionBy("layer_id", "at").orderBy("angle", "ends")
