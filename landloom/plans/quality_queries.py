@@ -19,6 +19,7 @@ def context(spark, sf) -> Q.Context:
     props = F.map_filter(F.create_map(F.lit("name"), F.when(k % 30 == 0, "").otherwise(F.col("name")), F.lit("class"), F.when(k % 45 != 0, F.col("class"))), lambda _, v: v.isNotNull())
     day = lambda n: F.when(k % n == 0, "2020-13-01").when(k % 2 == 0, "2020-05-01")
     feats = f.select("layer_id", k.alias("ord"), F.col("fkey").alias("key"), geom.alias("geom"), props.alias("properties"), day(60).alias("valid_from"), F.when(k % 34 == 0, "2019-01-01").alias("valid_to"))
+    feats = materialise(feats, "features")  # rules name the geometry many times, and would work it out each time
     layers = relation(spark, sf, "layers").select("layer_id", "layer_name", "dataset_id", F.lit("POLYGON").alias("geometry_type"), F.lit(None).cast("string").alias("expected_type"), F.array(F.lit("class"), F.lit("name")).alias("required"), F.lit(True).alias("overlap"), F.lit(True).alias("gap"), F.lit(True).alias("cross"))
     o = F.col("o_orderkey")
     ds = table(spark, sf, "orders").select(o.alias("dataset_id"), F.when(o % 9 == 0, None).otherwise(4326).alias("epsg"), F.when(o % 3 == 0, "official_vector").when(o % 3 == 1, "derived_machine_unreviewed").otherwise("reference_approximate").alias("derivation_level"), F.when(o % 2 == 0, "A").alias("authority"), F.when(o % 8 == 0, "other").otherwise("quy_hoach").alias("grp"), F.lit("x").alias("recorded_sha"), F.when(o % 10 == 0, "y").otherwise("x").alias("actual_sha"),
